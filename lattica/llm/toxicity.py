@@ -24,8 +24,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import id_text, labelled_sample
+from .common import id_text, labelled_sample, materialise
 
 #: Weak categories before the verdict, in the chain's order: common English words of abuse.
 CATEGORIES = {
@@ -102,30 +103,34 @@ class Chain:
         return out.astype(np.float64)
 
 
-def choose_marks(found: list[set[str]], y: np.ndarray, most: int = MARKS, min_z: float = MIN_Z) -> list[str]:
-    """Marks whose share among the rows of label 1 differs most from that among the others."""
-    counts = [Counter(), Counter()]
-    for m, k in zip(found, y, strict=True):
-        counts[int(k)].update(m)
-    n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
-    scored = []
-    for m, c1 in counts[1].items():
-        c0 = counts[0][m]
-        p = (c0 + c1 + 1) / (n0 + n1 + 2)
-        z = (c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-        if z >= min_z:
-            scored.append((-z, m))
-    return [m for _, m in sorted(scored)[:most]]
-
-
-def train(texts: list[str], labels: np.ndarray, categories: list[str]) -> Chain:
-    """labels: a 0/1 column for each category, the verdict last."""
-    chain = Chain(categories, base=float(labels[:, -1].mean()) if len(labels) else 0.0)
+def choose_marks(rows: DataFrame, most: int = MARKS, min_z: float = MIN_Z) -> list[str]:
+    """Marks whose share among the rows of `verdict` 1 exceeds that among the others most significantly.
+    They are counted on the executors; only those chosen come to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = [Counter(), Counter()]
+            for text, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                counts[k].update(marks_of(text))
+            found = list(counts[0].keys() | counts[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(found), *[pa.array([c[m] for m in found], pa.int64()) for c in counts]], ["mark", "c0", "c1"])
+
+    n = {r.verdict: r.n for r in rows.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
+    n0, n1 = n.get(0, 0), n.get(1, 0)
+    if not n0 or not n1:
+        return []
+    counts = rows.select("text", "verdict").mapInArrow(count, "mark string, c0 bigint, c1 bigint")
+    counts = counts.groupBy("mark").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).where("c1 > 0")
+    p = (F.col("c0") + F.col("c1") + 1) / (n0 + n1 + 2)
+    z = (F.col("c1") / n1 - F.col("c0") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
+    return [r.mark for r in counts.withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.desc("z"), "mark").limit(most).collect()]
+
+
+def train(x: np.ndarray, labels: np.ndarray, categories: list[str], marks: list[str]) -> Chain:
+    """x: a 0/1 column for each mark; labels: one for each category, the verdict last."""
+    chain = Chain(categories, {m: i for i, m in enumerate(marks)}, base=float(labels[:, -1].mean()) if len(labels) else 0.0)
     if not len(labels) or len(np.unique(labels[:, -1])) < 2:
         return chain
-    chosen = choose_marks([marks_of(t) for t in texts], labels[:, -1])
-    chain.marks = {m: i for i, m in enumerate(chosen)}
-    x = chain.matrix(texts)
     fold = np.arange(len(x)) % FOLDS
     apart = np.zeros((len(x), 0), np.float32)
     for k in range(len(categories)):
@@ -150,17 +155,32 @@ def train(texts: list[str], labels: np.ndarray, categories: list[str]) -> Chain:
 
 def fit(docs: DataFrame, labels: DataFrame, columns: dict[str, str] | None = None, sample_rows: int = SAMPLE_ROWS) -> Chain:
     """A chain from at most `sample_rows` labelled rows.  columns: category -> 0/1 column of labels, the verdict
-    last; without it, weak categories before labels.toxic."""
+    last; without it, weak categories before labels.toxic.  Of each row, only its marks come to the driver."""
     names = list(columns or [*CATEGORIES, VERDICT])
     cols = list(columns.values()) if columns else [VERDICT]
-    got = labelled_sample(docs, labels, cols, sample_rows).toPandas().sort_values("doc_id")
-    texts = got.text.tolist()
+    verdict = (F.col(cols[-1]) > 0).cast("int")
+    rows = materialise(labelled_sample(docs, labels, cols, sample_rows).withColumn("verdict", verdict), "toxic-sample")
+    marks = choose_marks(rows)
+    at = {m: i for i, m in enumerate(marks)}
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, weak = [], []
+            for t in b.column(1).to_pylist():
+                m = marks_of(t)
+                found.append(sorted(at[k] for k in at.keys() & m))
+                weak.append([int(not m.isdisjoint(words)) for words in CATEGORIES.values()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(weak, pa.list_(pa.int32())), *[b.column(2 + i) for i in range(len(cols))]], ["doc_id", "found", "weak", *cols])
+
+    schema = "doc_id bigint, found array<int>, weak array<int>, " + ", ".join(f"`{c}` int" for c in cols)
+    got = rows.select("doc_id", "text", *cols).mapInArrow(reduce, schema).toPandas().sort_values("doc_id")
+    x = np.zeros((len(got), len(marks)), np.float32)
+    for i, f in enumerate(got.found):
+        x[i, f] = 1
     y = (got[cols].to_numpy() > 0).astype(int) if len(got) else np.zeros((0, len(cols)), int)
     if not columns:
-        found = [set(_WORD.findall(t.lower())) for t in texts]
-        weak = [[int(v and not f.isdisjoint(CATEGORIES[c])) for f, v in zip(found, y[:, 0], strict=True)] for c in CATEGORIES]
-        y = np.column_stack([*weak, y[:, 0]]) if len(y) else np.zeros((0, len(names)), int)
-    return train(texts, y, names)
+        y = np.column_stack([np.vstack(got.weak.to_numpy()) * y, y]) if len(y) else np.zeros((0, len(names)), int)
+    return train(x, y, names, marks)
 
 
 def classify(docs: DataFrame, chain: Chain) -> DataFrame:
