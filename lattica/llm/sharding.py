@@ -168,7 +168,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
         offsets.append((p, start))
         start += counts.get(p, 0)
     firsts = spark.createDataFrame(offsets, "part int, first_slot bigint")
-    dealt = rows.withColumn("part", part_of("key", "order_id")).repartition(parts, "part")
+    dealt = rows.withColumn("part", part_of("key", "order_id")).repartitionById(parts, "part")
     slot = F.row_number().over(Window.partitionBy("part").orderBy("key", "order_id"))
     numbered = dealt.withColumn("slot_in_part", slot).join(F.broadcast(firsts), "part")
     return numbered.select(

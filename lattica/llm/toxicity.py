@@ -35,9 +35,9 @@ CATEGORIES = {
 }
 VERDICT = "toxic"
 #: Labelled rows that the chain is fitted on, at most; marks that it reads, at most.
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 15_000
 MARKS = 400
-MIN_Z = 5.0  # of a mark's share among toxic rows against the others
+MIN_Z = 4.0  # of a mark's share among toxic rows against the others
 FOLDS = 3
 #: Share of the rows labelled clean that calibration may reject.
 CLEAN_LOSS = 0.001
