@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_model, quality_rules, sharding, toxicity, url_filter, warc
+from . import packing, quality_model, quality_rules, sharding, toxicity, url_filter, warc
 from .common import shared_path, table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.classify(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -53,7 +63,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_quality_rules, op7_warc, op8_url_filter, op9_sharding, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_toxicity, op4_quality_rules, op7_warc, op8_url_filter, op9_sharding, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
