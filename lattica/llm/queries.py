@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_model, quality_rules, sharding, toxicity, url_filter, warc
+from . import near_dedup, packing, quality_model, quality_rules, sharding, toxicity, url_filter, warc
 from .common import shared_path, table
 
 
@@ -29,6 +29,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -63,8 +67,25 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_toxicity, op4_quality_rules, op7_warc, op8_url_filter, op9_sharding, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_toxicity, op4_quality_rules, op6_minhash, op7_warc, op8_url_filter, op9_sharding, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {
+    "op6_minhash": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+            FROM documents),
+        s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS shingles
+            FROM w),
+        n AS (SELECT doc_id, len(shingles) AS n_shingles FROM s),
+        e AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+        i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+              WHERE 100 * shared >= 85 * (x.n_shingles + y.n_shingles - shared)),
+        g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(doc_id, reached) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, g.b FROM r JOIN g ON g.a = r.reached)
+        SELECT n.doc_id, n.n_shingles, min(reached) AS component_id, n.doc_id = min(reached) AS kept
+        FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.n_shingles""",
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
