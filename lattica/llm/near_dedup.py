@@ -227,3 +227,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     out = sig.join(labelled, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("label", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each group the document with the smallest id (one row of
+    it, where its row is repeated), and every row without an id."""
+    found = materialise(near_duplicates(docs, shingle, percent).select("doc_id", "kept"), "near-result")
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    few = gone.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if again.isEmpty():
+        return kept
+    named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return named.unionByName(kept.where("doc_id IS NULL"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing, quality_model, quality_rules, sharding, toxicity, url_filter, warc
+from . import decontamination, near_dedup, packing, quality_model, quality_rules, sharding, toxicity, url_filter, warc
 from .common import shared_path, table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -67,7 +71,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_toxicity, op4_quality_rules, op6_minhash, op7_warc, op8_url_filter, op9_sharding, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_toxicity, op4_quality_rules, op6_minhash, op7_warc, op8_url_filter, op9_sharding, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {
     "op6_minhash": """
         WITH RECURSIVE w AS (
