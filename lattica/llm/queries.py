@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_dedup, packing, quality_model, quality_rules, sharding, toxicity, url_filter, warc
+from . import decontamination, license_scan, near_dedup, packing, quality_model, quality_rules, sharding, toxicity, url_filter, warc
 from .common import shared_path, table
 
 
@@ -33,6 +33,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -71,7 +75,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_toxicity, op4_quality_rules, op6_minhash, op7_warc, op8_url_filter, op9_sharding, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_toxicity, op4_quality_rules, op5_license_scan, op6_minhash, op7_warc, op8_url_filter, op9_sharding, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {
     "op6_minhash": """
         WITH RECURSIVE w AS (
