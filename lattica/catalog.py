@@ -1,4 +1,5 @@
 """All registered queries and their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import ORACLE_SQL, QUERIES, sensor
+
+__all__ = ["ORACLE_SQL", "QUERIES", "sensor"]
