@@ -1,13 +1,13 @@
-"""What the operators of this subpackage share: storage for intermediate tables,
-bounded labelled samples and Arrow row mapping."""
+"""What the operators of this subpackage share: storage for intermediate tables, bounded labelled samples
+and the state of Python workers."""
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,12 +74,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_cols: list[str], b
     return id_text(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, setup: Callable[[], object] | None = None) -> DataFrame:
-    """mapInArrow with a function of one batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
-
-    return df.mapInArrow(run, schema)
+def worker_state() -> dict:
+    """What a Python worker keeps from one task to the next (functions pickled by value keep nothing)."""
+    module = sys.modules.get("_lattica_worker")
+    if module is None:
+        module = sys.modules["_lattica_worker"] = types.ModuleType("_lattica_worker")
+    return vars(module).setdefault("state", {})
