@@ -6,8 +6,11 @@ an equally long signature; groups of its values are band keys.  Classes that sha
 candidates, and only pairs whose full sets meet the threshold are links.
 
 A bucket (the classes with one band key) is never expanded into all pairs.  First each member is
-compared with the bucket's smallest.  Where a bucket still holds several components, a small one is
-compared member by member; a large one is refined by further band keys and treated again.
+compared with the bucket's hub, the member that shares most keys with others: of copies with edits of
+their own, that is the one nearest to the original.  Where a bucket then still holds several components,
+its members' links across components are found by an exact prefix filter: shingles are ordered from rare
+to frequent, and two sets that meet the threshold must share one of their first few.  Edited copies
+begin with shingles of their own, so members that can't be linked generate no pairs.
 
 Defined results: a null or empty text has an empty set and is linked with nothing.  A text with fewer
 words than a shingle has one shingle, all its words.  Repeated rows get equal results.  Rows with one
@@ -26,15 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise
+from .common import id_text, materialise, worker_state
 from .graphs import components
 
 #: Chance that banding misses a pair at the threshold; values in a signature, at most.
 MISS, MAX_VALUES = 1e-6, 128
-#: Buckets up to this size are compared member by member where a star doesn't join them.
-SMALL_BUCKET = 48
-#: Further band keys that a large bucket is refined by before its pairs are compared after all.
-MAX_REFINED = 4
 #: Candidate ids are broadcast to the text scan up to so many, joined by shuffle beyond.
 BROADCAST_IDS = 500_000
 MEMORY_WORDS = 500_000
@@ -49,6 +48,10 @@ class _Words(dict):
         return h
 
 
+def _memory() -> dict:
+    return worker_state().setdefault("near_dedup words", _Words())
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
@@ -107,7 +110,7 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     bands, rows = bands_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashing, memory = MinMax(bands, rows), _Words()
+        hashing, memory = MinMax(bands, rows), _memory()
         for b in batches:
             n, digest, keys = [], [], []
             for text in b.column(1):
@@ -126,7 +129,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """node, shingles (sorted) of the documents whose id is a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _Words()
+        memory = _memory()
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
@@ -141,58 +144,50 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
-class _Linker:
-    """Candidate pairs in, verified links and components out; each pair is verified once."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, percent: int):
-        self.docs, self.nodes, self.k, self.percent = docs, nodes, k, percent
-        self.links: list[DataFrame] = []
-        self.tested: list[DataFrame] = []
-        self.labels: DataFrame | None = None
-
-    def verify(self, pairs: DataFrame) -> bool:
-        """pairs: a, b, na, nb with a < b.  True if a link was found that joins components."""
-        close = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent).select("a", "b").distinct()
-        for old in self.tested:
-            close = close.join(old, ["a", "b"], "left_anti")
-        close = materialise(close, "near-pairs")
-        if close.isEmpty():
-            return False
-        self.tested.append(close)
-        ends = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-        sets = materialise(shingle_sets(self.docs, materialise(ends, "near-nodes"), self.k).dropDuplicates(["node"]), "near-sets")
-        one = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        good = both * 100 >= (F.size("sa") + F.size("sb") - both) * self.percent
-        links = materialise(close.join(one, "b").join(two, "a").where(good).select("a", "b"), "near-links")
-        self.links.append(links)
-        if links.isEmpty():
-            return False
-        every = self.links[0]
-        for more in self.links[1:]:
-            every = every.unionByName(more)
-        self.labels = materialise(components(every), "near-labels")
-        return True
-
-    def label(self, members: DataFrame) -> DataFrame:
-        """members with the component of each."""
-        if self.labels is None:
-            return members.withColumn("label", F.col("node"))
-        return members.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-
-def _stars(members: DataFrame) -> DataFrame:
-    """Each member with its bucket's smallest."""
-    hub = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    return members.join(hub, "key").where("node > hub.node").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
-
-
-def _pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components in the (small) buckets of members."""
-    one = members.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    two = members.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    return one.join(two, "key").where("a < b AND la <> lb").select("a", "b", "na", "nb")
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets meet the threshold."""
+    one = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    good = both * 100 >= (F.size("sa") + F.size("sb") - both) * percent
+    return pairs.select("a", "b").join(one, "b").join(two, "a").where(good).select("a", "b")
+
+
+def sizes_fit(na: str, nb: str, percent: int):
+    return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+
+
+def star_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """a, b: each member (key, node, n, size of its bucket) with its bucket's hub, each pair once."""
+    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = members.join(weight, "node")
+    hub = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "n")).alias("hub"))
+    pairs = members.join(hub.select("key", (-F.col("hub.minus")).alias("hub"), F.col("hub.n").alias("hub_n")), "key").where((F.col("node") != F.col("hub")) & sizes_fit("n", "hub_n", percent))
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """a, b of different labels whose sets may meet the threshold: a superset of all that do.
+
+    Of sets of x and y shingles, y' = ceil(percent (x + y) / (100 + percent)) must be shared; in any common order,
+    some shared one is among the first x - y' + 1 of the one and the first y - y' + 1 of the other.  Shingles that
+    only one set has come first, and only shift the others' places."""
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(common, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
+    n = sets.select("node", F.size("shingles").cast("bigint").alias("n"))
+    ranked = ranked.join(n, "node").join(labels, "node")
+    own = F.col("n") - F.size("shared")
+    longest = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
+    first = F.slice("shared", 1, F.greatest(longest - own, F.lit(0)).cast("int"))
+    places = ranked.select("node", "n", "label", own.alias("own"), F.posexplode(first).alias("pos", "s"))
+    places = places.select("node", "n", "label", (F.col("own") + F.col("pos")).alias("pos"), "s.shingle")
+    one = places.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
+    two = places.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
+    shared = F.expr(f"((na + nb) * {percent} + {99 + percent}) div {100 + percent}")
+    may = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sizes_fit("na", "nb", percent) & (F.col("pa") <= F.col("na") - shared) & (F.col("pb") <= F.col("nb") - shared)
+    joined = one.join(two, (one["shingle"] == two["shingle"]) & may)
+    return joined.select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
@@ -200,31 +195,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     sig = materialise(signatures(docs, shingle, percent), "near-signatures")
     classes = sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = materialise(classes, "near-classes")
-    nodes = classes.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    members = classes.select("node", "n", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    members = materialise(members.join(shared, "key").withColumn("band", F.lit(0)), "near-members")
-    linker = _Linker(docs, nodes, shingle, percent)
-    depth = 0
-    linker.verify(_stars(members))
-    while True:
-        known = linker.label(members)
-        size = known.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-        open_ = materialise(known.join(size.where("l0 <> l1").select("key", "size"), "key"), "near-open")
-        last = depth >= MAX_REFINED
-        small = open_ if last else open_.where(F.col("size") <= SMALL_BUCKET)
-        linker.verify(_pairs(small))
-        large = open_.where(F.col("size") > SMALL_BUCKET)
-        if last or large.isEmpty():
-            break
-        depth += 1
-        finer = large.select("key", "node", "n", "band").join(nodes.select("node", F.posexplode("bands").alias("next", "band_key")), "node")
-        finer = finer.where(F.col("next") >= F.col("band")).where(F.col("band_key") != F.col("key"))
-        members = materialise(finer.select("node", "n", F.xxhash64("key", "band_key").alias("key"), (F.col("next") + 1).alias("band")).distinct(), "near-finer")
-        linker.verify(_stars(members))
-    of_class = classes.select("digest", "node")
-    labelled = linker.label(of_class).select("digest", "label")
-    out = sig.join(labelled, "digest", "left")
+    keys = classes.select("node", "n", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialise(keys.join(shared, "key"), "near-members")
+    sets = materialise(shingle_sets(docs, members.select("node").distinct(), shingle).dropDuplicates(["node"]), "near-sets")
+    links = materialise(verify(star_pairs(members, percent), sets, percent), "near-links")
+    labels = components(links)
+    known = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = known.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
+    rest = materialise(known.join(open_, "key").select("node", "label").distinct(), "near-open")
+    more = verify(prefix_pairs(sets.join(rest.select("node"), "node", "left_semi"), rest, percent), sets, percent)
+    labels = components(links.unionByName(more))
+    named = classes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
+    out = sig.join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("label", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
