@@ -1,5 +1,5 @@
 """All registered queries and their SQL equivalents."""
 
-from .plans import ORACLE_SQL, QUERIES, sensor
+from .plans import ORACLE_SQL, QUERIES, scores, sensor
 
-__all__ = ["ORACLE_SQL", "QUERIES", "sensor"]
+__all__ = ["ORACLE_SQL", "QUERIES", "scores", "sensor"]
