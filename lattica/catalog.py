@@ -1,5 +1,5 @@
 """All registered queries and their SQL equivalents."""
 
-from .plans import ORACLE_SQL, QUERIES, evidence, scores, sensor
+from .plans import ORACLE_SQL, QUERIES, evidence, network, scores, sensor
 
-__all__ = ["ORACLE_SQL", "QUERIES", "evidence", "scores", "sensor"]
+__all__ = ["ORACLE_SQL", "QUERIES", "evidence", "network", "scores", "sensor"]
