@@ -7,7 +7,9 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,9 +76,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_cols: list[str], b
     return id_text(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
 
-def worker_state() -> dict:
-    """What a Python worker keeps from one task to the next (functions pickled by value keep nothing)."""
+def remembered(kind: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from one task to the next (functions pickled by value keep nothing).  Only the
+    last kind asked for is kept, so that the stages of a pipeline don't add up."""
     module = sys.modules.get("_lattica_worker")
     if module is None:
         module = sys.modules["_lattica_worker"] = types.ModuleType("_lattica_worker")
-    return vars(module).setdefault("state", {})
+    held = vars(module).setdefault("held", {})
+    if kind not in held:
+        held.clear()
+        held[kind] = make()
+    return held[kind]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of some rows, so that few texts are Python objects at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+    pa.default_memory_pool().release_unused()

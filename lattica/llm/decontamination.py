@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, slices
 
 SHINGLE, THRESHOLD = 5, 0.8
 RADIUS = 22
@@ -218,7 +218,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 rows = [(i, *m) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for m in sent.value.matches(t.as_py())]
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
@@ -236,7 +236,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 yield b.filter(pa.array([not sent.value.matches(t.as_py() or "", first=True) for t in b.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

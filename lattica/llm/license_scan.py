@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, slices
 
 #: Wording of public license notices.
 TEMPLATES = {
@@ -134,7 +134,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
-        for b in batches:
+        for b in slices(batches):
             rows = [(i, *r) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for r in scanner.scan(t.as_py())]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)

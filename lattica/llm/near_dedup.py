@@ -29,14 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, worker_state
+from .common import id_text, materialise, remembered, slices
 from .graphs import components
 
 #: Chance that banding misses a pair at the threshold; values in a signature, at most.
 MISS, MAX_VALUES = 1e-6, 128
 #: Candidate ids are broadcast to the text scan up to so many, joined by shuffle beyond.
 BROADCAST_IDS = 500_000
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 300_000
 _SEED = 20250117
 
 
@@ -49,7 +49,7 @@ class _Words(dict):
 
 
 def _memory() -> dict:
-    return worker_state().setdefault("near_dedup words", _Words())
+    return remembered("near_dedup words", _Words)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -111,7 +111,7 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing, memory = MinMax(bands, rows), _memory()
-        for b in batches:
+        for b in slices(batches):
             n, digest, keys = [], [], []
             for text in b.column(1):
                 if len(memory) > MEMORY_WORDS:
@@ -130,13 +130,11 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _memory()
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                if len(memory) > MEMORY_WORDS:
-                    memory.clear()
-                sets = [shingle_set(t.as_py(), k, memory).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+        for b in slices(batches):
+            if len(memory) > MEMORY_WORDS:
+                memory.clear()
+            sets = [shingle_set(t.as_py(), k, memory).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     nodes = nodes.select(F.col("node").alias("doc_id"))
     few = nodes.count() <= BROADCAST_IDS

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import id_text, worker_state
+from .common import id_text, remembered, slices
 
 LIMIT = 4096
 END_ID = 2
@@ -36,7 +36,7 @@ SENTENCE_CUT, INNER_CUT = 2, 12
 INNER_STEP = 24
 #: Tokens of the stream that are packed at once; words whose ids a worker remembers.
 SPAN = 1 << 20
-MEMORY_WORDS = 700_000
+MEMORY_WORDS = 600_000
 
 _SPLITS_OTHERWISE = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the tokenizer
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%&#]*)")
@@ -199,13 +199,13 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_state().get(tokenizer_path) or worker_state().setdefault(tokenizer_path, Encoder(tokenizer_path))
+        encoder = remembered(f"encoder {tokenizer_path}", lambda: Encoder(tokenizer_path))
         packer = Packer(TaskContext.get().partitionId() << 40, encoder.is_end, limit)
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], NAMES)
 
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if rows := packer.add(doc_id, encoder.encode(text.as_py()) + end):
                     yield batch(rows)

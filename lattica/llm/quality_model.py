@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, labelled_sample
+from .common import id_text, labelled_sample, slices
 from .textstats import counts_of, rates
 
 #: Labelled rows that the classifier is fitted on, at most.
@@ -80,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> D
     rows = labelled_sample(docs, labels, ["quality"], sample_rows, ~held_out("doc_id"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             c = counts_of(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.tolist(), pa.list_(pa.int64())), b.column(2)], ["doc_id", "counts", "quality"])
 
@@ -95,7 +95,7 @@ def classify(docs: DataFrame, model: Discriminant | float, cut: float = CUT) ->
     """doc_id, held_out, score and predicted, a row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             c = counts_of(b.column(1).to_pylist())
             s = np.full(len(c), model) if isinstance(model, float) else model.score(features(c))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, labelled_sample, materialise
+from .common import id_text, labelled_sample, materialise, slices
 
 #: Weak categories before the verdict, in the chain's order: common English words of abuse.
 CATEGORIES = {
@@ -108,7 +108,7 @@ def choose_marks(rows: DataFrame, most: int = MARKS, min_z: float = MIN_Z) -> li
     They are counted on the executors; only those chosen come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             counts = [Counter(), Counter()]
             for text, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 counts[k].update(marks_of(text))
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, columns: dict[str, str] | None = Non
     at = {m: i for i, m in enumerate(marks)}
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found, weak = [], []
             for t in b.column(1).to_pylist():
                 m = marks_of(t)
@@ -188,7 +188,7 @@ def classify(docs: DataFrame, chain: Chain) -> DataFrame:
     names = [f"p_{c}" for c in chain.categories]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             p = chain.predict(b.column(1).to_pylist())
             bad = p[:, -1] >= chain.threshold
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(p[:, i]) for i in range(len(names))], pa.array(bad), pa.array(~bad)], ["doc_id", *names, "toxic", "kept"])
@@ -201,7 +201,7 @@ def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFra
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(chain.predict(b.column(at).to_pylist())[:, -1] < chain.threshold))
 
     return docs.mapInArrow(run, docs.schema)
