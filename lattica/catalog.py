@@ -1,5 +1,5 @@
 """All registered queries and their SQL equivalents."""
 
-from .plans import ORACLE_SQL, QUERIES, decisions, evidence, network, scores, sensor
+from .plans import ORACLE_SQL, QUERIES, decisions, evidence, learning, network, scores, sensor, streams
 
-__all__ = ["ORACLE_SQL", "QUERIES", "decisions", "evidence", "network", "scores", "sensor"]
+__all__ = ["ORACLE_SQL", "QUERIES", "decisions", "evidence", "learning", "network", "scores", "sensor", "streams"]
