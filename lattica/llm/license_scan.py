@@ -40,7 +40,7 @@ TEMPLATES = {
 }
 CUE = r"(?i)licen[cs]e|copyright|permission|warrant|rights reserved|redistribut|SPDX|creative commons"
 #: Lines without a licensing word that a block may bridge; characters of a block that are looked at together.
-BRIDGE, BLOCK_CHARS = 2, 4000
+BRIDGE, BLOCK_CHARS = 4, 4000
 #: Size reduction from which a template is confirmed, templates confirmed for a block, and the share of
 #: words that may differ.
 MIN_REDUCTION, CONFIRMED, MAX_CHANGED = 0.3, 3, 0.2
@@ -69,10 +69,10 @@ class Scanner:
         got = [(1 - max(0, len(c.compress(data)) - self.floor) / plain, name, words) for name, words, c in self.templates]
         return sorted(got, key=lambda g: (-g[0], g[1]))
 
-    def confirm(self, block: str) -> tuple[str, float, int, int] | None:
-        """(template, reduction, words missing, words added) of the best confirmed template.  Words of the block before
-        the first and after the last that agree are its surroundings, and don't count."""
-        mine, best = words_of(block), None
+    def confirm(self, block: str, wider: str | None = None) -> tuple[str, float, int, int] | None:
+        """(template, reduction, words missing, words added) of the best confirmed template.  Words of the block (or of
+        a wider one) before the first and after the last that agree are its surroundings, and don't count."""
+        mine, best = words_of(wider or block), None
         for reduction, name, words in self.rank(block)[:CONFIRMED]:
             if reduction < MIN_REDUCTION:
                 break
@@ -98,11 +98,10 @@ class Scanner:
                 runs.append([i])
         found = []
         for run in runs:
-            spans = [(run[0], run[-1] + 1)]
-            block = "\n".join(lines[slice(*spans[0])])
-            got = self.confirm(block) if len(run) > 1 else None
-            if got:
-                found.append((run[0], spans[0][1] - run[0], *got, block))
+            block = "\n".join(lines[run[0] : run[-1] + 1])
+            wider = "\n".join(x[:BLOCK_CHARS] for x in lines[max(0, run[0] - BRIDGE) : run[-1] + 1 + BRIDGE])
+            if len(run) > 1 and (got := self.confirm(block, wider)):
+                found.append((run[0], run[-1] + 1 - run[0], *got, block))
                 continue
             for i in run:
                 for piece in self._pieces(lines[i]):
