@@ -17,6 +17,7 @@ is kept as null.  An empty table gives no rows.  Other input columns are not rea
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -36,61 +37,67 @@ SENTENCE_CUT, INNER_CUT = 2, 12
 INNER_STEP = 24
 #: Tokens of the stream that are packed at once; words whose ids a worker remembers.
 SPAN = 1 << 20
-MEMORY_WORDS = 600_000
+MEMORY_WORDS = 800_000
 
 _SPLITS_OTHERWISE = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the tokenizer
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%&#]*)")
 
 
-class Encoder:
+class Encoder(dict):
     """Ids of whole texts.  The tokenizer splits at white space and between letters and marks, so the ids of a
-    text are those of its words in turn, and those of a plain word are its letters' and its marks'."""
+    text are those of its words in turn, and those of a plain word are its letters' and its marks'.
 
-    def __init__(self, path: str):
+    As a dictionary, it remembers the ids (bytes) of words, and finds out those of others."""
+
+    def __init__(self, path: str, memory_words: int = MEMORY_WORDS):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.memory_words = memory_words
         self.letters: dict[str, bytes] = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
-        self.byte_level = {c: "".join(byte[b] for b in chr(c).encode()) for c in range(256)}
+        self.byte_level = {c: "".join(byte[b] for b in chr(c).encode()) for c in range(128, 256)}
         ends = [i for t, i in self.tokenizer.get_vocab().items() if re.fullmatch(r"[.!?]+[\"')\]]*(</w>)?", t)]
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.is_end[ends] = True
 
-    def _exact(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        tokenize, odd = self.tokenizer.model.tokenize, []
-        for w in words:
-            m = _PLAIN.fullmatch(w)
-            if not m:
-                odd.append(w)
-                continue
-            got = []
-            for part in (m[1].lower(), m[2]):
-                if part and part not in self.letters:
-                    self.letters[part] = np.array([t.id for t in tokenize(part.translate(self.byte_level))], "<u4").tobytes()
-                got.append(self.letters[part] if part else b"")
-            self.words[w] = b"".join(got)
-        self.words.update(zip(odd, self._exact(odd), strict=True))
+    def exact(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        known = self.letters.get(part)
+        if known is None:
+            level = part if part.isascii() else part.translate(self.byte_level)
+            known = self.letters[part] = _ids_bytes([t.id for t in self.tokenize(level)])
+        return known
+
+    def __missing__(self, word: str) -> bytes:
+        m = _PLAIN.fullmatch(word)
+        if not m:
+            ids = self.exact(word)
+        else:
+            letters, marks = m.groups()
+            ids = self._part(letters.lower())
+            if marks:
+                ids += self._part(marks)
+        self[word] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a whole text."""
         if _SPLITS_OTHERWISE.search(text):
-            return self._exact([text])[0]
-        words = text.split()
-        known = self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > MEMORY_WORDS:
-                known.clear()
-                self.letters.clear()
-            self._learn({w for w in words if w not in known})
-            return b"".join(map(known.__getitem__, words))
+            return self.exact(text)
+        if len(self) > self.memory_words:
+            self.clear()
+            self.letters.clear()
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+def _ids_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def choose_cuts(at: list[int], cost: list[int], start: int, limit: int) -> list[int]:
@@ -123,17 +130,21 @@ def choose_cuts(at: list[int], cost: list[int], start: int, limit: int) -> list[
 
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, is_end: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidate cuts (positions after a token) up to the last document's end, and their costs."""
-    marks = np.flatnonzero(is_end[ids]) + 1
+    place = np.zeros(len(ids) + 1, bool)
+    place[1:] = is_end[ids]
+    marks = np.flatnonzero(place)
+    place[doc_ends] = True
+    known = np.flatnonzero(place)
     step = min(INNER_STEP, limit)
-    known = np.unique(np.concatenate([marks, doc_ends]))
-    gaps = np.diff(np.concatenate([[0], known]))
-    wide = np.flatnonzero(gaps > step)
-    inner = [np.arange(known[i] - gaps[i] + step, known[i], step) for i in wide]
-    at = np.unique(np.concatenate([known, *inner]))
-    cost = np.full(len(at), INNER_CUT, np.int64)
-    cost[np.searchsorted(at, marks)] = SENTENCE_CUT
-    cost[np.searchsorted(at, doc_ends)] = 0
-    return at, cost
+    before = np.concatenate([[0], known[:-1]])
+    more = (known - before - 1) // step  # inner candidates of each gap
+    number = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+    place[np.repeat(before, more) + number * step] = True
+    at = np.flatnonzero(place)
+    cost = np.full(len(ids) + 1, INNER_CUT, np.int64)
+    cost[marks] = SENTENCE_CUT
+    cost[doc_ends] = 0
+    return at, cost[at]
 
 
 def powers(start: int, end: int, limit: int) -> list[int]:
@@ -194,12 +205,14 @@ class Packer:
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece of a document."""
+def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int = END_ID, memory_words: int = MEMORY_WORDS) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece of a document.
+
+    memory_words: words whose ids each Python worker remembers, at some 250 bytes each."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = remembered(f"encoder {tokenizer_path}", lambda: Encoder(tokenizer_path))
+        encoder = remembered(f"encoder {tokenizer_path} {memory_words}", lambda: Encoder(tokenizer_path, memory_words))
         packer = Packer(TaskContext.get().partitionId() << 40, encoder.is_end, limit)
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
