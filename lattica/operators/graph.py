@@ -167,11 +167,63 @@ def _spread(edges: DataFrame, seeds: DataFrame, on: Sequence[str]) -> DataFrame:
         reached = materialise(reached.unionByName(frontier), "spread")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+#: Edges up to which strong components are found on the driver: some megabytes.
+LOCAL_EDGES = 200_000
+
+
+def _strong_locally(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(node, label) by two depth-first searches: one orders nodes by when they are left, the other, against the edges
+    and in reverse order, collects components."""
+    ahead, back = {}, {}
+    for a, b in pairs:
+        ahead.setdefault(a, []).append(b)
+        ahead.setdefault(b, [])
+        back.setdefault(b, []).append(a)
+        back.setdefault(a, [])
+    left, seen = [], set()
+    for start in sorted(ahead):
+        if start in seen:
+            continue
+        seen.add(start)
+        path = [(start, iter(ahead[start]))]
+        while path:
+            node, rest = path[-1]
+            for b in rest:
+                if b not in seen:
+                    seen.add(b)
+                    path.append((b, iter(ahead[b])))
+                    break
+            else:
+                left.append(node)
+                path.pop()
+    label = {}
+    for start in reversed(left):
+        if start in label:
+            continue
+        members, todo = [], [start]
+        label[start] = start
+        while todo:
+            node = todo.pop()
+            members.append(node)
+            for b in back[node]:
+                if b not in label:
+                    label[b] = start
+                    todo.append(b)
+        least = min(members)
+        for m in members:
+            label[m] = least
+    return sorted(label.items())
+
+
+def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """node, label (smallest id in its strong component) of each endpoint.
 
+    A graph of at most `local_edges` edges is searched on the driver; larger ones are never collected.
     Colouring: each node takes the smallest id that reaches it; what reaches that node back inside the colour is a
     component.  Nodes without edges in or out are trimmed first, and settled nodes leave the graph."""
+    few = edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).distinct().limit(local_edges + 1).collect()
+    if len(few) <= local_edges:
+        return edges.sparkSession.createDataFrame(_strong_locally([tuple(r) for r in few]), "node bigint, label bigint")
     left = materialise(edges.where("src <> dst").select("src", "dst").distinct(), "scc")
     done = endpoints(edges).select(F.col("id").alias("node"), F.col("id").alias("label"))
     found = None

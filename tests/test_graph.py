@@ -33,8 +33,9 @@ def test_components(spark, seed):
     rng = random.Random(seed)
     pairs = [(rng.randrange(30), rng.randrange(30)) for _ in range(34)]
     r = closure(pairs)
-    strong = {x.node: x.label for x in graph.strong_components(frame(spark, pairs)).collect()}
-    assert strong == {i: min(j for j in r[i] if i in r[j]) for i in r}
+    for local in (0, 1000):
+        strong = {x.node: x.label for x in graph.strong_components(frame(spark, pairs), local).collect()}
+        assert strong == {i: min(j for j in r[i] if i in r[j]) for i in r}
     und = closure(pairs + [(b, a) for a, b in pairs])
     weak = {x.node: x.label for x in graph.weak_components(frame(spark, pairs)).collect()}
     assert all(label == min(und[i]) for i, label in weak.items())
