@@ -69,20 +69,33 @@ def metric_value(text: Column | str) -> Column:
     return F.when(is_finite(v), v)
 
 
+def significant(value: Column | str, digits: int) -> Column:
+    """A number between 0 and 1 as text with so many significant digits, without zeros at its end; below 1e-4 with an
+    exponent of two digits."""
+    v = col(value)
+    strip = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    plain = strip(F.format_string(f"%.{digits - 1}f", v))
+    for e in range(-1, -5, -1):
+        plain = F.when(v < 10.0 ** (e + 1), strip(F.format_string(f"%.{digits - 1 - e}f", v))).otherwise(plain)
+    power = F.floor(F.log10(v)).cast("int")
+    small = F.concat(strip(F.format_string(f"%.{digits - 1}f", v / F.pow(F.lit(10.0), power))), F.format_string("e-%02d", -power))
+    return F.when(v == 0, "0").when(v < 1e-4, small).otherwise(plain)
+
+
 def p_text(p: Column | str, digits: int = 6, floor: float = 1e-12) -> Column:
-    """A p-value for a report: `n/a` if not finite, `<1e-12` below the floor, else rounded digits."""
+    """A p-value for a report: `n/a` if not finite, `<1e-12` below the floor, else significant digits."""
     v = col(p)
-    shown = F.regexp_replace(F.format_string(f"%.{digits}f", v), r"\.?0+$", "")
-    return F.when(~is_finite(v), "n/a").when(v < floor, "<1e-12").otherwise(shown)
+    return F.when(~is_finite(v), "n/a").when(v < floor, "<1e-12").otherwise(significant(v, digits))
 
 
 def condition_label(fraction: Column | str) -> Column:
-    """`full`, `train25pct` or `train0p125` for a training fraction."""
+    """`full`, `train25pct` or `train0p125` for a training fraction; one outside (0, 1] is an error."""
     f = col(fraction)
     percent = f * 100
     whole = F.abs(percent - F.round(percent)) < 1e-9
-    other = F.concat(F.lit("train"), F.replace(F.regexp_replace(F.format_string("%.6f", f), r"0+$", ""), F.lit("."), F.lit("p")))
-    return F.when(f.isNull() | (f == 1), "full").when(whole, F.format_string("train%dpct", F.round(percent).cast("int"))).otherwise(other)
+    other = F.concat(F.lit("train"), F.replace(significant(f, 4), F.lit("."), F.lit("p")))
+    label = F.when(f.isNull() | (f == 1), "full").when(whole, F.format_string("train%dpct", F.round(percent).cast("int"))).otherwise(other)
+    return F.when(f.isNull() | ((f > 0) & (f <= 1)), label).otherwise(F.raise_error(F.lit("a training fraction lies in (0, 1]")))
 
 
 def component(value: Column | str) -> Column:

@@ -82,7 +82,8 @@ def random_reservoir(channels: int, seed: int = 0, **params) -> Reservoir:
     rng, n = np.random.default_rng(seed), p["reservoir_size"]
     a = np.where(rng.random((n, n)) < p["density"], rng.uniform(-1, 1, (n, n)), 0.0)
     w_in = rng.uniform(-1, 1, (n, channels)) * p["input_scale"]
-    return Reservoir(scaled(a, p["spectral_radius"]), w_in, rng.uniform(-0.1, 0.1, n), p["leak"], p["gain"], p["washout"], p["state_pooling"])
+    bias = rng.uniform(-p["input_scale"], p["input_scale"], n)
+    return Reservoir(scaled(a, p["spectral_radius"]), w_in, bias, p["leak"], p["gain"], p["washout"], p["state_pooling"])
 
 
 def from_edges(edges: DataFrame, nodes: DataFrame, channels: int, seed: int = 0, **params) -> Reservoir:
@@ -97,7 +98,8 @@ def from_edges(edges: DataFrame, nodes: DataFrame, channels: int, seed: int = 0,
         a[at[r.dst], at[r.src]] = r.w
     rng = np.random.default_rng(seed)
     w_in = rng.uniform(-1, 1, (len(ids), channels)) * p["input_scale"]
-    return Reservoir(scaled(a, p["spectral_radius"]), w_in, np.zeros(len(ids)), p["leak"], p["gain"], p["washout"], p["state_pooling"])
+    bias = rng.uniform(-p["input_scale"], p["input_scale"], len(ids))
+    return Reservoir(scaled(a, p["spectral_radius"]), w_in, bias, p["leak"], p["gain"], p["washout"], p["state_pooling"])
 
 
 def window_states(windows: DataFrame, reservoir: Reservoir, keep: list[str]) -> DataFrame:

@@ -131,8 +131,8 @@ def best_candidate(scores: DataFrame, gate: float) -> DataFrame:
 
 
 def topology_family(a: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
-    """R0 the graph; R1 permuted weights; R2 weight-preserving rewire; R3, R4 random cells at its and half its density;
-    R5 small world; R6 dense.  Controls have the graph's spectral radius."""
+    """R0 the graph; R1 permuted weights; R2 weight-preserving rewire; R3 random cells, as many as its edges; R4 and R6
+    random cells at a density of 0.05 and 0.5; R5 small world.  Controls have the graph's spectral radius."""
     n, rng = len(a), np.random.default_rng(seed)
     dst, src = np.nonzero(a)
     w, m, target = a[dst, src], len(src), reservoir.spectral_radius(a)
@@ -145,10 +145,10 @@ def topology_family(a: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
     off = src != dst
     s2, d2, w2 = reservoir.rewired(src[off], dst[off], w[off], 4 * int(off.sum()), seed)
     family = {"R0": a, "R1": matrix(src, dst, rng.permutation(w)), "R2": matrix(s2, d2, w2)}
-    for name, edges in (("R3", m), ("R4", max(1, m // 2)), ("R6", n * (n - 1))):
+    for name, edges in (("R3", m), ("R4", max(1, round(0.05 * n * n))), ("R6", max(1, round(0.5 * n * n)))):
         s, d = reservoir.random_graph(n, edges, seed + len(family))
         family[name] = matrix(s, d, rng.uniform(-1, 1, len(s)))
-    s, d = reservoir.small_world(n, max(1, round(m / n / 1.0)) if m >= n else 1, 0.1, seed)
+    s, d = reservoir.small_world(n, max(1, round(m / n)), 0.1, seed)
     family["R5"] = matrix(s, d, rng.uniform(-1, 1, len(s)))
     return dict(sorted(family.items()))
 

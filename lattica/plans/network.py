@@ -14,8 +14,8 @@ query = register("network")
 RAW = """raw AS (SELECT (l_suppkey * 7 + l_orderkey) % 97 AS src, (l_partkey + l_linenumber * 13) % 97 AS dst, l_returnflag AS flag FROM lineitem),
 nodes AS (SELECT range AS id FROM range(97) WHERE range % 10 <> 9),
 edges AS (SELECT src, dst, count(*) AS w FROM raw WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes) GROUP BY ALL HAVING count(*) >= 3)"""
-LAYER = "(id % 50) / 10"
-CASE = "CASE WHEN {x} <= 0.5 THEN 'ORN' WHEN {x} <= 1.5 THEN 'PN' WHEN {x} <= 3 THEN 'KC' WHEN {x} <= 4 THEN 'MBON' WHEN {x} <= 4.5 THEN 'DAN' WHEN {x} <= 4.7 THEN 'APL' ELSE 'other' END".format(x=LAYER)
+LAYER = "(id % 70) / 10"
+CASE = "CASE WHEN {x} > 0.5 AND {x} <= 1.8 THEN 'ORN' WHEN {x} > 1.8 AND {x} <= 3.5 THEN 'PN' WHEN {x} > 3.5 AND {x} <= 4.2 THEN 'higher_order' WHEN {x} > 4.2 AND {x} <= 4.8 THEN 'DAN' WHEN {x} > 4.8 AND {x} <= 5.5 THEN 'KC' WHEN {x} > 5.5 AND {x} <= 6.5 THEN 'MBON' ELSE 'other' END".format(x=LAYER)
 CLASSES = f"classes AS (SELECT id, {CASE} AS class FROM nodes WHERE id % 17 <> 4)"
 CLASSED = """ce AS (SELECT src, dst, w, coalesce(a.class, 'unknown') AS pre, coalesce(b.class, 'unknown') AS post FROM edges LEFT JOIN classes a ON a.id = src LEFT JOIN classes b ON b.id = dst)"""
 STRENGTH = """st AS (SELECT id, coalesce((SELECT sum(w) FROM edges WHERE src = id), 0)::BIGINT AS out_strength, coalesce((SELECT sum(w) FROM edges WHERE dst = id), 0)::BIGINT AS in_strength FROM nodes)"""
@@ -37,7 +37,7 @@ def edges(spark, sf_dir) -> DataFrame:
 
 
 def classes(spark) -> DataFrame:
-    return nodes(spark).where("id % 17 <> 4").select("id", layer_class((F.col("id") % 50) / 10, graph.TIERS).alias("class"))
+    return nodes(spark).where("id % 17 <> 4").select("id", layer_class((F.col("id") % 70) / 10, graph.TIERS).alias("class"))
 
 
 def classed(spark, sf_dir) -> DataFrame:
@@ -92,7 +92,7 @@ def node_class_counts(spark, sf_dir):
 
 
 @query(sql_cte(RAW, CLASSES, CLASSED, """p AS (SELECT CASE WHEN pre = 'unknown' OR post = 'unknown' THEN 'other' WHEN pre IN ('DAN', 'APL') OR post IN ('DAN', 'APL') THEN 'modulatory'
-    WHEN (pre, post) IN (('ORN', 'PN'), ('PN', 'KC'), ('KC', 'MBON'), ('PN', 'higher_order')) THEN 'feedforward' WHEN pre = post THEN 'lateral' ELSE 'other' END AS pathway FROM ce)""",
+    WHEN (pre, post) IN (('ORN', 'PN'), ('ORN', 'higher_order'), ('PN', 'KC'), ('PN', 'MBON'), ('PN', 'higher_order'), ('KC', 'MBON'), ('KC', 'higher_order'), ('higher_order', 'PN'), ('higher_order', 'KC'), ('higher_order', 'MBON')) THEN 'forward' WHEN pre = post THEN 'lateral' ELSE 'other' END AS pathway FROM ce)""",
     "SELECT pathway, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM p GROUP BY pathway"))
 def pathway_counts(spark, sf_dir):
     from pyspark.sql.window import Window

@@ -102,10 +102,10 @@ def metric_coercion(spark, sf_dir):
     return li.withColumn("d", metric_value(t)).groupBy("l_linenumber").agg(F.count("*").alias("n"), F.count("d").alias("n_numbers"), F.round(F.sum("d"), 4).alias("total"))
 
 
-@query("""SELECT p_size, CASE WHEN p_size = 50 THEN 'n/a' WHEN p_size = 1 THEN '<1e-12' ELSE regexp_replace(printf('%.6f', p_size / 64), '\\.?0+$', '') END AS p_text FROM (SELECT DISTINCT p_size FROM part)""")
+@query("""SELECT p_size, CASE WHEN p_size = 50 THEN 'n/a' WHEN p_size = 1 THEN '<1e-12' ELSE printf('%.6g', p_size / 77 / p_size ** 5) END AS p_text FROM (SELECT DISTINCT p_size FROM part)""")
 def p_value_text(spark, sf_dir):
     sizes = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_size").distinct()
-    p = F.when(F.col("p_size") == 50, float("nan")).when(F.col("p_size") == 1, 1e-13).otherwise(F.col("p_size") / 64)
+    p = F.when(F.col("p_size") == 50, float("nan")).when(F.col("p_size") == 1, 1e-13).otherwise(F.col("p_size") / 77 / F.pow("p_size", F.lit(5)))
     return sizes.select("p_size", p_text(p).alias("p_text"))
 
 

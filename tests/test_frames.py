@@ -30,8 +30,8 @@ def test_scalars(spark):
     with pytest.raises(Exception, match="unmapped"):
         one(spark, scalars.map_label(F.lit("odd"), {"fresh": 0}))
     assert one(spark, scalars.root_id(F.lit(" 720575940.0 "))) == "720575940"
-    assert [one(spark, scalars.condition_label(F.lit(f).cast("double"))) for f in (None, 1.0, 0.25, 0.125)] == ["full", "full", "train25pct", "train0p125"]
-    assert [one(spark, scalars.p_text(F.lit(p))) for p in (float("nan"), 1e-13, 0.05)] == ["n/a", "<1e-12", "0.05"]
+    assert [one(spark, scalars.condition_label(F.lit(f).cast("double"))) for f in (None, 1.0, 0.25, 0.125, 0.01234567)] == ["full", "full", "train25pct", "train0p125", "train0p01235"]
+    assert [one(spark, scalars.p_text(F.lit(p))) for p in (float("nan"), 1e-13, 0.05, 1.0, 0.1234567, 0.00012345678, 1.5e-7)] == ["n/a", "<1e-12", "0.05", "1", "0.123457", "0.000123457", "1.5e-07"]
     assert [one(spark, scalars.metric_value(F.lit(t))) for t in ("1.5", "x", "NaN", "inf", None)] == [1.5, None, None, None, None]
     assert one(spark, scalars.unit_id(F.lit("chop12-3"), r"^(GTSteam|chop\d+)-\d+$")) == "chop12" and one(spark, scalars.unit_id(F.lit("zzz"), r"^(a)-\d+$")) == "zzz"
     p = one(spark, scalars.softmax(F.array(F.lit(1000.0), F.lit(1000.0))))
