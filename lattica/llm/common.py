@@ -3,6 +3,8 @@ and the state of Python workers."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import sys
 import tempfile
 import types
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 #: Word separators of the contracts: space and the ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+_cleaned: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
         if not folder:
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
             folder = sc.getCheckpointDir()
-    return f"{folder.rstrip('/')}/lattica-{sc.applicationId}"
+    own = f"{folder.rstrip('/')}/lattica-{sc.applicationId}"
+    if own not in _cleaned:
+        _cleaned.add(own)
+        atexit.register(_clean, spark, own)
+    return own
+
+
+def _clean(spark: SparkSession, path: str) -> None:
+    """Delete an application's intermediate tables when it ends, if its session is still there."""
+    with contextlib.suppress(Exception):
+        remove(spark, path)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -72,6 +85,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_cols: list[str], b
     if where is not None:
         rows = rows.where(where)
     rows = rows.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in label_cols])
+    n = rows.count()
+    if n > 4 * bound:  # so that the sort below gets about twice the bound from all tasks together, not the bound from each
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < F.lit(int((1 << 32) * 2 * bound / n)))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     return id_text(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 

@@ -38,7 +38,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 RADIUS = 22
 BLOCKS, BLOCK_BITS = 8, 8
 #: Items that are indexed, and shipped to the tasks, at once; more are matched in further passes.
-ITEMS_AT_ONCE = 20_000
+ITEMS_AT_ONCE, TEXT_AT_ONCE = 20_000, 16 << 20
 _WORD = re.compile(r"\w+")
 _FLIPS = [0] + [sum(1 << b for b in c) for k in range(1, RADIUS // BLOCKS + 1) for c in combinations(range(BLOCK_BITS), k)]
 _ODD = np.array([2 * i + 1 for i in range(SHINGLE)], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -200,9 +200,10 @@ class Index:
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD, at_once: int = ITEMS_AT_ONCE) -> Iterator[Index]:
-    """An index for each block of the items; a block has about `at_once` of them."""
+    """An index for each block of the items; a block has about `at_once` of them, or TEXT_AT_ONCE characters."""
     items = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    blocks = -(-items.count() // at_once)
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(-(-n // at_once), -(-size // TEXT_AT_ONCE))
     for i in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
         yield Index([tuple(r) for r in part.orderBy("item_id", "text").collect()], threshold)
