@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import draw
+from .ordering import with_position
 
 
 def permuted(specimens: DataFrame, seed: int, salt: str = "perm") -> DataFrame:
@@ -65,8 +66,8 @@ def time_block_holdout(specimens: DataFrame, k: int = 5) -> DataFrame:
     if n < 5:
         raise ValueError("at least five blocks")
     k = min(k, n - 2)
-    pos = F.row_number().over(Window.orderBy("specimen_id")) - 1
-    return _folds(ids.withColumn("pos", pos).withColumn("block", _block(F.col("pos"), F.lit(n), k)), k)
+    placed = with_position(ids, ["specimen_id"])
+    return _folds(placed.withColumn("block", _block(F.col("pos"), F.lit(n), k)), k)
 
 
 def train_fraction(specimens: DataFrame, fraction: float, seed: int = 0) -> DataFrame:

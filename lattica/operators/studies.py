@@ -177,3 +177,101 @@ def search_gain(a: np.ndarray, b: np.ndarray, x: np.ndarray, gains: Sequence[flo
 def radius_ladder(a: np.ndarray, b: np.ndarray, x: np.ndarray, radii: Sequence[float]) -> list[tuple[float, float]]:
     """(spectral radius, memory) with the graph rescaled to each radius."""
     return [(r, reservoir.memory(reservoir.Reservoir(reservoir.scaled(a, r), b, np.zeros(len(a))).trace(x)[0], x, 20)) for r in radii]
+
+
+def coprime_lengths(n: int, blocks: int) -> list[int]:
+    """Lengths of at least 2, pairwise coprime, that add up to n: the blocks' sizes are as even as that allows.  Fewer
+    blocks are used where so many don't exist."""
+
+    def search(left: int, count: int, chosen: list[int]) -> list[int] | None:
+        if count == 1:
+            return [*chosen, left] if left >= 2 and all(math.gcd(left, c) == 1 for c in chosen) else None
+        mean = left / count
+        for size in sorted(range(2, left - 2 * (count - 1) + 1), key=lambda s: (abs(s - mean), s))[:40]:
+            if all(math.gcd(size, c) == 1 for c in chosen) and (found := search(left - size, count - 1, [*chosen, size])):
+                return found
+        return None
+
+    for k in range(blocks, 0, -1):
+        if found := search(n, k, []):
+            return found
+    return [n]
+
+
+#: Accepted swaps for each edge of the statistics-matched family.
+SWAPS_PER_EDGE = 10
+
+
+def audit_families(a: np.ndarray, b: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
+    """F1 the graph; F2 its weight-preserving rewire; F3 as many random cells with its weights; F5 directed cycles of
+    coprime lengths with chords inside them, at its number of edges.  All have F1's spectral radius."""
+    n, rng = len(a), np.random.default_rng(seed)
+    dst, src = np.nonzero(a)
+    w, target = a[dst, src], reservoir.spectral_radius(a)
+
+    def matrix(s: np.ndarray, d: np.ndarray, values: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, n))
+        out[d, s] = values
+        return reservoir.scaled(out, target)
+
+    off = src != dst
+    s2, d2, w2 = reservoir.rewired(src[off], dst[off], w[off], SWAPS_PER_EDGE * int(off.sum()), seed)
+    s3, d3 = reservoir.random_graph(n, int(off.sum()), seed)
+    cells, start = set(), 0
+    for size in coprime_lengths(n, max(2, min(8, n // 125))):
+        cells |= {(start + i, start + (i + 1) % size) for i in range(size)}
+        free = [(start + i, start + j) for i in range(size) for j in range(size) if i != j and (i + 1) % size != j]
+        quota = min(len(free), round(max(0, len(src) - n) * size / n))
+        cells |= {free[k] for k in rng.choice(len(free), quota, replace=False)} if quota else set()
+        start += size
+    s5, d5 = (np.array(x) for x in zip(*sorted(cells), strict=True))
+    return {"F1": a, "F2": matrix(s2, d2, w2), "F3": matrix(s3, d3, rng.permutation(w[off])[: len(s3)]), "F5": matrix(s5, d5, np.ones(len(s5)))}
+
+
+def closed_walk_nodes(a: np.ndarray, longest: int = 12) -> list[int]:
+    """Nodes on a closed walk of each length from 1."""
+    step, walk, out = a != 0, np.eye(len(a), dtype=bool), []
+    for _ in range(longest):
+        walk = (walk.astype(np.float32) @ step.astype(np.float32)) > 0
+        out.append(int(np.diag(walk).sum()))
+    return out
+
+
+def organisation_feasible(one: np.ndarray, two: np.ndarray, labels: Sequence[str], b1: np.ndarray, b2: np.ndarray, strong: tuple[float, float], chosen_by_result: bool, min_change: float = 0.05, tolerance: float = 0.02) -> dict[str, bool]:
+    """Six conditions for a rewired graph to differ in organisation only; `feasible` is all of them."""
+    types = sorted(set(labels))
+    hot = np.array([[lab == t for t in types] for lab in labels], float)
+    before, after = hot.T @ np.abs(one) @ hot, hot.T @ np.abs(two) @ hot
+    degrees = all(((one != 0).sum(k) == (two != 0).sum(k)).all() for k in (0, 1))
+    w1, w2 = np.sort(one[one != 0]), np.sort(two[two != 0])
+    found = {
+        "type_pairs_changed": bool(np.abs(after - before).sum() / max(before.sum(), 1e-12) >= min_change),
+        "degrees_kept": bool(degrees),
+        "weights_kept": bool(len(w1) == len(w2) and np.allclose(w1, w2, rtol=1e-9)),
+        "inputs_kept": bool(b1.shape == b2.shape and ((b1 != 0) == (b2 != 0)).all()),
+        "recurrence_kept": bool(abs(strong[0] - strong[1]) <= tolerance),
+        "chosen_blindly": not chosen_by_result,
+    }
+    return {**found, "feasible": all(found.values())}
+
+
+def contrast_matrix_problems(rows: Sequence[dict]) -> list[str]:
+    """What is wrong with a matrix of families (id, parent, varied, fixed: a set, blocked): ids repeat, parents are missing,
+    two families vary the same factor, the reference varies something, or F3 doesn't hold strictly less fixed than F2."""
+    by_id = {r["id"]: r for r in rows}
+    out = ["ids repeat"] if len(by_id) != len(rows) else []
+    for r in rows:
+        if r.get("parent") is None and r["id"] != "F1":
+            out.append(f"{r['id']} has no parent")
+        elif r.get("parent") is not None and r["parent"] not in by_id:
+            out.append(f"{r['id']}: parent {r['parent']} is unknown")
+    varied: dict[str, str] = {}
+    for r in rows:
+        key = str(r["varied"]).strip().lower()
+        if not r.get("blocked") and varied.setdefault(key, r["id"]) != r["id"]:
+            out.append(f"{r['id']} and {varied[key]} vary the same factor")
+    if "F2" in by_id and "F3" in by_id and not set(by_id["F3"]["fixed"]) < set(by_id["F2"]["fixed"]):
+        out.append("F3 must hold strictly less fixed than F2")
+    if "F1" in by_id and not str(by_id["F1"]["varied"]).lower().startswith("none"):
+        out.append("the reference must vary nothing")
+    return out

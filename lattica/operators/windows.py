@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordering import with_position
+
 EPS = 1e-8
 
 
@@ -60,6 +62,32 @@ def sliding_windows(frame: DataFrame, features: Sequence[str], length: int, stri
     return rows.select(*keys, F.floor((F.col("rn") - length) / stride).cast("int").alias("window_no"), "start_time", F.col(order[0]).alias("end_time"), "label", "target", "x", *extra)
 
 
+def long_session_windows(frame: DataFrame, features: Sequence[str], length: int, stride: int = 1, rule: str = "last", by: Sequence[str] = (), order: Sequence[str] = ("time_index",), row_id: str | None = None, block_rows: int = 100_000) -> DataFrame:
+    """The same windows where a session may be too long for one task.
+
+    Rows get their place in their session from global positions; a session is cut into blocks of block_rows rows, each
+    of which also gets the length - 1 rows before it, and windows that end in those are left to the block before."""
+    if block_rows < length:
+        raise ValueError("a block must hold a window")
+    keys = [*by, "specimen_id", "session_id"]
+    placed = with_position(frame, [*keys, *order])
+    first = placed.groupBy(*keys).agg(F.min("pos").alias("_first"))
+    rows = placed.join(first, keys).withColumn("_at", F.col("pos") - F.col("_first")).drop("pos", "_first")
+    own = F.floor(F.col("_at") / block_rows)
+    next_too = F.col("_at") % block_rows >= block_rows - (length - 1)
+    blocks = F.when(next_too, F.array(own, own + 1)).otherwise(F.array(own))
+    cut = rows.withColumn("_block", F.explode(blocks)).withColumn("session_id", F.to_json(F.struct("session_id", "_block")))
+    order_in = ["_at", *order]
+    wide = sliding_windows(cut, features, length, 1, rule, by, order_in, row_id)
+    parts = F.from_json("session_id", "session_id string, _block bigint")
+    last = F.col("end_time")
+    kept = wide.withColumns({"_s": parts, "_last": last}).where(F.floor(F.col("_last") / block_rows) == F.col("_s._block"))
+    number = F.col("_last") - (length - 1)
+    kept = kept.where((number >= 0) & (number % stride == 0))
+    out = kept.withColumns({"session_id": F.col("_s.session_id"), "window_no": F.floor(number / stride).cast("int"), "start_at": F.col("start_time"), "end_at": F.col("_last")})
+    return out.drop("_s", "_last", "start_time", "end_time")
+
+
 def skipped_sessions(frame: DataFrame, length: int) -> DataFrame:
     """Sessions too short for a window: they give none, without an error."""
     return frame.groupBy("specimen_id", "session_id").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") < length)

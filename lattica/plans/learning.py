@@ -118,7 +118,7 @@ def first_best(spark, sf_dir):
     return models.first_best(s, ["l_suppkey"], "score", "l_linenumber")
 
 
-@query()
+@query("SELECT unnest(['boosted_trees', 'esn', 'pca_svm', 'random_forest', 'svm_rbf']) AS model, 'available' AS status UNION ALL SELECT unnest(['cnn1d', 'gru', 'lstm', 'tcn']), 'needs a deep-learning library that isn''t installed'")
 def model_availability(spark, sf_dir):
     return spark.createDataFrame(sorted(models.availability().items()), "model string, status string")
 

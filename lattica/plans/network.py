@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import layer_class, root_id
 from ..operators import graph
+from ..operators.ordering import with_position
 from . import register, sql_cte
 
 query = register("network")
@@ -52,11 +53,9 @@ def sparse(spark, sf_dir) -> DataFrame:
 @query(sql_cte(RAW, "SELECT src, dst, w, (SELECT count(*) FROM nodes WHERE id < src) AS src_idx, (SELECT count(*) FROM nodes WHERE id < dst) AS dst_idx, src = dst AS is_loop FROM edges"))
 def edge_aggregate(spark, sf_dir):
     """Whitelisted contacts counted into weighted edges, with the nodes' positions."""
-    from pyspark.sql.window import Window
-
-    place = nodes(spark).select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("bigint").alias("idx"))
+    place = with_position(nodes(spark), ["id"], "idx")
     a, b = place.withColumnsRenamed({"id": "src", "idx": "src_idx"}), place.withColumnsRenamed({"id": "dst", "idx": "dst_idx"})
-    return edges(spark, sf_dir).join(F.broadcast(a), "src").join(F.broadcast(b), "dst").select("src", "dst", "w", "src_idx", "dst_idx", (F.col("src") == F.col("dst")).alias("is_loop"))
+    return edges(spark, sf_dir).join(a, "src").join(b, "dst").select("src", "dst", "w", "src_idx", "dst_idx", (F.col("src") == F.col("dst")).alias("is_loop"))
 
 
 @query(sql_cte(RAW, "SELECT DISTINCT src AS id FROM raw WHERE src NOT IN (SELECT id FROM nodes)"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.scalars import draw
-from ..operators import graph, models, reservoir, studies
+from ..operators import graph, models, reservoir, studies, windows
 from . import benchmark, register, sql_cte
 from .evidence import BY, deltas
 from .network import CLASSES, CLASSED, GROW, RAW, STRENGTH, classes, edges, nodes, raw, sparse
@@ -134,3 +134,18 @@ def benchmark_grid(spark, sf_dir):
     first = benchmark.run(f, **again)
     second = benchmark.run(f, **again, done=first)
     return first.select("run_id", "status").unionByName(second.select("run_id", F.concat(F.lit("again_"), "status").alias("status")))
+
+
+@query()
+def audit_families(spark, sf_dir):
+    """F1, F2, F3 and F5 of an induced graph: size, edges, radius and criterion A3."""
+    r = reservoir.from_edges(edges(spark, sf_dir), nodes(spark).where("id % 5 = 0"), 3)
+    rows = [(k, len(m), int((m != 0).sum()), round(reservoir.spectral_radius(m), 6), float(reservoir.krylov_rank(m, r.w_in))) for k, m in studies.audit_families(r.a, r.w_in, 1).items()]
+    return spark.createDataFrame(rows, "family string, n int, m int, radius double, krylov double")
+
+
+@query(sql_cte(FRAME, "w AS (SELECT specimen_id, session_id, row_number() OVER o AS rn, freshness_class AS label, list(event_id) OVER (PARTITION BY specimen_id, session_id ORDER BY time_index, event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS ids FROM frame WINDOW o AS (PARTITION BY specimen_id, session_id ORDER BY time_index, event_id))", "SELECT specimen_id, session_id, ((rn - 8) // 3)::INT AS window_no, label, ids[1] AS first_row, ids[8] AS last_row FROM w WHERE rn >= 8 AND (rn - 8) % 3 = 0"))
+def long_session_windows(spark, sf_dir):
+    """Windows of sessions that are cut into blocks of rows equal those of whole sessions."""
+    w = windows.long_session_windows(frame(spark, sf_dir), FEATURES, 8, 3, order=ORDER, row_id="event_id", block_rows=10)
+    return w.select("specimen_id", "session_id", "window_no", "label", F.element_at("row_ids", 1).alias("first_row"), F.element_at("row_ids", 8).alias("last_row"))

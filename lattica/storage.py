@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_cleaned: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a local folder where it is unset (tests)."""
@@ -15,7 +19,18 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
         folder = sc.getCheckpointDir()
-    return f"{folder.rstrip('/')}/lattica-{sc.applicationId}"
+    own = f"{folder.rstrip('/')}/lattica-{sc.applicationId}"
+    if own not in _cleaned:
+        _cleaned.add(own)
+        atexit.register(_clean, spark, own)
+    return own
+
+
+def _clean(spark: SparkSession, path: str) -> None:
+    """Delete an application's intermediate tables when it ends, if its session is still there."""
+    with contextlib.suppress(Exception):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

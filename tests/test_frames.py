@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import scalars
-from lattica.operators import audits, frames, splits, windows
+from lattica.operators import audits, frames, ordering, splits, windows
 
 
 @pytest.fixture(scope="module")
@@ -132,3 +132,18 @@ def test_audits_fire(spark, frame):
     assert {r.channel: r.distinguishable for r in report} == {"a": True, "b": False}
     cover = {(r.fold_id, r.split): r.absent for r in audits.class_coverage(frame.where("freshness_class <> 2"), folds, 4).collect()}
     assert set(cover.values()) == {"2"}
+
+
+@pytest.mark.parametrize(("length", "stride", "block"), [(4, 1, 7), (5, 3, 5), (8, 2, 100)])
+def test_long_sessions(frame, length, stride, block):
+    for rule in ("last", "majority"):
+        want = windows.sliding_windows(frame, ["a", "b"], length, stride, rule, row_id="event_id").collect()
+        got = windows.long_session_windows(frame, ["a", "b"], length, stride, rule, row_id="event_id", block_rows=block).collect()
+        pick = lambda rows: sorted((r.specimen_id, r.session_id, r.window_no, r.label, round(r.target, 9), tuple(r.row_ids)) for r in rows)
+        assert pick(got) == pick(want)
+
+
+def test_positions(spark, frame):
+    placed = ordering.with_position(frame.select("event_id"), ["event_id"]).collect()
+    assert [r.pos for r in sorted(placed, key=lambda r: r.event_id)] == list(range(360))
+    assert ordering.with_position(frame.where("event_id < 0").select("event_id"), ["event_id"]).isEmpty()

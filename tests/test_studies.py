@@ -73,3 +73,30 @@ def test_benchmark_records(spark):
     again = benchmark.run(frame, "D", ["a"], ["svm_rbf"], tasks=("classification", "regression"), lengths=[5], max_folds=2, stride=3, n_classes=2, done=got)
     assert again.count() == 0
     assert got.where(F.col("duration_s") < 0).isEmpty()
+
+
+def test_families_and_feasibility():
+    assert sorted(studies.coprime_lengths(30, 3)) and sum(studies.coprime_lengths(97, 4)) == 97
+    for n, k in ((30, 3), (97, 4), (8, 2)):
+        sizes = studies.coprime_lengths(n, k)
+        assert sum(sizes) == n and all(math.gcd(a, b) == 1 for a, b in itertools.combinations(sizes, 2))
+    rng = np.random.default_rng(1)
+    a = np.where(rng.random((24, 24)) < 0.25, rng.integers(1, 3, (24, 24)), 0).astype(float)
+    np.fill_diagonal(a, 0)
+    f = studies.audit_families(a, rng.normal(0, 1, (24, 2)), 2)
+    assert all(abs(reservoir.spectral_radius(m) - reservoir.spectral_radius(a)) < 1e-6 for m in f.values())
+    assert ((f["F2"] != 0).sum(0) == (a != 0).sum(0)).all() and (f["F3"] != 0).sum() == (a != 0).sum()
+    b = np.ones((24, 1))
+    labels = ["x"] * 12 + ["y"] * 12
+    same = studies.organisation_feasible(a, a, labels, b, b, (1.0, 1.0), False)
+    assert not same["feasible"] and not same["type_pairs_changed"] and same["degrees_kept"] and same["weights_kept"]
+    assert studies.closed_walk_nodes(np.roll(np.eye(4), 1, 0), 4) == [0, 0, 0, 4]
+
+
+def test_contrast_matrix():
+    good = [dict(id="F1", parent=None, varied="none (reference)", fixed={"a"}), dict(id="F2", parent="F1", varied="wiring", fixed={"degree", "n"}), dict(id="F3", parent="F2", varied="degree", fixed={"n"})]
+    assert studies.contrast_matrix_problems(good) == []
+    bad = [dict(g) for g in good]
+    bad[2].update(varied="wiring", fixed={"x"}, parent="F9")
+    assert len(studies.contrast_matrix_problems(bad)) == 3
+    assert studies.contrast_matrix_problems([good[0], good[0]]) == ["ids repeat"]
