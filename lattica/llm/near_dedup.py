@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import weak_components
 from .common import id_text, materialise, remembered, slices
-from .graphs import components
 
 #: Chance that banding misses a pair at the threshold; values in a signature, at most.
 MISS, MAX_VALUES = 1e-6, 128
@@ -142,6 +142,11 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
+def components(links: DataFrame) -> DataFrame:
+    """node, label (the smallest id reachable) of every end of the links (a, b)."""
+    return weak_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets meet the threshold."""
     one = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
