@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 #: A run record as written in JSON, one document for each run.
 SCHEMA = T.StructType(
@@ -89,3 +90,19 @@ def skip_reasons(rows: DataFrame, reasons: Sequence[str]) -> DataFrame:
 def unscored(units: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Units that have no record yet: what a resumed run still has to do."""
     return units.join(done.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def migrate_identity(rows: DataFrame, old: Sequence[str], new: Sequence[str], order: Sequence[str], config: str) -> DataFrame:
+    """Records re-keyed from old to new identities: `adopted` (the first under its new key), `duplicate` (a later one of
+    the same configuration) or `conflict` (a later one of another), with the number of old keys that meet in the new one."""
+    w = Window.partitionBy(*new)
+    ranked = rows.withColumns({"_r": F.row_number().over(w.orderBy(*order)), "_first": F.first(config).over(w.orderBy(*order))})
+    keys = rows.groupBy(*new).agg(F.count_distinct(F.struct(*old)).alias("n_old_keys"))
+    status = F.when(F.col("_r") == 1, "adopted").when(F.col(config) == F.col("_first"), "duplicate").otherwise("conflict")
+    return ranked.withColumn("status", status).drop("_r", "_first").join(keys, list(new))
+
+
+def throughput(rows: DataFrame, by: Sequence[str], duration: str) -> DataFrame:
+    """Runs, mean and sample deviation of their seconds, and runs a minute."""
+    g = rows.groupBy(*by).agg(F.count("*").alias("n_runs"), F.avg(duration).alias("mean_s"), F.stddev_samp(duration).alias("std_s"), F.sum(duration).alias("_total"))
+    return g.withColumn("runs_per_minute", F.try_divide(60.0 * F.col("n_runs"), F.col("_total"))).drop("_total")

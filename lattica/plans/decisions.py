@@ -69,3 +69,23 @@ def evidence_audit(spark, sf_dir):
     return each.unionByName(each.groupBy(F.lit("all").alias("config_hash"), "status").agg(F.sum("n").alias("n")))
 
 
+
+
+SCOPED = {"g_small": "params('AF') < params('NO')", "g_close": "abs(params('AF') - params('NO')) < 100 and 1 < 2"}
+
+
+@query(sql_cte(OBS, RUNS, """p AS (SELECT model, dataset, CASE WHEN count(DISTINCT n_windows) = 1 THEN min(n_windows) END AS v FROM runs WHERE seed = 0 AND fold_id < 1 AND model IN ('AF', 'NO') GROUP BY ALL),
+    w AS (SELECT dataset, max(v) FILTER (model = 'AF') AS a, max(v) FILTER (model = 'NO') AS b FROM p GROUP BY 1),
+    s AS (SELECT max(v) FILTER (model = 'AF') AS a, max(v) FILTER (model = 'NO') AS b FROM p WHERE dataset = 'D0')""",
+    """SELECT 'g_small' AS rule, CASE WHEN a < b THEN 'True' ELSE 'False' END AS before, (SELECT CASE WHEN bool_and(a < b) THEN 'True' ELSE 'False' END FROM w) AS after FROM s
+    UNION ALL SELECT 'g_close', CASE WHEN abs(a - b) < 100 THEN 'True' ELSE 'False' END, 'UNEVALUABLE' FROM s"""))
+def scope_comparison(spark, sf_dir):
+    """Rules with one data set's parameter counts, and with a vector over data sets, which only comparisons take."""
+    found = run_rows(spark, sf_dir).where("seed = 0 AND fold_id < 1 AND model IN ('AF', 'NO')").groupBy("model", "dataset").agg(F.count_distinct("n_windows").alias("k"), F.min("n_windows").alias("v")).where("k = 1").collect()
+    vector: dict = {}
+    for r in found:
+        vector.setdefault(r.model, {})[r.dataset] = float(r.v)
+    one = {m: d["D0"] for m, d in vector.items() if "D0" in d}
+    before = rules.evaluate_all(spark, SCOPED, rules.Evidence({}, parameters=one)).withColumnRenamed("outcome", "before")
+    after = rules.evaluate_all(spark, SCOPED, rules.Evidence({}, parameters=vector)).withColumnRenamed("outcome", "after")
+    return before.select("rule", "before").join(after.select("rule", "after"), "rule")

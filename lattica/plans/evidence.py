@@ -260,3 +260,18 @@ def cohens_d(spark, sf_dir):
     p AS (SELECT *, c / sum(c) OVER (PARTITION BY l_linestatus) AS share FROM c) SELECT round(sum(m), 8) AS overlap FROM (SELECT bin, min(share) AS m FROM p GROUP BY bin HAVING count(*) = 2)""")
 def histogram_overlap(spark, sf_dir):
     return stats.histogram_overlap(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), [], "l_linestatus", "l_extendedprice").select(F.round("overlap", 8).alias("overlap"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_custkey, o_orderpriority AS config, o_custkey % 97 AS unit, row_number() OVER w AS rn, first_value(o_orderpriority) OVER w AS f FROM orders WINDOW w AS (PARTITION BY o_custkey % 97, o_orderstatus ORDER BY o_orderkey)),
+    k AS (SELECT o_custkey % 97 AS unit, o_orderstatus, count(DISTINCT o_custkey) AS n FROM orders GROUP BY ALL)
+    SELECT status, count(*) AS n, sum(n_old)::BIGINT AS n_old FROM (SELECT CASE WHEN rn = 1 THEN 'adopted' WHEN config = f THEN 'duplicate' ELSE 'conflict' END AS status, k.n AS n_old FROM r JOIN orders o USING (o_orderkey) JOIN k ON k.unit = r.unit AND k.o_orderstatus = o.o_orderstatus) GROUP BY status""")
+def identity_migration(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderpriority").alias("config"), (F.col("o_custkey") % 97).alias("unit"))
+    m = records.migrate_identity(o, ["o_custkey"], ["unit", "o_orderstatus"], ["o_orderkey"], "config")
+    return m.groupBy("status").agg(F.count("*").alias("n"), F.sum("n_old_keys").alias("n_old"))
+
+
+@query(sql_cte(OBS, RUNS, "SELECT model, count(*) AS n_runs, round(avg(duration_s), 4) AS mean_s, round(stddev_samp(duration_s), 4) AS std_s, round(60 * count(*) / sum(duration_s), 6) AS runs_per_minute FROM runs GROUP BY 1"))
+def throughput(spark, sf_dir):
+    t = records.throughput(run_rows(spark, sf_dir), ["model"], "duration_s")
+    return t.select("model", "n_runs", F.round("mean_s", 4).alias("mean_s"), F.round("std_s", 4).alias("std_s"), F.round("runs_per_minute", 6).alias("runs_per_minute"))

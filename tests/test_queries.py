@@ -45,3 +45,9 @@ def test_entry(spark, data):
     df = entry.entry(spark)
     assert df.count() > 0 and "fold_id" in df.columns
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_the_optional_subpackage(monkeypatch):
+    find = entry.importlib.util.find_spec
+    monkeypatch.setattr(entry.importlib.util, "find_spec", lambda name, *a: None if name == "lattica.llm" else find(name, *a))
+    assert set(entry.queries()) == set(catalog.QUERIES) and set(entry.oracle_sql()) == set(catalog.ORACLE_SQL)
