@@ -19,6 +19,32 @@ def fit_scaler(frame: DataFrame, features: Sequence[str], by: Sequence[str] = ()
     return frame.groupBy(*by).agg(F.count("*").alias("n_fit_rows"), *stats)
 
 
+def fold_scalers(frame: DataFrame, folds: DataFrame, features: Sequence[str], eps: float = EPS) -> DataFrame:
+    """The same statistics of each fold's training rows, without a copy of the rows for each fold.
+
+    The rows are read once, into moments of each specimen; folds only combine those: a fold's variance is the
+    mean of its specimens' variances and squared distances from the fold's mean."""
+    parts = [x for c in features for x in (F.count(c).alias(f"{c}_n"), F.avg(c).alias(f"{c}_a"), F.var_pop(c).alias(f"{c}_v"))]
+    each = frame.groupBy("specimen_id").agg(F.count("*").alias("_rows"), *parts)
+    train = folds.where("split = 'train'").select("fold_id", "specimen_id").join(each, "specimen_id")
+    means = [(F.sum(F.col(f"{c}_n") * F.col(f"{c}_a")) / F.sum(f"{c}_n")).alias(f"{c}_mean") for c in features]
+    centre = train.groupBy("fold_id").agg(F.sum("_rows").alias("n_fit_rows"), *means)
+    spread = []
+    for c in features:
+        n, gap = F.col(f"{c}_n"), F.col(f"{c}_a") - F.col(f"{c}_mean")
+        spread.append((F.sqrt(F.sum(n * (F.col(f"{c}_v") + gap * gap)) / F.sum(n)) + eps).alias(f"{c}_std"))
+    stds = train.join(centre, "fold_id").groupBy("fold_id").agg(*spread)
+    return centre.join(stds, "fold_id").select("fold_id", "n_fit_rows", *[f"{c}_{s}" for c in features for s in ("mean", "std")])
+
+
+def scaled_windows(windows: DataFrame, scaler: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Windows standardised after they were cut: scaling a channel is the same before and after, and so windows are cut
+    once for all folds."""
+    joined = windows.join(scaler.drop("n_fit_rows"), list(by)) if by else windows.crossJoin(F.broadcast(scaler.drop("n_fit_rows")))
+    row = lambda r: F.array(*[(r[i] - F.col(f"{c}_mean")) / F.col(f"{c}_std") for i, c in enumerate(features)])
+    return joined.withColumn("x", F.transform("x", row)).drop(*[f"{c}_{s}" for c in features for s in ("mean", "std")])
+
+
 def standardise(frame: DataFrame, scaler: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(x - mean) / std.  A scaler has a row for each fold, so it is small by nature and left to the planner."""
     joined = frame.join(scaler.drop("n_fit_rows"), list(by)) if by else frame.crossJoin(F.broadcast(scaler.drop("n_fit_rows")))

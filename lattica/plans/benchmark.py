@@ -12,10 +12,10 @@ from ..operators import metrics, models, records, splits, windows
 
 
 def fold_windows(frame: DataFrame, folds: DataFrame, fold: int, features: Sequence[str], length: int, stride: int, order: Sequence[str]) -> DataFrame:
-    """One fold's windows by split: the scaler sees training rows only, before windows are cut."""
-    rows = frame.join(folds.where(F.col("fold_id") == fold), "specimen_id")
-    scaled = windows.standardise(rows, windows.fit_scaler(rows.where("split = 'train'"), features), features)
-    return windows.sliding_windows(scaled, features, length, stride, by=("fold_id", "split"), order=order)
+    """One fold's windows by split, standardised by its training rows only."""
+    one = folds.where(F.col("fold_id") == fold)
+    w = windows.sliding_windows(frame, features, length, stride, order=order).join(one, "specimen_id")
+    return windows.scaled_windows(w, windows.fold_scalers(frame, one, features), features, ["fold_id"])
 
 
 def evaluate(model: models.Model, w: DataFrame, n_classes: int) -> dict[str, float | None]:

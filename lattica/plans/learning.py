@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, models, reservoir, windows
-from . import register, sql_cte
+from ..operators import graph, models, reservoir
+from . import benchmark, register, sql_cte
 from .network import edges, nodes
 from .sensor import FEATURES, FRAME, LENGTH, ORDER, folds, frame
 
@@ -16,9 +16,7 @@ query = register("learning")
 
 def fold_windows(spark, sf_dir, fold: int = 0) -> DataFrame:
     """One fold's windows, standardised by its training rows."""
-    rows = frame(spark, sf_dir).join(folds(spark, sf_dir).where(F.col("fold_id") == fold), "specimen_id")
-    scaled = windows.standardise(rows, windows.fit_scaler(rows.where("split = 'train'"), FEATURES), FEATURES)
-    return windows.sliding_windows(scaled, FEATURES, LENGTH, 4, by=("fold_id", "split"), order=ORDER)
+    return benchmark.fold_windows(frame(spark, sf_dir), folds(spark, sf_dir), fold, FEATURES, LENGTH, 4, ORDER)
 
 
 @query()

@@ -133,8 +133,7 @@ def train_fraction_nested(spark, sf_dir):
 
 @query(sql_cte(FRAME, FOLDS, "SELECT fold_id, count(*) AS n_fit_rows, " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}) + 1e-8, 6) AS {c}_std" for c in FEATURES) + " FROM frame JOIN folds USING (specimen_id) WHERE split = 'train' GROUP BY fold_id"))
 def scaler_fit(spark, sf_dir):
-    rows = frame(spark, sf_dir).join(folds(spark, sf_dir).where("split = 'train'"), "specimen_id")
-    s = windows.fit_scaler(rows, FEATURES, ["fold_id"])
+    s = windows.fold_scalers(frame(spark, sf_dir), folds(spark, sf_dir), FEATURES)
     return s.select("fold_id", "n_fit_rows", *[F.round(c, 6).alias(c) for c in s.columns[2:]])
 
 
@@ -143,9 +142,8 @@ SCALED = ("sc AS (SELECT fold_id, " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop(
 
 @query(sql_cte(FRAME, FOLDS, SCALED, "SELECT f.fold_id, f.split, event_id, " + ", ".join(f"round(({c} - m_{c}) / d_{c}, 5) AS {c}" for c in FEATURES) + " FROM frame JOIN folds f USING (specimen_id) JOIN sc USING (fold_id)"))
 def standardise(spark, sf_dir):
-    rows = frame(spark, sf_dir).join(folds(spark, sf_dir), "specimen_id")
-    scaler = windows.fit_scaler(rows.where("split = 'train'"), FEATURES, ["fold_id"])
-    out = windows.standardise(rows, scaler, FEATURES, ["fold_id"])
+    f, assigned = frame(spark, sf_dir), folds(spark, sf_dir)
+    out = windows.standardise(f.join(assigned, "specimen_id"), windows.fold_scalers(f, assigned, FEATURES), FEATURES, ["fold_id"])
     return out.select("fold_id", "split", "event_id", *[F.round(c, 5).alias(c) for c in FEATURES])
 
 
@@ -183,15 +181,19 @@ def skipped_sessions(spark, sf_dir):
         r AS (PARTITION BY fold_id, split, specimen_id, session_id ORDER BY time_index, event_id ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW))""",
     f"SELECT fold_id, split, freshness_class AS label, count(*) AS n_windows, round(avg(a1), 5) AS mean_s1, round(avg(a2), 5) AS mean_s2, round(avg(a3), 5) AS mean_s3, round(avg(tvc), 5) AS mean_target FROM w WHERE rn >= {LENGTH} GROUP BY ALL"))
 def window_fold_summary(spark, sf_dir):
-    """Flagship: folds, training-only scaling, windows that cross no specimen or session; counts and means."""
-    rows = frame(spark, sf_dir).join(folds(spark, sf_dir), "specimen_id")
-    scaler = windows.fit_scaler(rows.where("split = 'train'"), FEATURES, ["fold_id"])
-    scaled = windows.standardise(rows, scaler, FEATURES, ["fold_id"])
-    w = plain_windows(scaled, by=("fold_id", "split"))
-    means = [F.aggregate(F.transform("x", _item(i)), F.lit(0.0), lambda a, v: a + v) / LENGTH for i in range(len(FEATURES))]
-    w = w.select("fold_id", "split", "label", "target", *[m.alias(f"m{i}") for i, m in enumerate(means)])
-    out = [F.round(F.avg(f"m{i}"), 5).alias(f"mean_{c}") for i, c in enumerate(FEATURES)]
-    return w.groupBy("fold_id", "split", "label").agg(F.count("*").alias("n_windows"), *out, F.round(F.avg("target"), 5).alias("mean_target"))
+    """Flagship: folds, training-only scaling, windows that cross no specimen or session; counts and means.
+
+    Windows are cut once, whatever the number of folds; a window's channel sums are scaled by each fold's statistics."""
+    f, assigned = frame(spark, sf_dir), folds(spark, sf_dir)
+    scaler = windows.fold_scalers(f, assigned, FEATURES)
+    sums = [F.aggregate(F.transform("x", _item(i)), F.lit(0.0), lambda a, v: a + v) for i in range(len(FEATURES))]
+    w = plain_windows(f).select("specimen_id", "label", "target", *[(s / LENGTH).alias(f"m{i}") for i, s in enumerate(sums)])
+    # a fold's mean over windows is linear in the windows' means, so specimens are summed before folds multiply them
+    per = w.groupBy("specimen_id", "label").agg(F.count("*").alias("n"), F.sum("target").alias("t"), *[F.sum(f"m{i}").alias(f"m{i}") for i in range(len(FEATURES))])
+    g = per.join(assigned, "specimen_id").groupBy("fold_id", "split", "label").agg(F.sum("n").alias("n_windows"), F.sum("t").alias("t"), *[F.sum(f"m{i}").alias(f"m{i}") for i in range(len(FEATURES))])
+    g = g.join(scaler, "fold_id")
+    means = [F.round((F.col(f"m{i}") / F.col("n_windows") - F.col(f"{c}_mean")) / F.col(f"{c}_std"), 5).alias(f"mean_{c}") for i, c in enumerate(FEATURES)]
+    return g.select("fold_id", "split", "label", "n_windows", *means, F.round(F.col("t") / F.col("n_windows"), 5).alias("mean_target"))
 
 
 @query(sql_cte(FRAME, FOLDS, """bad AS (SELECT * FROM folds WHERE NOT (fold_id = 2 AND specimen_id LIKE '%3') UNION ALL SELECT 1, specimen_id, 'extra' FROM folds WHERE fold_id = 1 AND specimen_id LIKE '%5' UNION ALL SELECT 0, 'ghost', 'test')""",

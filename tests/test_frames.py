@@ -147,3 +147,18 @@ def test_positions(spark, frame):
     placed = ordering.with_position(frame.select("event_id"), ["event_id"]).collect()
     assert [r.pos for r in sorted(placed, key=lambda r: r.event_id)] == list(range(360))
     assert ordering.with_position(frame.where("event_id < 0").select("event_id"), ["event_id"]).isEmpty()
+
+
+def test_fold_scalers_and_scaled_windows(frame):
+    folds = splits.group_kfold(frame, 3, 1)
+    rows = frame.join(folds, "specimen_id")
+    want = {r.fold_id: r for r in windows.fit_scaler(rows.where("split = 'train'"), ["a", "b"], ["fold_id"]).collect()}
+    scaler = windows.fold_scalers(frame, folds, ["a", "b"])
+    for r in scaler.collect():
+        assert r.n_fit_rows == want[r.fold_id].n_fit_rows
+        assert all(abs(r[c] - want[r.fold_id][c]) < 1e-9 * (1 + abs(r[c])) for c in ("a_mean", "a_std", "b_mean", "b_std"))
+    before = windows.sliding_windows(windows.standardise(rows, scaler, ["a", "b"], ["fold_id"]), ["a", "b"], 4, by=("fold_id", "split"))
+    after = windows.scaled_windows(windows.sliding_windows(frame, ["a", "b"], 4).join(folds, "specimen_id"), scaler, ["a", "b"], ["fold_id"])
+    key = lambda r: (r.fold_id, r.split, r.specimen_id, r.session_id, r.window_no)
+    x, y = ({key(r): np.array(r.x) for r in df.collect()} for df in (before, after))
+    assert set(x) == set(y) and all(np.allclose(x[k], y[k]) for k in x)
