@@ -1,21 +1,23 @@
 """License scans (operator 5) by conditional compression.
 
-Candidate blocks are runs of lines with a licensing word, and each such line.  A block is compressed
-alone and with each license template as zstandard raw dictionary; the more a template knows of a
-block, the smaller the block gets.  Templates are ranked by the size reduction, and the best ones are
-confirmed by the exact differences of wording between block and template.
+Around each licensing word, the words that each template agrees with best are aligned exactly (the fewest words
+missing and added, over all places).  A block is such a stretch of words, and nothing around it.  It is compressed
+alone and with the template as zstandard raw dictionary; the more a template knows of a block, the smaller the
+block gets.  Overlapping blocks of several templates rank by the bytes saved.
 
 Defined results: null and empty texts, and texts without a licensing word, have no blocks.  Repeated
-rows are reported alike.  A null id is kept as null.  Equal reductions rank by the template's name.
-Long texts are read whole; only blocks are compressed.  Other input columns are not read.
+rows are reported alike.  A null id is kept as null.  Equal savings rank by fewer differences, then by the
+template's name.  Long texts are read whole; only blocks are compressed.  Other input columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -39,16 +41,60 @@ TEMPLATES = {
     "All-rights-reserved": "All rights reserved.",
 }
 CUE = r"(?i)licen[cs]e|copyright|permission|warrant|rights reserved|redistribut|SPDX|creative commons"
-#: Lines without a licensing word that a block may bridge; characters of a block that are looked at together.
-BRIDGE, BLOCK_CHARS = 4, 4000
-#: Size reduction from which a template is confirmed, templates confirmed for a block, and the share of
-#: words that may differ.
-MIN_REDUCTION, CONFIRMED, MAX_CHANGED = 0.3, 3, 0.2
+#: Size reduction of a block from which a template is confirmed, and the share of its words that may differ.
+MIN_REDUCTION, MAX_CHANGED = 0.3, 0.2
 _CUE, _WORD = re.compile(CUE), re.compile(r"[\w.+-]+")
 
 
+def spans_of(text: str) -> list[tuple[str, int, int]]:
+    """(word, start, end) of each word."""
+    return [(w, m.start(), m.end()) for m in _WORD.finditer(text) if (w := m[0].strip(".-+").lower())]
+
+
 def words_of(text: str) -> list[str]:
-    return [w.strip(".-+").lower() for w in _WORD.findall(text) if w.strip(".-+")]
+    return [w for w, _, _ in spans_of(text)]
+
+
+class Block(NamedTuple):
+    saved: int  # bytes
+    reduction: float
+    missing: int
+    added: int
+    name: str
+    start: int  # words
+    end: int
+
+
+class Template:
+    def __init__(self, name: str, text: str, vocabulary: dict[str, int], compressor):
+        self.name, self.compressor = name, compressor
+        self.ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
+        self.limit = int(MAX_CHANGED * len(self.ids) + 1e-9)
+        self.reach = len(self.ids) + self.limit  # words of the longest block
+
+    def align(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
+        """(differences, first word, word after the last) of disjoint stretches, those with the fewest differences first."""
+        n, reach = len(self.ids), min(self.reach, len(ids))
+        own = np.concatenate([[0], np.cumsum(np.isin(ids, self.ids))])
+        if not n or not len(ids) or (own[reach:] - own[:-reach]).max() < n - self.limit:
+            return []
+        # a cell is differences * unit - start, so the least has the fewest differences, and of these the shortest stretch
+        unit = len(ids) + 1
+        steps = np.arange(unit, dtype=np.int64) * unit
+        cost = -np.arange(unit, dtype=np.int64)
+        for w in self.ids:
+            new = cost + unit
+            new[1:] = np.minimum(new[1:], np.where(ids == w, cost[:-1], new[1:]))
+            cost = np.minimum.accumulate(new - steps) + steps
+        changed = -(-cost // unit)
+        start = changed * unit - cost
+        ends = np.flatnonzero(changed <= self.limit)
+        taken, out = np.zeros(len(ids), bool), []
+        for e in ends[np.argsort(changed[ends], kind="stable")].tolist():
+            if not taken[start[e] : e].any():
+                taken[start[e] : e] = True
+                out.append((int(changed[e]), int(start[e]), e))
+        return out
 
 
 class Scanner:
@@ -57,69 +103,61 @@ class Scanner:
         make = lambda **more: zstandard.ZstdCompressor(level=19, write_content_size=False, write_checksum=False, write_dict_id=False, **more)
         self.alone = make()
         self.floor = len(self.alone.compress(b""))
+        self.vocabulary: dict[str, int] = {}
         self.templates = []
         for name, text in sorted(templates.items()):
             data = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.templates.append((name, words_of(text), make(dict_data=data)))
+            self.templates.append(Template(name, text, self.vocabulary, make(dict_data=data)))
 
-    def rank(self, block: str) -> list[tuple[float, str, list[str]]]:
-        """(size reduction, name, words) of each template, the best first: 1 is as short as nothing, 0 no help."""
+    def saving(self, block: str, compressor) -> tuple[int, float]:
+        """Bytes saved by a template, and their share of the block's compressed size: 1 is as short as nothing, 0 no help."""
         data = " ".join(block.lower().split()).encode("utf-8", "surrogatepass")
         plain = max(1, len(self.alone.compress(data)) - self.floor)
-        got = [(1 - max(0, len(c.compress(data)) - self.floor) / plain, name, words) for name, words, c in self.templates]
-        return sorted(got, key=lambda g: (-g[0], g[1]))
-
-    def confirm(self, block: str, wider: str | None = None) -> tuple[str, float, int, int] | None:
-        """(template, reduction, words missing, words added) of the best confirmed template.  Words of the block (or of
-        a wider one) before the first and after the last that agree are its surroundings, and don't count."""
-        mine, best = words_of(wider or block), None
-        for reduction, name, words in self.rank(block)[:CONFIRMED]:
-            if reduction < MIN_REDUCTION:
-                break
-            same = [m for m in SequenceMatcher(None, words, mine, autojunk=False).get_matching_blocks() if m.size]
-            if not same:
-                continue
-            agreed = sum(m.size for m in same)
-            added = same[-1].b + same[-1].size - same[0].b - agreed
-            missing = len(words) - agreed
-            if missing + added <= MAX_CHANGED * len(words) and (best is None or missing + added < best[2] + best[3]):
-                best = (name, reduction, missing, added)
-        return best
+        got = max(0, len(compressor.compress(data)) - self.floor)
+        return plain - got, 1 - got / plain
+
+    def blocks(self, text: str) -> list[Block]:
+        """The confirmed blocks, in order."""
+        words = spans_of(text)
+        starts = [s for _, s, _ in words]
+        cues = sorted({bisect_right(starts, m.start()) - 1 for m in _CUE.finditer(text)})
+        ids = np.array([self.vocabulary.get(w, 0) for w, _, _ in words], np.int64)
+        reach, areas = max(t.reach for t in self.templates), []
+        for c in cues:
+            if areas and c - reach < areas[-1][1]:
+                areas[-1][1] = min(len(ids), c + reach)
+            else:
+                areas.append([max(0, c - reach), min(len(ids), c + reach)])
+        return sorted((b for lo, hi in areas for b in self._confirmed(text, words, ids, lo, hi)), key=lambda b: b.start)
+
+    def _candidates(self, text: str, words: list, ids: np.ndarray, lo: int, hi: int) -> list[Block]:
+        """Blocks of each template in a stretch of words, the one that saves most first."""
+        found = []
+        for t in self.templates:
+            for changed, a, b in t.align(ids[lo:hi]):
+                saved, reduction = self.saving(text[words[lo + a][1] : words[lo + b - 1][2]], t.compressor)
+                if reduction >= MIN_REDUCTION:
+                    more = b - a - len(t.ids)
+                    found.append(Block(saved, reduction, (changed - more) // 2, (changed + more) // 2, t.name, lo + a, lo + b))
+        return sorted(found, key=lambda b: (-b.saved, b.missing + b.added, b.name, b.start))
+
+    def _confirmed(self, text: str, words: list, ids: np.ndarray, lo: int, hi: int) -> list[Block]:
+        return self._candidates(text, words, ids, lo, hi)[:1]
+
+    def confirm(self, block: str) -> tuple[str, float, int, int] | None:
+        """(template, reduction, words missing, words added) of the block that saves most."""
+        best = max(self.blocks(block), key=lambda b: b.saved, default=None)
+        return best and (best.name, best.reduction, best.missing, best.added)
 
     def scan(self, text: str) -> list[tuple]:
         """(first line, lines, template, reduction, words missing, words added, block) of each confirmed block."""
-        lines = text.split("\n")
-        cued = [i for i, x in enumerate(lines) if _CUE.search(x)]
-        runs: list[list[int]] = []
-        for i in cued:
-            if runs and i - runs[-1][-1] <= BRIDGE + 1 and sum(len(x) for x in lines[runs[-1][0] : i + 1]) <= BLOCK_CHARS:
-                runs[-1].append(i)
-            else:
-                runs.append([i])
-        found = []
-        for run in runs:
-            block = "\n".join(lines[run[0] : run[-1] + 1])
-            wider = "\n".join(x[:BLOCK_CHARS] for x in lines[max(0, run[0] - BRIDGE) : run[-1] + 1 + BRIDGE])
-            if len(run) > 1 and (got := self.confirm(block, wider)):
-                found.append((run[0], run[-1] + 1 - run[0], *got, block))
-                continue
-            for i in run:
-                for piece in self._pieces(lines[i]):
-                    if got := self.confirm(piece):
-                        found.append((i, 1, *got, piece))
-        return found
-
-    @staticmethod
-    def _pieces(line: str) -> list[str]:
-        """A line, or the stretches around licensing words of a very long one."""
-        if len(line) <= BLOCK_CHARS:
-            return [line]
-        out, end = [], 0
-        for m in _CUE.finditer(line):
-            if m.start() >= end:
-                start = max(0, m.start() - BLOCK_CHARS // 4)
-                end = m.start() + 3 * BLOCK_CHARS // 4
-                out.append(line[start:end])
+        words, out, line, at = None, [], 0, 0
+        for b in self.blocks(text):
+            words = words or spans_of(text)
+            start, end = words[b.start][1], words[b.end - 1][2]
+            line, at = line + text.count("\n", at, start), start
+            block = text[start:end]
+            out.append((line, 1 + block.count("\n"), b.name, b.reduction, b.missing, b.added, block))
         return out
 
 

@@ -38,3 +38,16 @@ def test_odd_rows(make_docs, odd_rows):
     got = sorted((r.doc_id, r.license) for r in license_scan.scan(make_docs(rows, extra=True)).collect())
     assert got == [(30, "MIT"), (31, "All-rights-reserved"), (31, "All-rights-reserved")]
     assert license_scan.scan(make_docs([])).count() == 0
+
+
+PROSE = "the valley was quiet that morning and nobody on the farm had expected visitors before the harvest was over so they sat by the window drinking tea while old Marten told the story of the flooded mill "
+
+
+def test_surrounding_prose_does_not_hide_a_notice():
+    s = license_scan.Scanner()
+    for name, text in license_scan.TEMPLATES.items():
+        for n in (0, 20, 60, 200, 6000):
+            before = (PROSE * 40)[:n] + " "
+            got = s.scan("first\n" + before + text + " " + before)
+            assert len(got) == 1 and got[0][2] == name and got[0][0] == 1 and got[0][4:6] == (0, 0), (name, n)
+            assert got[0][6].rstrip(".") == text.rstrip(".")
