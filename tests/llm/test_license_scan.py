@@ -51,3 +51,14 @@ def test_surrounding_prose_does_not_hide_a_notice():
             got = s.scan("first\n" + before + text + " " + before)
             assert len(got) == 1 and got[0][2] == name and got[0][0] == 1 and got[0][4:6] == (0, 0), (name, n)
             assert got[0][6].rstrip(".") == text.rstrip(".")
+
+
+def test_every_notice_of_a_run_is_reported():
+    s, t = license_scan.Scanner(), license_scan.TEMPLATES
+    names = lambda text: [g[2] for g in s.scan(text)]
+    assert names("Released under the MIT License.\nAll rights reserved.") == ["MIT", "All-rights-reserved"]
+    assert names(" ".join((t["MIT"], t["Apache-2.0"], t["MIT"], "and more words"))) == ["MIT", "Apache-2.0", "MIT"]
+    everything = sorted(t)
+    assert names("\n".join(t[n] for n in everything)) == everything
+    assert names("\n\n".join([t["MIT text"], "or", t["Apache-2.0 notice"]])) == ["MIT text", "Apache-2.0 notice"]
+    assert names("All rights reserved. " * 5000) == ["All-rights-reserved"] * 5000
