@@ -33,7 +33,8 @@ RECORDS_PER_FILE = 10_000
 BROADCAST_ROWS = 200_000
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MAX_HEADER = 1 << 16
+#: The end of a header, or a version line that comes before it.
+_HEADER_END = re.compile(rb"\r\n\r\n|\r\nWARC/1\.")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 
@@ -80,9 +81,9 @@ class _Bad(Exception):
 
 def _record(data: bytes, at: int) -> tuple[dict, int]:
     """The record at an offset and the offset after it."""
-    top = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
-    if not data.startswith(b"WARC/1.", at) or top < 0:
+    if not data.startswith(b"WARC/1.", at) or not (ending := _HEADER_END.search(data, at)) or ending[0] != b"\r\n\r\n":
         raise _Bad("no header")
+    top = ending.start()
     head = {}
     for line in data[at:top].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")

@@ -79,3 +79,18 @@ def test_odd_rows(spark, tmp_path, compression):
     assert next(r.url for r in got if r.record_id == "urn:page:2") == "http://abX:1"
     warc.write(pages.limit(0), f"{tmp_path}/none")
     assert warc.read(spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_long_urls(spark, tmp_path, compression):
+    rows = [(i, f"http://h{i}.test/" + "é/x" * n, f"<p>{i}</p>") for i, n in enumerate((1, 16_000, 17_000, 30_000, 1_000_000))]
+    pages = spark.createDataFrame([(*r, "d", "f") for r in rows], SCHEMA)
+    warc.write(pages, f"{tmp_path}/w", compression=compression)
+    got = warc.read(spark, f"{tmp_path}/w").collect()
+    assert all(r.gap is None for r in got) and {r.record_id: r.url for r in got} == {f"urn:page:{i}": u for i, u, _ in rows}
+
+
+def test_cut_header_loses_only_its_record():
+    parts = [record(i, b"payload %d" % i) for i in range(3)]
+    found = list(warc.salvage(parts[0] + parts[1][:60] + b"\r\n" + parts[2]))
+    assert ids(found) == list("02") and len(gaps(found)) == 1
