@@ -2,9 +2,10 @@
 
 Rules name a host and a beginning of the path; the longest that fits decides.  Urls that a rule decides
 are the labelled rows of the tree: level by level, each host's paths are grouped by their next segment;
-a segment is generalised to a wildcard of its shape if it looks like a number or a key, if it is rare
-or if its siblings are too many.  Siblings whose blocked shares don't differ significantly are merged,
-and a template is rejected if the smoothed share of blocked among its labelled urls is high.
+a segment is generalised to a wildcard of its shape if it looks like a number or a key, or if a single row
+has it.  How many siblings it has doesn't matter.  Labelled siblings whose blocked shares don't differ
+significantly are merged, and a template is rejected if the smoothed share of blocked among its labelled
+urls is high; one without labelled urls has the prior share.
 
 Counts are aggregated before they are shuffled; no host's urls are gathered in one task.
 
@@ -25,7 +26,10 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 MAX_RULES = 256
 #: Segments beyond this depth are one wildcard.
 MAX_DEPTH = 8
-MAX_CHILDREN, MIN_SHARE = 32, 0.01
+#: Rows from which a segment that is no number or key stays as it is.
+MIN_ROWS = 2
+#: Tasks that share the paths of one segment of a host where literals are looked up.
+SALTS = 16
 #: Siblings are merged below this difference of blocked shares in standard errors.
 MERGE_Z = 1.96
 #: Blocked share from which a template is rejected, after smoothing with PRIOR_ROWS rows of PRIOR_SHARE.
@@ -74,11 +78,10 @@ def templates(pages: DataFrame) -> DataFrame:
         segment = F.get(F.col("parts"), F.lit(level))
         rows = rows.withColumn("child", F.when(is_variable(segment), shape(segment)).otherwise(segment))
         seen = rows.where(F.col("child").isNotNull()).groupBy("host", "template", "child").agg(F.sum("n").alias("child_n"))
-        counts = seen.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("child_n").alias("total"))
-        kept = seen.where(~F.col("child").startswith("{")).join(counts, ["host", "template"])
-        kept = kept.where((F.col("child_n") >= F.greatest(F.lit(2.0), MIN_SHARE * F.col("total"))) & (F.col("children") <= MAX_CHILDREN) | (F.col("child_n") >= 0.1 * F.col("total")))
-        kept = kept.select("host", "template", "child", F.lit(True).alias("literal"))
-        rows = rows.join(kept, ["host", "template", "child"], "left")
+        kept = seen.where(~F.col("child").startswith("{") & (F.col("child_n") >= MIN_ROWS))
+        kept = kept.select("host", "template", "child", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("literal"))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
+        rows = rows.join(kept, ["host", "template", "child", "salt"], "left").drop("salt")
         step = F.when(F.col("child").isNull(), "").when(F.col("literal") | F.col("child").startswith("{"), F.concat(F.lit("/"), "child")).otherwise(F.concat(F.lit("/"), shape(F.col("child"))))
         rows = rows.withColumn("template", F.concat("template", step)).drop("child", "literal")
         rows = materialise(rows, f"url-level-{level}")
@@ -94,6 +97,8 @@ def rejected(judged: DataFrame) -> DataFrame:
     per = per.withColumn("parent", F.regexp_replace("template", r"/[^/]*/?$", ""))
     share = (F.col("blocked") + PRIOR_ROWS * PRIOR_SHARE) / (F.col("labelled") + PRIOR_ROWS)
     per = per.withColumn("share", share)
+    unknown = per.where("labelled = 0").select("host", "template", F.lit(PRIOR_SHARE).alias("purity"))
+    per = per.where("labelled > 0")
     order = Window.partitionBy("host", "parent").orderBy("share", "template")
     n, m = F.col("labelled") + PRIOR_ROWS, F.lag("labelled").over(order) + PRIOR_ROWS
     gap = F.col("share") - F.lag("share").over(order)
@@ -102,7 +107,8 @@ def rejected(judged: DataFrame) -> DataFrame:
     per = per.withColumn("apart", apart.cast("int")).withColumn("branch", F.sum("apart").over(order))
     branch = Window.partitionBy("host", "parent", "branch")
     blocked, labelled = F.sum("blocked").over(branch), F.sum("labelled").over(branch)
-    return per.select("host", "template", ((blocked + PRIOR_ROWS * PRIOR_SHARE) / (labelled + PRIOR_ROWS)).alias("purity"))
+    known = per.select("host", "template", ((blocked + PRIOR_ROWS * PRIOR_SHARE) / (labelled + PRIOR_ROWS)).alias("purity"))
+    return known.unionByName(unknown)
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

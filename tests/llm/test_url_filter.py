@@ -59,3 +59,20 @@ def test_odd_rows(spark):
     got = url_filter.judge(df).collect()
     assert sorted((str(r.page_id), r.host, r.path) for r in got) == sorted((str(i), *parts(u)) for i, u in rows)
     assert url_filter.judge(df.limit(0)).count() == 0
+
+
+def test_verdicts_do_not_depend_on_the_number_of_siblings(spark):
+    """A blocked section's labels reach no other section, however many there are."""
+    rules = (("block", "com/en/"),)
+    for sections in (20, 31, 39, 150):
+        rows = [(i, f"http://a.com/en/item{i % 5}") for i in range(24)]
+        rows += [(100 + 20 * s + i, f"http://a.com/part{s:03d}x/item{i % 5}") for s in range(sections) for i in range(12)]
+        got = url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string"), rules).collect()
+        assert {(r.rule is not None, r.verdict) for r in got} == {(True, "block"), (False, "allow")}, sections
+
+
+def test_unlabelled_siblings_are_not_merged_with_blocked_ones(spark):
+    rules = (("block", "b.test/x"),)
+    rows = [(i, f"http://b.test/x{i % 10}") for i in range(30)] + [(100 + i, "http://b.test/about") for i in range(5)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string"), rules).collect()
+    assert {r.verdict for r in got if r.page_id >= 100} == {"allow"}
