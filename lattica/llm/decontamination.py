@@ -8,7 +8,9 @@ the exact weighted-shingle similarity of window and item decides.
 Windows whose shingles occurring anywhere in the benchmark weigh less than the threshold demands
 can't be similar to any item; they are left out before fingerprints are taken, without loss.
 
-A shingle weighs 1 + ln((1 + items) / (1 + items with it)) for each time that it occurs.
+A shingle weighs 1 + ln((1 + items) / (1 + items with it)) for each time that it occurs; both are counted over all
+items of the benchmark, however many passes match them.  A shingle of no item weighs as one of a single item, so only
+those of several items are counted apart.
 
 Defined results: null and empty texts and items match nothing.  An item with fewer words than a shingle has
 one shingle, all its words; a document with fewer words than an item is one window.  Repeated rows of
@@ -72,6 +74,14 @@ def _block_values(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(fps).view(np.uint8).reshape(-1, BLOCKS)
 
 
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
+
+
+def text_shingles(words: list[str]) -> np.ndarray:
+    return shingles(np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64))
+
+
 @dataclass
 class Item:
     item_id: int | None
@@ -83,27 +93,33 @@ class Item:
 class Index:
     """Items by their number of words, with a table of blocks for each."""
 
-    def __init__(self, rows: list[tuple[int | None, str | None]], threshold: float = THRESHOLD):
+    def __init__(self, rows: list[tuple[int | None, str | None]], threshold: float = THRESHOLD, counted: tuple[int, np.ndarray, np.ndarray] | None = None):
+        """counted: the number of items, the shingles of several items in order, and how many have each; if these rows
+        are not the whole benchmark."""
         self.threshold = threshold
         self.words: dict[str, int] = {}
         parsed = []
         for item_id, text in rows:
-            words = _WORD.findall((text or "").lower())
+            words = words_of(text)
             if words:
-                parsed.append((item_id, len(words), shingles(np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64))))
+                parsed.append((item_id, len(words), text_shingles(words)))
                 for w in words:
                     self.words.setdefault(w, len(self.words) + 1)
         self.word_hashes = np.array([0, *map(xxhash.xxh3_64_intdigest, self.words)], np.uint64)
         seen = Counter(s for _, _, h in parsed for s in set(h.tolist()))
-        self.rare = 1 + math.log((1 + len(parsed)) / 2)
-        self.weights = {s: 1 + math.log((1 + len(parsed)) / (1 + n)) for s, n in seen.items()}
-        self.known = np.array(sorted(self.weights), np.uint64)
-        self.known_weight = np.array([self.weights[int(s)] for s in self.known])
+        if counted is None:
+            several = sorted(s for s, n in seen.items() if n > 1)
+            counted = len(parsed), np.array(several, np.uint64), np.array([seen[s] for s in several], np.int64)
+        total, self.several, with_it = counted
+        self.rare = 1 + math.log((1 + total) / 2)
+        self.several_weight = 1 + np.log((1 + total) / (1 + with_it))
+        self.known = np.array(sorted(seen), np.uint64)
+        self.known_weight = self.weights(self.known)
         self.items: dict[int, list[Item]] = defaultdict(list)
         prints: dict[int, list[int]] = defaultdict(list)
         for item_id, size, h in parsed:
             counts = dict(Counter(h.tolist()))
-            weights = np.array([self.weights[int(s)] for s in h])
+            weights = self.weights(h)
             self.items[size].append(Item(item_id, size, counts, float(weights.sum())))
             prints[size].append(int(fingerprints(h, weights, np.array([0]), len(h))[0]))
         self.prints = {size: np.array(p, np.uint64) for size, p in prints.items()}
@@ -117,6 +133,12 @@ class Index:
             self.blocks[size] = table
         self.least = {size: min(i.weight for i in items) for size, items in self.items.items()}
 
+    def weights(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.several):
+            return np.full(len(hashes), self.rare)
+        place = np.minimum(np.searchsorted(self.several, hashes), len(self.several) - 1)
+        return np.where(self.several[place] == hashes, self.several_weight[place], self.rare)
+
     def within(self, size: int, fps: np.ndarray) -> list[tuple[int, int]]:
         """(window, item) of a size whose fingerprints differ in RADIUS bits at most.  Of so few bits in eight blocks,
         some block has RADIUS // BLOCKS at most, so the tables of the blocks' variants yield them all."""
@@ -130,9 +152,9 @@ class Index:
 
     def similarity(self, item: Item, counts: dict[int, int]) -> float:
         """Weighted Jaccard similarity of the two multisets of shingles."""
-        weight = self.weights.get
-        both = sum(min(n, counts[s]) * weight(s, self.rare) for s, n in item.counts.items() if s in counts)
-        return both / (item.weight + sum(n * weight(s, self.rare) for s, n in counts.items()) - both)
+        each = self.weights(np.fromiter(counts, np.uint64, len(counts)))
+        both = sum(min(n, item.counts[s]) * w for (s, n), w in zip(counts.items(), each, strict=True) if s in item.counts)
+        return float(both / (item.weight + sum(n * w for n, w in zip(counts.values(), each, strict=True)) - both))
 
     def matches(self, text: str, first: bool = False) -> list[tuple[int | None, float, int, int]]:
         """(item_id, similarity, first word, words) of the best window for each matched item; first: stop at one."""
@@ -152,14 +174,14 @@ class Index:
             for i in range(1, SHINGLE):
                 both &= run[i : n - SHINGLE + 1 + i]
             if both.any():
-                self._long(words, self.word_hashes[ids], both, best, first)
+                self._long(words, self.word_hashes[ids], ids == 0, both, best, first)
         return [(self.items[s][i].item_id, *found) for (s, i), found in best.items()]
 
     def _short(self, n: int) -> list[int]:
         """Sizes whose windows are one shingle."""
         return [s for s in self.items if s < SHINGLE and s <= n]
 
-    def _long(self, words: list[str], h: np.ndarray, both: np.ndarray, best: dict, first: bool) -> None:
+    def _long(self, words: list[str], h: np.ndarray, other: np.ndarray, both: np.ndarray, best: dict, first: bool) -> None:
         at = np.flatnonzero(both)
         s = shingles(h)
         place = np.minimum(np.searchsorted(self.known, s[at]), len(self.known) - 1)
@@ -177,10 +199,11 @@ class Index:
             if not len(starts):
                 continue
             lo, hi = int(starts[0]), int(starts[-1]) + k
-            exact = s[lo:hi].copy()
-            for i in np.flatnonzero(~both[lo:hi]).tolist():  # with words unknown to the benchmark: by their text
-                exact[i] = xxhash.xxh3_64_intdigest("\n".join(words[lo + i : lo + i + SHINGLE])) | 1
-            weights = np.array([self.weights.get(x, self.rare) for x in exact.tolist()])
+            whole = h[lo : hi + SHINGLE - 1].copy()
+            for i in np.flatnonzero(other[lo : hi + SHINGLE - 1]).tolist():  # words that these items don't have
+                whole[i] = xxhash.xxh3_64_intdigest(words[lo + i])
+            exact = shingles(whole)
+            weights = self.weights(exact)
             for w, i in self.within(size, fingerprints(exact, weights, starts - lo, k)):
                 p = int(starts[w])
                 self._keep(size, i, Counter(exact[p - lo : p - lo + k].tolist()), p, k + SHINGLE - 1, best)
@@ -189,7 +212,7 @@ class Index:
 
     def _verify(self, size: int, hashes: np.ndarray, p: int, k: int, best: dict) -> None:
         counts = Counter(hashes.tolist())
-        weights = np.array([self.weights.get(x, self.rare) for x in hashes.tolist()])
+        weights = self.weights(hashes)
         for _, i in self.within(size, fingerprints(hashes, weights, np.array([0]), len(hashes))):
             self._keep(size, i, counts, p, k, best)
 
@@ -199,14 +222,31 @@ class Index:
             best[size, i] = (sim, p, words)
 
 
+def count_shingles(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of items with words, the shingles of several items in order, and how many have each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            for t in b.column(1):
+                if words := words_of(t.as_py()):  # a null for the item itself
+                    yield pa.RecordBatch.from_arrays([pa.array([None, *np.unique(text_shingles(words)).view(np.int64).tolist()], pa.int64())], ["shingle"])
+
+    n = items.mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1 OR shingle IS NULL").toArrow()
+    found, total = n.drop_null(), sum(c for s, c in zip(n["shingle"].to_pylist(), n["n"].to_pylist(), strict=True) if s is None) if n["shingle"].null_count else 0
+    hashes = found["shingle"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return total, hashes[order], found["n"].to_numpy().astype(np.int64)[order]
+
+
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD, at_once: int = ITEMS_AT_ONCE) -> Iterator[Index]:
     """An index for each block of the items; a block has about `at_once` of them, or TEXT_AT_ONCE characters."""
     items = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(-(-n // at_once), -(-size // TEXT_AT_ONCE))
+    counted = count_shingles(items) if blocks > 1 else None
     for i in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        yield Index([tuple(r) for r in part.orderBy("item_id", "text").collect()], threshold)
+        yield Index([tuple(r) for r in part.orderBy("item_id", "text").collect()], threshold, counted)
 
 
 MATCH_SCHEMA = "doc_id bigint, item_id bigint, similarity double, start_word bigint, n_words bigint"

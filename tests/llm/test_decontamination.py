@@ -83,3 +83,22 @@ def test_blocks_of_items(spark, make_docs):
     docs = make_docs([(i, "before " + t + " after") for i, t in items])
     seen = [m for index in d.indexes(bench, at_once=6) for r in docs.collect() for m in [(r.doc_id, x[0]) for x in index.matches(r.text)]]
     assert sorted(seen) == [(i, i) for i in range(20)]
+
+
+def test_weights_are_those_of_the_whole_benchmark(spark, make_docs):
+    """Items with shared boilerplate, edited: matches and similarities don't change with the number of passes."""
+    rng = random.Random(7)
+    common = [f"c{j}" for j in range(12)]
+    items = [(i, " ".join([*common[: 6 + i % 7], *(f"i{i}w{j}" for j in range(20))])) for i in range(40)]
+    texts = []
+    for i, t in items:
+        words = t.split()
+        words[rng.randrange(len(words))] = f"new{i}" if i % 2 else f"i{(i + 1) % 40}w3"
+        texts.append((i, "before this " + " ".join(words) + " after that"))
+    bench, docs = spark.createDataFrame(items, "item_id bigint, text string"), make_docs(texts).collect()
+    seen = []
+    for at_once in (6, 1000):
+        parts = list(d.indexes(bench, at_once=at_once, threshold=0.5))
+        assert (len(parts) > 1) == (at_once == 6)
+        seen.append(sorted((r.doc_id, m[0], round(m[1], 9)) for index in parts for r in docs for m in index.matches(r.text)))
+    assert len(seen[0]) >= 20 and seen[0] == seen[1]
