@@ -51,8 +51,8 @@ def kernel_regression(spark, sf_dir):
 
 @query()
 def graph_reservoir_audit(spark, sf_dir):
-    """Criteria A1 and A3 to A5 of the induced graph's reservoir."""
-    e, chosen = edges(spark, sf_dir), nodes(spark).where("id % 3 = 0")
+    """Criteria A1 and A3 to A5 of the graph's reservoir."""
+    e, chosen = edges(spark, sf_dir), nodes(spark)
     sub = graph.induced(e, chosen)
     labels = graph.strong_components(sub)
     top = labels.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
@@ -63,14 +63,14 @@ def graph_reservoir_audit(spark, sf_dir):
 
 @query()
 def krylov_rank(spark, sf_dir):
-    r = reservoir.from_edges(edges(spark, sf_dir), nodes(spark).where("id % 3 = 0"), 3)
+    r = reservoir.from_edges(edges(spark, sf_dir), nodes(spark), 3)
     return spark.createDataFrame([(float(reservoir.krylov_rank(r.a, r.w_in)), float(reservoir.controllability_rank(r.a, r.w_in)), float(reservoir.henrici(r.a)))], "krylov double, controllability double, henrici double")
 
 
 @query()
 def rewire_invariants(spark, sf_dir):
-    """Degrees and each source's weights before and after a weight-preserving rewire of an induced graph."""
-    sub = graph.induced(edges(spark, sf_dir), nodes(spark).where("id % 5 = 0")).orderBy("src", "dst").toPandas()
+    """Degrees and each source's weights before and after a weight-preserving rewire of the graph."""
+    sub = graph.induced(edges(spark, sf_dir), nodes(spark)).orderBy("src", "dst").toPandas()
     src, dst, w = reservoir.rewired(sub.src.to_numpy(), sub.dst.to_numpy(), sub.w.to_numpy(), 4 * len(sub), 3)
     after = spark.createDataFrame([(int(a), int(b), int(c)) for a, b, c in zip(src, dst, w, strict=True)], "src bigint, dst bigint, w bigint")
     before = spark.createDataFrame(sub)
@@ -84,7 +84,7 @@ def rewire_invariants(spark, sf_dir):
 @query()
 def ensemble_percentile(spark, sf_dir):
     """Where the graph's Krylov rank lies among random graphs of its size."""
-    r = reservoir.from_edges(edges(spark, sf_dir), nodes(spark).where("id % 5 = 0"), 3)
+    r = reservoir.from_edges(edges(spark, sf_dir), nodes(spark), 3)
     n, m = len(r.a), int((r.a != 0).sum())
 
     def scores(batches):

@@ -100,3 +100,16 @@ def test_contrast_matrix():
     bad[2].update(varied="wiring", fixed={"x"}, parent="F9")
     assert len(studies.contrast_matrix_problems(bad)) == 3
     assert studies.contrast_matrix_problems([good[0], good[0]]) == ["ids repeat"]
+
+
+def test_grid_covers_every_fold_and_specimen(spark, data, monkeypatch):
+    from lattica import catalog
+    from lattica.plans import benchmark
+    from lattica.plans.sensor import frame
+
+    seen = []
+    monkeypatch.setattr(benchmark, "evaluate", lambda model, w, n: seen.append(w.select("specimen_id").distinct().count()) or {})
+    rows = catalog.QUERIES["benchmark_grid"](spark, data).collect()
+    specimens = frame(spark, data).select("specimen_id").distinct().count()
+    folds = {r.run_id.split("|")[4] for r in rows}
+    assert len(folds) == 5 and len(seen) == 10 and all(n == specimens for n in seen), (folds, seen, specimens)
