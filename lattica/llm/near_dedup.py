@@ -10,7 +10,8 @@ compared with the bucket's hub, the member that shares most keys with others: of
 their own, that is the one nearest to the original.  Where a bucket then still holds several components,
 its members' links across components are found by an exact prefix filter: shingles are ordered from rare
 to frequent, and two sets that meet the threshold must share one of their first few.  Edited copies
-begin with shingles of their own, so members that can't be linked generate no pairs.
+begin with shingles of their own, so members that can't be linked generate no pairs, and a shingle that only one
+component begins with is left out before pairs are made.
 
 Defined results: a null or empty text has an empty set and is linked with nothing.  A text with fewer
 words than a shingle has one shingle, all its words.  Repeated rows get equal results.  Rows with one
@@ -147,6 +148,16 @@ def components(links: DataFrame) -> DataFrame:
     return weak_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
+def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels (node, label) after more links (a, b) between their components: only the components' labels are joined up
+    again, not all nodes."""
+    at = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+    ends = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    over = components(ends).select(F.col("node").alias("label"), F.col("label").alias("over"))
+    every = labels.unionByName(over.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti"))
+    return every.join(over, "label", "left").select("node", F.coalesce("over", "label").alias("label"))
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets meet the threshold."""
     one = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
@@ -185,6 +196,8 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     first = F.slice("shared", 1, F.greatest(longest - own, F.lit(0)).cast("int"))
     places = ranked.select("node", "n", "label", own.alias("own"), F.posexplode(first).alias("pos", "s"))
     places = places.select("node", "n", "label", (F.col("own") + F.col("pos")).alias("pos"), "s.shingle")
+    apart = places.groupBy("shingle").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("shingle")
+    places = places.join(apart, "shingle", "left_semi")
     one = places.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
     two = places.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
     shared = F.expr(f"((na + nb) * {percent} + {99 + percent}) div {100 + percent}")
@@ -201,14 +214,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     keys = classes.select("node", "n", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialise(keys.join(shared, "key"), "near-members")
-    sets = materialise(shingle_sets(docs, members.select("node").distinct(), shingle).dropDuplicates(["node"]), "near-sets")
+    nodes = members.select("node").distinct()
+    sets = materialise(shingle_sets(docs, nodes, shingle), "near-sets")
+    if sets.count() > nodes.count():  # a row of its document is repeated
+        sets = materialise(sets.dropDuplicates(["node"]), "near-sets")
     links = materialise(verify(star_pairs(members, percent), sets, percent), "near-links")
     labels = components(links)
     known = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = known.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
     rest = materialise(known.join(open_, "key").select("node", "label").distinct(), "near-open")
     more = verify(prefix_pairs(sets.join(rest.select("node"), "node", "left_semi"), rest, percent), sets, percent)
-    labels = components(links.unionByName(more))
+    labels = merged(labels, more)
     named = classes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     out = sig.join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("label", "doc_id"))
