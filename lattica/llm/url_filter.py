@@ -3,11 +3,17 @@
 Rules name a host and a beginning of the path; the longest that fits decides.  Urls that a rule decides
 are the labelled rows of the tree: level by level, each host's paths are grouped by their next segment;
 a segment is generalised to a wildcard of its shape if it looks like a number or a key, or if a single row
-has it.  How many siblings it has doesn't matter.  Labelled siblings whose blocked shares don't differ
-significantly are merged, and a template is rejected if the smoothed share of blocked among its labelled
-urls is high; one without labelled urls has the prior share.
+has it.  How many siblings it has doesn't matter.  At every level of the path, labelled siblings whose blocked
+shares don't differ significantly are merged into one branch.
 
-Counts are aggregated before they are shuffled; no host's urls are gathered in one task.
+A template's purity is the blocked share of its branch, smoothed by what lies above it: down from the domains
+that the host belongs to, over the host and the path's segments, each level adds the rows that it has besides
+those of the next, so that nothing counts twice.  Rows without a label count as PRIOR_SHARE beside labelled ones: a host
+of which a part is blocked says little about its other sections, one that is blocked nearly whole much.  A level
+without any labelled row says nothing.  A template is rejected if its purity is PURITY or more.
+
+Counts are aggregated before they are shuffled; no host's urls are gathered in one task.  Siblings are merged by
+hundredths of their blocked share, so that a task orders at most 101 groups, however many siblings there are.
 
 Defined results: a null url, or one without `://`, has an empty host and path and is judged like any other
 (no rule fits it).  Repeated rows are judged alike; null ids stay null.  Other input columns are not read.
@@ -32,8 +38,12 @@ MIN_ROWS = 2
 SALTS = 16
 #: Siblings are merged below this difference of blocked shares in standard errors.
 MERGE_Z = 1.96
-#: Blocked share from which a template is rejected, after smoothing with PRIOR_ROWS rows of PRIOR_SHARE.
-PURITY, PRIOR_ROWS, PRIOR_SHARE = 0.8, 4.0, 0.2
+#: Smoothed blocked share from which a template is rejected.
+PURITY = 0.8
+#: Blocked share above all domains; rows of the level above that smooth a template, and each level over it.
+PRIOR_SHARE, PRIOR_ROWS, INNER_ROWS = 0.2, 4.0, 20.0
+#: Domains above a host that have a level of their own, counted from the last name on.
+MAX_DOMAINS = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -89,30 +99,60 @@ def templates(pages: DataFrame) -> DataFrame:
     return rows.select("host", "path", "n", "blocked", "labelled", F.concat("template", deeper, F.when(F.col("path").endswith("/"), "/").otherwise("")).alias("template"))
 
 
-def rejected(judged: DataFrame) -> DataFrame:
-    """host, template and the smoothed blocked share of each template's merged branch.
-
-    judged: host, template, blocked and labelled counts of each distinct path."""
-    per = judged.groupBy("host", "template").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
-    per = per.withColumn("parent", F.regexp_replace("template", r"/[^/]*/?$", ""))
-    share = (F.col("blocked") + PRIOR_ROWS * PRIOR_SHARE) / (F.col("labelled") + PRIOR_ROWS)
-    per = per.withColumn("share", share)
-    unknown = per.where("labelled = 0").select("host", "template", F.lit(PRIOR_SHARE).alias("purity"))
-    per = per.where("labelled > 0")
-    order = Window.partitionBy("host", "parent").orderBy("share", "template")
-    n, m = F.col("labelled") + PRIOR_ROWS, F.lag("labelled").over(order) + PRIOR_ROWS
-    gap = F.col("share") - F.lag("share").over(order)
+def chain(host: Column, template: Column) -> Column:
+    """Keys of the levels from the outermost domain to the template itself."""
+    names, segments = F.split(host, r"\."), F.split(template, "/")
+    last = lambda k: F.array_join(F.slice(names, F.size(names) - k + 1, k), ".")
+    domains = F.transform(F.sequence(F.lit(0), F.least(F.size(names) - 1, F.lit(MAX_DOMAINS))), lambda k: F.concat(F.lit("d:"), last(k)))
+    paths = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda k: F.concat(F.lit("h:"), host, F.array_join(F.slice(segments, 1, k), "/")))
+    return F.concat(F.slice(domains, 2, MAX_DOMAINS), paths, F.array(F.concat(F.lit("t:"), host, template)))
+
+
+def branches(nodes: DataFrame) -> DataFrame:
+    """key and its branch's rows, labelled and blocked: those of the node itself, or of it and the siblings it is merged
+    with (inside a host).
+
+    nodes: key, parent, n, labelled, blocked."""
+    share = F.round(100 * F.col("blocked") / F.col("labelled")).cast("int")
+    nodes = nodes.withColumn("bin", F.when((F.col("labelled") > 0) & F.col("parent").startswith("h:"), share))
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+    bins = nodes.where("bin IS NOT NULL").groupBy("parent", "bin").agg(*sums)
+    order = Window.partitionBy("parent").orderBy("bin")
+    smooth = (F.col("blocked") + PRIOR_ROWS * PRIOR_SHARE) / (F.col("labelled") + PRIOR_ROWS)
+    bins = bins.withColumns({"share": smooth, "weight": F.col("labelled") + PRIOR_ROWS})
+    n, m = F.col("weight"), F.lag("weight").over(order)
     pooled = (F.col("share") * n + F.lag("share").over(order) * m) / (n + m)
-    apart = F.coalesce(gap / F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m)) >= MERGE_Z, F.lit(False))
-    per = per.withColumn("apart", apart.cast("int")).withColumn("branch", F.sum("apart").over(order))
-    branch = Window.partitionBy("host", "parent", "branch")
-    blocked, labelled = F.sum("blocked").over(branch), F.sum("labelled").over(branch)
-    known = per.select("host", "template", ((blocked + PRIOR_ROWS * PRIOR_SHARE) / (labelled + PRIOR_ROWS)).alias("purity"))
-    return known.unionByName(unknown)
+    apart = F.abs(F.col("share") - F.lag("share").over(order)) >= MERGE_Z * F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
+    bins = bins.withColumn("branch", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(order))
+    whole = Window.partitionBy("parent", "branch")
+    bins = bins.select("parent", "bin", *[F.sum(c).over(whole).alias(f"b_{c}") for c in ("n", "labelled", "blocked")])
+    return nodes.join(bins, ["parent", "bin"], "left").select("key", *[F.coalesce(f"b_{c}", c).alias(c) for c in ("n", "labelled", "blocked")])
+
+
+def purities(judged: DataFrame) -> DataFrame:
+    """host, template and its purity.  judged: host, template, n, labelled and blocked of each distinct path."""
+    per = judged.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
+    per = materialise(per.withColumn("chain", chain(F.col("host"), F.col("template"))), "url-templates")
+    links = per.select("host", "template", "n", "labelled", "blocked", "chain", F.posexplode("chain").alias("depth", "key"))
+    parent = F.when(F.col("depth") > 0, F.get("chain", F.col("depth") - 1)).otherwise("")
+    nodes = links.groupBy("key", parent.alias("parent")).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
+    level = F.struct("depth", *[F.col(c).cast("double").alias(c) for c in ("n", "labelled", "blocked")])
+    found = links.select("host", "template", "depth", "key").join(branches(nodes), "key")
+    found = found.groupBy("host", "template").agg(F.array_sort(F.collect_list(level)).alias("levels"))
+    last = F.size("levels") - 1
+
+    def step(q: Column, i: Column) -> Column:
+        here, below = F.get("levels", i), F.get("levels", i + 1)
+        rest = {c: here[c] - F.when(i < last, below[c]).otherwise(0.0) for c in ("n", "labelled", "blocked")}
+        above = (rest["blocked"] + PRIOR_SHARE * (rest["n"] - rest["labelled"]) + INNER_ROWS * q) / (rest["n"] + INNER_ROWS)
+        own = (rest["blocked"] + PRIOR_ROWS * q) / (rest["labelled"] + PRIOR_ROWS)
+        return F.when(i == last, own).when(rest["labelled"] > 0, above).otherwise(q)
+
+    return found.select("host", "template", F.aggregate(F.sequence(F.lit(0), last), F.lit(PRIOR_SHARE), step).alias("purity"))
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict, template and purity (the smoothed blocked share), a row for each row."""
+    """page_id, host, path, rule, verdict, template and purity, a row for each row."""
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("by", match_rule(F.col("host"), F.col("path"), rules))
@@ -123,7 +163,7 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
         F.count("ruled").alias("labelled"),
     )
     found = templates(paths)
-    purity = found.join(rejected(found), ["host", "template"]).select("host", "path", "template", "purity")
+    purity = found.join(purities(found), ["host", "template"]).select("host", "path", "template", "purity")
     out = rows.join(purity, ["host", "path"])
     verdict = F.coalesce("ruled", F.when(F.col("purity") >= PURITY, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

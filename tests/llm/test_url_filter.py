@@ -1,6 +1,9 @@
 """Operator 8: rules against brute force, templates and purity, odd rows."""
 
 import re
+from collections import defaultdict
+
+import pytest
 
 from lattica.llm import queries, url_filter
 
@@ -76,3 +79,110 @@ def test_unlabelled_siblings_are_not_merged_with_blocked_ones(spark):
     rows = [(i, f"http://b.test/x{i % 10}") for i in range(30)] + [(100 + i, "http://b.test/about") for i in range(5)]
     got = url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string"), rules).collect()
     assert {r.verdict for r in got if r.page_id >= 100} == {"allow"}
+
+
+def shape_of(segment):
+    m = re.search(r"\.[A-Za-z]{1,5}$", segment)
+    stem, ending = (segment[: m.start()], m[0]) if m else (segment, "")
+    return ("{number}" if re.fullmatch(r"\d+", stem) else "{key}" if re.fullmatch(r"[0-9A-Fa-f-]{8,}", stem) else "{word}") + ending
+
+
+def brute_force(urls, rules):
+    """url -> (template, purity, verdict), by plain loops over the whole tree."""
+    ruled_, segments = {}, {}
+    for u in set(urls):
+        host, path = parts(u)
+        hits = [(len(r), r, v) for v, r in rules for h, _, p in [r.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        ruled_[u], segments[u] = (max(hits)[2] if hits else None), [x for x in path.split("/") if x]
+    template = dict.fromkeys(ruled_, "")
+    for level in range(url_filter.MAX_DEPTH):
+        rows, child = defaultdict(int), {}
+        for u in ruled_:
+            if level < len(segments[u]):
+                s = segments[u][level]
+                child[u] = shape_of(s) if shape_of(s)[1] in "nk" else s
+        for u in urls:
+            if u in child:
+                rows[parts(u)[0], template[u], child[u]] += 1
+        for u, c in child.items():
+            literal = c.startswith("{") or rows[parts(u)[0], template[u], c] >= url_filter.MIN_ROWS
+            child[u] = c if literal else shape_of(c)
+        for u, c in child.items():
+            template[u] += "/" + c
+    for u in ruled_:
+        template[u] += "/**" * (len(segments[u]) > url_filter.MAX_DEPTH) + "/" * parts(u)[1].endswith("/")
+    chains, nodes, children = {}, defaultdict(lambda: [0, 0, 0]), defaultdict(set)
+    for u in ruled_:
+        names, host = parts(u)[0].split("."), parts(u)[0]
+        steps = template[u].split("/")
+        chains[u] = [("d", ".".join(names[-k:])) for k in range(1, min(len(names) - 1, url_filter.MAX_DOMAINS) + 1)]
+        chains[u] += [("h", host, tuple(steps[:k])) for k in range(1, len(steps) + 1)] + [("t", host, template[u])]
+    for u in urls:
+        for parent, key in zip([None, *chains[u]], chains[u], strict=False):
+            for i, more in enumerate((1, ruled_[u] is not None, ruled_[u] == "block")):
+                nodes[key][i] += more
+            children[parent].add(key)
+    unit = {k: tuple(v) for k, v in nodes.items()}
+    for kids in children.values():
+        bins = defaultdict(list)
+        for k in kids:
+            if (k[0] == "t" or k[0] == "h" and len(k[2]) > 1) and nodes[k][1]:
+                x = 100 * nodes[k][2] / nodes[k][1]
+                bins[int(x + 0.5)].append(k)
+        groups, before = [], None
+        for b in sorted(bins):
+            n, blocked = sum(nodes[k][1] for k in bins[b]) + 4, sum(nodes[k][2] for k in bins[b]) + 0.8
+            if before:
+                pooled = (blocked + before[1]) / (n + before[0])
+                joined = abs(blocked / n - before[1] / before[0]) < 1.96 * (pooled * (1 - pooled) * (1 / n + 1 / before[0])) ** 0.5
+            if not before or not joined:
+                groups.append([])
+            groups[-1] += bins[b]
+            before = n, blocked
+        for g in groups:
+            for k in g:
+                unit[k] = tuple(sum(nodes[x][i] for x in g) for i in range(3))
+    out = {}
+    for u, keys in chains.items():
+        q = url_filter.PRIOR_SHARE
+        for here, below in zip(keys, keys[1:], strict=False):
+            n, labelled, blocked = (a - b for a, b in zip(unit[here], unit[below], strict=True))
+            if labelled:
+                q = (blocked + 0.2 * (n - labelled) + 20 * q) / (n + 20)
+        _, labelled, blocked = unit[keys[-1]]
+        q = (blocked + 4 * q) / (labelled + 4)
+        out[u] = (template[u], q, ruled_[u] or ("block" if q >= 0.8 else "allow"))
+    return out
+
+
+RULE_SETS = [url_filter.RULES, (("block", "com/"), ("allow", "com/en/7"), ("block", "org/en/"), ("block", "net/es/1"))]
+
+
+@pytest.mark.parametrize("rules", RULE_SETS)
+def test_every_verdict_against_brute_force(spark, data, rules):
+    pages = spark.read.parquet(f"{data}/pages.parquet").where("url LIKE '%://%'")
+    urls = {r.page_id: r.url for r in pages.collect()}
+    want = brute_force(list(urls.values()), rules)
+    got = url_filter.judge(pages, rules).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        template, purity, verdict = want[urls[r.page_id]]
+        assert (r.template, r.verdict) == (template, verdict) and abs(r.purity - purity) < 1e-9
+    assert len({round(r.purity, 6) for r in got if r.rule is None}) > 2
+
+
+def test_unlabelled_branches_follow_their_host(spark):
+    """A section without labels is rejected where the rest of its host is blocked, and kept where it is allowed, or where
+    only a part is blocked."""
+    rules = [("block", f"bad.test/s{i}/") for i in range(9)] + [("allow", f"good.test/s{i}/") for i in range(9)] + [("block", "mixed.test/s0/")]
+    rows = [f"http://{h}.test/s{s}/item{i}" for h in ("bad", "good", "mixed") for s in range(10) for i in range(40)]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string"), rules).collect()
+    assert {(r.host, r.verdict) for r in got if r.path.startswith("/s9/")} == {("bad.test", "block"), ("good.test", "allow"), ("mixed.test", "allow")}
+    assert {r.verdict for r in got if r.host == "mixed.test" and r.rule is None} == {"allow"}
+    want = brute_force(rows, rules)
+    assert all(abs(r.purity - want[rows[r.page_id]][1]) < 1e-9 for r in got)
+
+
+def test_columns_with_the_names_of_the_result(spark):
+    df = spark.createDataFrame([(1, "http://a.com/en/1", "x", "y", "z", 0.5, 3)], "page_id bigint, url string, rule string, verdict string, path string, purity double, n int")
+    assert [tuple(r)[:5] for r in url_filter.judge(df).collect()] == [(1, "a.com", "/en/1", "com/en/", "block")]
