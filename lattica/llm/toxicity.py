@@ -6,7 +6,8 @@ trained with are out-of-fold predictions, so that it doesn't trust them more tha
 The last category is the verdict itself; its threshold is calibrated on out-of-fold predictions.
 
 A labels table may have a column for each category.  The query's table marks toxic documents only; for
-it, the earlier categories' training labels are weak: toxic documents with a word of CATEGORIES.
+it, the earlier categories are found in the data: the toxic rows are put into KINDS clusters by the marks that
+they have in common (spherical k-means), whatever their language, and each cluster is a category.
 
 Defined results: a null or empty text has no marks and gets the models' base rates.  Repeated rows score
 alike; a null id is kept as null.  Without labelled rows of both kinds every probability is the share
@@ -28,11 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import id_text, labelled_sample, materialise, slices
 
-#: Weak categories before the verdict, in the chain's order: common English words of abuse.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "stupid", "loser", "clown", "fool", "imbecile", "jerk"),
-    "contempt": ("pathetic", "worthless", "disgusting", "trash", "scum", "garbage", "vermin", "filth"),
-}
+#: Categories before the verdict where the labels have none of their own: clusters of the toxic rows.
+KINDS = 3
 VERDICT = "toxic"
 #: Labelled rows that the chain is fitted on, at most; marks that it reads, at most.
 SAMPLE_ROWS = 15_000
@@ -126,6 +124,30 @@ def choose_marks(rows: DataFrame, most: int = MARKS, min_z: float = MIN_Z) -> li
     return [r.mark for r in counts.withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.desc("z"), "mark").limit(most).collect()]
 
 
+def kinds(x: np.ndarray, k: int = KINDS, rounds: int = 25) -> np.ndarray:
+    """A cluster from 0 for each row of marks, the largest first.  The first centre is the row that is nearest to the mean,
+    each further one the row least like those before; rows without marks go with the first."""
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    if not len(unit):
+        return np.zeros(0, int)
+    centres = unit[[int((unit @ unit.mean(0)).argmax())]]
+    marked = np.flatnonzero(x.any(1))
+    while len(centres) < k and len(marked):
+        likeness = (unit[marked] @ centres.T).max(1)
+        if likeness.min() > 1 - 1e-6:
+            break
+        centres = np.vstack([centres, unit[marked[int(likeness.argmin())]]])
+    for _ in range(rounds):
+        group = (unit @ centres.T).argmax(1)
+        sums = np.stack([unit[group == c].sum(0) for c in range(len(centres))])
+        moved = np.where(sums.any(1)[:, None], sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9), centres)
+        if np.allclose(moved, centres):
+            break
+        centres = moved
+    order = np.argsort(-np.bincount(group, minlength=len(centres)), kind="stable")
+    return np.argsort(order)[group]
+
+
 def train(x: np.ndarray, labels: np.ndarray, categories: list[str], marks: list[str]) -> Chain:
     """x: a 0/1 column for each mark; labels: one for each category, the verdict last."""
     chain = Chain(categories, {m: i for i, m in enumerate(marks)}, base=float(labels[:, -1].mean()) if len(labels) else 0.0)
@@ -155,8 +177,8 @@ def train(x: np.ndarray, labels: np.ndarray, categories: list[str], marks: list[
 
 def fit(docs: DataFrame, labels: DataFrame, columns: dict[str, str] | None = None, sample_rows: int = SAMPLE_ROWS) -> Chain:
     """A chain from at most `sample_rows` labelled rows.  columns: category -> 0/1 column of labels, the verdict
-    last; without it, weak categories before labels.toxic.  Of each row, only its marks come to the driver."""
-    names = list(columns or [*CATEGORIES, VERDICT])
+    last; without it, kinds of toxic rows before labels.toxic.  Of each row, only its marks come to the driver."""
+    names = list(columns or [*(f"kind_{i + 1}" for i in range(KINDS)), VERDICT])
     cols = list(columns.values()) if columns else [VERDICT]
     verdict = (F.col(cols[-1]) > 0).cast("int")
     rows = materialise(labelled_sample(docs, labels, cols, sample_rows).withColumn("verdict", verdict), "toxic-sample")
@@ -165,21 +187,20 @@ def fit(docs: DataFrame, labels: DataFrame, columns: dict[str, str] | None = Non
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found, weak = [], []
-            for t in b.column(1).to_pylist():
-                m = marks_of(t)
-                found.append(sorted(at[k] for k in at.keys() & m))
-                weak.append([int(not m.isdisjoint(words)) for words in CATEGORIES.values()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(weak, pa.list_(pa.int32())), *[b.column(2 + i) for i in range(len(cols))]], ["doc_id", "found", "weak", *cols])
-
-    schema = "doc_id bigint, found array<int>, weak array<int>, " + ", ".join(f"`{c}` int" for c in cols)
+            found = [sorted(at[k] for k in at.keys() & marks_of(t.as_py())) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), *[b.column(2 + i) for i in range(len(cols))]], ["doc_id", "found", *cols])
+
+    schema = "doc_id bigint, found array<int>, " + ", ".join(f"`{c}` int" for c in cols)
     got = rows.select("doc_id", "text", *cols).mapInArrow(reduce, schema).toPandas().sort_values("doc_id")
     x = np.zeros((len(got), len(marks)), np.float32)
     for i, f in enumerate(got.found):
         x[i, f] = 1
     y = (got[cols].to_numpy() > 0).astype(int) if len(got) else np.zeros((0, len(cols)), int)
     if not columns:
-        y = np.column_stack([np.vstack(got.weak.to_numpy()) * y, y]) if len(y) else np.zeros((0, len(names)), int)
+        toxic = y[:, 0] == 1
+        kind = np.zeros((len(y), KINDS), int)
+        kind[np.flatnonzero(toxic), kinds(x[toxic])] = 1
+        y = np.hstack([kind, y])
     return train(x, y, names, marks)
 
 

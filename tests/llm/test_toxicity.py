@@ -39,3 +39,36 @@ def test_odd_rows(spark, make_docs, odd_rows):
     none = toxicity.fit(docs, labels.where(F.lit(False)))
     assert toxicity.classify(docs, none).where("toxic").count() == 0
     assert toxicity.classify(make_docs([]), toxicity.fit(make_docs([]), labels)).count() == 0
+
+
+def test_kinds_are_found_in_any_language(spark):
+    """Every toxic labelled row with marks has a kind, in each language of the documents, and no clean row has."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    chain = toxicity.fit(docs, labels)
+    assert chain.categories == ["kind_1", "kind_2", "kind_3", "toxic"] and len(chain.weights) == 4
+    got = toxicity.classify(docs, chain).join(labels.where("toxic = 1"), "doc_id", "left_semi").join(docs.select("doc_id", "lang"), "doc_id")
+    by = {r.lang: (r.n, r.p, r.caught) for r in got.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.greatest("p_kind_1", "p_kind_2", "p_kind_3")).alias("p"), F.avg(F.col("toxic").cast("double")).alias("caught")).collect()}
+    assert all(p > 0.3 and caught > 0.7 for n, p, caught in by.values() if n >= 20), by
+
+
+def test_kinds():
+    rng = np.random.default_rng(3)
+    group = np.arange(90) % 3
+    x = np.zeros((90, 12), np.float32)
+    for i, g in enumerate(group):
+        x[i, 4 * g + rng.choice(4, 2, replace=False)] = 1
+    found = toxicity.kinds(x)
+    assert len({(g, k) for g, k in zip(group.tolist(), found.tolist(), strict=True)}) == 3
+    assert toxicity.kinds(np.zeros((0, 5), np.float32)).tolist() == []
+    assert set(toxicity.kinds(np.zeros((4, 5), np.float32)).tolist()) == {0}
+    assert set(toxicity.kinds(np.ones((4, 5), np.float32)).tolist()) == {0}
+
+
+def test_equal_scores_at_the_threshold(make_docs):
+    """Rows that score alike are judged alike: the threshold lies between scores, never on one."""
+    x = np.repeat(np.array([[1, 0], [0, 0]], np.float32), [40, 60], axis=0)
+    y = np.r_[np.ones(40, int), np.zeros(60, int)]
+    chain = toxicity.train(x, y[:, None], ["toxic"], ["bad", "word"])
+    got = toxicity.classify(make_docs([(i, "bad" if i % 2 else "fine") for i in range(20)]), chain).collect()
+    assert {(r.doc_id % 2, r.toxic) for r in got} == {(1, True), (0, False)}
