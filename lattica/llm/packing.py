@@ -31,8 +31,9 @@ from .common import id_text, remembered, slices
 
 LIMIT = 4096
 END_ID = 2
-#: Penalties, in tokens of padding, for a cut at a sentence's end and for one inside a sentence.
-SENTENCE_CUT, INNER_CUT = 2, 12
+#: Penalties, in tokens of padding, for a cut at a sentence's end and for one inside a sentence: a sentence is cut only
+#: where the boundaries in reach would cost more padding than that.
+SENTENCE_CUT, INNER_CUT = 2, 300
 #: Tokens between candidate cuts where no sentence ends.
 INNER_STEP = 24
 #: Tokens of the stream that are packed at once; words whose ids a worker remembers.

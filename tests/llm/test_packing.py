@@ -107,3 +107,32 @@ def test_spans_join(reference, monkeypatch):
         return o
 
     check([as_piece(r) for r in rows], docs, reference, 64)
+
+
+def test_sentences_are_cut_only_out_of_reach_of_a_boundary():
+    """A sequence ends inside a sentence only if every boundary before it costs more padding than the penalty."""
+    rng = np.random.default_rng(5)
+    is_end = np.zeros(50, bool)
+    is_end[7] = True
+    gaps = rng.choice([3, 40, 90, 200], 900)
+    ids = np.concatenate([np.r_[np.full(g - 1, 1), 7] for g in gaps]).astype(np.uint32)
+    at, cost = packing.candidates(ids, np.array([len(ids)]), is_end, 4096)
+    cuts = packing.choose_cuts(at.tolist(), cost.tolist(), 0, 4096)
+    assert set(cuts) <= set(np.cumsum(gaps).tolist())
+    long = np.full(20_000, 1, np.uint32)  # no boundary at all
+    at, cost = packing.candidates(long, np.array([len(long)]), is_end, 4096)
+    assert np.diff(np.r_[0, packing.choose_cuts(at.tolist(), cost.tolist(), 0, 4096)]).max() <= 4096
+
+
+def test_few_sequences_end_inside_a_sentence(spark):
+    """On whole tables less than 3 % of the sequences do, and padding stays under 1 %."""
+    sf = "/root/testdata/sf0.1"
+    rows = queries.op2_packing(spark, sf).toPandas().sort_values(["sequence_id", "offset"])
+    last = rows.groupby("sequence_id").tail(1)
+    cut = last[last.start + last.length < last.doc_tokens]
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    encoder = packing.Encoder(queries.tokenizer_path())
+    inside = sum(not encoder.is_end[np.frombuffer(encoder.encode(texts[r.doc_id]), "<u4")[r.start + r.length - 1]] for r in cut.itertuples())
+    used = rows.groupby("sequence_id").length.sum()
+    padding = sum(0 if n & (n - 1) == 0 else 4096 - n for n in used.tolist())
+    assert inside < 0.03 * len(used) and padding < 0.01 * used.sum()
