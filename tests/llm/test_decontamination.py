@@ -102,3 +102,37 @@ def test_weights_are_those_of_the_whole_benchmark(spark, make_docs):
         assert (len(parts) > 1) == (at_once == 6)
         seen.append(sorted((r.doc_id, m[0], round(m[1], 9)) for index in parts for r in docs for m in index.matches(r.text)))
     assert len(seen[0]) >= 20 and seen[0] == seen[1]
+
+
+def test_long_lists_are_looked_up_by_variants():
+    """With more values in a block than variants of one, the index finds what a comparison with every item finds."""
+    rng = np.random.default_rng(8)
+    prints = rng.integers(0, 2**64, 12_000, dtype=np.uint64)
+    index = d.Index([])
+    index.prints[30], index.blocks[30] = prints, [d.Block(v) for v in d._block_values(prints).T]
+    assert all(len(b.values) > len(d._FLIPS) for b in index.blocks[30])
+    asked = np.concatenate([rng.integers(0, 2**64, 20, dtype=np.uint64), prints[:200] ^ np.array([sum(1 << int(b) for b in rng.choice(64, k % 24, replace=False)) for k in range(200)], np.uint64)])
+    want = {(w, i) for w, f in enumerate(asked) for i in np.flatnonzero(np.bitwise_count(prints ^ f) <= d.RADIUS).tolist()}
+    assert set(index.within(30, asked)) == want and len(want) > 100
+    passed = sum(len(b.near(asked[:20, None].view(np.uint16).reshape(-1, 4)[:, k])[0]) for k, b in enumerate(index.blocks[30]))
+    assert passed < 0.25 * 20 * len(prints)  # of random windows
+
+
+def test_recall_at_the_threshold():
+    """Windows of weighted similarity 0.8 or more lie within the radius, hence in the index."""
+    rng = np.random.default_rng(2)
+    items = [(i, " ".join(f"v{rng.integers(400)}" for _ in range(rng.integers(12, 60)))) for i in range(150)]
+    index, seen, within = d.Index(items), 0, 0
+    for _ in range(20):
+        for _, text in items:
+            words = text.split()
+            for k in rng.choice(len(words), rng.integers(1, 3), replace=False):
+                words[k] = f"new{rng.integers(10**6)}"
+            a, b = d.text_shingles(text.split()), d.text_shingles(words)
+            ca, cb = dict(d.Counter(a.tolist())), dict(d.Counter(b.tolist()))
+            item = d.Item(0, len(words), ca, float(index.weights(a).sum()))
+            if index.similarity(item, cb) >= 0.8:
+                prints = [d.fingerprints(h, index.weights(h), np.array([0]), len(h))[0] for h in (a, b)]
+                seen += 1
+                within += int(prints[0] ^ prints[1]).bit_count() <= d.RADIUS
+    assert seen > 300 and within >= 0.999 * seen
