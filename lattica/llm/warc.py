@@ -2,7 +2,9 @@
 
 The writer turns each page into a WARC/1.1 record: a `response`, or, where an equal payload of at least
 MIN_REVISIT bytes has a smaller page id, a `revisit` that refers to it.  Spark's own text writer puts the
-records into files in any store, so that a lost executor's files are written again by its committer.
+records into files in any store, so that a lost executor's files are written again by its committer.  Files
+are bounded by bytes: large records are written apart, and how many of a kind a file takes follows from the
+longest of them.  With gzip, each record is a member of its own, so damage costs one record.
 
 The reader checks each record (version line, header, length, end mark, payload digest) and each gzip
 member (its CRC).  After a failed check it searches the next version line or member that passes, goes
@@ -16,6 +18,7 @@ columns are not read.  An empty table makes no archive and reads back as no rows
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -28,7 +31,12 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 MIN_REVISIT = 100
-RECORDS_PER_FILE = 10_000
+#: Records and bytes of a file, at most (one record of any size always fits); header bytes besides the url.
+RECORDS_PER_FILE, FILE_BYTES, HEADER = 10_000, 256 << 20, 2_000
+#: Bytes from which records are written apart from smaller ones.
+LARGE = (256 << 10, 4 << 20)
+#: Bytes that a gzip member may inflate to; bytes of it that are read at a time.
+MEMBER_BYTES, CHUNK = 1 << 30, 1 << 16
 #: Payloads that occur more than once: broadcast to the writers up to so many, joined by shuffle beyond.
 BROADCAST_ROWS = 200_000
 END = "\r\n\r\n"
@@ -36,6 +44,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The end of a header, or a version line that comes before it.
 _HEADER_END = re.compile(rb"\r\n\r\n|\r\nWARC/1\.")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+#: What Spark's text writer puts after each gzip member: a member of nothing, each byte as a Latin-1 letter.
+_EMPTY_MEMBER = gzip.compress(b"", mtime=0).decode("latin-1")
 
 
 def _line(name: str, value: Column) -> Column:
@@ -47,9 +57,15 @@ def _urn(page_id: Column) -> Column:
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2000-01-01T00:00:00Z", compression: str = "none", records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write the archives into the folder `path`.  compression: none or gzip (a member a file)."""
+    """Write the archives into the folder `path`.  compression: none or gzip (a member a record).
+
+    records_per_file: at most; FILE_BYTES bounds files as well."""
+    if compression not in ("none", "gzip"):
+        raise ValueError("compression is none or gzip")
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     rows = rows.withColumns({"size": F.octet_length("payload").cast("bigint"), "digest": F.sha2(F.col("payload").cast("binary"), 256)})
+    length = F.col("size") + F.coalesce(F.octet_length("url"), F.lit(0)) + HEADER
+    longest = rows.agg(F.max(length)).first()[0] or 0
     copies = rows.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
     copies = materialise(copies.where("n > 1 AND first_id IS NOT NULL").select("digest", "first_id"), "warc-copies")
     if copies.count() <= BROADCAST_ROWS:
@@ -71,8 +87,29 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         _line("Content-Length", F.octet_length("block").cast("string")),
         F.lit("\r\n"),
     )
-    records = rows.withColumn("block", block).select(F.concat(header, "block").alias("value"))
-    records.write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
+    low = 0
+    for high in (*LARGE, longest + 1):
+        if low <= longest:
+            records = rows.where((length >= low) & (length < high)).withColumn("block", block).select(F.concat(header, "block").alias("value"))
+            per_file = max(1, min(records_per_file, FILE_BYTES // min(high, longest + 1)))
+            _write(records, path, "append" if low else "error", compression, per_file)
+            low = high
+
+
+def _write(records: DataFrame, path: str, mode: str, compression: str, per_file: int) -> None:
+    end = END
+    if compression == "gzip":
+
+        def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(0, b.num_rows, 100):
+                    packed = [gzip.compress(v.as_py() + END.encode(), mtime=0) for v in b.column(0)[i : i + 100]]
+                    yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["value"])
+
+        records = records.select(F.col("value").cast("binary").alias("value")).mapInArrow(members, "value binary").select(F.col("value").cast("string").alias("value"))
+        end = _EMPTY_MEMBER
+    writer = records.write.mode(mode).option("maxRecordsPerFile", per_file).option("lineSep", end)
+    (writer.option("encoding", "ISO-8859-1") if compression == "gzip" else writer).text(path)
 
 
 class _Bad(Exception):
@@ -121,15 +158,24 @@ def _record(data: bytes, at: int) -> tuple[dict, int]:
 
 
 def _member(data: bytes, at: int) -> tuple[list[dict], int, str | None]:
-    """Records of the gzip member at an offset, the offset after it, and what failed in it."""
-    unzip = zlib.decompressobj(31)
-    try:
-        inside = unzip.decompress(data[at:] if at else data)
-    except zlib.error as e:
-        raise _Bad(f"gzip member: {e}") from None
-    if not unzip.eof:
-        raise _Bad("gzip member ends early")
-    end = len(data) - len(unzip.unused_data)
+    """Records of the gzip member at an offset, the offset after it, and what failed in it.  It is read in chunks, so that
+    a mark that begins no member costs no copy of what follows."""
+    unzip, view, parts, size = zlib.decompressobj(31), memoryview(data), [], 0
+    end = at
+    while not unzip.eof:
+        if end >= len(data):
+            raise _Bad("gzip member ends early")
+        try:
+            part = unzip.decompress(view[end : end + CHUNK])
+        except zlib.error as e:
+            raise _Bad(f"gzip member: {e}") from None
+        size += len(part)
+        if size > MEMBER_BYTES:
+            raise _Bad("gzip member is too large")
+        parts.append(part)
+        end = min(end + CHUNK, len(data))
+    inside = b"".join(parts)
+    end -= len(unzip.unused_data)
     found, failed = [], None
     for _, _, record, why in salvage(inside, members=False):
         if record:

@@ -2,6 +2,9 @@
 
 import gzip
 import hashlib
+import random
+import re
+import time
 
 import pytest
 
@@ -94,3 +97,51 @@ def test_cut_header_loses_only_its_record():
     parts = [record(i, b"payload %d" % i) for i in range(3)]
     found = list(warc.salvage(parts[0] + parts[1][:60] + b"\r\n" + parts[2]))
     assert ids(found) == list("02") and len(gaps(found)) == 1
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch, compression):
+    """Large records lie apart, and no file exceeds the bound unless one record does."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 400_000)
+    monkeypatch.setattr(warc, "LARGE", (50_000, 200_000))
+    sizes = [10, 2_000, 40_000, 60_000, 150_000, 900_000]
+    rng = random.Random(3)
+    rows = [(i, "u", rng.randbytes(sizes[i % 6] // 2).hex()) for i in range(60)]
+    pages = spark.createDataFrame([(*r, "d", "f") for r in rows], SCHEMA).coalesce(1)
+    warc.write(pages, f"{tmp_path}/w", compression=compression)
+    files = [p.stat().st_size for p in (tmp_path / "w").glob("part-*")]
+    assert max(files) < 910_000 and sum(n > 400_000 for n in files) == 10
+    got = warc.read(spark, f"{tmp_path}/w", payloads=True).collect()
+    assert all(r.gap is None for r in got) and {r.record_id: r.payload.decode() for r in got} == {f"urn:page:{i}": h for i, _, h in rows}
+
+
+def test_a_damaged_member_loses_one_record(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"payload {i} " * 50, "d", "f") for i in range(40)], SCHEMA).coalesce(1)
+    warc.write(pages, f"{tmp_path}/w", compression="gzip")
+    (file,) = (tmp_path / "w").glob("part-*")
+    data = bytearray(file.read_bytes())
+    starts = [m.start() for m in re.finditer(rb"\x1f\x8b\x08", bytes(data))]
+    assert len(starts) == 80  # a member a record, and the empty ones that separate them
+    data[starts[20] + 30] ^= 0xFF
+    file.write_bytes(bytes(data))
+    for crc in (tmp_path / "w").glob(".*.crc"):
+        crc.unlink()
+    got = warc.read(spark, f"{tmp_path}/w").collect()
+    assert sum(r.gap is None for r in got) == 39 and [r.length for r in got if r.gap] == [starts[21] - starts[20]]
+
+
+def test_false_marks_cost_no_copies():
+    """Many marks that begin no member: the time grows with the file, not with its square."""
+    seconds = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        found = list(warc.salvage(b"\x1f\x8b\x08 no member !" * n + record(1, b"payload")))
+        seconds.append(time.perf_counter() - began)
+        assert ids(found) == ["1"] and len(gaps(found)) == 1
+    assert seconds[1] < 10 * seconds[0] + 0.5
+
+
+def test_members_that_inflate_without_end_are_quarantined(monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1 << 20)
+    found = list(warc.salvage(gzip.compress(b"\0" * (20 << 20)) + gzip.compress(record(2, b"payload"))))
+    assert ids(found) == ["2"] and len(gaps(found)) == 1
