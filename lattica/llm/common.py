@@ -1,64 +1,22 @@
-"""What the operators of this subpackage share: storage for intermediate tables, bounded labelled samples
-and the state of Python workers."""
+"""What the operators of this subpackage share: bounded labelled samples, slices of batches and the state of Python
+workers; and the engine's storage for intermediate tables."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Word separators of the contracts: space and the ASCII controls from tab to carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
-_cleaned: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a local one."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = sc.getCheckpointDir()
-        if not folder:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
-            folder = sc.getCheckpointDir()
-    own = f"{folder.rstrip('/')}/lattica-{sc.applicationId}"
-    if own not in _cleaned:
-        _cleaned.add(own)
-        atexit.register(_clean, spark, own)
-    return own
-
-
-def _clean(spark: SparkSession, path: str) -> None:
-    """Delete an application's intermediate tables when it ends, if its session is still there."""
-    with contextlib.suppress(Exception):
-        remove(spark, path)
+from ..storage import materialise, shared_path
 
+__all__ = ["WORD", "id_text", "labelled_sample", "materialise", "remembered", "shared_path", "slices", "table"]
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: its lineage is cut, and it survives
-    lost executors, which a cached or locally checkpointed one doesn't."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+#: Word separators of the contracts: space and the ASCII controls from tab to carriage return.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

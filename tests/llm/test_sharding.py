@@ -31,9 +31,9 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = queries.op9_sharding(spark, sf).collect()
     check(got, rows, 0.05, together=False)
-    for r in got:
-        assert r.text_crc32 == zlib.crc32((dict(rows)[r.doc_id] or "").encode()) and r.law == "bytes" and r.grown_shard is None
-        break
+    crc = {i: zlib.crc32((t or "").encode()) for i, t in rows}
+    assert {r.doc_id: r.text_crc32 for r in got} == crc
+    assert {(r.law, r.grown_shard) for r in got} == {("bytes", None)}
 
 
 @pytest.mark.parametrize("hot", [0, 700])
