@@ -1,5 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import sys
+
 import duckdb
 import pytest
 
@@ -47,7 +49,15 @@ def test_entry(spark, data):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_entry_without_the_optional_subpackage(monkeypatch):
-    find = entry.importlib.util.find_spec
-    monkeypatch.setattr(entry.importlib.util, "find_spec", lambda name, *a: None if name == "lattica.llm" else find(name, *a))
+@pytest.mark.parametrize("missing", ["lattica.llm", "lattica.llm.queries", "corpus_pipeline"])
+def test_entry_without_the_optional_subpackage(monkeypatch, missing):
+    """The engine's queries stay where a part of the subpackage, or what it needs, can't be imported."""
+    import lattica
+
+    monkeypatch.setitem(sys.modules, missing, None)
+    for name in [m for m in sys.modules if m.startswith("lattica.llm") and m != missing]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.delattr(lattica, "llm", raising=False)
+    if missing != "corpus_pipeline":
+        monkeypatch.delitem(sys.modules, "corpus_pipeline", raising=False)
     assert set(entry.queries()) == set(catalog.QUERIES) and set(entry.oracle_sql()) == set(catalog.ORACLE_SQL)
