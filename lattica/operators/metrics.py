@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ordering import with_running_total
 
 
 def confusion(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -44,14 +45,16 @@ def classification(rows: DataFrame, n_classes: int, by: Sequence[str] = ()) -> D
 def auroc_ovr(scores: DataFrame, n_classes: int, by: Sequence[str] = ()) -> DataFrame:
     """Macro one-vs-rest AUROC, null unless every class has finite scores on both sides.
 
-    scores: truth, label, score, a row for each row and class.  Equal scores are counted together before they are
-    ordered, so a window holds distinct scores only."""
+    scores: truth, label, score, a row for each row and class.  Equal scores are counted together, and the rows before
+    each score come from ranges of all scores, so no task orders a class's scores."""
+    keys = [*by, "label"]
     good = scores.where(~F.isnan("score") & F.col("score").isNotNull() & (F.abs("score") != float("inf")))
     pos = F.count_if(F.col("truth") == F.col("label"))
-    ties = good.groupBy(*by, "label", "score").agg(pos.alias("pos"), F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(*by, "label").orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = ties.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2)
-    sums = ranked.groupBy(*by, "label").agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
+    ties = good.groupBy(*keys, "score").agg(pos.alias("pos"), F.count("*").alias("n"))
+    placed = with_running_total(ties, [*keys, "score"], "n", "_before")
+    start = placed.groupBy(*keys).agg(F.min("_before").alias("_start"))
+    ranked = placed.join(start, keys).withColumn("rank", F.col("_before") - F.col("_start") + (F.col("n") + 1) / 2)
+    sums = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     auc = F.when((F.col("p") > 0) & (F.col("n") > F.col("p")), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p"))))
     done = sums.withColumn("auc", auc)
     defined = F.count("auc")
@@ -59,13 +62,15 @@ def auroc_ovr(scores: DataFrame, n_classes: int, by: Sequence[str] = ()) -> Data
 
 
 def regression(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """mae, rmse, r2 (NaN for fewer than two rows) of target and estimate."""
+    """mae, rmse, r2 of target and estimate.  r2 is NaN for fewer than two rows; for a constant target it is 1 if all
+    estimates are exact, else 0."""
     e = F.col("target") - F.col("estimate")
-    sst = F.var_pop("target") * F.count("target")
+    sst, sse = F.var_pop("target") * F.count("target"), F.sum(e * e)
+    constant = F.when(sse == 0, 1.0).otherwise(0.0)
     return rows.groupBy(*by).agg(
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.when(F.count("*") <= 1, float("nan")).otherwise(1 - F.try_divide(F.sum(e * e), sst)).alias("r2"),
+        F.when(F.count("*") <= 1, float("nan")).when(F.min("target") == F.max("target"), constant).otherwise(1 - F.try_divide(sse, sst)).alias("r2"),
         F.count("*").alias("n"),
     )
 

@@ -11,16 +11,20 @@ from pyspark.sql.window import Window
 from ..storage import materialise
 
 
-def with_position(df: DataFrame, order: Sequence[str], name: str = "pos") -> DataFrame:
-    """df with the 0-based place of each row in the order (a unique one).
+def with_running_total(df: DataFrame, order: Sequence[str], value: str, name: str = "before") -> DataFrame:
+    """df with the sum of `value` over all rows before each row in the order (a unique one).
 
-    Rows are dealt by ranges of the order, written with their range's number, counted, and ranked inside it; only
-    the counts of ranges meet in one place.  The written table fixes the ranges, so that a task that runs again
+    Rows are dealt by ranges of the order, written with their range's number, summed, and placed inside it; only
+    the sums of ranges meet in one place.  The written table fixes the ranges, so that a task that runs again
     can't see others."""
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    ranged = materialise(ranged, "ranged")
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    placed = ranged.withColumn("_rank", rank).join(F.broadcast(before), "_range")
-    return placed.withColumn(name, F.col("_before") + F.col("_rank")).drop("_range", "_rank", "_before")
+    ranged = materialise(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    before = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_range_before"))
+    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(*order)) - F.col(value)
+    placed = ranged.withColumn("_inside", inside).join(F.broadcast(before), "_range")
+    return placed.withColumn(name, F.col("_range_before") + F.col("_inside")).drop("_range", "_inside", "_range_before")
+
+
+def with_position(df: DataFrame, order: Sequence[str], name: str = "pos") -> DataFrame:
+    """df with the 0-based place of each row in the order (a unique one)."""
+    return with_running_total(df.withColumn("_one", F.lit(1).cast("bigint")), order, "_one", name).drop("_one")

@@ -5,6 +5,7 @@ clusters or its paired runs, of which an experiment has hundreds, not rows of da
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -43,14 +44,20 @@ def cluster_means(deltas: DataFrame, by: Sequence[str], cluster: str) -> DataFra
 
 
 def two_sided_sign_p(pos: Column, neg: Column) -> Column:
-    """min(1, 2 P(X >= max)) for X binomial at one half, from a running product of coefficients; 1 without signs."""
+    """min(1, 2 P(X >= max)) for X binomial at one half; 1 without signs.
+
+    P(X >= max) = P(max) (1 + q1 + q1 q2 + ...) with q_i the ratio of neighbouring terms, and P(max) comes from a sum of
+    logarithms, so nothing overflows however many signs there are."""
     n, top = pos + neg, F.greatest(pos, neg)
-    terms = F.aggregate(
-        F.sequence(F.lit(0), n.cast("int")),
-        F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("tail")),
-        lambda s, i: F.struct((s["c"] * (n - i) / (i + 1)).cast("double").alias("c"), (s["tail"] + F.when(i >= top, s["c"]).otherwise(0.0)).alias("tail")),
+    steps = F.sequence(F.lit(1), (n - top).cast("int"))
+    log_p = F.aggregate(F.when(n > top, steps), -n * math.log(2), lambda s, i: s + F.log((top + i) / i))
+    tail = F.aggregate(
+        F.when(n > top, steps),
+        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")),
+        lambda s, i: F.struct((s["term"] * (n - top - i + 1) / (top + i)).alias("term"), (s["sum"] + s["term"] * (n - top - i + 1) / (top + i)).alias("sum")),
     )
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * terms["tail"] / F.pow(F.lit(2.0), n)))
+    p = F.when(n > top, F.exp(log_p) * tail["sum"]).otherwise(F.pow(F.lit(2.0), -n))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * p))
 
 
 def minimum_p(n: Column) -> Column:
@@ -88,9 +95,14 @@ def signed_ranks(deltas: DataFrame, by: Sequence[str]) -> DataFrame:
     return every.select(*by, "n_nonzero", F.when(total == 0, 0.0).otherwise((F.col("r_plus") - F.col("r_minus")) / total).alias("rank_biserial"), F.least("r_plus", "r_minus").alias("statistic"))
 
 
+#: Deltas of one contrast whose Walsh averages are listed, at most: 4 million averages.
+MAX_WALSH = 2000
+
+
 def hodges_lehmann(deltas: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Median of all ordered Walsh averages inside each contrast."""
+    """Median of all ordered Walsh averages inside each contrast; more than MAX_WALSH deltas in one are an error."""
     d = deltas.groupBy(*by).agg(F.collect_list("delta").alias("d"))
+    d = d.withColumn("d", F.when(F.size("d") <= MAX_WALSH, F.col("d")).otherwise(F.raise_error(F.lit(f"more than {MAX_WALSH} deltas in one contrast"))))
     walsh = F.flatten(F.transform("d", lambda x: F.transform("d", lambda y: (x + y) / 2)))
     each = d.select(*by, F.explode(walsh).alias("w"))
     return each.groupBy(*by).agg(F.percentile("w", F.lit(0.5)).alias("hodges_lehmann"))

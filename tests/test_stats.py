@@ -1,6 +1,8 @@
 """Metrics, paired statistics and the rule language: closed-form values."""
 
 import math
+import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,8 +110,8 @@ EVIDENCE = rules.Evidence(
         ("sig_any('A', 'B', 'macro_f1', ['D9', 'D1'])", "True"),
         ("sig_any('A', 'C', 'macro_f1', datasets)", "UNEVALUABLE"),
         ("equiv_all('A', 'B', 'macro_f1', datasets)", "True"),
-        ("params('A') < params('B')", "False"),
-        ("params('A') * 2 > params('B') and 1 < 2 < 3", "True"),
+        ("params('A') < params('B')", "UNEVALUABLE"),  # one value against a value for each data set
+        ("params('A') * 2 > 150 and 1 < 2 < 3", "True"),
         ("params('Z') < 1", "UNEVALUABLE"),
         ("margin('rmse') > 0", "UNEVALUABLE"),
         ("ops < 1", "UNEVALUABLE"),
@@ -132,3 +134,59 @@ def test_narrative():
     assert rules.narrative({"N1": "True", "N2": "False"}) == ("N1", False)
     assert rules.narrative({"N1": "True", "N2": "True"}) == (None, True)
     assert rules.narrative({"N1": "UNEVALUABLE"}) == (None, False)
+
+
+@pytest.mark.parametrize("pos, neg", [(560, 480), (520, 520), (1100, 900), (2000, 1000), (5000, 4900), (1040, 0), (3, 3)])
+def test_sign_p_of_many_clusters(spark, pos, neg):
+    n, top = pos + neg, max(pos, neg)
+    exact = min(1.0, float(2 * Fraction(sum(math.comb(n, i) for i in range(top, n + 1)), 2**n)))
+    got = spark.range(1).select(stats.two_sided_sign_p(F.lit(pos).cast("bigint"), F.lit(neg).cast("bigint")).alias("p")).first().p
+    assert math.isclose(got, exact, rel_tol=1e-9, abs_tol=1e-300)
+
+
+def test_r2_of_a_constant_target(spark):
+    r2 = lambda pairs: metrics.regression(spark.createDataFrame(pairs, "target double, estimate double")).first().r2
+    assert r2([(0.1, 0.1)] * 3) == 1.0 and r2([(0.1, 0.1), (0.1, 0.2), (0.1, 0.1)]) == 0.0
+
+
+def test_hodges_lehmann_refuses_a_contrast_of_too_many(spark, monkeypatch):
+    monkeypatch.setattr(stats, "MAX_WALSH", 3)
+    with pytest.raises(Exception, match="more than 3 deltas"):
+        stats.hodges_lehmann(spark.range(4).selectExpr("'c' AS contrast", "double(id) AS delta"), ["contrast"]).collect()
+
+
+def test_auroc_with_many_scores(spark):
+    """Real-valued scores in several ranges equal the pairwise definition."""
+    rng = random.Random(2)
+    pairs = [(rng.randrange(3), rng.choice([rng.random(), 0.25, 0.5])) for _ in range(400)]
+    table = spark.createDataFrame([(t, k, s if k == 0 else 1 - s) for t, s in pairs for k in (0, 1)], "truth int, label int, score double").repartition(7)
+    want = []
+    for k in (0, 1):
+        s = [(t == k, v if k == 0 else 1 - v) for t, v in pairs]
+        wins = [(a > b) + 0.5 * (a == b) for p, a in s if p for q, b in s if not q]
+        want.append(sum(wins) / len(wins))
+    got = metrics.auroc_ovr(table, 2).first()
+    assert math.isclose(got.auroc, sum(want) / 2, rel_tol=1e-12) and got.n_classes_scored == 2
+
+
+VECTORS = rules.Evidence({}, parameters={"a": {"D2": 1, "D3": 5}, "b": {"D2": 2}, "c": {"D2": 2, "D3": 6}, "d": {"D2": 2, "D3": 4}, "n": 3})
+
+
+@pytest.mark.parametrize(
+    "rule, want",
+    [
+        ("params('a') < params('b')", "UNEVALUABLE"),  # D3 is missing on one side
+        ("params('b') < params('a')", "UNEVALUABLE"),
+        ("params('a') < params('c')", "True"),
+        ("params('a') < params('d')", "False"),
+        ("params('a') < 10", "UNEVALUABLE"),
+        ("params('n') < params('c')", "UNEVALUABLE"),
+        ("params('a') - params('c') < 0", "UNEVALUABLE"),
+        ("+params('n') == 3 and -params('n') == -3", "True"),
+        ("-params('a') < params('c')", "UNEVALUABLE"),
+        ("1 > 2 > 1 / 0", "False"),  # a false link ends the chain
+        ("2 > 1 > 1 / 0", "UNEVALUABLE"),
+    ],
+)
+def test_values_by_data_set_and_chains(rule, want):
+    assert rules.evaluate(rule, VECTORS)[0] == want
