@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import draw
 from ..storage import materialise
+from .ordering import with_position
 
 #: Layers (low, high] of node classes, and the pairs of classes that edges lead forward between.
 TIERS = [
@@ -56,11 +57,15 @@ def endpoints(edges: DataFrame) -> DataFrame:
 
 
 def normalised(edges: DataFrame) -> DataFrame:
-    """n1 by row sum, n2 by column sum, n3 by the greatest, n4 log1p then by row sum, n5 binary."""
-    part = lambda value, *by: F.col(value) / F.when(F.sum(value).over(Window.partitionBy(*by)) == 0, 1).otherwise(F.sum(value).over(Window.partitionBy(*by)))
+    """n1 by row sum, n2 by column sum, n3 by the greatest, n4 log1p then by row sum, n5 binary.
+
+    Sums are combined on the map side and joined back, so a hub's edges don't meet in one task."""
     top = edges.agg(F.max("w").alias("_top"))
-    e = edges.crossJoin(F.broadcast(top)).withColumn("_log", F.log1p("w"))
-    return e.select("src", "dst", "w", part("w", "src").alias("n1"), part("w", "dst").alias("n2"), (F.col("w") / F.col("_top")).alias("n3"), part("_log", "src").alias("n4"), F.lit(1.0).alias("n5"))
+    by_src = edges.groupBy("src").agg(F.sum("w").alias("_out"), F.sum(F.log1p("w")).alias("_log"))
+    by_dst = edges.groupBy("dst").agg(F.sum("w").alias("_in"))
+    e = edges.crossJoin(F.broadcast(top)).join(by_src, "src").join(by_dst, "dst")
+    part = lambda value, total: value / F.when(F.col(total) == 0, 1).otherwise(F.col(total))
+    return e.select("src", "dst", "w", part(F.col("w"), "_out").alias("n1"), part(F.col("w"), "_in").alias("n2"), (F.col("w") / F.col("_top")).alias("n3"), part(F.log1p("w"), "_log").alias("n4"), F.lit(1.0).alias("n5"))
 
 
 def strengths(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -342,17 +347,18 @@ def grow_selection(edges: DataFrame, classes: DataFrame, s: DataFrame, seeds: in
 
 
 def proportional_quotas(shares: dict[str, float], capacity: dict[str, int], total: int) -> dict[str, int]:
-    """Rounded (half to even) shares of total, one at least; then the smallest above one shrink, or the largest with
-    room grow, until they add up."""
-    whole = sum(shares.values()) or 1.0
-    quota = {k: min(capacity[k], max(1, round(total * v / whole))) for k, v in shares.items() if capacity[k] > 0}
-    total = min(total, sum(capacity[k] for k in quota))
-    while sum(quota.values()) > total and any(v > 1 for v in quota.values()):
-        k = min((k for k in quota if quota[k] > 1), key=lambda k: (quota[k], k))
-        quota[k] -= 1
-    while sum(quota.values()) < total:
-        k = max((k for k in quota if quota[k] < capacity[k]), key=lambda k: (quota[k], k))
-        quota[k] += 1
+    """Rounded (half to even) shares of total, one at least, as far as there is room; then the smallest above one shrink,
+    or the largest with room grow, until they add up.
+
+    The smallest stays the smallest while it shrinks, and the largest while it grows, so each is settled at once."""
+    whole, room = sum(shares.values()) or 1.0, {k: c for k, c in capacity.items() if c > 0}
+    quota = {k: min(c, max(1, round(total * shares[k] / whole))) for k, c in room.items()}
+    off = sum(quota.values()) - min(total, sum(room.values()))
+    order = sorted(quota, key=lambda k: (quota[k], k), reverse=off < 0)
+    for k in order:
+        step = min(off, quota[k] - 1) if off > 0 else -min(-off, room[k] - quota[k])
+        quota[k] -= step
+        off -= step
     return quota
 
 
@@ -378,27 +384,22 @@ def largest_remainder(weights: DataFrame, total: int, tie: str) -> DataFrame:
 
 def shuffled_weights(edges: DataFrame, seed: int = 0) -> DataFrame:
     """The same edges with permuted weights (control R1): two orders by hash, joined on their places."""
-    ranges = lambda h: F.shiftright(h, 24)
 
-    def placed(df: DataFrame, salt: str, keep: Sequence[str]) -> DataFrame:
-        keyed = df.withColumn("h", draw(salt, seed, F.col("src"), F.col("dst"))).withColumn("r", ranges(F.col("h")))
-        before = keyed.groupBy("r").agg(F.count("*").alias("c")).select("r", (F.sum("c").over(Window.orderBy("r")) - F.col("c")).alias("before"))
-        rank = F.row_number().over(Window.partitionBy("r").orderBy("h", "src", "dst"))
-        return keyed.withColumn("k", rank).join(F.broadcast(before), "r").select((F.col("before") + F.col("k")).alias("place"), *keep)
+    def placed(salt: str, keep: Sequence[str]) -> DataFrame:
+        keyed = edges.withColumn("h", draw(salt, seed, F.col("src"), F.col("dst")))
+        return with_position(keyed, ["h", "src", "dst"], "place").select("place", *keep)
 
-    return placed(edges, "edge", ["src", "dst"]).join(placed(edges, "weight", ["w"]), "place").select("src", "dst", "w")
+    return placed("edge", ["src", "dst"]).join(placed("weight", ["w"]), "place").select("src", "dst", "w")
 
 
 def configuration_model(edges: DataFrame, seed: int = 0) -> DataFrame:
-    """Stubs matched by hash order; stubs that meet again add up, so there may be fewer edges than before."""
-    stubs = edges.select("src", "dst", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))).alias("i"))
+    """Stubs matched by hash order; stubs that meet again add up, so there may be fewer edges than before.  Edges of
+    weight 0 have no stubs."""
+    stubs = edges.where("w > 0").select("src", "dst", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))).alias("i"))
 
     def placed(name: str) -> DataFrame:
-        h = draw(name, seed, F.col("src"), F.col("dst"), F.col("i"))
-        keyed = stubs.withColumn("h", h).withColumn("r", F.shiftright("h", 24))
-        before = keyed.groupBy("r").agg(F.count("*").alias("c")).select("r", (F.sum("c").over(Window.orderBy("r")) - F.col("c")).alias("before"))
-        rank = F.row_number().over(Window.partitionBy("r").orderBy("h", "src", "dst", "i"))
-        return keyed.withColumn("k", rank).join(F.broadcast(before), "r").select((F.col("before") + F.col("k")).alias("place"), name)
+        keyed = stubs.withColumn("h", draw(name, seed, F.col("src"), F.col("dst"), F.col("i")))
+        return with_position(keyed, ["h", "src", "dst", "i"], "place").select("place", name)
 
     return placed("src").join(placed("dst"), "place").groupBy("src", "dst").agg(F.count("*").alias("w"))
 

@@ -113,22 +113,23 @@ class KernelMachine:
     penalty: float = 1e-2
     n_classes: int = 4
     rows_kept: int = KERNEL_ROWS
+    gamma: float | str = "scale"
     x: np.ndarray | None = None
     alpha: np.ndarray | None = None
-    gamma: float = 1.0
+    width: float = 1.0
 
     def fit(self, rows: DataFrame) -> KernelMachine:
         y_col = "label" if self.task == CLASSIFICATION else "target"
         some = rows.select(F.flatten("x").alias("f"), y_col, F.xxhash64("x").alias("h")).orderBy("h").limit(self.rows_kept).toPandas()
         self.x, y = np.vstack(some.f.to_numpy()), some[y_col].to_numpy(float)
         y = np.eye(self.n_classes)[y.astype(int)] if self.task == CLASSIFICATION else y[:, None]
-        self.gamma = 1.0 / max(self.x.shape[1] * self.x.var(), 1e-12)
+        self.width = 1.0 / max(self.x.shape[1] * self.x.var(), 1e-12) if self.gamma == "scale" else float(self.gamma)
         self.alpha = np.linalg.solve(self._kernel(self.x) + self.penalty * np.eye(len(self.x)), y)
         return self
 
     def _kernel(self, z: np.ndarray) -> np.ndarray:
         d = (z**2).sum(1)[:, None] + (self.x**2).sum(1)[None] - 2 * z @ self.x.T
-        return np.exp(-self.gamma * np.maximum(d, 0))
+        return np.exp(-self.width * np.maximum(d, 0))
 
     def predict(self, rows: DataFrame) -> DataFrame:
         @F.pandas_udf("double")
@@ -142,19 +143,51 @@ class KernelMachine:
         return {"model": self.name, "task": self.task, "substitute_for": "support vector machine", "rows": self.rows_kept}
 
 
-def _ml(name: str, classifier: Callable[[], Any], regressor: Callable[[], Any]) -> Callable[..., Model]:
-    return lambda task, **kw: MlModel(name, task, classifier() if task == CLASSIFICATION else regressor())
+@dataclass
+class PcaModel(MlModel):
+    """A model over the fewest principal components that explain a share of the variance, or over a number of them."""
+
+    n_components: float | int = 0.95
+
+    def fit(self, rows: DataFrame) -> PcaModel:
+        every = flat_features(rows)
+        width = len(every.select("features").first().features)
+        k = int(self.n_components)
+        if 0 < self.n_components < 1:
+            share = np.cumsum(PCA(k=width, inputCol="features", outputCol="reduced").fit(every).explainedVariance.toArray())
+            k = 1 + int(np.searchsorted(share, self.n_components - 1e-12))
+        stage = PCA(k=max(1, min(k, width)), inputCol="features", outputCol="reduced")
+        self.estimator = Pipeline(stages=[stage, self.estimator.getStages()[-1] if isinstance(self.estimator, Pipeline) else self.estimator])
+        super().fit(rows)
+        return self
+
+
+def random_forest(task: str, n_estimators: int = 300, max_depth: int | None = 10, min_samples_leaf: int = 1, seed: int = 0) -> Model:
+    """max_depth: None is as deep as Spark grows trees, 30."""
+    kind = RandomForestClassifier if task == CLASSIFICATION else RandomForestRegressor
+    return MlModel("random_forest", task, kind(labelCol="y", numTrees=n_estimators, maxDepth=30 if max_depth is None else max_depth, minInstancesPerNode=min_samples_leaf, seed=seed))
+
+
+def boosted_trees(task: str, n_estimators: int = 10, max_depth: int = 5, learning_rate: float = 0.1, subsample: float = 0.9, seed: int = 0) -> Model:
+    kind = GBTClassifier if task == CLASSIFICATION else GBTRegressor
+    trees = kind(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, subsamplingRate=subsample, seed=seed)
+    return MlModel("boosted_trees", task, OneVsRest(classifier=trees, labelCol="y") if task == CLASSIFICATION else trees.setLabelCol("y"))
 
 
-def _pca(estimator: Any, k: int = 3) -> Pipeline:
-    return Pipeline(stages=[PCA(k=k, inputCol="features", outputCol="reduced"), estimator])
+def pca_svm(task: str, n_components: float | int = 0.95, reg_param: float = 0.0, max_iter: int = 30) -> Model:
+    """Linear machines over principal components."""
+    if task == CLASSIFICATION:
+        last = OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=reg_param), labelCol="y", featuresCol="reduced")
+    else:
+        last = LinearRegression(labelCol="y", featuresCol="reduced", maxIter=max_iter, regParam=reg_param)
+    return PcaModel("pca_svm", task, last, n_components=n_components)
 
 
 _DEEP = "needs a deep-learning library that isn't installed"
 REGISTRY: dict[str, Callable[..., Model]] = {
-    "random_forest": _ml("random_forest", lambda: RandomForestClassifier(labelCol="y", numTrees=50, seed=0), lambda: RandomForestRegressor(labelCol="y", numTrees=50, seed=0)),
-    "boosted_trees": _ml("boosted_trees", lambda: OneVsRest(classifier=GBTClassifier(maxIter=10, seed=0), labelCol="y"), lambda: GBTRegressor(labelCol="y", maxIter=10, seed=0)),
-    "pca_svm": _ml("pca_svm", lambda: _pca(OneVsRest(classifier=LinearSVC(maxIter=30), labelCol="y", featuresCol="reduced")), lambda: _pca(LinearRegression(labelCol="y", featuresCol="reduced"))),
+    "random_forest": random_forest,
+    "boosted_trees": boosted_trees,
+    "pca_svm": pca_svm,
     "svm_rbf": lambda task, **kw: KernelMachine("svm_rbf", task, **kw),
     "esn": lambda task, **kw: ReservoirModel("esn", task, **kw),
 }
@@ -167,6 +200,7 @@ def availability() -> dict[str, str]:
 
 
 def build_model(name: str, task: str = CLASSIFICATION, **options: Any) -> Model:
+    """A model with its options; one that it doesn't have is an error."""
     if name in UNAVAILABLE:
         raise NotImplementedError(f"{name}: {UNAVAILABLE[name]}")
     return REGISTRY[name](task, **options)

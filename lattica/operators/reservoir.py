@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,33 +111,50 @@ def window_states(windows: DataFrame, reservoir: Reservoir, keep: list[str]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = np.array(b.column(len(keep)).to_pylist(), np.float64)
+                flat = b.column(len(keep)).flatten().flatten().to_numpy(zero_copy_only=False)
+                x = np.asarray(flat, np.float64).reshape(b.num_rows, len(b.column(len(keep))[0]), -1)
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(list(sent.value.states(x)), pa.list_(pa.float64()))], [*keep, "state"])
 
     return windows.select(*keep, "x").mapInArrow(run, f"{fields}, state array<double>")
 
 
+#: Rows of a Gram matrix that travel together, and groups of partitions whose sums are added first.
+GRAM_ROWS, GRAM_GROUPS = 64, 32
+
+
 def ridge(rows: DataFrame, features: str, target: str, penalty: float = DEFAULTS["ridge_lambda"], n_classes: int | None = None) -> np.ndarray:
-    """Weights of (H'H + penalty I) W = H'Y with a bias column; partial sums come from the partitions."""
+    """Weights of (H'H + penalty I) W = H'Y with a bias column.
+
+    Each partition's sums are cut into blocks of rows, which the executors add up in two steps; the driver gets one
+    matrix, however many partitions there are."""
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gram = cross = None
+        total = None
         for b in batches:
             if not len(b):
                 continue
             h = np.column_stack([np.vstack(b[features].to_numpy()), np.ones(len(b))])
             y = b[target].to_numpy(np.float64)
             y = np.eye(n_classes)[y.astype(int)] if n_classes else y[:, None]
-            gram, cross = (h.T @ h, h.T @ y) if gram is None else (gram + h.T @ h, cross + h.T @ y)
-        if gram is not None:
-            yield pd.DataFrame({"gram": [gram.ravel()], "cross": [cross.ravel()]})
-
-    parts = rows.select(features, target).mapInPandas(sums, "gram array<double>, cross array<double>")
-    gram = cross = 0
-    for r in parts.toLocalIterator():
-        gram, cross = gram + np.array(r.gram), cross + np.array(r.cross)
-    n = int(np.sqrt(np.size(gram)))
-    return np.linalg.solve(np.reshape(gram, (n, n)) + penalty * np.eye(n), np.reshape(cross, (n, -1)))
+            part = np.hstack([h.T @ h, h.T @ y])
+            total = part if total is None else total + part
+        if total is not None:
+            group = TaskContext.get().partitionId() % GRAM_GROUPS
+            for at in range(0, len(total), GRAM_ROWS):
+                yield pd.DataFrame({"grp": [group], "block": [at], "cells": [total[at : at + GRAM_ROWS].ravel()]})
+
+    def add(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"grp": [0], "block": [key[-1]], "cells": [np.sum(np.vstack(parts["cells"].to_numpy()), axis=0)]})
+
+    schema = "grp int, block int, cells array<double>"
+    parts = rows.select(features, target).mapInPandas(sums, schema)
+    for by in (["grp", "block"], ["block"]):
+        parts = parts.groupBy(*by).applyInPandas(add, schema)
+    cells = np.concatenate([np.array(r.cells) for r in sorted(parts.collect(), key=lambda r: r.block)])
+    outputs = n_classes or 1  # n rows of n + outputs cells
+    n = round((np.sqrt(outputs**2 + 4 * len(cells)) - outputs) / 2)
+    whole = cells.reshape(n, n + outputs)
+    return np.linalg.solve(whole[:, :n] + penalty * np.eye(n), whole[:, n:])
 
 
 def read_out(rows: DataFrame, features: str, weights: np.ndarray, name: str = "predicted") -> DataFrame:

@@ -180,22 +180,21 @@ def radius_ladder(a: np.ndarray, b: np.ndarray, x: np.ndarray, radii: Sequence[f
 
 
 def coprime_lengths(n: int, blocks: int) -> list[int]:
-    """Lengths of at least 2, pairwise coprime, that add up to n: the blocks' sizes are as even as that allows.  Fewer
-    blocks are used where so many don't exist."""
+    """Lengths of at least 2, pairwise coprime, that add up to n: the blocks' sizes are as even as that allows.  Where so
+    many don't exist, it is an error."""
 
     def search(left: int, count: int, chosen: list[int]) -> list[int] | None:
         if count == 1:
             return [*chosen, left] if left >= 2 and all(math.gcd(left, c) == 1 for c in chosen) else None
         mean = left / count
-        for size in sorted(range(2, left - 2 * (count - 1) + 1), key=lambda s: (abs(s - mean), s))[:40]:
+        for size in sorted(range(2, left - 2 * (count - 1) + 1), key=lambda s: (abs(s - mean), s)):
             if all(math.gcd(size, c) == 1 for c in chosen) and (found := search(left - size, count - 1, [*chosen, size])):
                 return found
         return None
 
-    for k in range(blocks, 0, -1):
-        if found := search(n, k, []):
-            return found
-    return [n]
+    if blocks < 1 or not (found := search(n, blocks, [])):
+        raise ValueError(f"{n} is no sum of {blocks} pairwise coprime lengths")
+    return found
 
 
 #: Accepted swaps for each edge of the statistics-matched family.
@@ -238,40 +237,45 @@ def closed_walk_nodes(a: np.ndarray, longest: int = 12) -> list[int]:
 
 
 def organisation_feasible(one: np.ndarray, two: np.ndarray, labels: Sequence[str], b1: np.ndarray, b2: np.ndarray, strong: tuple[float, float], chosen_by_result: bool, min_change: float = 0.05, tolerance: float = 0.02) -> dict[str, bool]:
-    """Six conditions for a rewired graph to differ in organisation only; `feasible` is all of them."""
+    """Six conditions for a rewired graph to differ in organisation only; `feasible` is all of them.  Recurrence is kept if
+    the largest component's share is, and closed walks exist at the same lengths."""
     types = sorted(set(labels))
     hot = np.array([[lab == t for t in types] for lab in labels], float)
     before, after = hot.T @ np.abs(one) @ hot, hot.T @ np.abs(two) @ hot
     degrees = all(((one != 0).sum(k) == (two != 0).sum(k)).all() for k in (0, 1))
+    cycles = [[k for k, n in enumerate(closed_walk_nodes(a), 1) if n] for a in (one, two)]
     w1, w2 = np.sort(one[one != 0]), np.sort(two[two != 0])
     found = {
         "type_pairs_changed": bool(np.abs(after - before).sum() / max(before.sum(), 1e-12) >= min_change),
         "degrees_kept": bool(degrees),
         "weights_kept": bool(len(w1) == len(w2) and np.allclose(w1, w2, rtol=1e-9)),
         "inputs_kept": bool(b1.shape == b2.shape and ((b1 != 0) == (b2 != 0)).all()),
-        "recurrence_kept": bool(abs(strong[0] - strong[1]) <= tolerance),
+        "recurrence_kept": bool(abs(strong[0] - strong[1]) <= tolerance and cycles[0] == cycles[1]),
         "chosen_blindly": not chosen_by_result,
     }
     return {**found, "feasible": all(found.values())}
 
 
-def contrast_matrix_problems(rows: Sequence[dict]) -> list[str]:
-    """What is wrong with a matrix of families (id, parent, varied, fixed: a set, blocked): ids repeat, parents are missing,
-    two families vary the same factor, the reference varies something, or F3 doesn't hold strictly less fixed than F2."""
-    by_id = {r["id"]: r for r in rows}
-    out = ["ids repeat"] if len(by_id) != len(rows) else []
-    for r in rows:
-        if r.get("parent") is None and r["id"] != "F1":
-            out.append(f"{r['id']} has no parent")
-        elif r.get("parent") is not None and r["parent"] not in by_id:
-            out.append(f"{r['id']}: parent {r['parent']} is unknown")
-    varied: dict[str, str] = {}
-    for r in rows:
-        key = str(r["varied"]).strip().lower()
-        if not r.get("blocked") and varied.setdefault(key, r["id"]) != r["id"]:
-            out.append(f"{r['id']} and {varied[key]} vary the same factor")
-    if "F2" in by_id and "F3" in by_id and not set(by_id["F3"]["fixed"]) < set(by_id["F2"]["fixed"]):
-        out.append("F3 must hold strictly less fixed than F2")
-    if "F1" in by_id and not str(by_id["F1"]["varied"]).lower().startswith("none"):
-        out.append("the reference must vary nothing")
+def contrast_matrix_problems(families: DataFrame) -> DataFrame:
+    """problem, id, other: a row for each fault of a matrix of families (id, parent, varied, fixed: an array, blocked).
+
+    Each check is a query of its own: aggregates, anti-joins and self-joins over the families."""
+    f = families.select("id", "parent", F.lower(F.trim(F.coalesce("varied", F.lit("")))).alias("varied"), F.coalesce("fixed", F.array().cast("array<string>")).alias("fixed"), F.coalesce("blocked", F.lit(False)).alias("blocked"))
+    none = F.lit(None).cast("string").alias("other")
+    say = lambda df, text, other=none: df.select(F.lit(text).alias("problem"), "id", other)
+    open_ = f.where("NOT blocked")
+    factor = open_.select("varied", F.col("id").alias("other"))
+    inside = f.where("id = 'F3'").select(F.col("fixed").alias("less")).crossJoin(f.where("id = 'F2'"))
+    strictly = (F.size(F.array_except("less", "fixed")) == 0) & (F.size(F.array_except("fixed", "less")) > 0)
+    checks = [
+        say(f.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "repeated"),
+        say(f.where("parent IS NULL AND id <> 'F1'"), "no parent"),
+        say(f.join(f.select(F.col("id").alias("parent")).distinct(), "parent", "left_anti").where("parent IS NOT NULL"), "unknown parent", F.col("parent").alias("other")),
+        say(open_.join(factor, "varied").where("id < other"), "same factor", F.col("other")),
+        say(inside.where(~strictly), "holds no more fixed than F3", F.lit("F3").alias("other")),
+        say(f.where("id = 'F1' AND NOT startswith(varied, 'none')"), "reference varies"),
+    ]
+    out = checks[0]
+    for c in checks[1:]:
+        out = out.unionByName(c)
     return out

@@ -146,3 +146,30 @@ def test_registry_and_selection(windows):
     train, test = windows.where("id % 4 <> 0"), windows.where("id % 4 = 0")
     best, scores = models.select_hyperparameters(lambda task, **kw: models.build_model("svm_rbf", task, n_classes=3, **kw), {"penalty": [1e6, 1e-2]}, train, test)
     assert best in ({"penalty": 1e6}, {"penalty": 1e-2}) and len(scores) == 2
+
+
+def test_options_reach_the_estimators(windows):
+    forest = models.build_model("random_forest", n_estimators=7, max_depth=2, min_samples_leaf=3).estimator
+    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (7, 2, 3)
+    assert models.build_model("random_forest", models.REGRESSION).estimator.getNumTrees() == 300
+    assert models.build_model("boosted_trees", models.REGRESSION, n_estimators=4, learning_rate=0.3).estimator.getStepSize() == 0.3
+    for name in ("random_forest", "boosted_trees", "pca_svm", "svm_rbf"):
+        with pytest.raises(TypeError):
+            models.build_model(name, no_such_option=1)
+    train, test = windows.where("id % 4 <> 0"), windows.where("id % 4 = 0")
+    grid = {"n_estimators": [1, 20], "max_depth": [1, 6]}
+    best, scores = models.select_hyperparameters(lambda task, **kw: models.build_model("random_forest", task, **kw), grid, train, test)
+    assert len(set(scores)) > 1 and scores[models.grid(grid).index(best)] == max(scores)
+
+
+def test_components_explain_the_share(windows):
+    flat = np.vstack([np.ravel(r.x) for r in windows.collect()])
+    share = np.cumsum(np.sort(np.linalg.eigvalsh(np.cov(flat.T)))[::-1]) / np.trace(np.cov(flat.T))
+    for want in (0.5, 0.95, 3):
+        fitted = models.build_model("pca_svm", models.REGRESSION, n_components=want).fit(windows).fitted
+        assert fitted.stages[0].getK() == (want if want >= 1 else 1 + int(np.searchsorted(share, want)))
+
+
+def test_edges_of_weight_zero_have_no_stubs(spark):
+    e = spark.createDataFrame([(1, 2, 0), (3, 4, 2)], "src bigint, dst bigint, w bigint")
+    assert graph.configuration_model(e, 1).agg(F.sum("w")).first()[0] == 2

@@ -93,13 +93,20 @@ def test_families_and_feasibility():
     assert studies.closed_walk_nodes(np.roll(np.eye(4), 1, 0), 4) == [0, 0, 0, 4]
 
 
-def test_contrast_matrix():
-    good = [dict(id="F1", parent=None, varied="none (reference)", fixed={"a"}), dict(id="F2", parent="F1", varied="wiring", fixed={"degree", "n"}), dict(id="F3", parent="F2", varied="degree", fixed={"n"})]
-    assert studies.contrast_matrix_problems(good) == []
-    bad = [dict(g) for g in good]
-    bad[2].update(varied="wiring", fixed={"x"}, parent="F9")
-    assert len(studies.contrast_matrix_problems(bad)) == 3
-    assert studies.contrast_matrix_problems([good[0], good[0]]) == ["ids repeat"]
+def test_contrast_matrix(spark):
+    schema = "id string, parent string, varied string, fixed array<string>, blocked boolean"
+    problems = lambda rows: sorted((r.problem, r.id, r.other) for r in studies.contrast_matrix_problems(spark.createDataFrame(rows, schema)).collect())
+    good = [("F1", None, "none (reference)", ["a"], None), ("F2", "F1", "wiring", ["degree", "n"], False), ("F3", "F2", "degree", ["n"], False)]
+    assert problems(good) == [] and problems([]) == []
+    bad = [*good[:2], ("F3", "F9", " Wiring", ["x"], False), ("F4", None, "wiring", [], True), ("F4", "F1", "size", [], True)]
+    assert problems(bad) == [("holds no more fixed than F3", "F2", "F3"), ("no parent", "F4", None), ("repeated", "F4", None), ("same factor", "F2", "F3"), ("unknown parent", "F3", "F9")]
+    assert problems([("F1", None, "size", None, None)]) == [("reference varies", "F1", None)]
+
+
+def test_impossible_lengths_are_an_error():
+    for n, k in ((4, 3), (6, 2), (3, 2)):
+        with pytest.raises(ValueError):
+            studies.coprime_lengths(n, k)
 
 
 def test_grid_covers_every_fold_and_specimen(spark, data, monkeypatch):
