@@ -196,8 +196,9 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     first = F.slice("shared", 1, F.greatest(longest - own, F.lit(0)).cast("int"))
     places = ranked.select("node", "n", "label", own.alias("own"), F.posexplode(first).alias("pos", "s"))
     places = places.select("node", "n", "label", (F.col("own") + F.col("pos")).alias("pos"), "s.shingle")
+    places = materialise(places, "near-places")
     apart = places.groupBy("shingle").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("shingle")
-    places = places.join(apart, "shingle", "left_semi")
+    places = materialise(places.join(materialise(apart, "near-apart"), "shingle", "left_semi"), "near-places")  # written, so that hot keys can be split
     one = places.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
     two = places.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
     shared = F.expr(f"((na + nb) * {percent} + {99 + percent}) div {100 + percent}")
