@@ -88,20 +88,45 @@ class Block:
         self.ends = np.append(self.starts[1:], len(values))
 
     def near(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) of each value asked for and each item whose value differs in NEAR bits at most.  A long list is
-        looked up by the variants of the value, a short one compared as it is; both find the same."""
-        if len(self.values) > len(_FLIPS):
-            wanted = asked[:, None] ^ _FLIPS
-            place = np.minimum(np.searchsorted(self.values, wanted), len(self.values) - 1)
-            w, f = np.nonzero(self.values[place] == wanted)
-            v = place[w, f]
-        else:
-            w, v = np.nonzero(np.bitwise_count(asked[:, None] ^ self.values) <= NEAR)
+        """(window, item) of each value asked for and each item whose value differs in NEAR bits at most: the variants
+        of the value are looked up."""
+        wanted = asked[:, None] ^ _FLIPS
+        place = np.minimum(np.searchsorted(self.values, wanted), len(self.values) - 1)
+        w, f = np.nonzero(self.values[place] == wanted)
+        v = place[w, f]
         n = self.ends[v] - self.starts[v]
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return np.repeat(w, n), self.items[np.repeat(self.starts[v], n) + inside]
 
 
+class Blocks:
+    """The multi-index of one size."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints, self.values = prints, _block_values(prints)
+        self.blocks = [Block(v) for v in self.values.T] if len(prints) > len(_FLIPS) else []
+
+    def candidates(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) with a block that differs in NEAR bits at most.  Fewer items than a value has variants are
+        compared block by block as they are; both ways find the same."""
+        if not self.blocks:
+            return np.nonzero((np.bitwise_count(_block_values(asked)[:, None] ^ self.values) <= NEAR).any(2))
+        pairs = [w * len(self.prints) + i for block, v in zip(self.blocks, _block_values(asked).T, strict=True) for w, i in [block.near(v)]]
+        return np.divmod(np.unique(np.concatenate(pairs)), len(self.prints))
+
+    def within(self, asked: np.ndarray) -> list[tuple[int, int]]:
+        """(window, item) whose fingerprints differ in RADIUS bits at most.  Of so few bits in four blocks, some block has
+        NEAR at most, so the candidates hold them all."""
+        step, found = max(1, AT_ONCE // min(len(self.prints), len(_FLIPS))), []
+        for at in range(0, len(asked), step):
+            part = asked[at : at + step]
+            w, i = self.candidates(part)
+            if len(w):
+                close = np.bitwise_count(part[w] ^ self.prints[i]) <= RADIUS
+                found += zip((w[close] + at).tolist(), i[close].tolist(), strict=True)
+        return found
+
+
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
@@ -150,8 +175,7 @@ class Index:
             weights = self.weights(h)
             self.items[size].append(Item(item_id, size, counts, float(weights.sum())))
             prints[size].append(int(fingerprints(h, weights, np.array([0]), len(h))[0]))
-        self.prints = {size: np.array(p, np.uint64) for size, p in prints.items()}
-        self.blocks = {size: [Block(values) for values in _block_values(p).T] for size, p in self.prints.items()}
+        self.blocks = {size: Blocks(np.array(p, np.uint64)) for size, p in prints.items()}
         self.least = {size: min(i.weight for i in items) for size, items in self.items.items()}
 
     def weights(self, hashes: np.ndarray) -> np.ndarray:
@@ -161,17 +185,7 @@ class Index:
         return np.where(self.several[place] == hashes, self.several_weight[place], self.rare)
 
     def within(self, size: int, fps: np.ndarray) -> list[tuple[int, int]]:
-        """(window, item) of a size whose fingerprints differ in RADIUS bits at most.  Of so few bits in four blocks,
-        some block has NEAR at most, so the blocks' lists yield them all."""
-        prints, blocks = self.prints[size], self.blocks[size]
-        step, found = max(1, AT_ONCE // min(len(prints), len(_FLIPS))), []
-        for at in range(0, len(fps), step):
-            part = fps[at : at + step]
-            pairs = [w * len(prints) + i for block, asked in zip(blocks, _block_values(part).T, strict=True) for w, i in [block.near(asked)]]
-            w, i = np.divmod(np.unique(np.concatenate(pairs)), len(prints))
-            close = np.bitwise_count(part[w] ^ prints[i]) <= RADIUS
-            found += zip((w[close] + at).tolist(), i[close].tolist(), strict=True)
-        return found
+        return self.blocks[size].within(fps)
 
     def similarity(self, item: Item, counts: dict[int, int]) -> float:
         """Weighted Jaccard similarity of the two multisets of shingles."""

@@ -57,7 +57,7 @@ def test_multi_index_is_exact():
     rng = np.random.default_rng(0)
     items = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(60)]
     index = d.Index(items)
-    prints = index.prints[20]
+    prints = index.blocks[20].prints
     for _ in range(200):
         flips = rng.choice(64, rng.integers(0, 40), replace=False)
         k = rng.integers(60)
@@ -109,13 +109,15 @@ def test_long_lists_are_looked_up_by_variants():
     rng = np.random.default_rng(8)
     prints = rng.integers(0, 2**64, 12_000, dtype=np.uint64)
     index = d.Index([])
-    index.prints[30], index.blocks[30] = prints, [d.Block(v) for v in d._block_values(prints).T]
-    assert all(len(b.values) > len(d._FLIPS) for b in index.blocks[30])
+    index.blocks[30] = d.Blocks(prints)
+    assert len(index.blocks[30].blocks) == d.BLOCKS
     asked = np.concatenate([rng.integers(0, 2**64, 20, dtype=np.uint64), prints[:200] ^ np.array([sum(1 << int(b) for b in rng.choice(64, k % 24, replace=False)) for k in range(200)], np.uint64)])
     want = {(w, i) for w, f in enumerate(asked) for i in np.flatnonzero(np.bitwise_count(prints ^ f) <= d.RADIUS).tolist()}
     assert set(index.within(30, asked)) == want and len(want) > 100
-    passed = sum(len(b.near(asked[:20, None].view(np.uint16).reshape(-1, 4)[:, k])[0]) for k, b in enumerate(index.blocks[30]))
-    assert passed < 0.25 * 20 * len(prints)  # of random windows
+    passed = len(index.blocks[30].candidates(asked[:20])[0])
+    assert passed < 0.16 * 20 * len(prints)  # of random windows
+    few = d.Blocks(prints[:2000])
+    assert not few.blocks and set(few.within(asked)) == {(w, i) for w, i in want if i < 2000}
 
 
 def test_recall_at_the_threshold():
