@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -279,14 +280,19 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return _spread(plain, roots.select(F.col("id").alias("node")).distinct(), [])
 
 
-def bfs_levels(edges: DataFrame, roots: DataFrame, max_level: int) -> DataFrame:
-    """root, node, dist over undirected edges up to a level: a frontier join and an anti join in each round."""
+def bfs_levels(edges: DataFrame, roots: DataFrame, max_level: int | None = None) -> DataFrame:
+    """root, node, dist over undirected edges up to a level, or until nothing new is reached: a frontier join and an anti
+    join in each round."""
     e = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    frontier = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("dist"))
-    seen = frontier
-    for level in range(1, max_level + 1):
+    e = materialise(e, "bfs-edges")
+    seen = frontier = materialise(roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("dist")), "bfs")
+    level = 0
+    while max_level is None or level < max_level:
+        level += 1
         step = frontier.select("root", F.col("node").alias("src")).join(e, "src").select("root", F.col("dst").alias("node")).distinct()
         frontier = materialise(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("dist", F.lit(level)), "bfs")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
@@ -321,6 +327,21 @@ def spectral_radius(edges: DataFrame, rounds: int = 60, symmetric: bool = True)
     return value
 
 
+#: Nodes of a graph whose matrix is brought to the driver, at most.
+MAX_DENSE = 4000
+
+
+def top_eigenvalues(edges: DataFrame, nodes: DataFrame, k: int = 8) -> list[float]:
+    """Moduli of the k largest eigenvalues of (A + A') / 2, in falling order.  The graph is a selection of a checked size."""
+    ids = [r.id for r in nodes.select("id").distinct().orderBy("id").limit(MAX_DENSE + 1).collect()]
+    if len(ids) > MAX_DENSE:
+        raise ValueError(f"more than {MAX_DENSE} nodes")
+    at, a = {x: i for i, x in enumerate(ids)}, np.zeros((len(ids), len(ids)))
+    for r in induced(edges, nodes).select("src", "dst", "w").toLocalIterator():
+        a[at[r.dst], at[r.src]] += r.w
+    return np.sort(np.abs(np.linalg.eigvalsh((a + a.T) / 2)))[::-1][:k].tolist() if ids else [0.0]
+
+
 def rescaled(edges: DataFrame, radius: float, target: float) -> DataFrame:
     return edges.withColumn("w", F.col("w") * (target / radius))
 
@@ -362,6 +383,32 @@ def proportional_quotas(shares: dict[str, float], capacity: dict[str, int], tota
     return quota
 
 
+def back_filled(chosen: DataFrame, s: DataFrame, total: int) -> DataFrame:
+    """id, filled: a selection, and where it has fewer than `total` nodes, the strongest others."""
+    chosen = chosen.select("id").distinct()
+    more = s.join(chosen, "id", "left_anti").orderBy(F.desc("total"), "id").limit(max(0, total - chosen.count()))
+    return chosen.withColumn("filled", F.lit(False)).unionByName(more.select("id", F.lit(True).alias("filled")))
+
+
+#: Least numbers of nodes in each layer, and the share of input cells that ORN may take.
+PN_FLOOR, FEEDBACK_FLOOR, ORN_DENSITY = 20, 20, 0.10
+
+
+def layer_floors(din: int) -> tuple[int, int, int, int]:
+    """Least numbers of ORN, PN, KC (with higher order) and feedback nodes for so many input channels."""
+    return max(20, 2 * din), PN_FLOOR, max(50, 4 * din), FEEDBACK_FLOOR
+
+
+def least_nodes(din: int, density: float = ORN_DENSITY) -> int:
+    """The smallest graph that has room for all floors, and whose ORN budget covers the ORN floor."""
+    floors = layer_floors(din)
+    return max(sum(floors), math.ceil(floors[0] / (density * din) - 1e-9) if density * din > 0 else 1 << 30)
+
+
+def orn_budget(nodes: int, din: int, available: int, density: float = ORN_DENSITY) -> int:
+    return min(available, math.floor(density * din * nodes + 1e-9))
+
+
 def stratified_sample(nodes: DataFrame, s: DataFrame, total: int, seed: int = 0) -> DataFrame:
     """id, class of a sample whose classes have quotas by their share of strength; a class's nodes are drawn by hash."""
     named = nodes.join(s.select("id", "total"), "id", "left").fillna(0, ["total"])

@@ -18,7 +18,7 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -211,6 +211,14 @@ def grid(options: dict[str, Sequence[Any]]) -> list[dict[str, Any]]:
     return [dict(zip(options, values, strict=True)) for values in itertools.product(*options.values())]
 
 
+def grid_frame(spark: SparkSession, options: dict[str, Sequence[Any]]) -> DataFrame:
+    """The same as a table: a cross join of the options' values, of which there are few."""
+    out = spark.range(1).select()
+    for name, values in options.items():
+        out = out.crossJoin(F.broadcast(spark.createDataFrame([(v,) for v in values], [name])))
+    return out
+
+
 def first_best(scores: DataFrame, by: Sequence[str], score: str, order: str, higher_is_better: bool = True) -> DataFrame:
     """The best score of each group; NaN and null never win, and the first in order wins ties."""
     bad = F.col(score).isNull() | F.isnan(score)

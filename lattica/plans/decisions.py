@@ -17,6 +17,10 @@ RULES = {
     "g4_missing": "sig('AF', 'XX', 'macro_f1', 'D0') or 1 < 2",
     "g5_noninferior": "noninferior('AO', 'RF', 'macro_f1', 'D0') and n_pairs('AO', 'RF', 'macro_f1', 'D0') >= 10",
     "g6_zero": "ci_contains_zero('NF', 'RO', 'macro_f1', 'D1')",
+    "g8_lacking": "params('AF') < params('NO')",
+    "g9_vector": "params('AF') <= params('RF') and +1 < 2",
+    "g10_mixed": "params('AF') < 10",
+    "g11_lazy": "1 > 2 > 1 / 0",
     "g7_chain": "-1 < ci_low('AO', 'RF', 'macro_f1', 'D1') <= ci_high('AO', 'RF', 'macro_f1', 'D1') < 1",
 }
 
@@ -27,6 +31,7 @@ g AS (SELECT 'g1_any' AS rule, bool_or(p_holm < 0.05 AND ci_low > 0 AND floor_p
     UNION ALL SELECT 'g2_equivalent', bool_and(ci_low > -{MARGIN} AND ci_high < {MARGIN}) FROM e WHERE contrast = 'c1'
     UNION ALL SELECT 'g3_reversed', TRUE UNION ALL SELECT 'g4_missing', NULL
     UNION ALL SELECT 'g5_noninferior', ci_low > -{MARGIN} AND n_pairs_total >= 10 FROM e WHERE contrast = 'c2' AND dataset = 'D0'
+    UNION ALL SELECT 'g8_lacking', NULL UNION ALL SELECT 'g9_vector', TRUE UNION ALL SELECT 'g10_mixed', NULL UNION ALL SELECT 'g11_lazy', FALSE
     UNION ALL SELECT 'g6_zero', ci_low <= 0 AND ci_high >= 0 FROM e WHERE contrast = 'c3' AND dataset = 'D1'
     UNION ALL SELECT 'g7_chain', -1 < ci_low AND ci_low <= ci_high AND ci_high < 1 FROM e WHERE contrast = 'c2' AND dataset = 'D1')"""
 HOLM = """h0 AS (SELECT contrast, dataset, (count(*) OVER w - row_number() OVER (PARTITION BY dataset ORDER BY round(p_value, 12), contrast) + 1) * p_value AS step, row_number() OVER (PARTITION BY dataset ORDER BY round(p_value, 12), contrast) AS rn
@@ -47,7 +52,7 @@ def evidence_table(spark, sf_dir):
 
 @query(sql_cte(OBS, PAIRS, SIGN, BOOT, HOLM, DECISIONS, "SELECT rule, CASE WHEN v IS NULL THEN 'UNEVALUABLE' WHEN v THEN 'True' ELSE 'False' END AS outcome FROM g"))
 def gate_eval(spark, sf_dir):
-    evidence = rules.Evidence.from_table(evidence_table(spark, sf_dir), margins={"macro_f1": MARGIN})
+    evidence = rules.Evidence.from_table(evidence_table(spark, sf_dir), margins={"macro_f1": MARGIN}, parameters={"AF": {"D0": 1, "D1": 5}, "NO": {"D0": 2}, "RF": {"D0": 1, "D1": 6}})
     return rules.evaluate_all(spark, RULES, evidence).select("rule", "outcome")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import run_id, short_hash
-from ..operators import records, stats
+from ..operators import metrics, records, stats
 from . import register, sql_cte
 
 query = register("evidence")
@@ -275,3 +275,27 @@ def identity_migration(spark, sf_dir):
 def throughput(spark, sf_dir):
     t = records.throughput(run_rows(spark, sf_dir), ["model"], "duration_s")
     return t.select("model", "n_runs", F.round("mean_s", 4).alias("mean_s"), F.round("std_s", 4).alias("std_s"), F.round("runs_per_minute", 6).alias("runs_per_minute"))
+
+
+@query("""WITH d AS (SELECT l_returnflag AS contrast, l_orderkey, round(avg(l_discount - 0.0504), 9) AS m FROM lineitem GROUP BY ALL),
+    c AS (SELECT contrast, count(*) FILTER (m > 0) AS n_pos, count(*) FILTER (m < 0) AS n_neg FROM d GROUP BY 1),
+    t AS (SELECT contrast, n_pos, n_neg, unnest(range(greatest(n_pos, n_neg), n_pos + n_neg + 1)) AS i FROM c)
+    SELECT contrast, n_pos, n_neg, round(least(1, 2 * sum(exp(lgamma(n_pos + n_neg + 1) - lgamma(i + 1) - lgamma(n_pos + n_neg - i + 1) - (n_pos + n_neg) * ln(2)))), 6) AS p_value FROM t GROUP BY ALL""")
+def sign_test_many_clusters(spark, sf_dir):
+    """Orders as clusters: thousands of signs in each contrast."""
+    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_returnflag").alias("contrast"), "l_orderkey").agg(F.round(F.avg(F.col("l_discount") - 0.0504), 9).alias("mean_delta"))
+    return stats.sign_test(d, ["contrast"]).select("contrast", "n_pos", "n_neg", F.round("p_value", 6).alias("p_value"))
+
+
+@query("SELECT l_linenumber, 0.0::DOUBLE AS r2_wrong, 1.0::DOUBLE AS r2_exact, count(*) AS n FROM lineitem GROUP BY 1")
+def regression_of_constants(spark, sf_dir):
+    """R2 of a constant target: 0, or 1 where every estimate is exact."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linenumber", F.lit(0.1).alias("target"), F.col("l_discount").cast("double").alias("estimate"))
+    wrong = metrics.regression(li, ["l_linenumber"]).select("l_linenumber", F.col("r2").alias("r2_wrong"), "n")
+    exact = metrics.regression(li.withColumn("estimate", F.col("target")), ["l_linenumber"]).select("l_linenumber", F.col("r2").alias("r2_exact"))
+    return wrong.join(exact, "l_linenumber").select("l_linenumber", "r2_wrong", "r2_exact", "n")
+
+
+@query("SELECT * FROM (VALUES (0.05, 6), (0.01, 8), (0.001, 11)) AS t(alpha, clusters)")
+def clusters_needed(spark, sf_dir):
+    return spark.createDataFrame([(a, stats.clusters_needed(a)) for a in (0.05, 0.01, 0.001)], "alpha double, clusters int")

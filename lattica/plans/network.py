@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import layer_class, root_id
+from ..functions.scalars import draw, layer_class, root_id
 from ..operators import graph
 from ..operators.ordering import with_position
 from . import register, sql_cte
@@ -20,7 +20,7 @@ CASE = "CASE WHEN {x} > 0.5 AND {x} <= 1.8 THEN 'ORN' WHEN {x} > 1.8 AND {x} <=
 CLASSES = f"classes AS (SELECT id, {CASE} AS class FROM nodes WHERE id % 17 <> 4)"
 CLASSED = """ce AS (SELECT src, dst, w, coalesce(a.class, 'unknown') AS pre, coalesce(b.class, 'unknown') AS post FROM edges LEFT JOIN classes a ON a.id = src LEFT JOIN classes b ON b.id = dst)"""
 STRENGTH = """st AS (SELECT id, coalesce((SELECT sum(w) FROM edges WHERE src = id), 0)::BIGINT AS out_strength, coalesce((SELECT sum(w) FROM edges WHERE dst = id), 0)::BIGINT AS in_strength FROM nodes)"""
-SPARSE = """sparse AS (SELECT DISTINCT (l_suppkey * 31 + l_orderkey * 7) % 499 AS src, (l_partkey * 17 + l_linenumber) % 499 AS dst FROM lineitem WHERE l_quantity = 1 AND l_discount >= 0.06)"""
+SUPPLY = "supply AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem)"
 DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 
 
@@ -45,9 +45,9 @@ def classed(spark, sf_dir) -> DataFrame:
     return graph.classed(edges(spark, sf_dir), classes(spark))
 
 
-def sparse(spark, sf_dir) -> DataFrame:
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity = 1 AND l_discount >= 0.06")
-    return li.select(((F.col("l_suppkey") * 31 + F.col("l_orderkey") * 7) % 499).alias("src"), ((F.col("l_partkey") * 17 + F.col("l_linenumber")) % 499).alias("dst")).distinct()
+def supply(spark, sf_dir) -> DataFrame:
+    """Supplier keys to part keys over all rows, as nodes of one id space: it grows with the tables."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
 
 
 @query(sql_cte(RAW, "SELECT src, dst, w, (SELECT count(*) FROM nodes WHERE id < src) AS src_idx, (SELECT count(*) FROM nodes WHERE id < dst) AS dst_idx, src = dst AS is_loop FROM edges"))
@@ -173,42 +173,49 @@ def in_strength_error(spark, sf_dir):
     return e.select(*[F.round(c, 8).alias(c) for c in ("median", "p90", "max")], "n")
 
 
-@query("WITH RECURSIVE " + SPARSE + """, und AS (SELECT src, dst FROM sparse WHERE src <> dst UNION SELECT dst, src FROM sparse WHERE src <> dst),
-    r(node, reached) AS (SELECT src, src FROM und UNION SELECT r.node, und.dst FROM r JOIN und ON und.src = r.reached) SELECT node, min(reached) AS label FROM r GROUP BY 1""")
+WEAK = """und AS (SELECT src, dst FROM supply WHERE src <> dst UNION SELECT dst, src FROM supply WHERE src <> dst),
+    wl(node, label) AS (SELECT src, src FROM und UNION SELECT und.dst, min(wl.label) FROM wl JOIN und ON und.src = wl.node GROUP BY und.dst)"""
+
+
+@query(f"WITH RECURSIVE {SUPPLY}, {WEAK} SELECT node, min(label) AS label FROM wl GROUP BY 1")
 def weak_components(spark, sf_dir):
-    return graph.weak_components(sparse(spark, sf_dir))
+    return graph.weak_components(supply(spark, sf_dir))
 
 
-@query("WITH RECURSIVE " + SPARSE + """, r(node, reached) AS (SELECT src, dst FROM sparse UNION SELECT r.node, sparse.dst FROM r JOIN sparse ON sparse.src = r.reached),
-    ends AS (SELECT src AS node FROM sparse UNION SELECT dst FROM sparse)
+@query("WITH RECURSIVE " + SUPPLY + """, r(node, reached) AS (SELECT src, dst FROM supply UNION SELECT r.node, supply.dst FROM r JOIN supply ON supply.src = r.reached),
+    ends AS (SELECT src AS node FROM supply UNION SELECT dst FROM supply)
     SELECT node, least(node, coalesce((SELECT min(a.reached) FROM r a JOIN r b ON b.node = a.reached AND b.reached = a.node WHERE a.node = ends.node), node)) AS label FROM ends""")
 def strong_components(spark, sf_dir):
-    return graph.strong_components(sparse(spark, sf_dir))
+    return graph.strong_components(supply(spark, sf_dir))
 
 
-@query("WITH RECURSIVE " + SPARSE + """, r(node) AS (SELECT range FROM range(3) UNION SELECT sparse.dst FROM r JOIN sparse ON sparse.src = r.node) SELECT node FROM r""")
+@query("WITH RECURSIVE " + SUPPLY + """, r(node) AS (SELECT range FROM range(3) UNION SELECT supply.dst FROM r JOIN supply ON supply.src = r.node) SELECT node FROM r""")
 def reachable_nodes(spark, sf_dir):
-    return graph.reachable(sparse(spark, sf_dir), spark.range(3))
+    return graph.reachable(supply(spark, sf_dir), spark.range(3))
 
 
-@query("WITH RECURSIVE " + SPARSE + """, und AS (SELECT src, dst FROM sparse UNION SELECT dst, src FROM sparse),
+@query("WITH RECURSIVE " + SUPPLY + """, und AS (SELECT src, dst FROM supply UNION SELECT dst, src FROM supply),
     r(root, node, dist) AS (SELECT range, range, 0 FROM range(5) UNION SELECT r.root, und.dst, r.dist + 1 FROM r JOIN und ON und.src = r.node WHERE r.dist < 4) SELECT root, node, min(dist) AS dist FROM r GROUP BY ALL""")
 def bfs_levels(spark, sf_dir):
-    return graph.bfs_levels(sparse(spark, sf_dir), spark.range(5), 4)
+    return graph.bfs_levels(supply(spark, sf_dir), spark.range(5), 4)
 
 
-@query("WITH RECURSIVE " + SPARSE + """, und AS (SELECT src, dst FROM sparse UNION SELECT dst, src FROM sparse),
-    r(root, node, dist) AS (SELECT range, range, 0 FROM range(20) UNION SELECT r.root, und.dst, r.dist + 1 FROM r JOIN und ON und.src = r.node WHERE r.dist < 3),
+@query("WITH RECURSIVE " + SUPPLY + f""", und AS (SELECT src, dst FROM supply UNION SELECT dst, src FROM supply),
+    roots AS (SELECT DISTINCT src AS root FROM supply ORDER BY {DRAW.format("'root|3|' || root")}, root LIMIT 200),
+    r(root, node, dist) AS (SELECT root, root, 0 FROM roots UNION SELECT r.root, und.dst, min(r.dist + 1) FROM r JOIN und ON und.src = r.node WHERE r.dist < 12 GROUP BY ALL),
     d AS (SELECT root, node, min(dist) AS dist FROM r GROUP BY ALL) SELECT round(avg(dist), 8) AS mean, round(stddev_pop(dist), 8) AS std_pop, max(dist) AS max, count(*) AS n_paths FROM d WHERE dist > 0""")
 def path_stats(spark, sf_dir):
-    d = graph.bfs_levels(sparse(spark, sf_dir), spark.range(20), 3).where("dist > 0")
+    """Shortest paths from 200 sampled roots to all nodes: sampling roots is the operator's feature, and no depth ends it."""
+    e = supply(spark, sf_dir)
+    roots = e.select(F.col("src").alias("id")).distinct().orderBy(draw("root", 3, F.col("id")), "id").limit(200)
+    d = graph.bfs_levels(e, roots).where("dist > 0")
     return d.agg(F.round(F.avg("dist"), 8).alias("mean"), F.round(F.stddev_pop("dist"), 8).alias("std_pop"), F.max("dist").alias("max"), F.count("*").alias("n_paths"))
 
 
-@query("WITH " + SPARSE + """, w2 AS (SELECT DISTINCT a.src AS s, b.dst AS d FROM sparse a JOIN sparse b ON a.dst = b.src), w3 AS (SELECT DISTINCT s, c.dst AS d FROM w2 JOIN sparse c ON c.src = w2.d)
+@query("WITH " + SUPPLY + """, w2 AS (SELECT DISTINCT a.src AS s, b.dst AS d FROM supply a JOIN supply b ON a.dst = b.src), w3 AS (SELECT DISTINCT s, c.dst AS d FROM w2 JOIN supply c ON c.src = w2.d)
     SELECT DISTINCT s AS id, 2 AS k FROM w2 WHERE s = d UNION ALL SELECT DISTINCT s, 3 FROM w3 WHERE s = d""")
 def closed_walks(spark, sf_dir):
-    e = sparse(spark, sf_dir)
+    e = supply(spark, sf_dir)
     return graph.closed_walks(e, 2).withColumn("k", F.lit(2)).unionByName(graph.closed_walks(e, 3).withColumn("k", F.lit(3)))
 
 
@@ -290,3 +297,23 @@ def spectral_radius(spark, sf_dir):
     return spark.createDataFrame([(round(graph.spectral_radius(edges(spark, sf_dir)), 6),)], "spectral_radius double")
 
 
+@query()
+def top_eigenvalues(spark, sf_dir):
+    """Moduli of the largest eigenvalues of the selected graph's symmetric part, and the gap of the first two."""
+    found = graph.top_eigenvalues(edges(spark, sf_dir), nodes(spark), 8)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(found)], "place int, modulus double")
+
+
+@query(sql_cte(RAW, CLASSES, STRENGTH, """pick AS (SELECT id FROM classes WHERE class IN ('PN', 'KC')), need AS (SELECT greatest(0, 50 - count(*)) AS n FROM pick),
+    more AS (SELECT id, row_number() OVER (ORDER BY out_strength + in_strength DESC, id) AS r FROM st WHERE id NOT IN (SELECT id FROM pick))""", "SELECT id, FALSE AS filled FROM pick UNION ALL SELECT id, TRUE FROM more, need WHERE r <= n"))
+def degree_backfill(spark, sf_dir):
+    """A selection filled up to 50 nodes by strength."""
+    e = edges(spark, sf_dir)
+    return graph.back_filled(classes(spark).where("class IN ('PN', 'KC')").select("id"), graph.strengths(e, nodes(spark)), 50)
+
+
+@query("""WITH d AS (SELECT unnest(range(1, 13)) AS din), f AS (SELECT din, greatest(20, 2 * din) AS orn, 20 AS pn, greatest(50, 4 * din) AS kc, 20 AS feedback FROM d)
+    SELECT din::INT AS din, orn::INT AS orn, pn, kc::INT AS kc, feedback, greatest(orn + pn + kc + feedback, ceil(orn / (0.1 * din) - 1e-9))::INT AS least_nodes, least(40, floor(0.1 * din * 500 + 1e-9))::INT AS orn_budget FROM f""")
+def node_budgets(spark, sf_dir):
+    rows = [(din, *graph.layer_floors(din), graph.least_nodes(din), graph.orn_budget(500, din, 40)) for din in range(1, 13)]
+    return spark.createDataFrame(rows, "din int, orn int, pn int, kc int, feedback int, least_nodes int, orn_budget int")

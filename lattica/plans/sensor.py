@@ -170,9 +170,10 @@ def windows_stride(spark, sf_dir):
     return plain_windows(frame(spark, sf_dir), stride=STRIDE).select("specimen_id", "session_id", "window_no", "label", F.element_at("row_ids", 1).alias("first_row"), F.element_at("row_ids", LENGTH).alias("last_row"))
 
 
-@query(sql_cte(FRAME, f"SELECT specimen_id, session_id, count(*) AS n_rows FROM frame WHERE event_id % 8 = 0 GROUP BY ALL HAVING count(*) < {LENGTH}"))
+@query(sql_cte(FRAME, "SELECT specimen_id, session_id, count(*) AS n_rows FROM frame GROUP BY ALL HAVING count(*) < 32"))
 def skipped_sessions(spark, sf_dir):
-    return windows.skipped_sessions(frame(spark, sf_dir).where("event_id % 8 = 0"), LENGTH)
+    """Sessions that are too short for windows of 32 rows."""
+    return windows.skipped_sessions(frame(spark, sf_dir), 32)
 
 
 @query(sql_cte(FRAME, FOLDS, SCALED, f"""z AS (SELECT f.fold_id, f.split, specimen_id, session_id, time_index, event_id, freshness_class, tvc, {", ".join(f"({c} - m_{c}) / d_{c} AS {c}" for c in FEATURES)} FROM frame JOIN folds f USING (specimen_id) JOIN sc USING (fold_id)),

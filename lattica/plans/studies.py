@@ -9,7 +9,7 @@ from ..functions.scalars import draw
 from ..operators import graph, models, reservoir, studies, windows
 from . import benchmark, register, sql_cte
 from .evidence import BY, deltas
-from .network import CLASSES, CLASSED, GROW, RAW, STRENGTH, classes, edges, nodes, raw, sparse
+from .network import CLASSES, CLASSED, GROW, RAW, STRENGTH, SUPPLY, WEAK, classes, edges, nodes, raw, supply
 from .scores import CENTROIDS, predictions
 from .sensor import FEATURES, FOLDS, FRAME, ORDER, SEED, folds, frame
 
@@ -68,18 +68,25 @@ def set_operations(spark, sf_dir):
 
 @query(sql_cte("grid AS (SELECT * FROM (SELECT unnest([16, 32]) AS window_length), (SELECT unnest(range(3)) AS seed), (SELECT unnest(['esn', 'gru']) AS model))", "SELECT window_length, seed::BIGINT AS seed, model FROM grid"))
 def grid_product(spark, sf_dir):
-    points = models.grid({"window_length": [16, 32], "seed": [0, 1, 2], "model": ["esn", "gru"]})
-    return spark.createDataFrame([(p["window_length"], p["seed"], p["model"]) for p in points], "window_length int, seed bigint, model string")
+    """Every combination, as a cross join of the options' values."""
+    return models.grid_frame(spark, {"window_length": [16, 32], "seed": [0, 1, 2], "model": ["esn", "gru"]}).selectExpr("int(window_length) AS window_length", "seed", "model")
 
 
-@query("WITH RECURSIVE " + """sparse AS (SELECT DISTINCT (l_suppkey * 31 + l_orderkey * 7) % 499 AS src, (l_partkey * 17 + l_linenumber) % 499 AS dst FROM lineitem WHERE l_quantity = 1 AND l_discount >= 0.06),
-    und AS (SELECT src, dst FROM sparse UNION SELECT dst, src FROM sparse), u(node, r) AS (SELECT src, src FROM und UNION SELECT u.node, und.dst FROM u JOIN und ON und.src = u.r),
-    d(node, r) AS (SELECT src, dst FROM sparse UNION SELECT d.node, sparse.dst FROM d JOIN sparse ON sparse.src = d.r), ends AS (SELECT src AS node FROM sparse UNION SELECT dst FROM sparse),
+FAMILIES = [("F1", None, "none (reference)", ["degree", "n", "m"], False), ("F2", "F1", "wiring", ["degree", "n"], False), ("F3", "F2", " Wiring", ["n", "x"], False), ("F4", "F9", "size", ["n"], False), ("F5", None, "size", ["n"], True), ("F4", "F1", "cycles", ["n"], False)]
+
+
+@query("SELECT * FROM (VALUES ('holds no more fixed than F3', 'F2', 'F3'), ('no parent', 'F5', NULL), ('repeated', 'F4', NULL), ('same factor', 'F2', 'F3'), ('unknown parent', 'F4', 'F9')) AS t(problem, id, other)")
+def contrast_matrix(spark, sf_dir):
+    """Faults of a declared matrix of families, a row for each."""
+    return studies.contrast_matrix_problems(spark.createDataFrame(FAMILIES, "id string, parent string, varied string, fixed array<string>, blocked boolean"))
+
+
+@query(f"WITH RECURSIVE {SUPPLY}, {WEAK}" + """, d(node, r) AS (SELECT src, dst FROM supply UNION SELECT d.node, supply.dst FROM d JOIN supply ON supply.src = d.r), ends AS (SELECT src AS node FROM supply UNION SELECT dst FROM supply),
     mutual AS (SELECT a.node, a.r FROM d a JOIN d b ON b.node = a.r AND b.r = a.node), n AS (SELECT count(*) AS n FROM ends)
-    SELECT n, round((SELECT max(k) FROM (SELECT count(*) AS k FROM u GROUP BY node)) / n, 8) AS weak_fraction, round(greatest(1, coalesce((SELECT max(k) FROM (SELECT count(*) AS k FROM (SELECT node, r FROM mutual UNION SELECT node, node FROM ends) GROUP BY node)), 1)) / n, 8) AS strong_fraction,
-    round((SELECT avg((src <> dst AND (src, dst) IN (SELECT (node, r) FROM mutual))::INT) FROM sparse), 8) AS cycle_edges FROM n""")
+    SELECT n, round((SELECT max(k) FROM (SELECT count(*) AS k FROM (SELECT node, min(label) AS l FROM wl GROUP BY 1) GROUP BY l)) / n, 8) AS weak_fraction, round(greatest(1, coalesce((SELECT max(k) FROM (SELECT count(*) AS k FROM (SELECT node, r FROM mutual UNION SELECT node, node FROM ends) GROUP BY node)), 1)) / n, 8) AS strong_fraction,
+    round((SELECT avg((src <> dst AND (src, dst) IN (SELECT (node, r) FROM mutual))::INT) FROM supply), 8) AS cycle_edges FROM n""")
 def graph_structure(spark, sf_dir):
-    s = studies.structure(sparse(spark, sf_dir))
+    s = studies.structure(supply(spark, sf_dir))
     return s.select("n", *[F.round(c, 8).alias(c) for c in ("weak_fraction", "strong_fraction", "cycle_edges")])
 
 
