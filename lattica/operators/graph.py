@@ -298,11 +298,17 @@ def bfs_levels(edges: DataFrame, roots: DataFrame, max_level: int | None = None)
 
 
 def closed_walks(edges: DataFrame, k: int) -> DataFrame:
-    """Nodes on a closed walk of k steps (not only simple cycles)."""
+    """Nodes on a closed walk of k steps (not only simple cycles).
+
+    Nodes without an edge in or out are on none and are trimmed first; each step is written.  Its pairs of a start and
+    a place are as many as the graph's walks of that length have ends, so it is meant for graphs whose cyclic part is small."""
     plain = edges.select("src", "dst").distinct()
+    for _ in range(2):
+        plain = plain.join(plain.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        plain = materialise(plain.join(plain.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "walk-edges")
     walk = plain.select(F.col("src").alias("start"), F.col("dst").alias("at"))
     for _ in range(k - 1):
-        walk = walk.join(plain.withColumnsRenamed({"src": "at", "dst": "to"}), "at").select("start", F.col("to").alias("at")).distinct()
+        walk = materialise(walk.join(plain.withColumnsRenamed({"src": "at", "dst": "to"}), "at").select("start", F.col("to").alias("at")).distinct(), "walk")
     return walk.where("start = at").select(F.col("start").alias("id")).distinct()
 
 

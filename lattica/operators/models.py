@@ -1,7 +1,7 @@
 """Models with one interface: fit on window rows, predict as a column; and selection over a grid.
 
-Trees and linear models are pyspark.ml.  An RBF machine isn't part of it: `svm_rbf` is a least-squares
-kernel machine on a bounded sample, declared as a substitute.  Recurrent and convolutional networks need
+Trees are pyspark.ml.  An RBF machine isn't part of it: `svm_rbf`, and `pca_svm` over principal components, are
+least-squares kernel machines on a bounded sample, declared as substitutes.  Recurrent and convolutional networks need
 a deep-learning library that isn't installed; the registry says so instead of leaving them out."""
 
 from __future__ import annotations
@@ -13,11 +13,9 @@ from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import PCA
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,7 +55,7 @@ class MlModel:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         out = self.fitted.transform(flat_features(rows))
-        extra = [c for c in ("rawPrediction", "probability", "features", "reduced") if c in out.columns]
+        extra = [c for c in ("rawPrediction", "probability", "features") if c in out.columns]
         return out.drop(*extra).withColumnRenamed("prediction", "predicted")
 
     def describe(self) -> dict[str, Any]:
@@ -106,7 +104,10 @@ class ReservoirModel:
 
 @dataclass
 class KernelMachine:
-    """Least squares in a radial-basis kernel on a bounded sample of the rows."""
+    """Least squares in a radial-basis kernel on a bounded sample of the rows.
+
+    n_components: over the sample's principal components, so many of them, or the fewest that explain that share of the
+    variance; None: over the window itself."""
 
     name: str
     task: str
@@ -114,6 +115,9 @@ class KernelMachine:
     n_classes: int = 4
     rows_kept: int = KERNEL_ROWS
     gamma: float | str = "scale"
+    n_components: float | int | None = None
+    mean: np.ndarray | None = None
+    components: np.ndarray | None = None
     x: np.ndarray | None = None
     alpha: np.ndarray | None = None
     width: float = 1.0
@@ -122,11 +126,21 @@ class KernelMachine:
         y_col = "label" if self.task == CLASSIFICATION else "target"
         some = rows.select(F.flatten("x").alias("f"), y_col, F.xxhash64("x").alias("h")).orderBy("h").limit(self.rows_kept).toPandas()
         self.x, y = np.vstack(some.f.to_numpy()), some[y_col].to_numpy(float)
+        if self.n_components is not None:
+            self.mean = self.x.mean(0)
+            _, size, axes = np.linalg.svd(self.x - self.mean, full_matrices=False)
+            share = np.cumsum(size**2) / max((size**2).sum(), 1e-300)
+            k = 1 + int(np.searchsorted(share, self.n_components - 1e-12)) if self.n_components < 1 else int(self.n_components)
+            self.components = axes[: max(1, min(k, len(axes)))].T
+            self.x = self._projected(self.x)
         y = np.eye(self.n_classes)[y.astype(int)] if self.task == CLASSIFICATION else y[:, None]
         self.width = 1.0 / max(self.x.shape[1] * self.x.var(), 1e-12) if self.gamma == "scale" else float(self.gamma)
         self.alpha = np.linalg.solve(self._kernel(self.x) + self.penalty * np.eye(len(self.x)), y)
         return self
 
+    def _projected(self, z: np.ndarray) -> np.ndarray:
+        return z if self.components is None else (z - self.mean) @ self.components
+
     def _kernel(self, z: np.ndarray) -> np.ndarray:
         d = (z**2).sum(1)[:, None] + (self.x**2).sum(1)[None] - 2 * z @ self.x.T
         return np.exp(-self.width * np.maximum(d, 0))
@@ -134,7 +148,7 @@ class KernelMachine:
     def predict(self, rows: DataFrame) -> DataFrame:
         @F.pandas_udf("double")
         def out(f: pd.Series) -> pd.Series:
-            y = self._kernel(np.vstack(f.to_numpy())) @ self.alpha
+            y = self._kernel(self._projected(np.vstack(f.to_numpy()))) @ self.alpha
             return pd.Series(y.argmax(1).astype(float) if self.task == CLASSIFICATION else y[:, 0])
 
         return rows.withColumn("predicted", out(F.flatten("x"))).drop("x")
@@ -143,25 +157,6 @@ class KernelMachine:
         return {"model": self.name, "task": self.task, "substitute_for": "support vector machine", "rows": self.rows_kept}
 
 
-@dataclass
-class PcaModel(MlModel):
-    """A model over the fewest principal components that explain a share of the variance, or over a number of them."""
-
-    n_components: float | int = 0.95
-
-    def fit(self, rows: DataFrame) -> PcaModel:
-        every = flat_features(rows)
-        width = len(every.select("features").first().features)
-        k = int(self.n_components)
-        if 0 < self.n_components < 1:
-            share = np.cumsum(PCA(k=width, inputCol="features", outputCol="reduced").fit(every).explainedVariance.toArray())
-            k = 1 + int(np.searchsorted(share, self.n_components - 1e-12))
-        stage = PCA(k=max(1, min(k, width)), inputCol="features", outputCol="reduced")
-        self.estimator = Pipeline(stages=[stage, self.estimator.getStages()[-1] if isinstance(self.estimator, Pipeline) else self.estimator])
-        super().fit(rows)
-        return self
-
-
 def random_forest(task: str, n_estimators: int = 300, max_depth: int | None = 10, min_samples_leaf: int = 1, seed: int = 0) -> Model:
     """max_depth: None is as deep as Spark grows trees, 30."""
     kind = RandomForestClassifier if task == CLASSIFICATION else RandomForestRegressor
@@ -174,20 +169,11 @@ def boosted_trees(task: str, n_estimators: int = 10, max_depth: int = 5, learnin
     return MlModel("boosted_trees", task, OneVsRest(classifier=trees, labelCol="y") if task == CLASSIFICATION else trees.setLabelCol("y"))
 
 
-def pca_svm(task: str, n_components: float | int = 0.95, reg_param: float = 0.0, max_iter: int = 30) -> Model:
-    """Linear machines over principal components."""
-    if task == CLASSIFICATION:
-        last = OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=reg_param), labelCol="y", featuresCol="reduced")
-    else:
-        last = LinearRegression(labelCol="y", featuresCol="reduced", maxIter=max_iter, regParam=reg_param)
-    return PcaModel("pca_svm", task, last, n_components=n_components)
-
-
 _DEEP = "needs a deep-learning library that isn't installed"
 REGISTRY: dict[str, Callable[..., Model]] = {
     "random_forest": random_forest,
     "boosted_trees": boosted_trees,
-    "pca_svm": pca_svm,
+    "pca_svm": lambda task, **kw: KernelMachine("pca_svm", task, **{"n_components": 0.95, **kw}),
     "svm_rbf": lambda task, **kw: KernelMachine("svm_rbf", task, **kw),
     "esn": lambda task, **kw: ReservoirModel("esn", task, **kw),
 }

@@ -44,7 +44,7 @@ def run(frame: DataFrame, dataset: str, features: Sequence[str], names: Sequence
                 for name, task in cells:
                     began, status, reason, found = time.perf_counter(), "ok", None, {}
                     try:
-                        extra = {"n_classes": n_classes} if name in ("svm_rbf", "esn") else {}
+                        extra = {"n_classes": n_classes} if name in ("svm_rbf", "pca_svm", "esn") else {}
                         found = evaluate(models.build_model(name, task, **extra, **(options or {}).get(name, {})), w, n_classes)
                     except Exception as e:  # noqa: BLE001  a failed cell is a result
                         status, reason = "failed", f"{type(e).__name__}: {e}"[:300]

@@ -31,12 +31,13 @@ def csv_scan(spark, sf_dir):
 
 @query("SELECT s_nationkey::VARCHAR AS specimen, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM supplier GROUP BY 1")
 def series_scan(spark, sf_dir):
-    """Files in folders whose names give the specimen."""
+    """An explicit list of files, a specimen each."""
     path = _path(spark, "series")
-    spark.read.parquet(f"{sf_dir}/supplier.parquet").withColumn("nation", F.col("s_nationkey")).write.partitionBy("nation").option("header", True).csv(path)
-    df = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
-    keyed = df.withColumn("specimen", F.regexp_extract(F.col("_metadata.file_path"), r"/nation=([^/]+)/", 1))
-    return keyed.groupBy("specimen").agg(F.count("*").alias("n"), F.round(F.sum(F.col("s_acctbal").cast("double")), 2).alias("total"))
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    suppliers.withColumn("nation", F.col("s_nationkey")).write.partitionBy("nation").option("header", True).csv(path)
+    nations = [r.k for r in suppliers.select(F.col("s_nationkey").alias("k")).distinct().collect()]
+    df = files.read_series(spark, {f"{path}/nation={k}": (str(k), None) for k in nations})
+    return df.groupBy(F.col("series_specimen").alias("specimen")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("s_acctbal").cast("double")), 2).alias("total"))
 
 
 @query(sql_cte(OBS, RUNS, "SELECT dataset || '|' || model || '|' || seed || '|' || fold_id AS run_id, round(macro_f1, 8) AS macro_f1, round(mae, 8) AS mae, test_specimens AS test_specimens_joined FROM runs"))

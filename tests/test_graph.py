@@ -134,7 +134,7 @@ def test_ridge_equals_numpy(windows):
 @pytest.mark.parametrize("name", ["random_forest", "boosted_trees", "pca_svm", "svm_rbf", "esn"])
 def test_models_beat_chance(windows, name):
     train, test = windows.where("id % 4 <> 0"), windows.where("id % 4 = 0")
-    options = {"n_classes": 3} if name in ("svm_rbf", "esn") else {}
+    options = {"n_classes": 3} if name in ("svm_rbf", "pca_svm", "esn") else {}
     got = models.build_model(name, **options).fit(train).predict(test)
     assert got.agg(F.avg((F.col("predicted") == F.col("label")).cast("double"))).first()[0] > 0.75
 
@@ -166,8 +166,17 @@ def test_components_explain_the_share(windows):
     flat = np.vstack([np.ravel(r.x) for r in windows.collect()])
     share = np.cumsum(np.sort(np.linalg.eigvalsh(np.cov(flat.T)))[::-1]) / np.trace(np.cov(flat.T))
     for want in (0.5, 0.95, 3):
-        fitted = models.build_model("pca_svm", models.REGRESSION, n_components=want).fit(windows).fitted
-        assert fitted.stages[0].getK() == (want if want >= 1 else 1 + int(np.searchsorted(share, want)))
+        fitted = models.build_model("pca_svm", models.REGRESSION, n_components=want).fit(windows)
+        assert fitted.components.shape[1] == (want if want >= 1 else 1 + int(np.searchsorted(share, want)))
+
+
+def test_top_eigenvalues(spark):
+    rng = np.random.default_rng(4)
+    a = np.where(rng.random((12, 12)) < 0.4, rng.integers(1, 9, (12, 12)), 0)
+    e = spark.createDataFrame([(int(s), int(d), int(a[d, s])) for d, s in zip(*np.nonzero(a), strict=True)], "src bigint, dst bigint, w bigint")
+    want = np.sort(np.abs(np.linalg.eigvalsh((a + a.T) / 2)))[::-1][:5]
+    assert np.allclose(graph.top_eigenvalues(e, spark.range(12), 5), want)
+    assert graph.top_eigenvalues(e, spark.range(0), 5) == [0.0]
 
 
 def test_edges_of_weight_zero_have_no_stubs(spark):
