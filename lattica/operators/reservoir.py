@@ -103,58 +103,97 @@ def from_edges(edges: DataFrame, nodes: DataFrame, channels: int, seed: int = 0,
     return Reservoir(scaled(a, p["spectral_radius"]), w_in, bias, p["leak"], p["gain"], p["washout"], p["state_pooling"])
 
 
-def window_states(windows: DataFrame, reservoir: Reservoir, keep: list[str]) -> DataFrame:
-    """keep, state: the pooled state of each window's x."""
+def _windows_of(column: pa.Array) -> np.ndarray:
+    """(windows, steps, channels) of a column of equally long windows."""
+    flat = column.flatten().flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(flat, np.float64).reshape(len(column), len(column[0]), -1)
+
+
+def window_states_of(windows: DataFrame, reservoirs: dict[str, Reservoir], keep: list[str]) -> DataFrame:
+    """keep, control, state: the pooled state of each window's x in each reservoir, from one pass over the windows."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in windows.select(*keep).schema)
-    sent = windows.sparkSession.sparkContext.broadcast(reservoir)
+    sent = windows.sparkSession.sparkContext.broadcast(reservoirs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                flat = b.column(len(keep)).flatten().flatten().to_numpy(zero_copy_only=False)
-                x = np.asarray(flat, np.float64).reshape(b.num_rows, len(b.column(len(keep))[0]), -1)
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(list(sent.value.states(x)), pa.list_(pa.float64()))], [*keep, "state"])
+                x = _windows_of(b.column(len(keep)))
+                for name, r in sent.value.items():
+                    states = pa.array(list(r.states(x)), pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([name] * b.num_rows), states], [*keep, "control", "state"])
 
-    return windows.select(*keep, "x").mapInArrow(run, f"{fields}, state array<double>")
+    return windows.select(*keep, "x").mapInArrow(run, f"{fields}, control string, state array<double>")
+
+
+def window_states(windows: DataFrame, reservoir: Reservoir, keep: list[str]) -> DataFrame:
+    """keep, state: the pooled state of each window's x."""
+    return window_states_of(windows, {"": reservoir}, keep).drop("control")
 
 
 #: Rows of a Gram matrix that travel together, and groups of partitions whose sums are added first.
 GRAM_ROWS, GRAM_GROUPS = 64, 32
 
 
-def ridge(rows: DataFrame, features: str, target: str, penalty: float = DEFAULTS["ridge_lambda"], n_classes: int | None = None) -> np.ndarray:
-    """Weights of (H'H + penalty I) W = H'Y with a bias column.
+def ridge_by(rows: DataFrame, by: list[str], features: str, target: str, penalty: float = DEFAULTS["ridge_lambda"], n_classes: int | None = None) -> dict[tuple, np.ndarray]:
+    """Weights of (H'H + penalty I) W = H'Y with a bias column, for each group of `by`.
 
     Each partition's sums are cut into blocks of rows, which the executors add up in two steps; the driver gets one
-    matrix, however many partitions there are."""
+    matrix a group, however many partitions there are.  A task holds a matrix for each group that it meets."""
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
+        total: dict[tuple, np.ndarray] = {}
         for b in batches:
-            if not len(b):
-                continue
-            h = np.column_stack([np.vstack(b[features].to_numpy()), np.ones(len(b))])
-            y = b[target].to_numpy(np.float64)
-            y = np.eye(n_classes)[y.astype(int)] if n_classes else y[:, None]
-            part = np.hstack([h.T @ h, h.T @ y])
-            total = part if total is None else total + part
-        if total is not None:
-            group = TaskContext.get().partitionId() % GRAM_GROUPS
-            for at in range(0, len(total), GRAM_ROWS):
-                yield pd.DataFrame({"grp": [group], "block": [at], "cells": [total[at : at + GRAM_ROWS].ravel()]})
-
-    def add(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"grp": [0], "block": [key[-1]], "cells": [np.sum(np.vstack(parts["cells"].to_numpy()), axis=0)]})
-
-    schema = "grp int, block int, cells array<double>"
-    parts = rows.select(features, target).mapInPandas(sums, schema)
-    for by in (["grp", "block"], ["block"]):
-        parts = parts.groupBy(*by).applyInPandas(add, schema)
-    cells = np.concatenate([np.array(r.cells) for r in sorted(parts.collect(), key=lambda r: r.block)])
-    outputs = n_classes or 1  # n rows of n + outputs cells
-    n = round((np.sqrt(outputs**2 + 4 * len(cells)) - outputs) / 2)
-    whole = cells.reshape(n, n + outputs)
-    return np.linalg.solve(whole[:, :n] + penalty * np.eye(n), whole[:, n:])
+            for key, part in b.groupby(by) if by else [((), b)] if len(b) else []:
+                h = np.column_stack([np.vstack(part[features].to_numpy()), np.ones(len(part))])
+                y = part[target].to_numpy(np.float64)
+                y = np.eye(n_classes)[y.astype(int)] if n_classes else y[:, None]
+                here = np.hstack([h.T @ h, h.T @ y])
+                total[key] = total[key] + here if key in total else here
+        group = TaskContext.get().partitionId() % GRAM_GROUPS
+        for key, whole in total.items():
+            for at in range(0, len(whole), GRAM_ROWS):
+                yield pd.DataFrame({**{c: [k] for c, k in zip(by, key, strict=True)}, "grp": [group], "block": [at], "cells": [whole[at : at + GRAM_ROWS].ravel()]})
+
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        first = parts.iloc[[0]].copy()
+        first["grp"] = np.int32(0)
+        first["cells"] = [np.sum(np.vstack(parts["cells"].to_numpy()), axis=0)]
+        return first
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema), "grp int, block int, cells array<double>"])
+    parts = rows.select(*by, features, target).mapInPandas(sums, schema)
+    for keys in ([*by, "grp", "block"], [*by, "block"]):
+        parts = parts.groupBy(*keys).applyInPandas(add, schema)
+    found: dict[tuple, list] = {}
+    for r in sorted(parts.collect(), key=lambda r: r.block):
+        found.setdefault(tuple(r[c] for c in by), []).append(np.array(r.cells))
+    outputs, weights = n_classes or 1, {}  # n rows of n + outputs cells
+    for key, blocks in found.items():
+        cells = np.concatenate(blocks)
+        n = round((np.sqrt(outputs**2 + 4 * len(cells)) - outputs) / 2)
+        whole = cells.reshape(n, n + outputs)
+        weights[key] = np.linalg.solve(whole[:, :n] + penalty * np.eye(n), whole[:, n:])
+    return weights
+
+
+def ridge(rows: DataFrame, features: str, target: str, penalty: float = DEFAULTS["ridge_lambda"], n_classes: int | None = None) -> np.ndarray:
+    """The same for all rows together."""
+    return ridge_by(rows, [], features, target, penalty, n_classes)[()]
+
+
+def read_out_by(rows: DataFrame, by: list[str], features: str, weights: dict[tuple, np.ndarray], name: str = "predicted") -> DataFrame:
+    """The class of the greatest output of each row's group; null for a group without weights."""
+
+    @F.pandas_udf("double")
+    def out(h: pd.Series, *keys: pd.Series) -> pd.Series:
+        done = pd.Series(np.nan, index=h.index)
+        for key, at in pd.DataFrame(dict(enumerate(keys))).groupby(list(range(len(keys)))).groups.items():
+            w = weights.get(key if isinstance(key, tuple) else (key,))
+            if w is not None:
+                done[at] = (np.column_stack([np.vstack(h[at].to_numpy()), np.ones(len(at))]) @ w).argmax(1)
+        return done
+
+    return rows.withColumn(name, F.nullif(out(features, *by), F.lit(float("nan"))))
 
 
 def read_out(rows: DataFrame, features: str, weights: np.ndarray, name: str = "predicted") -> DataFrame:

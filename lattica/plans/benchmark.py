@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import metrics, models, records, splits, windows
+from ..operators import metrics, models, records, reservoir, splits, windows
+from ..storage import materialise
 
 
 def fold_windows(frame: DataFrame, folds: DataFrame, fold: int, features: Sequence[str], length: int, stride: int, order: Sequence[str]) -> DataFrame:
@@ -56,6 +57,20 @@ def run(frame: DataFrame, dataset: str, features: Sequence[str], names: Sequence
     return spark.createDataFrame(rows, schema)
 
 
+def reservoir_grid(frame: DataFrame, folds: DataFrame, family: dict[str, reservoir.Reservoir], features: Sequence[str], length: int, stride: int, order: Sequence[str], n_classes: int = 4) -> DataFrame:
+    """control, fold_id and the metrics of each reservoir in each fold, with readouts of the fold's training windows.
+
+    Windows are cut once, scaled by fold, and driven through all reservoirs in one pass; all readouts are fitted
+    together."""
+    w = windows.sliding_windows(frame, features, length, stride, order=order).join(folds, "specimen_id")
+    w = windows.scaled_windows(w, windows.fold_scalers(frame, folds, features), features, ["fold_id"])
+    states = materialise(reservoir.window_states_of(w, family, ["fold_id", "split", "label"]), "grid-states")
+    by = ["control", "fold_id"]
+    weights = reservoir.ridge_by(states.where("split = 'train'"), by, "state", "label", n_classes=n_classes)
+    done = reservoir.read_out_by(states.where("split = 'test'"), by, "state", weights)
+    return metrics.classification(done.select(*by, F.col("label").alias("truth"), F.col("predicted").cast("int").alias("predicted")), n_classes, by)
+
+
 def summary(done: DataFrame, names: Sequence[str]) -> DataFrame:
     flat = done.select("*", *[F.col("metrics")[m].alias(m) for m in names], F.lit(1).alias("n_windows"), F.lit("").alias("test_specimens"))
     return records.aggregate_runs(flat.where("status = 'ok'"), ["dataset", "model", "task", "window_length"], names)

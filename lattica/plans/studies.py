@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -143,6 +145,15 @@ def benchmark_grid(spark, sf_dir):
     return first.select("run_id", "status").unionByName(second.select("run_id", F.concat(F.lit("again_"), "status").alias("status")))
 
 
+@query()
+def reservoir_benchmark(spark, sf_dir):
+    """R0 to R6 of the graph as reservoirs over all windows and folds: every control's score."""
+    r = reservoir.from_edges(edges(spark, sf_dir), nodes(spark), len(FEATURES))
+    family = {k: dataclasses.replace(r, a=a) for k, a in studies.topology_family(r.a, 1).items()}
+    grid = benchmark.reservoir_grid(frame(spark, sf_dir), folds(spark, sf_dir), family, FEATURES, 8, 4, ORDER)
+    return grid.select("control", "fold_id", "n", F.round("macro_f1", 6).alias("macro_f1"))
+
+
 @query()
 def audit_families(spark, sf_dir):
     """F1, F2, F3 and F5 of the graph: size, edges, radius and criterion A3."""

@@ -182,3 +182,24 @@ def test_top_eigenvalues(spark):
 def test_edges_of_weight_zero_have_no_stubs(spark):
     e = spark.createDataFrame([(1, 2, 0), (3, 4, 2)], "src bigint, dst bigint, w bigint")
     assert graph.configuration_model(e, 1).agg(F.sum("w")).first()[0] == 2
+
+
+def test_readouts_by_group_equal_those_of_each_group(windows):
+    """Weights and predictions of all groups from one pass are those of each group alone."""
+    rows = windows.withColumns({"f": F.flatten("x"), "g": F.col("id") % 3, "k": F.when(F.col("id") % 2 == 0, "a").otherwise("b")})
+    weights = reservoir.ridge_by(rows, ["k", "g"], "f", "label", 0.1, 3)
+    assert set(weights) == {(k, g) for k in "ab" for g in range(3)}
+    for (k, g), w in weights.items():
+        one = rows.where((F.col("k") == k) & (F.col("g") == g))
+        assert np.allclose(w, reservoir.ridge(one, "f", "label", 0.1, 3))
+    del weights["a", 0]
+    got = {r.id: r.predicted for r in reservoir.read_out_by(rows, ["k", "g"], "f", weights).select("id", "predicted").collect()}
+    want = {r.id: r.predicted for (k, g), w in weights.items() for r in reservoir.read_out(rows.where((F.col("k") == k) & (F.col("g") == g)), "f", w).collect()}
+    assert {i: p for i, p in got.items() if p is not None} == want and all(got[i] is None for i in got if i % 6 == 0)
+
+
+def test_states_of_several_reservoirs(windows):
+    family = {str(i): reservoir.random_reservoir(2, i, reservoir_size=9) for i in range(3)}
+    both = {(r.control, r.id): r.state for r in reservoir.window_states_of(windows, family, ["id"]).collect()}
+    for name, r in family.items():
+        assert all(np.allclose(both[name, x.id], x.state) for x in reservoir.window_states(windows, r, ["id"]).collect())
