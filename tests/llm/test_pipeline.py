@@ -75,3 +75,20 @@ def test_empty_and_odd(spark, make_docs, odd_rows):
         for name, f in corpus_pipeline.STAGES:
             docs = f(spark, docs, "/root/testdata/sf0.01")
             assert docs.count() <= max(len(rows), 40), name
+
+
+def test_clashing_columns_nulls_and_repeated_rows(spark, stages):
+    """Columns named like the operators' own pass through all stages; a repeated row stays once, and a row without an id
+    is its own group."""
+    good = stages[3][2][:6]  # rows that all stages before packing keep
+    rows = [(r.doc_id, r.text, f"x{i}", i, -1.5, None) for i, r in enumerate(good)]
+    rows += [rows[2], rows[2], (None, good[4].text, "none", 99, 0.0, None), (7_000_001, None, "null text", 1, 0.0, None), (7_000_002, "", "empty", 2, 0.0, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, kept string, node int, score double, digest binary")
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        docs = f(spark, docs, "/root/testdata/sf0.01")
+        assert docs.columns == ["doc_id", "text", "kept", "node", "score", "digest"], name
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    got = sorted((str(r.doc_id), r.kept, r.node, r.score, r.digest) for r in docs.collect())
+    assert got == sorted((str(i), k, n, s, d) for i, _, k, n, s, d in dict.fromkeys(rows) if k not in ("null text", "empty"))
+    pieces = corpus_pipeline.packing_stage(spark, docs, "").collect()
+    assert {p.doc_id for p in pieces} == {r.doc_id for r in good} | {None}
