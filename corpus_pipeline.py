@@ -1,8 +1,12 @@
 """The corpus pipeline: stages of the training-data operators, each over all that its predecessor kept.
 
 All stages but the last return the columns of `documents`; the last returns the pieces of packed
-sequences.  Rejected documents are gone for all later stages.  Empty tables pass through all stages; what
-null and repeated rows do is said in each operator's docstring.
+sequences.  Rejected documents are gone for all later stages.
+
+Defined results: null and empty texts, and those of fewer than 20 words, go in the first stage.  A row without an id
+is judged like any other and is a group of its own among near duplicates.  Of repeated rows (one id, one text) one stays
+after near-dedup.  All columns of the table, whatever their names, pass through unchanged up to packing, which
+returns its own.  Empty tables pass through all stages.
 """
 
 from __future__ import annotations
