@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialise
 from .ordering import with_running_total
 
 
@@ -51,6 +52,7 @@ def auroc_ovr(scores: DataFrame, n_classes: int, by: Sequence[str] = ()) -> Data
     good = scores.where(~F.isnan("score") & F.col("score").isNotNull() & (F.abs("score") != float("inf")))
     pos = F.count_if(F.col("truth") == F.col("label"))
     ties = good.groupBy(*keys, "score").agg(pos.alias("pos"), F.count("*").alias("n"))
+    ties = materialise(ties, "auroc-ties")  # what deals rows by range reads them twice
     placed = with_running_total(ties, [*keys, "score"], "n", "_before")
     start = placed.groupBy(*keys).agg(F.min("_before").alias("_start"))
     ranked = placed.join(start, keys).withColumn("rank", F.col("_before") - F.col("_start") + (F.col("n") + 1) / 2)
