@@ -71,15 +71,16 @@ def whitespace_scan(spark, sf_dir):
     return keys.select(F.col("key").cast("int").alias("r_regionkey")).join(r, "r_regionkey")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('part', 'present'), ('part', 'corrupt'), ('gone.csv', 'missing')) AS t(name, status)")
 def manifest_check(spark, sf_dir):
     """A present, a corrupt and a missing file."""
     path = _path(spark, "manifest")
-    spark.read.parquet(f"{sf_dir}/region.parquet").coalesce(1).write.parquet(path)
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"))
-    gone = spark.createDataFrame([("gone.csv", "0" * 64)], "name string, sha256 string")
-    bad = spark.createDataFrame([("_SUCCESS", "1" * 64)], "name string, sha256 string")
-    status = files.verify_manifest(spark, found.unionByName(gone).unionByName(bad), path)
+    for name in ("region", "nation"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").coalesce(1).write.mode("append").parquet(path)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    one, two = found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256")).orderBy("name").collect()
+    manifest = [(one.name, one.sha256), (two.name, "1" * 64), ("gone.csv", "0" * 64)]
+    status = files.verify_manifest(spark, spark.createDataFrame(manifest, "name string, sha256 string"), path)
     return status.select(F.when(F.col("name").endswith(".parquet"), "part").otherwise(F.col("name")).alias("name"), "status")
 
 
