@@ -121,13 +121,15 @@ def type_pair_change(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def size_curve(edges: DataFrame, core: DataFrame, thresholds: Sequence[int]) -> DataFrame:
-    """n, m and density for each least weight, on all nodes and on core nodes: one pass over the edges."""
+    """n, m, density and spectral radius (of the symmetrised, binary matrix) for each least weight, on all nodes and on
+    core nodes: counts from one pass over the edges, radii from one power iteration of all subgraphs together."""
     tagged = induced(edges, core).withColumn("core", F.lit(True)).unionByName(edges.withColumn("core", F.lit(False)))
     each = tagged.withColumn("min_w", F.explode(F.array(*[F.lit(t) for t in thresholds]))).where("w >= min_w")
+    radii = spectral_radii(each, ["core", "min_w"]).drop("rounds")
     m = each.groupBy("core", "min_w").agg(F.count("*").alias("m"))
     ends = each.select("core", "min_w", F.explode(F.array("src", "dst")).alias("id"))
     n = ends.groupBy("core", "min_w").agg(F.count_distinct("id").alias("n"))
-    return m.join(n, ["core", "min_w"]).withColumn("density", F.try_divide(F.col("m"), F.col("n") * (F.col("n") - 1)))
+    return m.join(n, ["core", "min_w"]).withColumn("density", F.try_divide(F.col("m"), F.col("n") * (F.col("n") - 1))).join(F.broadcast(radii), ["core", "min_w"])
 
 
 def edge_overlap(one: DataFrame, two: DataFrame) -> DataFrame:
@@ -333,6 +335,43 @@ def spectral_radius(edges: DataFrame, rounds: int = 60, symmetric: bool = True)
     return value
 
 
+#: Subgraphs whose norms the driver follows together, at most.
+MAX_SUBGRAPHS = 10_000
+
+
+def spectral_radii(edges: DataFrame, by: Sequence[str], rounds: int = 60, tolerance: float = 1e-10) -> DataFrame:
+    """by, radius, rounds: the largest modulus of each subgraph's symmetrised, binary matrix, all by one power iteration.
+
+    A round is one join and one sum for all subgraphs that are still going; each ends by its own residual, and its
+    edges and vector are left out of later rounds.  The driver gets one norm a subgraph and round."""
+    by = list(by)
+    e = edges.select(*by, "src", "dst")
+    e = e.unionByName(e.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    e = materialise(e, "radii-edges")
+    v = e.select(*by, "src").distinct().withColumn("x", F.lit(1.0))
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in e.select(*by).schema)
+    last: dict[tuple, float] = {}
+    ended: dict[tuple, tuple[float, int]] = {}
+    for k in range(1, rounds + 1):
+        step = materialise(e.join(v, [*by, "src"]).groupBy(*by, F.col("dst").alias("src")).agg(F.sum("x").alias("x")), "radii-step")
+        norms = step.groupBy(*by).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")).limit(MAX_SUBGRAPHS + 1).collect()
+        if len(norms) > MAX_SUBGRAPHS:
+            raise ValueError(f"more than {MAX_SUBGRAPHS} subgraphs")
+        going = []
+        for r in norms:
+            key, norm = tuple(r)[:-1], r["norm"]
+            if k == rounds or abs(norm - last.get(key, math.inf)) <= tolerance * norm:
+                ended[key] = norm, k
+            else:
+                going.append((*key, norm))
+            last[key] = norm
+        if not going:
+            break
+        scale = F.broadcast(e.sparkSession.createDataFrame(going, f"{keys}, norm double"))
+        v = step.join(scale, by).select(*by, "src", (F.col("x") / F.col("norm")).alias("x"))
+    return e.sparkSession.createDataFrame([(*k, *v) for k, v in ended.items()], f"{keys}, radius double, rounds int")
+
+
 #: Nodes of a graph whose matrix is brought to the driver, at most.
 MAX_DENSE = 4000
 

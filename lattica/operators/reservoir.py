@@ -6,7 +6,7 @@ with the windows (Gram matrices, metrics) is summed in partitions first."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -134,11 +134,11 @@ def window_states(windows: DataFrame, reservoir: Reservoir, keep: list[str]) ->
 GRAM_ROWS, GRAM_GROUPS = 64, 32
 
 
-def ridge_by(rows: DataFrame, by: list[str], features: str, target: str, penalty: float = DEFAULTS["ridge_lambda"], n_classes: int | None = None) -> dict[tuple, np.ndarray]:
-    """Weights of (H'H + penalty I) W = H'Y with a bias column, for each group of `by`.
+def gram_blocks(rows: DataFrame, by: list[str], features: str, target: str, n_classes: int | None = None) -> DataFrame:
+    """by, block, cells: H'H and H'Y, with a bias column, of each group of `by`, in blocks of GRAM_ROWS rows.
 
-    Each partition's sums are cut into blocks of rows, which the executors add up in two steps; the driver gets one
-    matrix a group, however many partitions there are.  A task holds a matrix for each group that it meets."""
+    Each partition's sums are cut into blocks, which the executors add up in two steps.  A task holds a matrix for each
+    group that it meets."""
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple, np.ndarray] = {}
@@ -164,16 +164,48 @@ def ridge_by(rows: DataFrame, by: list[str], features: str, target: str, penalty
     parts = rows.select(*by, features, target).mapInPandas(sums, schema)
     for keys in ([*by, "grp", "block"], [*by, "block"]):
         parts = parts.groupBy(*keys).applyInPandas(add, schema)
-    found: dict[tuple, list] = {}
-    for r in sorted(parts.collect(), key=lambda r: r.block):
-        found.setdefault(tuple(r[c] for c in by), []).append(np.array(r.cells))
-    outputs, weights = n_classes or 1, {}  # n rows of n + outputs cells
-    for key, blocks in found.items():
-        cells = np.concatenate(blocks)
-        n = round((np.sqrt(outputs**2 + 4 * len(cells)) - outputs) / 2)
-        whole = cells.reshape(n, n + outputs)
-        weights[key] = np.linalg.solve(whole[:, :n] + penalty * np.eye(n), whole[:, n:])
-    return weights
+    return parts.drop("grp")
+
+
+def ridge_paths(rows: DataFrame, by: list[str], features: str, target: str, penalties: Sequence[float], n_classes: int | None = None, arms: dict[str, list[int]] | None = None) -> DataFrame:
+    """by, arm, penalty, weights: solutions of (H'H + penalty I) W = H'Y for each group, penalty and arm, solved on the executors.
+
+    One Gram matrix serves all: an arm is the block of its features' rows and columns (and the bias), and one
+    eigendecomposition of a block gives every penalty.  weights: rows of outputs for all features, 0 for those
+    that an arm leaves out; directions of no variance get none (penalty 0)."""
+    outputs = n_classes or 1
+    given = [float(p) for p in penalties]
+
+    def solve(parts: pd.DataFrame) -> pd.DataFrame:
+        cells = np.concatenate(parts.sort_values("block")["cells"].to_list())
+        n = round((np.sqrt(outputs**2 + 4 * len(cells)) - outputs) / 2)  # n rows of n + outputs cells
+        whole, out = cells.reshape(n, n + outputs), []
+        for arm, columns in (arms or {"": list(range(n - 1))}).items():
+            own = [*columns, n - 1]
+            block, right = whole[np.ix_(own, own)], whole[np.ix_(own, range(n, n + outputs))]
+            values, axes = np.linalg.eigh(block)
+            values = np.where(values > values.max() * len(own) * np.finfo(float).eps, values, 0.0)
+            turned = axes.T @ right
+            for p in given:
+                w = np.zeros((n, outputs))
+                if p > 0 and len(given) == 1:
+                    w[own] = np.linalg.solve(block + p * np.eye(len(own)), right)
+                else:
+                    scale = np.divide(1.0, values + p, out=np.zeros_like(values), where=values + p > 0)
+                    w[own] = axes @ (scale[:, None] * turned)
+                out.append((arm, p, w.ravel()))
+        keys = {c: [parts[c].iloc[0]] * len(out) for c in by}
+        return pd.DataFrame({**keys, "arm": [o[0] for o in out], "penalty": [o[1] for o in out], "weights": [o[2] for o in out]})
+
+    blocks = gram_blocks(rows, by, features, target, n_classes)
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema), "arm string, penalty double, weights array<double>"])
+    return blocks.groupBy(*by).applyInPandas(solve, schema) if by else blocks.groupBy(F.lit(0).alias("all")).applyInPandas(solve, schema)
+
+
+def ridge_by(rows: DataFrame, by: list[str], features: str, target: str, penalty: float = DEFAULTS["ridge_lambda"], n_classes: int | None = None) -> dict[tuple, np.ndarray]:
+    """The weights of each group at one penalty; only these come to the driver."""
+    found = ridge_paths(rows, by, features, target, [penalty], n_classes).collect()
+    return {tuple(r[c] for c in by): np.array(r["weights"]).reshape(-1, n_classes or 1) for r in found}
 
 
 def ridge(rows: DataFrame, features: str, target: str, penalty: float = DEFAULTS["ridge_lambda"], n_classes: int | None = None) -> np.ndarray:

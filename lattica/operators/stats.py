@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import draw
+from ..storage import materialise
+from .ordering import with_position
 
 BOOTSTRAP_DRAWS, BOOTSTRAP_SEED = 10_000, 20260920
 ALPHA = 0.05
@@ -149,6 +151,32 @@ def spearman(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     return ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
 
 
+def spearman_interval(rows: DataFrame, by: Sequence[str], key: Sequence[str], x: str, y: str, draws: int = BOOTSTRAP_DRAWS, seed: int = BOOTSTRAP_SEED, level: float = 0.95) -> DataFrame:
+    """by, rho, ci_low, ci_high, n, n_draws: the percentile interval of Spearman's rho over resampled rows.
+
+    `key` orders a group's rows; draw j of resample b is the row at place hash(seed, b, j) mod n, so any engine repeats it.
+    A resample is a multiplicity of each distinct pair (x, y); ranks with ties averaged come from running totals of
+    these, so no resample's rows are made or sorted.  Resamples in which x or y is constant are left out (n_draws
+    counts the others); rho is NaN where one is constant in all rows, and the interval then null."""
+    by, given = list(by), rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    given = given.select(*by, *[c for c in key if c not in by], F.col(x).alias("_x"), F.col(y).alias("_y"))
+    placed = materialise(with_position(materialise(given, "rho-rows"), [*by, *key], "_p"), "rho-placed")
+    size = placed.groupBy(*by).agg(F.min("_p").alias("_first"), F.count("*").alias("_n"))
+    at = placed.join(size, by).select(*by, "_x", "_y", "_n", (F.col("_p") - F.col("_first")).alias("_at"))
+    each = at.select(*by, "_n", "_at", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_b"))
+    times = each.groupBy(*by, "_b", (draw(str(seed), F.col("_b"), F.col("_at")) % F.col("_n")).alias("_at")).agg(F.count("*").alias("_m"))
+    cells = times.join(at.drop("_n"), [*by, "_at"]).groupBy(*by, "_b", "_x", "_y").agg(F.sum("_m").alias("_m"))
+    plain = Window.partitionBy(*by, "_b")
+    rank = lambda c: F.sum("_m").over(plain.orderBy(c)) - (F.sum("_m").over(Window.partitionBy(*by, "_b", c)) - 1) / 2
+    ranked = cells.withColumns({"_rx": rank("_x"), "_ry": rank("_y")}).withColumn("_mid", (F.sum("_m").over(plain) + 1) / 2)
+    dx, dy, m = F.col("_rx") - F.col("_mid"), F.col("_ry") - F.col("_mid"), F.col("_m")
+    rho = F.try_divide(F.sum(m * dx * dy), F.sqrt(F.sum(m * dx * dx)) * F.sqrt(F.sum(m * dy * dy)))
+    tail = (1 - level) / 2
+    drawn = ranked.groupBy(*by, "_b").agg(rho.alias("_rho"))
+    out = drawn.groupBy(*by).agg(F.percentile("_rho", F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"), F.count("_rho").alias("n_draws"))
+    return spearman(given, by, "_x", "_y").join(out, by).select(*by, "rho", F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"), "n", "n_draws")
+
+
 def distribution(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     q = F.percentile(value, F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
     out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), q.alias("q"), F.min(value).alias("min"), F.max(value).alias("max"))

@@ -179,22 +179,39 @@ def radius_ladder(a: np.ndarray, b: np.ndarray, x: np.ndarray, radii: Sequence[f
     return [(r, reservoir.memory(reservoir.Reservoir(reservoir.scaled(a, r), b, np.zeros(len(a))).trace(x)[0], x, 20)) for r in radii]
 
 
-def coprime_lengths(n: int, blocks: int) -> list[int]:
-    """Lengths of at least 2, pairwise coprime, that add up to n: the blocks' sizes are as even as that allows.  Where so
-    many don't exist, it is an error."""
+#: Tries of the search for coprime lengths; sums that have any are found in far fewer.
+COPRIME_TRIES = 50_000
+
 
-    def search(left: int, count: int, chosen: list[int]) -> list[int] | None:
+def coprime_lengths(n: int, blocks: int) -> list[int]:
+    """Lengths of at least 2, pairwise coprime, that add up to n: the blocks' sizes are as even as the search finds them.
+
+    At most one of them is even, and the parity of n says whether one is; it is chosen first, and odd ones near the mean
+    of what is left follow.  Sums too small for that are searched again from the smallest lengths.  Where no lengths are
+    found within COPRIME_TRIES, it is an error."""
+    tries, rising = 0, False
+
+    def search(left: int, count: int, chosen: list[int], even: bool) -> list[int] | None:
+        nonlocal tries
+        tries += 1
+        if tries > COPRIME_TRIES:
+            return None
         if count == 1:
-            return [*chosen, left] if left >= 2 and all(math.gcd(left, c) == 1 for c in chosen) else None
-        mean = left / count
-        for size in sorted(range(2, left - 2 * (count - 1) + 1), key=lambda s: (abs(s - mean), s)):
-            if all(math.gcd(size, c) == 1 for c in chosen) and (found := search(left - size, count - 1, [*chosen, size])):
-                return found
+            return [*chosen, left] if left >= 2 and left % 2 != even and all(math.gcd(left, c) == 1 for c in chosen) else None
+        mean, most = left / count, left - 2 * (count - 1)
+        start = round(mean)
+        for size in range(2, most + 1) if rising else (start + d for step in range(most) for d in {-step, step}):
+            if 2 <= size <= most and size % 2 != even and all(math.gcd(size, c) == 1 for c in chosen):
+                found = search(left - size, count - 1, [*chosen, size], False)
+                if found or tries > COPRIME_TRIES:
+                    return found
         return None
 
-    if blocks < 1 or not (found := search(n, blocks, [])):
-        raise ValueError(f"{n} is no sum of {blocks} pairwise coprime lengths")
-    return found
+    for rising in (False, True) if blocks >= 1 else ():
+        tries = 0
+        if found := search(n, blocks, [], (n - blocks) % 2 == 1):
+            return found
+    raise ValueError(f"{n} is no sum of {blocks} pairwise coprime lengths, or none was found")
 
 
 #: Accepted swaps for each edge of the statistics-matched family.

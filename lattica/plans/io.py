@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import records, windows
-from ..sources import files, synthetic
-from ..storage import shared_dir
+from ..sources import bundle, files, synthetic
+from ..storage import shared_dir, shared_path
 from . import register, sql_cte
 from .evidence import OBS, RUNS, run_rows
 
@@ -91,3 +91,33 @@ def synthetic_series(spark, sf_dir):
     s = synthetic.generate(spark, spec).withColumn("session_id", F.col("specimen_id"))
     w = windows.sliding_windows(s, [f"s{i + 1}" for i in range(spec.channels)], 16, 4)
     return w.groupBy("specimen_id").agg(F.count("*").alias("n_windows"), F.max("label").alias("last_class"))
+
+
+RUN_OF_ORDER = """o AS (SELECT 'D' || o_custkey % 3 AS dataset, o_orderpriority AS model, 'task' AS task, o_orderkey AS seed, o_custkey % 5 AS fold_id, 'run' || o_orderkey AS run_id FROM orders),
+per_run AS (SELECT * FROM o UNION ALL SELECT * FROM o WHERE seed % 997 = 1),
+summary AS (SELECT dataset, model, count(*) + CASE WHEN model = '5-LOW' AND dataset = 'D1' THEN 2 ELSE 0 END AS n_runs FROM o GROUP BY dataset, model),
+fingerprints AS (SELECT run_id FROM o WHERE seed % 499 <> 2 UNION ALL SELECT 'run-of-none')"""
+
+
+@query(sql_cte(RUN_OF_ORDER, """SELECT 'run keys are unique' AS constraint, concat_ws('|', dataset, model, task, seed, fold_id) AS key, count(*) AS found, 1 AS wanted FROM per_run GROUP BY ALL HAVING count(*) > 1
+    UNION ALL SELECT 'summary counts the runs', concat_ws('|', dataset, model), n, n_runs FROM summary JOIN (SELECT dataset, model, count(*) AS n FROM per_run GROUP BY ALL) USING (dataset, model) WHERE n <> n_runs
+    UNION ALL SELECT 'runs have fingerprints', run_id, 0, count(*) FROM per_run WHERE run_id NOT IN (SELECT run_id FROM fingerprints) GROUP BY run_id
+    UNION ALL SELECT 'fingerprints belong to runs', 'run-of-none', 0, 1
+    UNION ALL SELECT 'required models are there', '9-NONE', 0, 1
+    UNION ALL SELECT 'test sets are touched once', '', count(*), 0 FROM o WHERE seed % 1009 = 5 HAVING count(*) > 0"""))
+def bundle_scan(spark, sf_dir):
+    """A bundle of runs made from `orders`, with a fault of each kind, written, read back and scanned whole."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.concat(F.lit("D"), F.col("o_custkey") % 3).alias("dataset"), F.col("o_orderpriority").alias("model"), F.lit("task").alias("task"), F.col("o_orderkey").alias("seed"),
+        (F.col("o_custkey") % 5).alias("fold_id"), F.concat(F.lit("run"), "o_orderkey").alias("run_id"),
+    )
+    extra = F.when((F.col("model") == "5-LOW") & (F.col("dataset") == "D1"), 2).otherwise(0)
+    tables = {
+        "per_run": o.unionByName(o.where("seed % 997 = 1")),
+        "summary": o.groupBy("dataset", "model").agg(F.count("*").alias("n_runs")).withColumn("n_runs", F.col("n_runs") + extra),
+        "fingerprints": o.where("seed % 499 <> 2").select("run_id").unionByName(spark.createDataFrame([("run-of-none",)], "run_id string")),
+        "touched": o.agg(F.count_if(F.col("seed") % 1009 == 5).alias("n_violations")),
+    }
+    base = shared_path(spark, "bundle")
+    bundle.write_bundle(tables, base)
+    return bundle.scan_bundle(spark, base, ["1-URGENT", "9-NONE"])

@@ -143,13 +143,17 @@ def annotation_conflicts(spark, sf_dir):
     return graph.annotation_conflicts(li.select(F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("class")))
 
 
-@query(sql_cte(RAW, """tagged AS (SELECT FALSE AS core, * FROM edges UNION ALL SELECT TRUE, * FROM edges WHERE src % 50 <= 40 AND dst % 50 <= 40),
+@query("WITH RECURSIVE " + sql_cte(RAW, """tagged AS (SELECT FALSE AS core, * FROM edges UNION ALL SELECT TRUE, * FROM edges WHERE src % 50 <= 40 AND dst % 50 <= 40),
     each AS (SELECT core, src, dst, min_w FROM tagged, (SELECT unnest([3, 5, 8, 12])::INT AS min_w) WHERE w >= min_w),
-    m AS (SELECT core, min_w, count(*) AS m FROM each GROUP BY ALL), n AS (SELECT core, min_w, count(*) AS n FROM (SELECT core, min_w, src AS id FROM each UNION SELECT core, min_w, dst FROM each) GROUP BY ALL)""",
-    "SELECT core, min_w, m, n, round(m / (n * (n - 1)), 8) AS density FROM m JOIN n USING (core, min_w)"))
+    m AS (SELECT core, min_w, count(*) AS m FROM each GROUP BY ALL), n AS (SELECT core, min_w, count(*) AS n FROM (SELECT core, min_w, src AS id FROM each UNION SELECT core, min_w, dst FROM each) GROUP BY ALL),
+    sym AS (SELECT core, min_w, src, dst FROM each UNION SELECT core, min_w, dst, src FROM each),
+    p(step, core, min_w, id, x, norm) AS (SELECT 0, core, min_w, src, 1.0::DOUBLE, 1.0::DOUBLE FROM (SELECT DISTINCT core, min_w, src FROM sym)
+        UNION ALL SELECT step + 1, core, min_w, dst, s / norm, norm FROM (SELECT step, sym.core, sym.min_w, dst, sum(x) AS s, sqrt(sum(sum(x) * sum(x)) OVER (PARTITION BY sym.core, sym.min_w)) AS norm
+            FROM p JOIN sym ON sym.core = p.core AND sym.min_w = p.min_w AND sym.src = p.id WHERE step < 60 GROUP BY step, sym.core, sym.min_w, dst))""",
+    "SELECT core, min_w, m, n, round(m / (n * (n - 1)), 8) AS density, round(radius, 6) AS radius FROM m JOIN n USING (core, min_w) JOIN (SELECT core, min_w, max(norm) AS radius FROM p WHERE step = 60 GROUP BY ALL) USING (core, min_w)").removeprefix("WITH "))
 def size_curve(spark, sf_dir):
     c = graph.size_curve(edges(spark, sf_dir), nodes(spark).where("id % 50 <= 40"), [3, 5, 8, 12])
-    return c.withColumn("density", F.round("density", 8))
+    return c.withColumns({"density": F.round("density", 8), "radius": F.round("radius", 6)})
 
 
 HALF = "a AS (SELECT DISTINCT src, dst FROM raw WHERE flag = 'A'), b AS (SELECT DISTINCT src, dst FROM raw WHERE flag = 'R')"

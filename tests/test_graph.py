@@ -203,3 +203,19 @@ def test_states_of_several_reservoirs(windows):
     both = {(r.control, r.id): r.state for r in reservoir.window_states_of(windows, family, ["id"]).collect()}
     for name, r in family.items():
         assert all(np.allclose(both[name, x.id], x.state) for x in reservoir.window_states(windows, r, ["id"]).collect())
+
+
+def test_radii_of_all_subgraphs_equal_dense_ones(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for key, n in (("a", 12), ("b", 25), ("star", 6), ("loop", 1)):
+        pairs = {(0, i) for i in range(1, n)} if key == "star" else {(0, 0)} if key == "loop" else {tuple(map(int, p)) for p in rng.integers(0, n, (4 * n, 2))}
+        a = np.zeros((n, n))
+        for s, d in pairs:
+            a[s, d] = a[d, s] = 1
+        want[key] = np.abs(np.linalg.eigvalsh(a)).max()
+        rows += [(key, s, d) for s, d in pairs]
+    found = graph.spectral_radii(spark.createDataFrame(rows, "k string, src bigint, dst bigint"), ["k"], 100).collect()
+    assert {r["k"] for r in found} == set(want)
+    assert all(abs(r["radius"] - want[r["k"]]) < 1e-5 for r in found) and len({r["rounds"] for r in found}) > 1
+    assert graph.spectral_radii(spark.createDataFrame([], "k string, src bigint, dst bigint"), ["k"]).count() == 0

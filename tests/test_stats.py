@@ -190,3 +190,32 @@ VECTORS = rules.Evidence({}, parameters={"a": {"D2": 1, "D3": 5}, "b": {"D2": 2}
 )
 def test_values_by_data_set_and_chains(rule, want):
     assert rules.evaluate(rule, VECTORS)[0] == want
+
+
+def test_interval_of_rho_equals_resampled_rows(spark):
+    import hashlib
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    data = [(g, int(i), float(rng.integers(0, 6)), float(rng.normal())) for g, n in (("a", 25), ("b", 9)) for i in range(n)]
+    data += [("flat", i, 1.0, float(i)) for i in range(5)] + [("a", 99, None, 1.0)]
+    got = {r["g"]: r for r in stats.spearman_interval(spark.createDataFrame(data, "g string, i int, x double, y double"), ["g"], ["i"], "x", "y", 40, 7).collect()}
+
+    def rank(v):
+        return np.array([(np.sum(v < a) + 1 + np.sum(v <= a)) / 2 for a in v])
+
+    def rho(x, y):
+        a, b = rank(x), rank(y)
+        return np.nan if a.std() == 0 or b.std() == 0 else np.corrcoef(a, b)[0, 1]
+
+    for g in ("a", "b"):
+        own = np.array([d[2:] for d in data if d[0] == g and d[2] is not None])
+        n, each = len(own), []
+        for b in range(40):
+            at = [int(hashlib.md5(f"7|{b}|{j}".encode()).hexdigest()[:8], 16) % n for j in range(n)]
+            each.append(rho(own[at, 0], own[at, 1]))
+        each = [v for v in each if v == v]
+        want = (rho(*own.T), *np.percentile(each, [2.5, 97.5]), n, len(each))
+        assert np.allclose([got[g][c] for c in ("rho", "ci_low", "ci_high", "n", "n_draws")], want)
+    assert got["flat"]["n_draws"] == 0 and got["flat"]["ci_low"] is None and np.isnan(got["flat"]["rho"])

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -120,3 +121,23 @@ def test_grid_covers_every_fold_and_specimen(spark, data, monkeypatch):
     specimens = frame(spark, data).select("specimen_id").distinct().count()
     folds = {r.run_id.split("|")[4] for r in rows}
     assert len(folds) == 5 and len(seen) == 10 and all(n == specimens for n in seen), (folds, seen, specimens)
+
+
+@pytest.mark.parametrize(("n", "blocks"), [(1000, 8), (4000, 8), (625, 5), (40_000, 30), (77, 8), (98, 8)])
+def test_coprime_lengths_are_found_at_once(n, blocks):
+    began = time.perf_counter()
+    found = studies.coprime_lengths(n, blocks)
+    assert time.perf_counter() - began < 2
+    assert sum(found) == n and len(found) == blocks and min(found) >= 2
+    assert all(math.gcd(a, b) == 1 for a, b in itertools.combinations(found, 2))
+
+
+def test_coprime_lengths_of_small_sums_equal_brute_force():
+    for n in range(1, 26):
+        for k in range(5):
+            possible = any(sum(c) == n and all(math.gcd(a, b) == 1 for a, b in itertools.combinations(c, 2)) for c in itertools.combinations_with_replacement(range(2, n + 1), k))
+            if possible and k:
+                assert sum(studies.coprime_lengths(n, k)) == n
+            else:
+                with pytest.raises(ValueError):
+                    studies.coprime_lengths(n, k)
