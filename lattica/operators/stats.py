@@ -148,7 +148,8 @@ def holm(tests: DataFrame, family: Sequence[str], p: str = "p_value", tie: Seque
 def spearman(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Pearson correlation of tie-averaged ranks (NaN where one is constant)."""
     ranked = rows.withColumns({"_rx": average_rank(by, F.col(x)), "_ry": average_rank(by, F.col(y))})
-    return ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
+    rho = F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))  # corr fails on constants under ANSI
+    return ranked.groupBy(*by).agg(F.coalesce(rho, F.lit(float("nan"))).alias("rho"), F.count("*").alias("n"))
 
 
 def spearman_interval(rows: DataFrame, by: Sequence[str], key: Sequence[str], x: str, y: str, draws: int = BOOTSTRAP_DRAWS, seed: int = BOOTSTRAP_SEED, level: float = 0.95) -> DataFrame:
