@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 from .common import id_text, materialise, remembered, slices
 
 #: Classes that are words, and endings of words (code points of one); values in a vector; noise classes of a minibatch.
-WORDS, SUFFIXES, SUFFIX = 2047, 1023, 3
+WORDS, SUFFIXES, SUFFIX = 1535, 767, 3
 SIZE, NOISE, BATCH, RATE = 24, 32, 2048, 0.1
 #: Tokens that the first model is trained on, about, in at most WARM_EPOCHS passes over fewer.
 WARM_TOKENS, WARM_EPOCHS = 1_500_000, 4
 #: Frequent words whose counts are sent to all tasks, at most; other words that a task remembers.
-HOT, MEMORY = 200_000, 200_000
+HOT, MEMORY = 200_000, 100_000
 #: Models that the driver averages, at most; tasks' models are averaged in so many times as many groups before.
 BUCKETS = 16
 END = "\n"
