@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import records, windows
-from ..sources import bundle, files, synthetic
+from ..sources import archives, blocks, bundle, files, synthetic
 from ..storage import shared_dir, shared_path
 from . import register, sql_cte
 from .evidence import OBS, RUNS, run_rows
@@ -121,3 +123,82 @@ def bundle_scan(spark, sf_dir):
     base = shared_path(spark, "bundle")
     bundle.write_bundle(tables, base)
     return bundle.scan_bundle(spark, base, ["1-URGENT", "9-NONE"])
+
+
+_BLOCK_SQL = sql_cte("e AS (SELECT l_suppkey AS src, l_partkey AS dst, count(*) AS w FROM lineitem GROUP BY ALL)",
+    "r AS (SELECT row_number() OVER (ORDER BY src, dst, w) - 1 AS pos, src, dst, w FROM e)",
+    "h AS (SELECT pos, sha256(src || '|' || dst || '|' || w) AS a, sha256(src || '|' || dst || '|' || (w + (pos % 9001 = 7)::INT)) AS b FROM r)",
+    "one AS (SELECT pos // 1000 AS place, sha256(string_agg(a, '' ORDER BY pos)) AS digest, sha256(string_agg(b, '' ORDER BY pos)) AS found FROM h GROUP BY 1)",
+    "two AS (SELECT place // 1000 AS p, sha256(string_agg(digest, '' ORDER BY place)) AS digest, sha256(string_agg(found, '' ORDER BY place)) AS found FROM one GROUP BY 1)",
+    "every AS (SELECT 1 AS level, place, digest, found FROM one UNION ALL SELECT 2, p, digest, found FROM two WHERE (SELECT count(*) FROM one) > 1)",
+    "SELECT *, CASE WHEN digest = found THEN 'whole' ELSE 'changed' END AS status FROM every")
+
+
+@query(_BLOCK_SQL)
+def graph_block(spark, sf_dir):
+    """The graph of all rows as a block with its tree of digests; then one in 9001 edges is damaged where it lies, and every
+    branch is verified."""
+    e = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.count("*").alias("w"))
+    path = shared_path(spark, "block")
+    blocks.write_block(e, path)
+    damaged = spark.read.parquet(f"{path}/edges").withColumn("w", F.col("w") + F.when(F.col("pos") % 9001 == 7, 1).otherwise(0))
+    copy = shared_path(spark, "block")
+    damaged.write.parquet(f"{copy}/edges")
+    spark.read.parquet(f"{path}/digests").write.parquet(f"{copy}/digests")
+    return blocks.verify_block(spark, copy)
+
+
+@query("SELECT l_returnflag || l_linestatus AS kind, count(*) AS n, sum(l_quantity::BIGINT)::BIGINT AS quantity, max(l_orderkey) AS last_order FROM lineitem GROUP BY 1")
+def zip_member_scan(spark, sf_dir):
+    """Rows written into members of ZIP archives by tasks (an archive each, members by flag and status), read back by member in
+    chunks of 16 KB."""
+    import os
+    import zipfile
+
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat("l_returnflag", "l_linestatus").alias("kind"), "l_orderkey", F.col("l_quantity").cast("bigint").alias("q"))
+    folder = archives.local_path(shared_path(spark, "zips"))
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        os.makedirs(folder, exist_ok=True)
+        path, rows = f"{folder}/part-{TaskContext.get().partitionId():05d}.zip", {}
+        with zipfile.ZipFile(f"{path}.{TaskContext.get().taskAttemptId()}", "w", zipfile.ZIP_DEFLATED) as z:
+            for i, b in enumerate(batches):
+                for kind, part in b.groupby("kind"):
+                    z.writestr(f"{kind}/{i}.csv", part[["l_orderkey", "q"]].to_csv(index=False, header=False, lineterminator="\n"))
+                    rows[kind] = rows.get(kind, 0) + len(part)
+        os.replace(z.filename, path)
+        yield pd.DataFrame({"n": [sum(rows.values())]})
+
+    li.repartition(4).mapInPandas(write, "n bigint").agg(F.sum("n")).collect()
+    archives.register(spark)
+    lines = archives.member_lines(spark.read.format("zip_members").option("chunk", 16_384).load(folder))
+    cells = F.split("text", ",")
+    flat = lines.select(F.substring_index("member", "/", 1).alias("kind"), cells[0].cast("bigint").alias("o"), cells[1].cast("bigint").alias("q"))
+    return flat.groupBy("kind").agg(F.count("*").alias("n"), F.sum("q").alias("quantity"), F.max("o").alias("last_order"))
+
+
+@query("SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey % 3 <> 0)")
+def npy_whitelist(spark, sf_dir):
+    """Ids that a whitelist of NPY arrays, written by tasks, doesn't have."""
+    import os
+
+    folder = archives.local_path(shared_path(spark, "arrays"))
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        os.makedirs(folder, exist_ok=True)
+        ids = np.concatenate([np.zeros(0, np.int64), *[b["s_suppkey"].to_numpy(np.int64) for b in batches]])
+        path = f"{folder}/part-{TaskContext.get().partitionId():05d}.npy"
+        with open(f"{path}.{TaskContext.get().taskAttemptId()}", "wb") as f:
+            np.save(f, ids)
+        os.replace(f.name, path)
+        yield pd.DataFrame({"n": [len(ids)]})
+
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_nationkey % 3 <> 0").select("s_suppkey")
+    supplier.repartition(3).mapInPandas(write, "n bigint").agg(F.sum("n")).collect()
+    archives.register(spark)
+    known = spark.read.format("npy").option("values", 100).load(folder).select(F.col("value").alias("id"))
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("id")).distinct().join(known, "id", "left_anti")
