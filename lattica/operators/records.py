@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -102,6 +102,36 @@ def migrate_identity(rows: DataFrame, old: Sequence[str], new: Sequence[str], or
     return ranked.withColumn("status", status).drop("_r", "_first").join(keys, list(new))
 
 
+def ledger_units(records: DataFrame, substrate: Sequence[str], scored: Column, fingerprint: str = "fingerprint", config: str = "config_hash") -> DataFrame:
+    """fingerprint, substrate, n_ok, n_scored, n_configs, n_substrates, classification: a row for each evidence unit.
+
+    A fingerprint that can't name the substrate may cover several (a collision); only the same substrate scored twice
+    is a repeat: a recomputation of one configuration, or a true repeat of several.  Records that failed or have no
+    fingerprint aren't units.  Both levels are map-side aggregates; nulls in the substrate are values like others."""
+    ok = records.where((F.col("status") == "ok") & (F.coalesce(F.col(fingerprint), F.lit("")) != ""))
+    units = ok.groupBy(fingerprint, *substrate).agg(F.count("*").alias("n_ok"), F.count_if(scored).alias("n_scored"), F.count_distinct(F.coalesce(config, F.lit(""))).alias("n_configs"))
+    kind = F.when(F.col("n_scored") <= 1, "single_scored_evaluation").when(F.col("n_configs") == 1, "recomputation_same_config").otherwise("true_repeat_different_config")
+    shared = F.count("*").over(Window.partitionBy(fingerprint))
+    return units.withColumns({"n_substrates": shared, "classification": kind})
+
+
+def ledger_summary(units: DataFrame, fingerprint: str = "fingerprint") -> DataFrame:
+    """One row: fingerprints, those of several substrates and those with a true repeat, units, and units of each kind."""
+    repeat = F.max((F.col("classification") == "true_repeat_different_config").cast("int"))
+    kinds = ("single_scored_evaluation", "recomputation_same_config", "true_repeat_different_config")
+    each = units.groupBy(fingerprint).agg(F.count("*").alias("n"), repeat.alias("repeat"), *[F.count_if(F.col("classification") == k).alias(k) for k in kinds])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return each.agg(F.count("*").alias("n_fingerprints"), F.count_if(F.col("n") > 1).alias("n_colliding"), total("repeat").alias("n_with_true_repeat"), total("n").alias("n_units"), *[total(k).alias(k) for k in kinds])
+
+
+def fingerprint_rows(records: DataFrame, fields: Sequence[str], maps: Sequence[str] = (), time: str = "timestamp_utc") -> DataFrame:
+    """The provenance of each record: identifiers and counts as they are, the time cut to seconds, and maps as JSON text
+    with their keys in order (null: an empty one)."""
+    cut = F.when(F.length(time) >= 19, F.concat(F.substring(time, 1, 19), F.lit("Z"))).otherwise(F.col(time))
+    text = lambda c: F.coalesce(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c)))), F.lit("{}"))
+    return records.select(*[cut.alias(c) if c == time else F.col(c) for c in fields], *[text(c).alias(c) for c in maps])
+
+
 def throughput(rows: DataFrame, by: Sequence[str], duration: str) -> DataFrame:
     """Runs, mean and sample deviation of their seconds, and runs a minute."""
     g = rows.groupBy(*by).agg(F.count("*").alias("n_runs"), F.avg(duration).alias("mean_s"), F.stddev_samp(duration).alias("std_s"), F.sum(duration).alias("_total"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import rules, stats
+from ..operators import records, rules, stats
 from . import register, sql_cte
 from .evidence import BOOT, BY, DRAWS, MARGIN, OBS, PAIRS, RUNS, SIGN, contrasts, means, run_rows
 
@@ -94,3 +94,38 @@ def scope_comparison(spark, sf_dir):
     before = rules.evaluate_all(spark, SCOPED, rules.Evidence({}, parameters=one)).withColumnRenamed("outcome", "before")
     after = rules.evaluate_all(spark, SCOPED, rules.Evidence({}, parameters=vector)).withColumnRenamed("outcome", "after")
     return before.select("rule", "before").join(after.select("rule", "after"), "rule")
+
+
+LEDGER = """r AS (SELECT 'fp' || o_custkey AS fingerprint, left(o_orderpriority, 1) AS priority, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS topology, 'c' || o_orderkey % 2 AS config_hash,
+    CASE WHEN o_orderkey % 11 = 0 THEN 'failed' ELSE 'ok' END AS status, o_orderkey % 5 AS n_test_windows FROM orders),
+units AS (SELECT *, count(*) OVER (PARTITION BY fingerprint) AS n_substrates, CASE WHEN n_scored <= 1 THEN 'single_scored_evaluation' WHEN n_configs = 1 THEN 'recomputation_same_config' ELSE 'true_repeat_different_config' END AS classification
+    FROM (SELECT fingerprint, priority, topology, count(*) AS n_ok, count(*) FILTER (n_test_windows > 0) AS n_scored, count(DISTINCT config_hash) AS n_configs FROM r WHERE status = 'ok' GROUP BY ALL))"""
+
+
+def _ledger(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.concat(F.lit("fp"), "o_custkey").alias("fingerprint"), F.substring("o_orderpriority", 1, 1).alias("priority"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("topology"),
+        F.concat(F.lit("c"), F.col("o_orderkey") % 2).alias("config_hash"), F.when(F.col("o_orderkey") % 11 == 0, "failed").otherwise("ok").alias("status"), (F.col("o_orderkey") % 5).alias("n_test_windows"),
+    )
+    return records.ledger_units(o, ["priority", "topology"], F.col("n_test_windows") > 0)
+
+
+@query(sql_cte(LEDGER, "SELECT * FROM units"))
+def ledger_units(spark, sf_dir):
+    """Collisions, recomputations and true repeats told apart by fingerprint and substrate."""
+    return _ledger(spark, sf_dir)
+
+
+@query(sql_cte(LEDGER, """f AS (SELECT fingerprint, count(*) AS n, max((classification = 'true_repeat_different_config')::INT) AS repeat FROM units GROUP BY 1)""",
+    "SELECT count(*) AS n_fingerprints, count(*) FILTER (n > 1) AS n_colliding, sum(repeat)::BIGINT AS n_with_true_repeat, sum(n)::BIGINT AS n_units, " + ", ".join(f"(SELECT count(*) FROM units WHERE classification = '{k}') AS {k}" for k in ("single_scored_evaluation", "recomputation_same_config", "true_repeat_different_config")) + " FROM f"))
+def ledger_summary(spark, sf_dir):
+    return records.ledger_summary(_ledger(spark, sf_dir))
+
+
+@query("""SELECT 'run' || o_orderkey AS run_id, o_custkey AS fold_id, strftime(o_orderdate, '%Y-%m-%dT00:00:00') || 'Z' AS timestamp_utc,
+    '{"' || left(o_orderpriority, 1) || '":' || o_custkey % 9 || CASE WHEN o_orderstatus = 'F' THEN '' ELSE ',"x":' || o_orderkey % 4 END || '}' AS class_coverage FROM orders""")
+def fingerprint_rows(spark, sf_dir):
+    """Provenance rows of runs made from `orders`."""
+    cover = F.when(F.col("o_orderstatus") == "F", F.create_map(F.substring("o_orderpriority", 1, 1), F.col("o_custkey") % 9)).otherwise(F.create_map(F.lit("x"), F.col("o_orderkey") % 4, F.substring("o_orderpriority", 1, 1), F.col("o_custkey") % 9))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("run"), "o_orderkey").alias("run_id"), F.col("o_custkey").alias("fold_id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00.123456").alias("timestamp_utc"), cover.alias("class_coverage"))
+    return records.fingerprint_rows(o, ["run_id", "fold_id", "timestamp_utc"], ["class_coverage"])

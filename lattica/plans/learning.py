@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, models, reservoir
+from ..operators import graph, models, reservoir, robustness
 from ..storage import materialise
 from . import benchmark, register, sql_cte
 from .network import edges, nodes
@@ -131,3 +131,24 @@ def perturbed_channels(spark, sf_dir):
     """Channel dropout in a fifth of the rows, then gain and offset drift."""
     f = models.drifted(models.masked_channels(frame(spark, sf_dir), FEATURES, 0.2, 4), FEATURES, 1.1, 0.5)
     return f.select("event_id", *[F.round(c, 6).alias(c) for c in FEATURES])
+
+
+def _horner(coefficients, x: str) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+_Q = "sqrt(-2 * ln(least(u, 1 - u)))"
+_TAIL = f"{_horner(robustness.TAIL_TOP, _Q)} / {_horner(robustness.TAIL_BELOW, _Q)}"
+_CENTRE = f"(u - 0.5) * {_horner(robustness.CENTRE_TOP, '((u - 0.5) * (u - 0.5))')} / {_horner(robustness.CENTRE_BELOW, '((u - 0.5) * (u - 0.5))')}"
+_NORMAL = f"(SELECT CASE WHEN u < {robustness.TAIL} THEN {_TAIL} WHEN u > 1 - {robustness.TAIL} THEN -({_TAIL}) ELSE {_CENTRE} END FROM (SELECT (('0x' || substr(md5('noise|5|{{c}}|' || event_id), 1, 8))::BIGINT + 0.5) / 4294967296 AS u))"
+
+
+@query(sql_cte(FRAME, "n AS (SELECT event_id, " + ", ".join(f"{c} + 0.1 * {_NORMAL.format(c=c)} AS {c}" for c in FEATURES) + " FROM frame)",
+    "SELECT event_id, ablated, " + ", ".join(f"round(CASE WHEN ablated = '{c}' THEN 0 ELSE {c} END, 6) AS {c}" for c in FEATURES) + f" FROM n, (SELECT unnest({['none', *FEATURES]}) AS ablated)"))
+def noisy_channels(spark, sf_dir):
+    """Gaussian noise of a tenth of a deviation, then each channel switched off in turn."""
+    f = robustness.ablations(robustness.noisy(frame(spark, sf_dir), FEATURES, 0.1, 5, "event_id"), FEATURES)
+    return f.select("event_id", "ablated", *[F.round(c, 6).alias(c) for c in FEATURES])
