@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, slices
+from .common import id_text, materialise, slices
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Of windows that just meet the threshold, fingerprints differ in 9.6 bits on average, and in more than RADIUS in less than
@@ -44,10 +44,11 @@ BLOCKS, BLOCK_BITS = 4, 16
 NEAR = RADIUS // BLOCKS  # bits that the best block differs in at most
 #: Items that are indexed, and shipped to the tasks, at once; more are matched in further passes.
 ITEMS_AT_ONCE, TEXT_AT_ONCE = 20_000, 16 << 20
-_WORD = re.compile(r"\w+")
+_WORD, _SPACE = re.compile(r"\w+"), re.compile(r"[ \t\n\r]")
 _FLIPS = np.array([sum(1 << b for b in c) for k in range(NEAR + 1) for c in combinations(range(BLOCK_BITS), k)], np.uint16)
-#: Pairs of a window and a block's value that are looked at together.
-AT_ONCE = 1 << 20
+#: Pairs of a window and a block's value that are looked at together; places of windows whose fingerprints are summed
+#: together, besides a window's length; words and characters of a text that are looked at together, besides an item's words.
+AT_ONCE, STARTS_AT_ONCE, WORDS_AT_ONCE, CHARS_AT_ONCE = 1 << 20, 2048, 100_000, 1 << 20
 _ODD = np.array([2 * i + 1 for i in range(SHINGLE)], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -127,6 +128,17 @@ class Blocks:
         return found
 
 
+def _runs(starts: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """Starts of windows of k shingles in runs that overlap or touch, each within STARTS_AT_ONCE places."""
+    at = 0
+    while at < len(starts):
+        most = int(np.searchsorted(starts, starts[at] + STARTS_AT_ONCE))
+        apart = np.flatnonzero(np.diff(starts[at:most]) > k)
+        end = at + int(apart[0]) + 1 if len(apart) else most
+        yield starts[at:end]
+        at = end
+
+
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
@@ -141,28 +153,32 @@ class Item:
     size: int  # words
     counts: dict[int, int]
     weight: float
+    copies: int = 1
 
 
 class Index:
     """Items by their number of words, with a table of blocks for each."""
 
-    def __init__(self, rows: list[tuple[int | None, str | None]], threshold: float = THRESHOLD, counted: tuple[int, np.ndarray, np.ndarray] | None = None):
-        """counted: the number of items, the shingles of several items in order, and how many have each; if these rows
-        are not the whole benchmark."""
+    def __init__(self, rows: list[tuple], threshold: float = THRESHOLD, counted: tuple[int, np.ndarray, np.ndarray] | None = None):
+        """rows: (id, text), or (id, text, how many items are equal to it).  counted: the number of items, the shingles of
+        several items in order, and how many have each; if these rows are not the whole benchmark."""
         self.threshold = threshold
         self.words: dict[str, int] = {}
         parsed = []
-        for item_id, text in rows:
+        for item_id, text, *copies in rows:
             words = words_of(text)
             if words:
-                parsed.append((item_id, len(words), text_shingles(words)))
+                parsed.append((item_id, len(words), text_shingles(words), *(copies or [1])))
                 for w in words:
                     self.words.setdefault(w, len(self.words) + 1)
         self.word_hashes = np.array([0, *map(xxhash.xxh3_64_intdigest, self.words)], np.uint64)
-        seen = Counter(s for _, _, h in parsed for s in set(h.tolist()))
+        seen: Counter = Counter()
+        for _, _, h, copies in parsed:
+            for x in set(h.tolist()):
+                seen[x] += copies
         if counted is None:
             several = sorted(s for s, n in seen.items() if n > 1)
-            counted = len(parsed), np.array(several, np.uint64), np.array([seen[s] for s in several], np.int64)
+            counted = sum(c for *_, c in parsed), np.array(several, np.uint64), np.array([seen[s] for s in several], np.int64)
         total, self.several, with_it = counted
         self.rare = 1 + math.log((1 + total) / 2)
         self.several_weight = 1 + np.log((1 + total) / (1 + with_it))
@@ -170,10 +186,10 @@ class Index:
         self.known_weight = self.weights(self.known)
         self.items: dict[int, list[Item]] = defaultdict(list)
         prints: dict[int, list[int]] = defaultdict(list)
-        for item_id, size, h in parsed:
+        for item_id, size, h, copies in parsed:
             counts = dict(Counter(h.tolist()))
             weights = self.weights(h)
-            self.items[size].append(Item(item_id, size, counts, float(weights.sum())))
+            self.items[size].append(Item(item_id, size, counts, float(weights.sum()), copies))
             prints[size].append(int(fingerprints(h, weights, np.array([0]), len(h))[0]))
         self.blocks = {size: Blocks(np.array(p, np.uint64)) for size, p in prints.items()}
         self.least = {size: min(i.weight for i in items) for size, items in self.items.items()}
@@ -194,31 +210,54 @@ class Index:
         return float(both / (item.weight + sum(n * w for n, w in zip(counts.values(), each, strict=True)) - both))
 
     def matches(self, text: str, first: bool = False) -> list[tuple[int | None, float, int, int]]:
-        """(item_id, similarity, first word, words) of the best window for each matched item; first: stop at one."""
-        words = _WORD.findall(text.lower())
-        if not words or not self.items:
-            return []
+        """(item_id, similarity, first word, words) of the best window for each matched item, equal ones each; first: stop
+        at one."""
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for base, words in self._pieces(text) if self.items else ():
+            self._look(base, words, best, first)
+            if first and best:
+                break
+        return [(item.item_id, *found) for (s, i), found in best.items() for item in [self.items[s][i]] for _ in range(item.copies)]
+
+    def _pieces(self, text: str) -> Iterator[tuple[int, list[str]]]:
+        """(place of the first word, words) of stretches of a text that overlap by the longest item less a word, so that each
+        window of an item's size lies in one; but for a text that is shorter, they are longer than any item."""
+        longest = max(self.items)
+        held, base, at, end = [], 0, 0, len(text)
+        while at < end:
+            cut = at + CHARS_AT_ONCE
+            if cut < end:  # at white space, which no word and no rule of lower case reaches over
+                space = _SPACE.search(text, cut)
+                cut = space.start() if space else end
+            held += _WORD.findall(text[at:cut].lower())
+            at = cut
+            if at < end and len(held) >= max(WORDS_AT_ONCE, 2 * longest):
+                yield base, held
+                base += len(held) - longest + 1
+                held = held[len(held) - longest + 1 :]
+        if held:
+            yield base, held
+
+    def _look(self, base: int, words: list[str], best: dict, first: bool) -> None:
         get = self.words.get
         ids = np.array([get(w, 0) for w in words], np.int32)
         run, n = ids > 0, len(ids)
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for size in self._short(n):
             k = min(size, n)
             for p in np.flatnonzero(np.lib.stride_tricks.sliding_window_view(run, k).all(1)).tolist():
-                self._verify(size, shingles(self.word_hashes[ids[p : p + k]]), p, k, best)
+                self._verify(size, shingles(self.word_hashes[ids[p : p + k]]), base + p, k, best)
         if n >= SHINGLE:
             both = run[: n - SHINGLE + 1].copy()
             for i in range(1, SHINGLE):
                 both &= run[i : n - SHINGLE + 1 + i]
             if both.any():
-                self._long(words, self.word_hashes[ids], ids == 0, both, best, first)
-        return [(self.items[s][i].item_id, *found) for (s, i), found in best.items()]
+                self._long(base, words, self.word_hashes[ids], ids == 0, both, best, first)
 
     def _short(self, n: int) -> list[int]:
         """Sizes whose windows are one shingle."""
         return [s for s in self.items if s < SHINGLE and s <= n]
 
-    def _long(self, words: list[str], h: np.ndarray, other: np.ndarray, both: np.ndarray, best: dict, first: bool) -> None:
+    def _long(self, base: int, words: list[str], h: np.ndarray, other: np.ndarray, both: np.ndarray, best: dict, first: bool) -> None:
         at = np.flatnonzero(both)
         s = shingles(h)
         place = np.minimum(np.searchsorted(self.known, s[at]), len(self.known) - 1)
@@ -233,19 +272,18 @@ class Index:
             if size < SHINGLE or k < 1:
                 continue
             starts = np.flatnonzero(total[k:] - total[:-k] >= self.threshold * self.least[size] - 1e-6)
-            if not len(starts):
-                continue
-            lo, hi = int(starts[0]), int(starts[-1]) + k
-            whole = h[lo : hi + SHINGLE - 1].copy()
-            for i in np.flatnonzero(other[lo : hi + SHINGLE - 1]).tolist():  # words that these items don't have
-                whole[i] = xxhash.xxh3_64_intdigest(words[lo + i])
-            exact = shingles(whole)
-            weights = self.weights(exact)
-            for w, i in self.within(size, fingerprints(exact, weights, starts - lo, k)):
-                p = int(starts[w])
-                self._keep(size, i, Counter(exact[p - lo : p - lo + k].tolist()), p, k + SHINGLE - 1, best)
-            if first and best:
-                return
+            for near in _runs(starts, k):
+                lo, hi = int(near[0]), int(near[-1]) + k
+                whole = h[lo : hi + SHINGLE - 1].copy()
+                for i in np.flatnonzero(other[lo : hi + SHINGLE - 1]).tolist():  # words that these items don't have
+                    whole[i] = xxhash.xxh3_64_intdigest(words[lo + i])
+                exact = shingles(whole)
+                weights = self.weights(exact)
+                for w, i in self.within(size, fingerprints(exact, weights, near - lo, k)):
+                    p = int(near[w])
+                    self._keep(size, i, Counter(exact[p - lo : p - lo + k].tolist()), base + p, k + SHINGLE - 1, best)
+                if first and best:
+                    return
 
     def _verify(self, size: int, hashes: np.ndarray, p: int, k: int, best: dict) -> None:
         counts = Counter(hashes.tolist())
@@ -260,15 +298,16 @@ class Index:
 
 
 def count_shingles(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """The number of items with words, the shingles of several items in order, and how many have each."""
+    """The number of items with words, the shingles of several items in order, and how many have each; items: id, text, copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            for t in b.column(1):
+            for t, copies in zip(b.column(1), b.column(2).to_pylist(), strict=True):
                 if words := words_of(t.as_py()):  # a null for the item itself
-                    yield pa.RecordBatch.from_arrays([pa.array([None, *np.unique(text_shingles(words)).view(np.int64).tolist()], pa.int64())], ["shingle"])
+                    found = [None, *np.unique(text_shingles(words)).view(np.int64).tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([copies] * len(found), pa.int64())], ["shingle", "n"])
 
-    n = items.mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1 OR shingle IS NULL").toArrow()
+    n = items.mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1 OR shingle IS NULL").toArrow()
     found, total = n.drop_null(), sum(c for s, c in zip(n["shingle"].to_pylist(), n["n"].to_pylist(), strict=True) if s is None) if n["shingle"].null_count else 0
     hashes = found["shingle"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
@@ -276,8 +315,9 @@ def count_shingles(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD, at_once: int = ITEMS_AT_ONCE) -> Iterator[Index]:
-    """An index for each block of the items; a block has about `at_once` of them, or TEXT_AT_ONCE characters."""
+    """An index for each block of the items; a block has about `at_once` different ones, or TEXT_AT_ONCE characters."""
     items = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    items = items.groupBy("item_id", "text").agg(F.count("*").alias("copies"))
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(-(-n // at_once), -(-size // TEXT_AT_ONCE))
     counted = count_shingles(items) if blocks > 1 else None
@@ -309,8 +349,11 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows that contain no item, with all their columns."""
-    at = docs.columns.index(text_col)
+    at, sent = docs.columns.index(text_col), None
     for index in indexes(benchmark, threshold=threshold):
+        if sent is not None:  # written, so that no task holds the indexes of several passes
+            docs = materialise(docs, "clean")
+            sent.destroy()
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

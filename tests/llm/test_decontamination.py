@@ -138,3 +138,66 @@ def test_recall_at_the_threshold():
                 seen += 1
                 within += int(prints[0] ^ prints[1]).bit_count() <= d.RADIUS
     assert seen > 300 and within >= 0.999 * seen
+
+
+def test_a_long_text_with_an_item_at_both_ends_takes_little_memory_and_time(monkeypatch):
+    import time
+    import tracemalloc
+
+    rng = random.Random(5)
+    vocab = [f"word{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(12 + i))) for i in range(60)]
+    index = d.Index(items)
+    middle = " ".join(rng.choice(vocab) for _ in range(400_000))
+    text = f"{items[7][1]} {middle} {items[7][1]} end"
+    tracemalloc.start()
+    began = time.perf_counter()
+    got = index.matches(text)
+    took, (_, peak) = time.perf_counter() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert [(m[0], m[2]) for m in got] == [(7, 0)]
+    assert len(text) > 3_000_000 and took < 30 and peak < 60 << 20
+
+
+def test_pieces_and_runs_find_what_a_whole_text_finds(monkeypatch):
+    rng = random.Random(6)
+    vocab = [f"v{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([2, 4, 8, 20, 45])))) for i in range(20)]
+    texts = []
+    for _ in range(30):
+        parts = [" ".join(rng.choice([*vocab, "new"]) for _ in range(rng.randint(0, 60))) + rng.choice([" ", "\n", ". "]) + rng.choice(items)[1] for _ in range(4)]
+        texts.append("ΑΣ, " + "; ".join(parts))
+    texts += ["", "v1", "v1-v2_" * 200, items[0][1]]
+    index = d.Index(items)
+    whole = [index.matches(t) for t in texts]
+    assert sum(map(len, whole)) > 60
+    monkeypatch.setattr(d, "CHARS_AT_ONCE", 40)
+    monkeypatch.setattr(d, "WORDS_AT_ONCE", 10)
+    monkeypatch.setattr(d, "STARTS_AT_ONCE", 3)
+    for t, want in zip(texts, whole, strict=True):
+        got = index.matches(t)
+        assert sorted((m[0], round(m[1], 9), m[3]) for m in got) == sorted((m[0], round(m[1], 9), m[3]) for m in want)
+        words = d.words_of(t)
+        assert [words[p : p + n] for _, s, p, n in sorted(got, key=str) if s > 1 - 1e-9] == [words[p : p + n] for _, s, p, n in sorted(want, key=str) if s > 1 - 1e-9]
+
+
+def test_equal_items_share_an_entry_and_are_matched_each(spark, make_docs, monkeypatch):
+    rows = [(1, "a b c d e f g h")] * 30 + [(2, "a b c d e f g z")] + [(None, "n o p q r s t")] * 3
+    bench = spark.createDataFrame(rows, "item_id bigint, text string")
+    docs = make_docs([(10, "x a b c d e f g h y"), (11, "n o p q r s t")])
+    got = sorted((r.doc_id, r.item_id) for r in d.find_matches(docs, bench).collect() if r.similarity > 0.99)
+    assert [g[0] for g in got] == [10] * 30 + [11] * 3
+    (index,) = d.indexes(bench)
+    assert sum(map(len, index.items.values())) == 3 and index.rare == d.Index(rows).rare
+    monkeypatch.setattr(d, "ITEMS_AT_ONCE", 1)
+    kept = [p for p in d.indexes(bench, at_once=1)]
+    assert len(kept) == 3
+
+
+def test_passes_of_keep_clean_are_written_one_by_one(spark, make_docs, monkeypatch):
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(10))) for i in range(9)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = make_docs([(i, "before " + t + " after") for i, t in items] + [(100, "clean text")])
+    original = d.indexes
+    monkeypatch.setattr(d, "indexes", lambda b, **more: original(b, at_once=3, **more))
+    assert [r.doc_id for r in d.keep_clean(docs, bench).collect()] == [100]
