@@ -37,7 +37,7 @@ from .common import id_text, materialise, remembered, slices
 MISS, MAX_VALUES = 1e-6, 128
 #: Candidate ids are broadcast to the text scan up to so many, joined by shuffle beyond.
 BROADCAST_IDS = 500_000
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 100_000
 _SEED = 20250117
 
 
