@@ -523,6 +523,44 @@ def subgraph_quality(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     return e.crossJoin(i).crossJoin(iso).withColumn("retention", F.try_divide("n_inside", "n_eligible"))
 
 
+def selection_against_random(edges: DataFrame, nodes: DataFrame, chosen: DataFrame, draws: int = 20, seed: int = 0) -> DataFrame:
+    """One row: the selection's retained part of the edges (without self-loops) and its weak components, their means over
+    random selections of its size, and the part of these that retain no more (percentile).
+
+    All selections are one table: their edges come from one join, and their components from one search, in which each
+    selection's nodes have ids of their own."""
+    eligible = edges.where("src <> dst").select("src", "dst")
+    n = eligible.count()
+    picked = chosen.select("id").distinct()
+    size, span = picked.count(), nodes.agg(F.max("id")).first()[0]
+    span = (span or 0) + 1
+    each = nodes.select("id").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    rank = F.row_number().over(Window.partitionBy("b").orderBy(draw("select", seed, F.col("b"), F.col("id")), "id"))
+    drawn = each.withColumn("r", rank).where(F.col("r") <= size).select("b", "id")
+    every = materialise(picked.select(F.lit(-1).alias("b"), "id").unionByName(drawn), "selections")
+    inside = eligible.join(every.withColumnRenamed("id", "src"), "src").join(every.withColumnRenamed("id", "dst"), ["b", "dst"])
+    own = lambda c: ((F.col("b") + 1).cast("bigint") * span + F.col(c)).alias(c)
+    inside = materialise(inside.select("b", own("src"), own("dst")), "selected-edges")
+    labels = weak_components(inside.select("src", "dst")).withColumn("b", F.expr(f"cast(node div {span} as int)") - 1)
+    joined = labels.groupBy("b").agg(F.count("*").alias("touched"), F.count_distinct("label").alias("parts"))
+    kept = inside.groupBy("b").agg(F.count("*").alias("m"))
+    table = every.select("b").distinct().join(kept, "b", "left").join(joined, "b", "left").fillna(0)
+    table = table.select("b", (F.col("m") / F.lit(n)).alias("share"), (F.col("parts") + size - F.col("touched")).alias("parts"))
+    of = lambda c, real: F.when((F.col("b") == -1) == F.lit(real), F.col(c))
+    real = F.max(of("share", True)).alias("retention")
+    summary = table.agg(real, F.max(of("parts", True)).alias("n_components"), F.avg(of("share", False)).alias("random_retention"), F.avg(of("parts", False)).alias("random_components"))
+    beaten = table.where("b >= 0").crossJoin(F.broadcast(summary.select("retention"))).agg(F.avg((F.col("share") <= F.col("retention")).cast("double")).alias("percentile"))
+    return summary.crossJoin(beaten)
+
+
+def absolute_norm(edges: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Weights over the sum of absolute weights of their source (kept where that is 0), times one scale that graphs to be
+    compared share."""
+    total = edges.groupBy("src").agg(F.sum(F.abs("w")).alias("_total"))
+    w = F.col("w") / F.when(F.col("_total") == 0, 1.0).otherwise(F.col("_total")) * scale
+    return edges.join(total, "src").withColumn("w", w).drop("_total")
+
+
 def input_channels(nodes: DataFrame, channels: int, seed: int = 0) -> DataFrame:
     """Each node's input channel: its place in a seeded order, modulo the channels."""
     rank = F.row_number().over(Window.partitionBy("class").orderBy(draw("map", seed, F.col("id")), "id")) - 1

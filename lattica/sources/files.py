@@ -101,6 +101,28 @@ def write_folds(frame: DataFrame, path: str, mode: str = "overwrite") -> None:
     frame.write.mode(mode).partitionBy("fold_id", "split").parquet(path)
 
 
+def write_scalers(scalers: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Scalers (n_fit_rows, <channel>_mean and _std, and keys such as fold_id), a row each."""
+    scalers.write.mode(mode).parquet(path)
+
+
+def read_scalers(spark: SparkSession, path: str, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Scalers as written; a table that lacks a channel's statistics, holds other types, has a deviation that isn't positive
+    or several rows for a key is an error."""
+    df = spark.read.parquet(path)
+    kinds = dict(df.dtypes)
+    wanted = {"n_fit_rows": "bigint", **{f"{c}_{s}": "double" for c in features for s in ("mean", "std")}}
+    if bad := sorted(c for c, k in wanted.items() if kinds.get(c) != k) + sorted(set(keys) - set(kinds)):
+        raise ValueError(f"no scaler: {bad} are missing or of another type")
+    wrong = F.lit(False)
+    for c in features:
+        wrong = wrong | F.col(f"{c}_mean").isNull() | F.isnan(f"{c}_mean") | ~F.coalesce(F.col(f"{c}_std") > 0, F.lit(False))
+    faults = df.groupBy(*keys).agg(F.count("*").alias("n"), F.max(wrong).alias("wrong")).where("n > 1 OR wrong")
+    if not faults.isEmpty():
+        raise ValueError("no scaler: deviations must be positive, and keys differ")
+    return df.select(*keys, *wanted)
+
+
 def write_edges(edges: DataFrame, path: str, mode: str = "overwrite") -> None:
     edges.write.mode(mode).parquet(path)
 

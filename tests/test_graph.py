@@ -219,3 +219,33 @@ def test_radii_of_all_subgraphs_equal_dense_ones(spark):
     assert {r["k"] for r in found} == set(want)
     assert all(abs(r["radius"] - want[r["k"]]) < 1e-5 for r in found) and len({r["rounds"] for r in found}) > 1
     assert graph.spectral_radii(spark.createDataFrame([], "k string, src bigint, dst bigint"), ["k"]).count() == 0
+
+
+def test_a_selection_beside_random_ones_equals_brute_force(spark):
+    import hashlib
+
+    rng = np.random.default_rng(3)
+    pairs = sorted({tuple(map(int, p)) for p in rng.integers(0, 40, (70, 2))})
+    nodes = spark.range(40)
+    chosen = list(range(0, 40, 3))
+    found = graph.selection_against_random(spark.createDataFrame(pairs, "src bigint, dst bigint"), nodes, spark.createDataFrame([(i,) for i in chosen], "id bigint"), 6, 2).first()
+    eligible = [p for p in pairs if p[0] != p[1]]
+
+    def measured(ids):
+        inside = [p for p in eligible if p[0] in ids and p[1] in ids]
+        label = {i: i for i in ids}
+        for _ in ids:
+            for s, d in inside:
+                label[s] = label[d] = min(label[s], label[d])
+        return len(inside) / len(eligible), len(set(label.values()))
+
+    share, parts = measured(set(chosen))
+    key = lambda b, i: (int(hashlib.md5(f"select|2|{b}|{i}".encode()).hexdigest()[:8], 16), i)
+    drawn = [measured(set(sorted(range(40), key=lambda i: key(b, i))[: len(chosen)])) for b in range(6)]  # noqa: B023
+    want = (share, parts, np.mean([d[0] for d in drawn]), np.mean([d[1] for d in drawn]), np.mean([d[0] <= share for d in drawn]))
+    assert np.allclose(list(found), want)
+
+
+def test_absolute_norm_keeps_rows_without_weight(spark):
+    e = spark.createDataFrame([(1, 2, -3.0), (1, 3, 1.0), (2, 1, 0.0)], "src bigint, dst bigint, w double")
+    assert {(r.src, r.dst): r.w for r in graph.absolute_norm(e, 2.0).collect()} == {(1, 2): -1.5, (1, 3): 0.5, (2, 1): 0.0}

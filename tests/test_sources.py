@@ -90,3 +90,22 @@ def test_stream_in_micro_batches_equals_batch(spark, tmp_path):
     got = spark.read.parquet(streaming.run_available(streaming.count_windows(stream, "key", ["t", "id"], ["v"], 5), "micro")).collect()
     batch = windows.sliding_windows(df.withColumns({"specimen_id": F.col("key"), "session_id": F.col("key"), "time_index": F.col("t"), "freshness_class": F.lit(0), "tvc": F.lit(0.0)}), ["v"], 5).collect()
     assert sorted((r.key, r.window_no, r.end_order, r.total) for r in got) == sorted((r.specimen_id, r.window_no, r.end_time, sum(x[0] for x in r.x)) for r in batch)
+
+
+def test_scalers_are_checked_when_they_are_read(spark, tmp_path):
+    path = str(tmp_path / "scalers")
+    good = spark.createDataFrame([(0, 5, 1.0, 2.0), (1, 6, 0.0, 0.5)], "fold_id int, n_fit_rows bigint, a_mean double, a_std double")
+    files.write_scalers(good, path)
+    assert sorted(map(tuple, files.read_scalers(spark, path, ["a"], ["fold_id"]).collect())) == [(0, 5, 1.0, 2.0), (1, 6, 0.0, 0.5)]
+    with pytest.raises(ValueError, match="b_mean"):
+        files.read_scalers(spark, path, ["a", "b"], ["fold_id"])
+    bad = {
+        "type": good.withColumn("a_std", good.a_std.cast("float")),
+        "deviation": good.withColumn("a_std", good.a_std - 2),
+        "null": good.withColumn("a_mean", good.a_mean + None),
+        "key": good.unionByName(good),
+    }
+    for name, df in bad.items():
+        files.write_scalers(df, f"{path}-{name}")
+        with pytest.raises(ValueError, match="no scaler"):
+            files.read_scalers(spark, f"{path}-{name}", ["a"], ["fold_id"])
