@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 
 def fold_audit(folds: DataFrame, specimens: DataFrame) -> DataFrame:
-    """fold_id, specimen_id, problem: specimens in several splits of a fold, missing from it or unknown."""
+    """fold_id, specimen_id, problem: specimens in several splits of a fold, missing from it or unknown.
+
+    Folds are compared with all specimens only where their numbers of known ones differ, so whole folds cost a count."""
     known = specimens.select("specimen_id").distinct()
     several = folds.groupBy("fold_id", "specimen_id").agg(F.count("*").alias("n")).where("n > 1").select("fold_id", "specimen_id", F.lit("overlap").alias("problem"))
-    every = folds.select("fold_id").distinct().crossJoin(known)
+    held = folds.select("fold_id", "specimen_id").distinct().join(known, "specimen_id", "left_semi").groupBy("fold_id").agg(F.count("*").alias("n"))
+    total = known.agg(F.count("*").alias("total"))
+    short = folds.select("fold_id").distinct().join(held, "fold_id", "left").crossJoin(F.broadcast(total)).where(F.coalesce("n", F.lit(0)) != F.col("total"))
+    every = short.select("fold_id").crossJoin(known)
     missing = every.join(folds, ["fold_id", "specimen_id"], "left_anti").withColumn("problem", F.lit("missing"))
     unknown = folds.join(known, "specimen_id", "left_anti").select("fold_id", "specimen_id", F.lit("unexpected").alias("problem"))
     return several.unionByName(missing).unionByName(unknown)

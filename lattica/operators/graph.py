@@ -173,16 +173,26 @@ def weak_components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+#: Written tables that are read together, at most.
+MAX_PIECES = 16
+
+
 def _spread(edges: DataFrame, seeds: DataFrame, on: Sequence[str]) -> DataFrame:
-    """All (on..., node) reached from seeds along edges (on..., src, dst), seeds included."""
+    """All (on..., node) reached from seeds along edges (on..., src, dst), seeds included.
+
+    A round writes what it reaches for the first time; what has been reached is the union of these tables, which are
+    put together when they have become many."""
     reached = frontier = materialise(seeds, "spread")
+    pieces = 1
     while True:
         step = frontier.withColumnRenamed("node", "src").join(edges, [*on, "src"])
         step = step.select(*on, F.col("dst").alias("node")).distinct().join(reached, [*on, "node"], "left_anti")
         frontier = materialise(step, "spread-step")
         if frontier.isEmpty():
             return reached
-        reached = materialise(reached.unionByName(frontier), "spread")
+        reached, pieces = reached.unionByName(frontier), pieces + 1
+        if pieces == MAX_PIECES:
+            reached, pieces = materialise(reached, "spread"), 1
 
 
 #: Edges up to which strong components are found on the driver: some megabytes.

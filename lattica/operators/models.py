@@ -157,13 +157,13 @@ class KernelMachine:
         return {"model": self.name, "task": self.task, "substitute_for": "support vector machine", "rows": self.rows_kept}
 
 
-def random_forest(task: str, n_estimators: int = 300, max_depth: int | None = 10, min_samples_leaf: int = 1, seed: int = 0) -> Model:
+def random_forest(task: str, n_estimators: int = 300, max_depth: int | None = None, min_samples_leaf: int = 1, seed: int = 0) -> Model:
     """max_depth: None is as deep as Spark grows trees, 30."""
     kind = RandomForestClassifier if task == CLASSIFICATION else RandomForestRegressor
     return MlModel("random_forest", task, kind(labelCol="y", numTrees=n_estimators, maxDepth=30 if max_depth is None else max_depth, minInstancesPerNode=min_samples_leaf, seed=seed))
 
 
-def boosted_trees(task: str, n_estimators: int = 10, max_depth: int = 5, learning_rate: float = 0.1, subsample: float = 0.9, seed: int = 0) -> Model:
+def boosted_trees(task: str, n_estimators: int = 300, max_depth: int = 6, learning_rate: float = 0.1, subsample: float = 0.9, seed: int = 0) -> Model:
     kind = GBTClassifier if task == CLASSIFICATION else GBTRegressor
     trees = kind(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, subsamplingRate=subsample, seed=seed)
     return MlModel("boosted_trees", task, OneVsRest(classifier=trees, labelCol="y") if task == CLASSIFICATION else trees.setLabelCol("y"))

@@ -15,10 +15,10 @@ from .ordering import with_position
 def permuted(specimens: DataFrame, seed: int, salt: str = "perm") -> DataFrame:
     """specimen_id, pos (0-based) in a seeded order by hash, and n.
 
-    Positions come from counts of hash ranges and ranks inside them, so no single task sorts all specimens;
-    only the 256 range counts are broadcast."""
+    Positions come from counts of 65,536 hash ranges and ranks inside them, so a task that sorts a range has a 65,536th of
+    the specimens; only the counts of ranges are broadcast."""
     ids = specimens.select("specimen_id").distinct()
-    keyed = ids.withColumn("h", draw(salt, seed, F.col("specimen_id"))).withColumn("range", F.shiftright("h", 24))
+    keyed = ids.withColumn("h", draw(salt, seed, F.col("specimen_id"))).withColumn("range", F.shiftright("h", 16))
     counts = keyed.groupBy("range").agg(F.count("*").alias("c"))
     before = counts.select("range", (F.sum("c").over(Window.orderBy("range")) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy()).alias("n"))
     rank = F.row_number().over(Window.partitionBy("range").orderBy("h", "specimen_id")) - 1
@@ -79,12 +79,14 @@ def train_fraction(specimens: DataFrame, fraction: float, seed: int = 0) -> Data
 
 
 def fold_train_pool(folds: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
-    """The same for each fold's training side."""
-    train = folds.where("split = 'train'")
-    h = draw("pool", seed, F.col("specimen_id"))
-    w = Window.partitionBy("fold_id")
-    ranked = train.withColumns({"pos": F.row_number().over(w.orderBy(h, "specimen_id")) - 1, "n": F.count("*").over(w)})
-    return ranked.where(F.col("pos") < F.ceil(F.lit(fraction) * F.col("n"))).select("fold_id", "specimen_id")
+    """The same for each fold's training side: places by ranges of hashes inside each fold, so no task sorts a fold."""
+    train = folds.where("split = 'train'").withColumn("h", draw("pool", seed, F.col("specimen_id"))).withColumn("range", F.shiftright("h", 22))
+    counts = train.groupBy("fold_id", "range").agg(F.count("*").alias("c"))
+    along = Window.partitionBy("fold_id")
+    before = counts.select("fold_id", "range", (F.sum("c").over(along.orderBy("range")) - F.col("c")).alias("before"), F.sum("c").over(along).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("fold_id", "range").orderBy("h", "specimen_id")) - 1
+    placed = train.withColumn("rank", rank).join(before, ["fold_id", "range"])
+    return placed.where(F.col("before") + F.col("rank") < F.ceil(F.lit(fraction) * F.col("n"))).select("fold_id", "specimen_id")
 
 
 def fingerprints(folds: DataFrame, strategy: str, seed: int) -> DataFrame:

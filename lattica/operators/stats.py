@@ -8,6 +8,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -97,17 +99,55 @@ def signed_ranks(deltas: DataFrame, by: Sequence[str]) -> DataFrame:
     return every.select(*by, "n_nonzero", F.when(total == 0, 0.0).otherwise((F.col("r_plus") - F.col("r_minus")) / total).alias("rank_biserial"), F.least("r_plus", "r_minus").alias("statistic"))
 
 
-#: Deltas of one contrast whose Walsh averages are listed, at most: 4 million averages.
+#: Deltas of one contrast whose Walsh averages are listed, at most: 4 million averages.  The median of more is found by counting.
 MAX_WALSH = 2000
 
 
+def walsh_median(d: np.ndarray) -> float:
+    """Median of (x + y) / 2 over all ordered pairs, without listing them: the two middle sums are searched by bisection over
+    the floating-point numbers, counting the pairs up to a number in each step."""
+    x = np.sort(np.asarray(d, float)) + 0.0  # no -0.0
+    n = len(x)
+    if not n:
+        return float("nan")
+
+    def up_to(t: float) -> int:
+        at = np.searchsorted(x, t - x, "right")
+        while True:  # t - x is rounded, the sums decide
+            more = (at < n) & (x[np.minimum(at, n - 1)] + x <= t)
+            less = (at > 0) & (x[np.maximum(at - 1, 0)] + x > t) & ~more
+            if not (more.any() or less.any()):
+                return int(at.sum())
+            at = at + more - less
+
+    order = lambda v: int(np.float64(v).view(np.int64)) if v >= 0 else -int(np.float64(-v).view(np.int64))
+    number = lambda i: float(np.int64(i).view(np.float64)) if i >= 0 else -float(np.int64(-i).view(np.float64))
+
+    def smallest(k: int) -> float:
+        low, high = order(2 * x[0]), order(2 * x[-1])
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if up_to(number(middle)) >= k else (middle + 1, high)
+        return number(low)
+
+    return (smallest((n * n + 1) // 2) + smallest(n * n // 2 + 1)) / 4
+
+
 def hodges_lehmann(deltas: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Median of all ordered Walsh averages inside each contrast; more than MAX_WALSH deltas in one are an error."""
-    d = deltas.groupBy(*by).agg(F.collect_list("delta").alias("d"))
-    d = d.withColumn("d", F.when(F.size("d") <= MAX_WALSH, F.col("d")).otherwise(F.raise_error(F.lit(f"more than {MAX_WALSH} deltas in one contrast"))))
+    """Median of all ordered Walsh averages inside each contrast: listed for at most MAX_WALSH deltas, counted for more.
+    A contrast's deltas are one task's."""
+    sized = deltas.where(F.col("delta").isNotNull()).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
+    d = sized.where(F.col("_n") <= MAX_WALSH).groupBy(*by).agg(F.collect_list("delta").alias("d"))
     walsh = F.flatten(F.transform("d", lambda x: F.transform("d", lambda y: (x + y) / 2)))
     each = d.select(*by, F.explode(walsh).alias("w"))
-    return each.groupBy(*by).agg(F.percentile("w", F.lit(0.5)).alias("hodges_lehmann"))
+    few = each.groupBy(*by).agg(F.percentile("w", F.lit(0.5)).alias("hodges_lehmann"))
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[list(by)].iloc[:1].assign(hodges_lehmann=walsh_median(rows["delta"].to_numpy(float)))
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in deltas.select(*by).schema), "hodges_lehmann double"])
+    many = sized.where(F.col("_n") > MAX_WALSH).select(*by, F.col("delta").cast("double").alias("delta")).groupBy(*by).applyInPandas(count, schema)
+    return few.unionByName(many)
 
 
 def bootstrap_ci(means: DataFrame, by: Sequence[str], cluster: str, draws: int = BOOTSTRAP_DRAWS, seed: int = BOOTSTRAP_SEED, level: float = 0.95, value: str = "mean_delta") -> DataFrame:

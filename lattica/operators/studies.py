@@ -9,10 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalars import draw
+from ..storage import materialise
 from . import graph, metrics, reservoir
+from .ordering import with_position
 
 #: Pairs up to which the signed-rank distribution is exact.
 EXACT_PAIRS = 50
@@ -64,11 +65,9 @@ def unit_bootstrap_f1(rows: DataFrame, unit: str, n_classes: int, draws: int, se
     counted = rows.groupBy(unit, "truth", "predicted").agg(F.count("*").alias("n"))
     each = counted.select(unit, "n", both, (F.col("truth") == F.col("predicted")).cast("int").alias("hit"))
     parts = each.groupBy(unit, "e.label").agg(F.sum(F.col("n") * F.col("e.t")).alias("support"), F.sum(F.col("n") * F.col("e.p")).alias("named"), F.sum(F.col("n") * F.col("e.t") * F.col("hit")).alias("tp"))
-    units = rows.select(unit).distinct()
-    place = units.withColumn("place", F.row_number().over(Window.orderBy(unit)) - 1)
-    n = units.count()
-    spark = rows.sparkSession
-    picks = spark.range(draws).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias("j"))
+    place = with_position(materialise(rows.select(unit).distinct(), "units"), [unit], "place")
+    n = place.count()
+    picks = place.select(F.col("place").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
     picks = picks.select("b", (draw(str(seed), F.col("b"), F.col("j")) % max(1, n)).cast("int").alias("place")).groupBy("b", "place").agg(F.count("*").alias("times"))
     summed = picks.join(place, "place").join(parts, unit).groupBy("b", "label").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in ("support", "named", "tp")])
     f1 = summed.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("tp"), F.col("support") + F.col("named")), F.lit(0.0)))
@@ -86,7 +85,7 @@ def centroid_predictions(rows: DataFrame, fold: str, value: str, label: str = "f
     centroids = out.where("tn > n").select(fold, F.col(label).alias("_class"), ((F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n"))).alias("_c"))
     table = centroids.groupBy(fold).agg(F.array_sort(F.collect_list(F.struct("_class", "_c"))).alias("_t"))
     best = F.array_min(F.transform("_t", lambda x: F.struct(F.round(F.abs(F.col(value) - x["_c"]), 9).alias("d"), x["_class"].alias("k"))))
-    return rows.join(F.broadcast(table), fold).withColumns({"truth": F.col(label), "predicted": best["k"]}).drop("_t")
+    return rows.join(table, fold).withColumns({"truth": F.col(label), "predicted": best["k"]}).drop("_t")
 
 
 def leakage_inflation(rows: DataFrame, value: str, n_classes: int, grouped: str, naive: str) -> DataFrame:

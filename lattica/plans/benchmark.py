@@ -5,6 +5,9 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 
+import numpy as np
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +22,19 @@ def fold_windows(frame: DataFrame, folds: DataFrame, fold: int, features: Sequen
     return windows.scaled_windows(w, windows.fold_scalers(frame, one, features), features, ["fold_id"])
 
 
+class FitError(RuntimeError):
+    """A model that could not be fitted to its data, or predict with them."""
+
+
+#: What a fit raises for its data or for Spark's sake; other errors are mistakes in the program and end a run.
+FIT_ERRORS = (ArithmeticError, ValueError, np.linalg.LinAlgError, PySparkException, Py4JError)
+
+
 def evaluate(model: models.Model, w: DataFrame, n_classes: int) -> dict[str, float | None]:
-    done = model.fit(w.where("split = 'train'")).predict(w.where("split = 'test'"))
+    try:
+        done = materialise(model.fit(w.where("split = 'train'")).predict(w.where("split = 'test'")).drop("x"), "predictions")
+    except FIT_ERRORS as e:
+        raise FitError(f"{type(e).__name__}: {e}") from e
     if model.task == models.CLASSIFICATION:
         row = metrics.classification(done.select(F.col("label").alias("truth"), F.col("predicted").cast("int").alias("predicted")), n_classes).first()
         return {k: row[k] for k in ("macro_f1", "balanced_accuracy", "accuracy")}
@@ -47,7 +61,7 @@ def run(frame: DataFrame, dataset: str, features: Sequence[str], names: Sequence
                     try:
                         extra = {"n_classes": n_classes} if name in ("svm_rbf", "pca_svm", "esn") else {}
                         found = evaluate(models.build_model(name, task, **extra, **(options or {}).get(name, {})), w, n_classes)
-                    except Exception as e:  # noqa: BLE001  a failed cell is a result
+                    except (FitError, NotImplementedError) as e:  # a failed cell is a result
                         status, reason = "failed", f"{type(e).__name__}: {e}"[:300]
                     rid = f"{dataset}|{name}|{task}|seed{seed:02d}|fold{fold:02d}|w{length}"
                     rows.append((rid, experiment, dataset, name, task, status, reason, seed, fold, length, time.perf_counter() - began, {k: v for k, v in found.items() if v is not None}))

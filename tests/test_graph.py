@@ -134,7 +134,7 @@ def test_ridge_equals_numpy(windows):
 @pytest.mark.parametrize("name", ["random_forest", "boosted_trees", "pca_svm", "svm_rbf", "esn"])
 def test_models_beat_chance(windows, name):
     train, test = windows.where("id % 4 <> 0"), windows.where("id % 4 = 0")
-    options = {"n_classes": 3} if name in ("svm_rbf", "pca_svm", "esn") else {}
+    options = {"n_classes": 3} if name in ("svm_rbf", "pca_svm", "esn") else {"n_estimators": 10, "max_depth": 5}
     got = models.build_model(name, **options).fit(train).predict(test)
     assert got.agg(F.avg((F.col("predicted") == F.col("label")).cast("double"))).first()[0] > 0.75
 
@@ -151,7 +151,10 @@ def test_registry_and_selection(windows):
 def test_options_reach_the_estimators(windows):
     forest = models.build_model("random_forest", n_estimators=7, max_depth=2, min_samples_leaf=3).estimator
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (7, 2, 3)
-    assert models.build_model("random_forest", models.REGRESSION).estimator.getNumTrees() == 300
+    plain = models.build_model("random_forest", models.REGRESSION).estimator
+    assert (plain.getNumTrees(), plain.getMaxDepth()) == (300, 30)
+    plain = models.build_model("boosted_trees", models.REGRESSION).estimator
+    assert (plain.getMaxIter(), plain.getMaxDepth(), plain.getStepSize(), plain.getSubsamplingRate()) == (300, 6, 0.1, 0.9)
     assert models.build_model("boosted_trees", models.REGRESSION, n_estimators=4, learning_rate=0.3).estimator.getStepSize() == 0.3
     for name in ("random_forest", "boosted_trees", "pca_svm", "svm_rbf"):
         with pytest.raises(TypeError):

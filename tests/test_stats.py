@@ -149,10 +149,26 @@ def test_r2_of_a_constant_target(spark):
     assert r2([(0.1, 0.1)] * 3) == 1.0 and r2([(0.1, 0.1), (0.1, 0.2), (0.1, 0.1)]) == 0.0
 
 
-def test_hodges_lehmann_refuses_a_contrast_of_too_many(spark, monkeypatch):
-    monkeypatch.setattr(stats, "MAX_WALSH", 3)
-    with pytest.raises(Exception, match="more than 3 deltas"):
-        stats.hodges_lehmann(spark.range(4).selectExpr("'c' AS contrast", "double(id) AS delta"), ["contrast"]).collect()
+def test_hodges_lehmann_of_many_deltas_is_counted(spark, monkeypatch):
+    """Listed or counted, the median is the same; a contrast of any size has one."""
+    rng = random.Random(3)
+    rows = [(c, rng.choice([rng.gauss(0, 1), round(rng.gauss(0, 1), 1), 0.0, -0.0])) for c, n in (("a", 41), ("b", 30), ("c", 1), ("d", 2)) for _ in range(n)]
+    df = spark.createDataFrame([*rows, ("a", None)], "contrast string, delta double")
+    listed = {r.contrast: r.hodges_lehmann for r in stats.hodges_lehmann(df, ["contrast"]).collect()}
+    monkeypatch.setattr(stats, "MAX_WALSH", 30)
+    both = {r.contrast: r.hodges_lehmann for r in stats.hodges_lehmann(df, ["contrast"]).collect()}
+    monkeypatch.setattr(stats, "MAX_WALSH", 0)
+    counted = {r.contrast: r.hodges_lehmann for r in stats.hodges_lehmann(df, ["contrast"]).collect()}
+    assert listed.keys() == counted.keys() == both.keys() and len(listed) == 4
+    assert all(math.isclose(v, counted[k], abs_tol=1e-12) and math.isclose(v, both[k], abs_tol=1e-12) for k, v in listed.items())
+
+
+@pytest.mark.parametrize("rule", ["1 < 'a'", "abs()", "params(['A'])", "-'a' < 1", "'a' - 1 < 2", "max([1, 'a']) > 1"])
+def test_an_ill_typed_rule_is_its_own_error(spark, rule):
+    with pytest.raises(rules.RuleError):
+        rules.evaluate(rule, EVIDENCE)
+    got = {r.rule: r.outcome for r in rules.evaluate_all(spark, {"bad": rule, "good": "1 < 2", "open": "ops < 1"}, EVIDENCE).collect()}
+    assert got == {"bad": "ERROR", "good": "True", "open": "UNEVALUABLE"}
 
 
 def test_auroc_with_many_scores(spark):
