@@ -154,6 +154,8 @@ class Trainer:
     def _move(self, which: int, rows: np.ndarray, gradient: np.ndarray) -> None:
         """One step of the rows named, of the sum of their gradients."""
         values = (self.w.far, self.w.near, self.w.target, self.w.bias)[which]
+        if len(values) <= 1 << 16:
+            rows = rows.astype(np.uint16)  # sorted by radix
         order = np.argsort(rows, kind="stable")
         ranked = rows[order]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
