@@ -3,7 +3,9 @@
 Linear (logistic) models predict the categories one after another.  Each reads marks of the words and
 word beginnings that a text contains, and the probabilities of all earlier categories; those that it is
 trained with are out-of-fold predictions, so that it doesn't trust them more than it may later.
-The last category is the verdict itself; its threshold is calibrated on out-of-fold predictions.
+The last category is the verdict itself.  Its threshold is calibrated on predictions of whole chains, marks and categories
+included, that were made without the rows' fold.  Texts of equal words are in one fold, and most near copies: a
+fold goes by the least hash of a text's five-word shingles.
 
 A labels table may have a column for each category.  The query's table marks toxic documents only; for
 it, the earlier categories are found in the data: the toxic rows are put into KINDS clusters by the marks that
@@ -18,11 +20,13 @@ and ignored by `classify`.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,22 +152,31 @@ def kinds(x: np.ndarray, k: int = KINDS, rounds: int = 25) -> np.ndarray:
     return np.argsort(order)[group]
 
 
-def train(x: np.ndarray, labels: np.ndarray, categories: list[str], marks: list[str]) -> Chain:
-    """x: a 0/1 column for each mark; labels: one for each category, the verdict last."""
+def train(x: np.ndarray, labels: np.ndarray, categories: list[str], marks: list[str], fold: np.ndarray | None = None) -> Chain:
+    """x: a 0/1 column for each mark; labels: one for each category, the verdict last; fold: of each row."""
     chain = Chain(categories, {m: i for i, m in enumerate(marks)}, base=float(labels[:, -1].mean()) if len(labels) else 0.0)
     if not len(labels) or len(np.unique(labels[:, -1])) < 2:
         return chain
-    fold = np.arange(len(x)) % FOLDS
+    fold = np.arange(len(x)) % FOLDS if fold is None else fold
     apart = np.zeros((len(x), 0), np.float32)
     for k in range(len(categories)):
         both, y = np.hstack([x, apart]), labels[:, k].astype(np.float32)
         chain.weights.append(fit_linear(both, y))
         p = np.zeros(len(x), np.float32)
-        for f in range(FOLDS):
-            w = fit_linear(both[fold != f], y[fold != f])
+        for f in np.unique(fold):
+            rest = fold != f if (fold != f).any() else fold == f
+            w = fit_linear(both[rest], y[rest])
             p[fold == f] = _sigmoid(both[fold == f] @ w[:-1] + w[-1])
         apart = np.hstack([apart, p[:, None]])
-    score, clean = apart[:, -1].astype(np.float64), labels[:, -1] == 0
+    calibrate(chain, apart[:, -1].astype(np.float64), labels[:, -1] == 0)
+    return chain
+
+
+def calibrate(chain: Chain, score: np.ndarray, clean: np.ndarray) -> None:
+    """The threshold that rejects most toxic rows beyond clean ones, among those rejecting at most CLEAN_LOSS of the clean."""
+    chain.threshold = np.inf
+    if clean.all() or not clean.any():
+        return
     order = np.argsort(-score, kind="stable")
     s, c = score[order], clean[order]
     toxic_part, clean_part = np.cumsum(~c) / (~c).sum(), np.cumsum(c) / c.sum()
@@ -172,26 +185,63 @@ def train(x: np.ndarray, labels: np.ndarray, categories: list[str], marks: list[
     if gain[best] > 0:
         below = s[best + 1] if best + 1 < len(s) else s[best] - 1e-6
         chain.threshold = float((s[best] + below) / 2)
-    return chain
+
+
+def fold_of(text: str) -> int:
+    """By the least of the hashes of a text's five-word shingles (of all its words, if they are fewer)."""
+    words = _WORD.findall((text or "").lower())
+    k = min(5, len(words))
+    return min((zlib.crc32(" ".join(words[i : i + k]).encode("utf-8", "surrogatepass")) for i in range(len(words) - k + 1)), default=0) % FOLDS if k else 0
 
 
 def fit(docs: DataFrame, labels: DataFrame, columns: dict[str, str] | None = None, sample_rows: int = SAMPLE_ROWS) -> Chain:
     """A chain from at most `sample_rows` labelled rows.  columns: category -> 0/1 column of labels, the verdict
     last; without it, kinds of toxic rows before labels.toxic.  Of each row, only its marks come to the driver."""
-    names = list(columns or [*(f"kind_{i + 1}" for i in range(KINDS)), VERDICT])
     cols = list(columns.values()) if columns else [VERDICT]
+    schema = "text string, doc_id bigint, fold int, verdict int, " + ", ".join(f"`{c}` int" for c in cols if c != "verdict")
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield b.set_column(2, "fold", pa.array([fold_of(t.as_py()) for t in b.column(0)], pa.int32()))
+
     verdict = (F.col(cols[-1]) > 0).cast("int")
-    rows = materialise(labelled_sample(docs, labels, cols, sample_rows).withColumn("verdict", verdict), "toxic-sample")
+    rows = labelled_sample(docs, labels, cols, sample_rows).select("text", "doc_id", F.lit(0).alias("fold"), verdict.alias("verdict"), *[c for c in cols if c != "verdict"])
+    rows = materialise(rows.mapInArrow(folded, schema), "toxic-sample")
+    score, clean = [], []
+    for f in range(FOLDS):
+        got = _scored(rows.where(F.col("fold") == f), _chain(rows.where(F.col("fold") != f), columns))
+        score.append(got.p.to_numpy())
+        clean.append(got.verdict.to_numpy() == 0)
+    chain = _chain(rows, columns)
+    if chain.weights:
+        calibrate(chain, np.concatenate(score), np.concatenate(clean))
+    return chain
+
+
+def _scored(rows: DataFrame, chain: Chain) -> pd.DataFrame:
+    """verdict (the label) and p (the chain's) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(chain.predict(b.column(0).to_pylist())[:, -1])], ["verdict", "p"])
+
+    return rows.select("text", "verdict").mapInArrow(run, "verdict int, p double").toPandas()
+
+
+def _chain(rows: DataFrame, columns: dict[str, str] | None) -> Chain:
+    """A chain of the sample's rows.  Of each, only its marks come to the driver."""
+    names = list(columns or [*(f"kind_{i + 1}" for i in range(KINDS)), VERDICT])
+    cols = list(columns.values()) if columns else [VERDICT]
     marks = choose_marks(rows)
     at = {m: i for i, m in enumerate(marks)}
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = [sorted(at[k] for k in at.keys() & marks_of(t.as_py())) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), *[b.column(2 + i) for i in range(len(cols))]], ["doc_id", "found", *cols])
+            found = [sorted(at[k] for k in at.keys() & marks_of(t.as_py())) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32())), *[b.column(3 + i) for i in range(len(cols))]], ["doc_id", "fold", "found", *cols])
 
-    schema = "doc_id bigint, found array<int>, " + ", ".join(f"`{c}` int" for c in cols)
-    got = rows.select("doc_id", "text", *cols).mapInArrow(reduce, schema).toPandas().sort_values("doc_id")
+    schema = "doc_id bigint, fold int, found array<int>, " + ", ".join(f"`{c}` int" for c in cols)
+    got = rows.select("doc_id", "fold", "text", *cols).mapInArrow(reduce, schema).toPandas().sort_values("doc_id")
     x = np.zeros((len(got), len(marks)), np.float32)
     for i, f in enumerate(got.found):
         x[i, f] = 1
@@ -201,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, columns: dict[str, str] | None = Non
         kind = np.zeros((len(y), KINDS), int)
         kind[np.flatnonzero(toxic), kinds(x[toxic])] = 1
         y = np.hstack([kind, y])
-    return train(x, y, names, marks)
+    return train(x, y, names, marks, got.fold.to_numpy())
 
 
 def classify(docs: DataFrame, chain: Chain) -> DataFrame:

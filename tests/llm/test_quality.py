@@ -88,3 +88,53 @@ def test_odd_rows(spark, make_docs, odd_rows, data):
     assert quality_rules.judge(empty, quality_rules.fit(empty, labels)).count() == 0
     assert quality_model.classify(empty, quality_model.fit(empty, labels)).count() == 0
     assert quality_rules.judge(docs, None).where("kept AND base_failed").count() == 0
+
+
+def path_length(forest, t, row):
+    """Walk one tree."""
+    node, depth = 0, 0
+    while forest.feature[t, node] >= 0:
+        node = 2 * node + (1 if row[forest.feature[t, node]] < forest.cut[t, node] else 2)
+        depth += 1
+    assert depth <= forest.path[t, node] + 1e-9  # plus what the rows left there would take
+    return forest.path[t, node]
+
+
+def test_verdicts_equal_walks_over_all_trees(spark, data):
+    docs = table(spark, data, "documents")
+    forest = quality_rules.fit(docs, table(spark, data, "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality_rules.judge(docs, forest).collect():
+        row = quality_rules.rates(np.array([text_counts(texts[r.doc_id] or "")]))[0]
+        mean = np.mean([path_length(forest, t, row) for t in range(len(forest.feature))])
+        score = 2.0 ** -(mean / forest.norm)
+        n = brute(texts[r.doc_id])
+        failed = n[0] < 20 or 100 * n[4] > 30 * n[0]
+        assert abs(r.anomaly - score) < 1e-9 and r.kept == (not failed and r.anomaly < forest.threshold)
+
+
+def test_the_threshold_is_calibrated_on_rows_not_grown_on(spark):
+    """Of good rows that were neither grown on nor calibrated with, few more are rejected than calibration may reject."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    forest = quality_rules.fit(docs, labels.where("doc_id % 4 <> 0"))
+    p = quality_rules.judge(docs, forest).join(labels.where("doc_id % 4 = 0"), "doc_id").where("NOT base_failed").toPandas()
+    good, bad = p[p.quality == 1], p[p.quality == 0]
+    assert len(good) > 500 and (~good.kept).mean() < 0.01
+    assert len(bad) > 20 and (~bad.kept).mean() > 0.8
+
+
+def test_densities_equal_the_multivariate_normal():
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(0, 1, (300, 4)), rng.normal(1, 2, (200, 4)) @ rng.normal(size=(4, 4))])
+    y = np.repeat([0, 1], [300, 200])
+    model = quality_model.Discriminant.fit(x, y)
+    logs = []
+    pooled = sum((y == k).mean() * np.cov(x[y == k].T, bias=True) for k in (0, 1)) + 1e-4 * np.eye(4)
+    for k in (0, 1):
+        own = x[y == k]
+        cov = (1 - quality_model.POOLED) * np.cov(own.T, bias=True) + quality_model.POOLED * pooled
+        cov = (1 - quality_model.DIAGONAL) * cov + quality_model.DIAGONAL * np.diag(np.diag(cov))
+        d = x - own.mean(0)
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) - 0.5 * np.linalg.slogdet(2 * np.pi * cov)[1] + np.log((y == k).mean()))
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-(logs[1] - logs[0]))), atol=1e-9)

@@ -72,3 +72,38 @@ def test_equal_scores_at_the_threshold(make_docs):
     chain = toxicity.train(x, y[:, None], ["toxic"], ["bad", "word"])
     got = toxicity.classify(make_docs([(i, "bad" if i % 2 else "fine") for i in range(20)]), chain).collect()
     assert {(r.doc_id % 2, r.toxic) for r in got} == {(1, True), (0, False)}
+
+
+def test_folds_keep_copies_together():
+    words = [f"w{i}" for i in range(60)]
+    text = " ".join(words)
+    assert toxicity.fold_of(text) == toxicity.fold_of(text.upper() + "!")
+    assert toxicity.fold_of("") == toxicity.fold_of(None) == 0 and toxicity.fold_of("one two") in range(toxicity.FOLDS)
+    near = [" ".join([*words[:i], "changed", *words[i + 1 :]]) for i in range(60)]
+    assert sum(toxicity.fold_of(t) == toxicity.fold_of(text) for t in near) > 50
+    assert len({toxicity.fold_of(f"some other text number {i} of many") for i in range(60)}) == toxicity.FOLDS
+
+
+def test_the_threshold_has_not_seen_its_rows(spark, make_docs):
+    """Labels that nothing in the texts explains: chains that see their own rows would find marks for them."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"{rng.integers(10**9):x}" for _ in range(30)) + f" own{i}word") for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id bigint, toxic int")
+    chain = toxicity.fit(make_docs(rows), labels)
+    assert toxicity.classify(make_docs(rows), chain).where("toxic").count() <= 3
+
+
+def test_verdicts_equal_a_plain_chain(spark, data):
+    """Each row's probabilities, term by term in plain Python."""
+    import math
+
+    docs = table(spark, data, "documents")
+    chain = toxicity.fit(docs, table(spark, data, "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.classify(docs, chain).collect():
+        found, earlier = toxicity.marks_of(texts[r.doc_id]), []
+        for w in chain.weights:
+            z = float(w[-1]) + sum(float(w[i]) for m, i in chain.marks.items() if m in found) + sum(float(a) * p for a, p in zip(w[len(chain.marks) : -1], earlier, strict=True))
+            earlier.append(1 / (1 + math.exp(-z)))
+        assert all(abs(r[f"p_{c}"] - p) < 1e-4 for c, p in zip(chain.categories, earlier, strict=True))
+        assert r.toxic == (r.p_toxic >= chain.threshold) and r.kept != r.toxic
