@@ -464,14 +464,30 @@ def orn_budget(nodes: int, din: int, available: int, density: float = ORN_DENSIT
     return min(available, math.floor(density * din * nodes + 1e-9))
 
 
+def node_budgets(din: Column, nodes: Column, available: Column, density: float = ORN_DENSITY) -> dict[str, Column]:
+    """The floors of each layer, the least nodes and the ORN budget as columns, for many designs at once."""
+    orn, kc = F.greatest(F.lit(20), 2 * din), F.greatest(F.lit(50), 4 * din)
+    floors = orn + PN_FLOOR + kc + FEEDBACK_FLOOR
+    room = F.when(density * din > 0, F.ceil(orn / (density * din) - 1e-9)).otherwise(F.lit(1 << 30))
+    columns = {"orn": orn, "pn": F.lit(PN_FLOOR), "kc": kc, "feedback": F.lit(FEEDBACK_FLOOR), "least_nodes": F.greatest(floors, room), "orn_budget": F.least(available, F.floor(density * din * nodes + 1e-9))}
+    return {k: c.cast("int").alias(k) for k, c in columns.items()}
+
+
 def stratified_sample(nodes: DataFrame, s: DataFrame, total: int, seed: int = 0) -> DataFrame:
     """id, class of a sample whose classes have quotas by their share of strength; a class's nodes are drawn by hash."""
     named = nodes.join(s.select("id", "total"), "id", "left").fillna(0, ["total"])
     g = {r["class"]: (float(r.t), r.n) for r in named.groupBy("class").agg(F.sum("total").alias("t"), F.count("*").alias("n")).collect()}
     quota = proportional_quotas({k: v[0] for k, v in g.items()}, {k: v[1] for k, v in g.items()}, total)
-    rank = F.row_number().over(Window.partitionBy("class").orderBy(draw("pick", seed, F.col("id")), "id"))
     limit = F.create_map(*[x for k, v in sorted(quota.items()) for x in (F.lit(k), F.lit(v))])[F.col("class")] if quota else F.lit(0)
-    return named.withColumn("rank", rank).where(F.col("rank") <= limit).select("id", "class")
+    return _placed_in_class(named, draw("pick", seed, F.col("id"))).where(F.col("place") < limit).select("id", "class")
+
+
+def _placed_in_class(nodes: DataFrame, order: Column) -> DataFrame:
+    """nodes with their 0-based place in their class by `order` and id; no task orders a class."""
+    keyed = materialise(nodes.select("id", "class", order.alias("_h")), "classed")
+    placed = with_position(keyed, ["class", "_h", "id"], "_p")
+    start = placed.groupBy("class").agg(F.min("_p").alias("_first"))
+    return placed.join(F.broadcast(start), "class").select("id", "class", (F.col("_p") - F.col("_first")).alias("place"))
 
 
 def largest_remainder(weights: DataFrame, total: int, tie: str) -> DataFrame:
@@ -572,6 +588,6 @@ def absolute_norm(edges: DataFrame, scale: float = 1.0) -> DataFrame:
 
 
 def input_channels(nodes: DataFrame, channels: int, seed: int = 0) -> DataFrame:
-    """Each node's input channel: its place in a seeded order, modulo the channels."""
-    rank = F.row_number().over(Window.partitionBy("class").orderBy(draw("map", seed, F.col("id")), "id")) - 1
-    return nodes.withColumn("channel", (rank % channels).cast("int")).select("id", "class", "channel")
+    """Each node's input channel: its place in a seeded order of its class, modulo the channels."""
+    placed = _placed_in_class(nodes, draw("map", seed, F.col("id")))
+    return placed.select("id", "class", (F.col("place") % channels).cast("int").alias("channel"))

@@ -296,9 +296,12 @@ def regression_of_constants(spark, sf_dir):
     return wrong.join(exact, "l_linenumber").select("l_linenumber", "r2_wrong", "r2_exact", "n")
 
 
-@query("SELECT * FROM (VALUES (0.05, 6), (0.01, 8), (0.001, 11)) AS t(alpha, clusters)")
+@query(sql_cte(OBS, PAIRS, "n AS (SELECT contrast, dataset, count(*) AS n_clusters FROM means WHERE mean_delta <> 0 GROUP BY ALL)", "SELECT contrast, dataset, n_clusters, alpha::DOUBLE AS alpha, clusters, n_clusters >= clusters AS enough FROM n, (VALUES (0.05, 6), (0.01, 8), (0.001, 11), (0.000001, 21)) AS t(alpha, clusters)"))
 def clusters_needed(spark, sf_dir):
-    return spark.createDataFrame([(a, stats.clusters_needed(a)) for a in (0.05, 0.01, 0.001)], "alpha double, clusters int")
+    """Whether each contrast has the clusters without which no sign test could reach a level."""
+    have = means(spark, sf_dir).where("mean_delta <> 0").groupBy(*BY).agg(F.count("*").alias("n_clusters"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(stats.clusters_needed(a)).alias("clusters")) for a in (0.05, 0.01, 0.001, 0.000001)])).alias("w")
+    return have.select("*", wanted).select(*BY, "n_clusters", "w.alpha", "w.clusters", (F.col("n_clusters") >= F.col("w.clusters")).alias("enough"))
 
 
 RHO_DRAWS = 120

@@ -118,9 +118,16 @@ def first_best(spark, sf_dir):
     return models.first_best(s, ["l_suppkey"], "score", "l_linenumber")
 
 
-@query("SELECT unnest(['boosted_trees', 'esn', 'pca_svm', 'random_forest', 'svm_rbf']) AS model, 'available' AS status UNION ALL SELECT unnest(['cnn1d', 'gru', 'lstm', 'tcn']), 'needs a deep-learning library that isn''t installed'")
+@query("""WITH m AS (SELECT list_sort(['boosted_trees', 'esn', 'pca_svm', 'random_forest', 'svm_rbf', 'cnn1d', 'gru', 'lstm', 'tcn', 'mlp']) AS names), r AS (SELECT names[o_custkey % 10 + 1] AS model, o_orderstatus AS dataset FROM orders, m)
+    SELECT dataset, model, count(*) AS n_runs, CASE WHEN model IN ('cnn1d', 'gru', 'lstm', 'tcn') THEN 'needs a deep-learning library that isn''t installed' WHEN model = 'mlp' THEN 'unknown' ELSE 'available' END AS status FROM r GROUP BY ALL""")
 def model_availability(spark, sf_dir):
-    return spark.createDataFrame(sorted(models.availability().items()), "model string, status string")
+    """Runs that are asked for (here by orders), by data set and model, with the registry's word on each."""
+    known = models.availability()
+    names = F.array(*[F.lit(n) for n in sorted([*known, "mlp"])])
+    runs = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderstatus").alias("dataset"), F.get(names, (F.col("o_custkey") % 10).cast("int")).alias("model"))
+    table = F.broadcast(spark.createDataFrame(sorted(known.items()), "model string, status string"))
+    asked = runs.groupBy("dataset", "model").agg(F.count("*").alias("n_runs")).join(table, "model", "left")
+    return asked.select("dataset", "model", "n_runs", F.coalesce("status", F.lit("unknown")).alias("status"))
 
 
 _MASK = "CASE WHEN ('0x' || substr(md5('drop|4|{c}|' || event_id), 1, 8))::BIGINT < 858993459 THEN 0 ELSE {c} END"

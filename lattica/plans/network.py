@@ -41,6 +41,15 @@ def classes(spark) -> DataFrame:
     return nodes(spark).where("id % 17 <> 4").select("id", layer_class((F.col("id") % 70) / 10, graph.TIERS).alias("class"))
 
 
+PARTS = f"parts AS (SELECT p_partkey AS id, {CASE.replace('id %', 'p_partkey %')} AS class FROM part WHERE p_partkey % 17 <> 4)"
+
+
+def parts(spark, sf_dir) -> DataFrame:
+    """All parts as nodes with a layer's class: it grows with the table."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id")).where("id % 17 <> 4")
+    return p.select("id", layer_class((F.col("id") % 70) / 10, graph.TIERS).alias("class"))
+
+
 def classed(spark, sf_dir) -> DataFrame:
     return graph.classed(edges(spark, sf_dir), classes(spark))
 
@@ -85,9 +94,9 @@ def graph_density(spark, sf_dir):
     return graph.density(edges(spark, sf_dir)).withColumn("density", F.round("density", 8))
 
 
-@query(sql_cte(RAW, CLASSES, "SELECT class, count(*) AS n FROM classes GROUP BY 1"))
+@query(sql_cte(PARTS, "SELECT class, count(*) AS n FROM parts GROUP BY 1"))
 def node_class_counts(spark, sf_dir):
-    return classes(spark).groupBy("class").agg(F.count("*").alias("n"))
+    return parts(spark, sf_dir).groupBy("class").agg(F.count("*").alias("n"))
 
 
 @query(sql_cte(RAW, CLASSES, CLASSED, """p AS (SELECT CASE WHEN pre = 'unknown' OR post = 'unknown' THEN 'other' WHEN pre IN ('DAN', 'APL') OR post IN ('DAN', 'APL') THEN 'modulatory'
@@ -129,12 +138,14 @@ def feedback_closure(spark, sf_dir):
     return classed(spark, sf_dir).where("pre IN ('MBON', 'DAN')").join(base, "dst", "left_semi").select(F.col("src").alias("id")).distinct()
 
 
-@query(sql_cte(RAW, CLASSES, "two AS (SELECT id, CASE WHEN id % 13 = 1 THEN 'KC' ELSE class END AS class FROM classes WHERE id % 7 <> 2 UNION ALL SELECT 1000, 'PN')", """SELECT count(*) FILTER (a.id IS NOT NULL AND b.id IS NOT NULL) AS n_shared, count(*) FILTER (b.id IS NULL) AS n_first_only, count(*) FILTER (a.id IS NULL) AS n_second_only, count(*) FILTER (a.class <> b.class) AS n_disagree
-    FROM classes a FULL JOIN two b ON a.id = b.id"""))
+@query(sql_cte(PARTS, "two AS (SELECT id, CASE WHEN id % 13 = 1 THEN 'KC' ELSE class END AS class FROM parts WHERE id % 7 <> 2 UNION ALL SELECT -s_suppkey, 'PN' FROM supplier)", """SELECT count(*) FILTER (a.id IS NOT NULL AND b.id IS NOT NULL) AS n_shared, count(*) FILTER (b.id IS NULL) AS n_first_only, count(*) FILTER (a.id IS NULL) AS n_second_only, count(*) FILTER (a.class <> b.class) AS n_disagree
+    FROM parts a FULL JOIN two b ON a.id = b.id"""))
 def annotation_comparison(spark, sf_dir):
-    two = classes(spark).where("id % 7 <> 2").select("id", F.when(F.col("id") % 13 == 1, "KC").otherwise(F.col("class")).alias("class"))
-    two = two.unionByName(spark.createDataFrame([(1000, "PN")], "id bigint, class string"))
-    return graph.compare_annotations(classes(spark), two)
+    """Two annotations of all parts; suppliers are known to the second only."""
+    one = parts(spark, sf_dir)
+    two = one.where("id % 7 <> 2").select("id", F.when(F.col("id") % 13 == 1, "KC").otherwise(F.col("class")).alias("class"))
+    two = two.unionByName(spark.read.parquet(f"{sf_dir}/supplier.parquet").select((-F.col("s_suppkey")).alias("id"), F.lit("PN").alias("class")))
+    return graph.compare_annotations(one, two)
 
 
 @query("SELECT l_partkey AS id, count(DISTINCT l_returnflag) AS n_classes FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")
@@ -248,17 +259,22 @@ def selection_quality(spark, sf_dir):
     return graph.subgraph_quality(edges(spark, sf_dir), frontier_selection(spark, sf_dir)).withColumn("retention", F.round("retention", 8))
 
 
-@query()
+@query(sql_cte(RAW, CLASSES, STRENGTH, """named AS (SELECT id, class, coalesce(out_strength + in_strength, 0) AS total FROM classes LEFT JOIN st USING (id)),
+    g AS (SELECT class, sum(total)::DOUBLE AS t, count(*) AS c FROM named GROUP BY 1), q0 AS (SELECT class, c, least(c, greatest(1, round_even(30 * t / (SELECT sum(t) FROM g), 0)))::BIGINT AS q FROM g),
+    o AS (SELECT sum(q) - least(30, sum(c)) AS off FROM q0), room AS (SELECT class, q, sign(off) AS s, abs(off) AS off, CASE WHEN off > 0 THEN q - 1 ELSE c - q END AS room,
+        row_number() OVER (ORDER BY CASE WHEN off < 0 THEN -q ELSE q END, CASE WHEN off < 0 THEN NULL ELSE class END, CASE WHEN off < 0 THEN class END DESC) AS r FROM q0, o),
+    quota AS (SELECT class, q - s * greatest(0, least(room, off - coalesce(sum(room) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS quota FROM room)""",
+    "SELECT id, class FROM (SELECT id, class, quota, row_number() OVER (PARTITION BY class ORDER BY " + DRAW.format("'pick|3|' || id") + ", id) AS r FROM named JOIN quota USING (class)) WHERE r <= quota"))
 def stratified_select(spark, sf_dir):
-    """Quotas are settled by an integer loop that SQL doesn't express; tests hold it against brute force."""
+    """A sample of 30 nodes with quotas by strength; tests hold the quotas against brute force too."""
     e = edges(spark, sf_dir)
     return graph.stratified_sample(classes(spark), graph.strengths(e, nodes(spark)), 30, 3)
 
 
-@query(sql_cte(RAW, CLASSES, """c AS (SELECT class, count(*) AS weight FROM classes GROUP BY 1), q AS (SELECT class, weight, floor(weight * 25.0::DOUBLE / sum(weight) OVER ()) AS base, round(weight * 25.0::DOUBLE / sum(weight) OVER () - floor(weight * 25.0::DOUBLE / sum(weight) OVER ()), 9) AS rest FROM c)""",
+@query(sql_cte(PARTS, """c AS (SELECT class, count(*) AS weight FROM parts GROUP BY 1), q AS (SELECT class, weight, floor(weight * 25.0::DOUBLE / sum(weight) OVER ()) AS base, round(weight * 25.0::DOUBLE / sum(weight) OVER () - floor(weight * 25.0::DOUBLE / sum(weight) OVER ()), 9) AS rest FROM c)""",
     "SELECT class, weight, (base + (row_number() OVER (ORDER BY rest DESC, class) <= 25 - sum(base) OVER ())::INT)::BIGINT AS seats FROM q"))
 def largest_remainder(spark, sf_dir):
-    return graph.largest_remainder(classes(spark).groupBy("class").agg(F.count("*").alias("weight")), 25, "class")
+    return graph.largest_remainder(parts(spark, sf_dir).groupBy("class").agg(F.count("*").alias("weight")), 25, "class")
 
 
 @query(sql_cte(RAW, f"""e1 AS (SELECT src, dst, row_number() OVER (ORDER BY {DRAW.format("'edge|5|' || src || '|' || dst")}, src, dst) AS p FROM edges), e2 AS (SELECT w, row_number() OVER (ORDER BY {DRAW.format("'weight|5|' || src || '|' || dst")}, src, dst) AS p FROM edges)""", "SELECT src, dst, w FROM e1 JOIN e2 USING (p)"))
@@ -285,9 +301,10 @@ def adjacency_hash(spark, sf_dir):
     return e.select(F.sha2(text.cast("binary"), 256).alias("digest"))
 
 
-@query(sql_cte(RAW, CLASSES, f"""SELECT id, class, ((row_number() OVER (PARTITION BY class ORDER BY {DRAW.format("'map|2|' || id")}, id) - 1) % 4)::INT AS channel FROM classes"""))
+@query(sql_cte(PARTS, f"""SELECT id, class, ((row_number() OVER (PARTITION BY class ORDER BY {DRAW.format("'map|2|' || id")}, id) - 1) % 4)::INT AS channel FROM parts"""))
 def input_channels(spark, sf_dir):
-    return graph.input_channels(classes(spark), 4, 2)
+    """The channels of all parts."""
+    return graph.input_channels(parts(spark, sf_dir), 4, 2)
 
 
 @query("SELECT s_suppkey, (s_acctbal::BIGINT - (CASE WHEN s_acctbal::BIGINT > s_acctbal AND s_acctbal > 0 THEN 1 ELSE 0 END) + (CASE WHEN s_acctbal::BIGINT < s_acctbal AND s_acctbal < 0 THEN 1 ELSE 0 END))::VARCHAR AS root FROM supplier")
@@ -319,8 +336,12 @@ def degree_backfill(spark, sf_dir):
     return graph.back_filled(classes(spark).where("class IN ('PN', 'KC')").select("id"), graph.strengths(e, nodes(spark)), 50)
 
 
-@query("""WITH d AS (SELECT unnest(range(1, 13)) AS din), f AS (SELECT din, greatest(20, 2 * din) AS orn, 20 AS pn, greatest(50, 4 * din) AS kc, 20 AS feedback FROM d)
-    SELECT din::INT AS din, orn::INT AS orn, pn, kc::INT AS kc, feedback, greatest(orn + pn + kc + feedback, ceil(orn / (0.1 * din) - 1e-9))::INT AS least_nodes, least(40, floor(0.1 * din * 500 + 1e-9))::INT AS orn_budget FROM f""")
+@query("""WITH d AS (SELECT c_nationkey AS nation, c_nationkey % 12 + 1 AS din, count(*) AS nodes, coalesce((SELECT count(*) FROM supplier WHERE s_nationkey = c_nationkey), 0) AS available FROM customer GROUP BY 1),
+    f AS (SELECT *, greatest(20, 2 * din) AS orn, 20 AS pn, greatest(50, 4 * din) AS kc, 20 AS feedback FROM d)
+    SELECT nation, din::INT AS din, orn::INT AS orn, pn, kc::INT AS kc, feedback, greatest(orn + pn + kc + feedback, ceil(orn / (0.1 * din) - 1e-9))::INT AS least_nodes, least(available, floor(0.1 * din * nodes + 1e-9))::INT AS orn_budget FROM f""")
 def node_budgets(spark, sf_dir):
-    rows = [(din, *graph.layer_floors(din), graph.least_nodes(din), graph.orn_budget(500, din, 40)) for din in range(1, 13)]
-    return spark.createDataFrame(rows, "din int, orn int, pn int, kc int, feedback int, least_nodes int, orn_budget int")
+    """A design for each nation: its customers are the nodes, its suppliers the ORN that there are."""
+    have = spark.read.parquet(f"{sf_dir}/supplier.parquet").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("available"))
+    d = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("nodes")).join(have, "nation", "left")
+    d = d.withColumns({"din": (F.col("nation") % 12 + 1).cast("int"), "available": F.coalesce("available", F.lit(0))})
+    return d.select("nation", "din", *graph.node_budgets(F.col("din"), F.col("nodes"), F.col("available")).values())

@@ -68,10 +68,16 @@ def set_operations(spark, sf_dir):
     return out
 
 
-@query(sql_cte("grid AS (SELECT * FROM (SELECT unnest([16, 32]) AS window_length), (SELECT unnest(range(3)) AS seed), (SELECT unnest(['esn', 'gru']) AS model))", "SELECT window_length, seed::BIGINT AS seed, model FROM grid"))
+@query("""SELECT p.specimen, l.line, m.mode, coalesce(n, 0) AS n_runs FROM (SELECT DISTINCT 's' || l_suppkey AS specimen FROM lineitem) p, (SELECT DISTINCT l_linenumber::BIGINT AS line FROM lineitem) l, (SELECT DISTINCT l_returnflag AS mode FROM lineitem) m
+    LEFT JOIN (SELECT 's' || l_suppkey AS specimen, l_linenumber AS line, l_returnflag AS mode, count(*) AS n FROM lineitem GROUP BY ALL) r ON r.specimen = p.specimen AND r.line = l.line AND r.mode = m.mode""")
 def grid_product(spark, sf_dir):
-    """Every combination, as a cross join of the options' values."""
-    return models.grid_frame(spark, {"window_length": [16, 32], "seed": [0, 1, 2], "model": ["esn", "gru"]}).selectExpr("int(window_length) AS window_length", "seed", "model")
+    """Every combination of the options that occur, with the runs that there are of it: a cross join of options' values, of which
+    one may be many (here suppliers), and a left join with what has run."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("s"), "l_suppkey").alias("specimen"), F.col("l_linenumber").cast("bigint").alias("line"), F.col("l_returnflag").alias("mode"))
+    few = {c: sorted(r[0] for r in li.select(c).distinct().collect()) for c in ("line", "mode")}
+    grid = li.select("specimen").distinct().crossJoin(F.broadcast(models.grid_frame(spark, few)))
+    done = li.groupBy("specimen", "line", "mode").agg(F.count("*").alias("n"))
+    return grid.join(done, ["specimen", "line", "mode"], "left").select("specimen", "line", "mode", F.coalesce("n", F.lit(0)).alias("n_runs"))
 
 
 FAMILIES = [("F1", None, "none (reference)", ["degree", "n", "m"], False), ("F2", "F1", "wiring", ["degree", "n"], False), ("F3", "F2", " Wiring", ["n", "x"], False), ("F4", "F9", "size", ["n"], False), ("F5", None, "size", ["n"], True), ("F4", "F1", "cycles", ["n"], False)]
