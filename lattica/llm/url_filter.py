@@ -151,19 +151,47 @@ def purities(judged: DataFrame) -> DataFrame:
     return found.select("host", "template", F.aggregate(F.sequence(F.lit(0), last), F.lit(PRIOR_SHARE), step).alias("purity"))
 
 
+def held_out(pages: DataFrame, rules=RULES, parts: int = 4, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """page_id, ruled, purity of the rows that a rule decides, from trees that didn't know the verdicts on their paths: each
+    tree hides those of one part of the paths, by hash.  PURITY is chosen on these."""
+    out = None
+    for k in range(parts):
+        hidden = F.pmod(F.xxhash64("host", "path"), F.lit(parts)) == k
+        rows = _ruled(pages, rules, id_col, url_col)
+        one = _with_purity(rows, hidden).where(F.col("ruled").isNotNull() & hidden).select("page_id", "ruled", "purity")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def precision_and_recall(held: DataFrame, purity: float = PURITY) -> DataFrame:
+    """One row: of held-out ruled rows, the blocked part of those that the tree rejects, and the rejected part of blocked ones."""
+    rejected, blocked = F.col("purity") >= purity, F.col("ruled") == "block"
+    both = F.count_if(rejected & blocked)
+    return held.agg(F.count("*").alias("n"), F.try_divide(both, F.count_if(rejected)).alias("precision"), F.try_divide(both, F.count_if(blocked)).alias("recall"))
+
+
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity, a row for each row."""
+    out = _with_purity(_ruled(pages, rules, id_col, url_col))
+    verdict = F.coalesce("ruled", F.when(F.col("purity") >= PURITY, "block").otherwise("allow"))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+
+
+def _ruled(pages: DataFrame, rules, id_col: str, url_col: str) -> DataFrame:
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("by", match_rule(F.col("host"), F.col("path"), rules))
-    rows = rows.select("page_id", "host", "path", "by.rule", F.col("by.verdict").alias("ruled"))
+    return rows.select("page_id", "host", "path", "by.rule", F.col("by.verdict").alias("ruled"))
+
+
+def _with_purity(rows: DataFrame, hidden: Column | None = None) -> DataFrame:
+    """The rows with their path's template and its purity; hidden: rows whose verdict the tree isn't told."""
+    known = F.col("ruled") if hidden is None else F.when(~hidden, F.col("ruled"))
     paths = rows.groupBy("host", "path").agg(
         F.count("*").alias("n"),
-        F.count_if(F.col("ruled") == "block").alias("blocked"),
-        F.count("ruled").alias("labelled"),
+        F.count_if(known == "block").alias("blocked"),
+        F.count(known).alias("labelled"),
     )
     found = templates(paths)
     purity = found.join(purities(found), ["host", "template"]).select("host", "path", "template", "purity")
-    out = rows.join(purity, ["host", "path"])
-    verdict = F.coalesce("ruled", F.when(F.col("purity") >= PURITY, "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+    return rows.join(purity, ["host", "path"])

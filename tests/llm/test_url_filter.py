@@ -186,3 +186,20 @@ def test_unlabelled_branches_follow_their_host(spark):
 def test_columns_with_the_names_of_the_result(spark):
     df = spark.createDataFrame([(1, "http://a.com/en/1", "x", "y", "z", 0.5, 3)], "page_id bigint, url string, rule string, verdict string, path string, purity double, n int")
     assert [tuple(r)[:5] for r in url_filter.judge(df).collect()] == [(1, "a.com", "/en/1", "com/en/", "block")]
+
+
+def test_held_out_rows_are_judged_without_their_verdicts(spark):
+    """Hidden verdicts change with the rest of their branch, not with themselves."""
+    rules = (("block", "a.test/bad/"), ("allow", "a.test/good/"), ("block", "a.test/alone/"))
+    rows = [(i, f"http://a.test/bad/p{i}x") for i in range(80)] + [(100 + i, f"http://a.test/good/p{i}x") for i in range(80)] + [(200, "http://a.test/alone/one"), (300, "http://a.test/none"), (None, "http://a.test/bad/q1x")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    held = url_filter.held_out(pages, rules)
+    got = {r.page_id: r for r in held.collect()}
+    assert held.count() == len(rows) - 1 and 300 not in got
+    assert all(got[i].purity > 0.8 and got[100 + i].purity < 0.5 for i in range(80))
+    assert got[200].ruled == "block" and got[200].purity < 0.8  # nothing else tells of its section
+    r = url_filter.precision_and_recall(held).first()
+    assert r.n == 162 and r.precision == 1 and r.recall == 81 / 82
+    seen = {x.page_id: x.purity for x in url_filter.judge(pages, rules).collect()}
+    assert seen[200] != got[200].purity
+    assert url_filter.precision_and_recall(held.where("false")).first().precision is None
