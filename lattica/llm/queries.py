@@ -44,7 +44,8 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
-    records = warc.read(spark, path).where("gap IS NULL")
+    damaged = F.raise_error(F.concat(F.lit("an archive just written has a gap: "), F.col("gap").cast("string")))
+    records = warc.read(spark, path).where(F.when(F.col("gap").isNotNull(), damaged.cast("boolean")).otherwise(F.lit(True)))
     return records.select(
         warc.page_number(F.col("record_id")).alias("page_id"),
         "payload_bytes",
@@ -150,8 +151,10 @@ ORACLE_SQL: dict[str, str] = {
                           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again
                    FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
         talk AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, (fault = 'truncated')::BIGINT AS cut FROM (
-                 SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN again THEN 'duplicate'
-                                WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault FROM placed)),
+                 SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN again THEN 'duplicate'
+                                WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault FROM placed)),
         best AS (SELECT conv_id, max(k) AS k, [{{'c': 0::BIGINT, 'a': '', 't': NULL::VARCHAR}}, {{'c': 4, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'}}, {{'c': 2, 'a': 'I', 't': 'assistant:'}}, {{'c': 0, 'a': '', 't': NULL}}] AS b
                  FROM talk GROUP BY conv_id UNION ALL {_edits()}),
         counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
