@@ -349,8 +349,9 @@ def spectral_radius(edges: DataFrame, rounds: int = 60, symmetric: bool = True)
 MAX_SUBGRAPHS = 10_000
 
 
-def spectral_radii(edges: DataFrame, by: Sequence[str], rounds: int = 60, tolerance: float = 1e-10) -> DataFrame:
-    """by, radius, rounds: the largest modulus of each subgraph's symmetrised, binary matrix, all by one power iteration.
+def radius_trace(edges: DataFrame, by: Sequence[str], rounds: int = 60, tolerance: float = 1e-10) -> DataFrame:
+    """by, round, radius, last: the estimates of each subgraph's largest modulus (of its symmetrised, binary matrix) after each
+    round of one power iteration of all; `last` is the one that it ended with.
 
     A round is one join and one sum for all subgraphs that are still going; each ends by its own residual, and its
     edges and vector are left out of later rounds.  The driver gets one norm a subgraph and round."""
@@ -361,7 +362,7 @@ def spectral_radii(edges: DataFrame, by: Sequence[str], rounds: int = 60, tolera
     v = e.select(*by, "src").distinct().withColumn("x", F.lit(1.0))
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in e.select(*by).schema)
     last: dict[tuple, float] = {}
-    ended: dict[tuple, tuple[float, int]] = {}
+    trace: list[tuple] = []
     for k in range(1, rounds + 1):
         step = materialise(e.join(v, [*by, "src"]).groupBy(*by, F.col("dst").alias("src")).agg(F.sum("x").alias("x")), "radii-step")
         norms = step.groupBy(*by).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")).limit(MAX_SUBGRAPHS + 1).collect()
@@ -370,16 +371,35 @@ def spectral_radii(edges: DataFrame, by: Sequence[str], rounds: int = 60, tolera
         going = []
         for r in norms:
             key, norm = tuple(r)[:-1], r["norm"]
-            if k == rounds or abs(norm - last.get(key, math.inf)) <= tolerance * norm:
-                ended[key] = norm, k
-            else:
-                going.append((*key, norm))
+            ended = k == rounds or abs(norm - last.get(key, math.inf)) <= tolerance * norm
+            trace.append((*key, k, norm, ended))
             last[key] = norm
+            if not ended:
+                going.append((*key, norm))
         if not going:
             break
         scale = F.broadcast(e.sparkSession.createDataFrame(going, f"{keys}, norm double"))
         v = step.join(scale, by).select(*by, "src", (F.col("x") / F.col("norm")).alias("x"))
-    return e.sparkSession.createDataFrame([(*k, *v) for k, v in ended.items()], f"{keys}, radius double, rounds int")
+    return e.sparkSession.createDataFrame(trace, f"{keys}, round int, radius double, last boolean")
+
+
+def spectral_radii(edges: DataFrame, by: Sequence[str], rounds: int = 60, tolerance: float = 1e-10) -> DataFrame:
+    """by, radius, rounds: where each subgraph's iteration ended."""
+    return radius_trace(edges, by, rounds, tolerance).where("last").select(*by, "radius", F.col("round").alias("rounds"))
+
+
+def radius_impact(trace: DataFrame, by: Sequence[str], rounds: Sequence[int], target: float = 0.95, tolerance: float = 1e-6) -> DataFrame:
+    """by, rounds, error, scaled, kept: what an estimate after so few rounds gets wrong: its absolute error against the final
+    one, the radius that the graph really has when it is scaled to `target` by it, and whether that is the target.
+
+    An iteration that ended earlier has its final estimate."""
+    by = list(by)
+    final = trace.where("last").select(*by, F.col("radius").alias("_final"))
+    asked = trace.join(final, by).withColumn("rounds", F.explode(F.array(*[F.lit(k) for k in rounds])))
+    used = asked.where(F.col("round") <= F.col("rounds")).groupBy(*by, "rounds").agg(F.max_by("radius", "round").alias("_used"), F.first("_final").alias("_final"))
+    scaled = F.try_divide(target * F.col("_final"), F.col("_used"))
+    kept = F.coalesce(F.abs(scaled - target) <= tolerance, F.lit(False))
+    return used.select(*by, "rounds", F.abs(F.col("_used") - F.col("_final")).alias("error"), scaled.alias("scaled"), kept.alias("kept"))
 
 
 #: Nodes of a graph whose matrix is brought to the driver, at most.

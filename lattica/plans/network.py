@@ -167,6 +167,23 @@ def size_curve(spark, sf_dir):
     return c.withColumns({"density": F.round("density", 8), "radius": F.round("radius", 6)})
 
 
+IMPACT_ROUNDS = (1, 2, 4, 16)
+
+
+@query("WITH RECURSIVE " + sql_cte(RAW, """each AS (SELECT src % 5 AS part, src, dst, min_w FROM edges, (SELECT unnest([3, 8])::INT AS min_w) WHERE w >= min_w), sym AS (SELECT part, min_w, src, dst FROM each UNION SELECT part, min_w, dst, src FROM each),
+    p(step, part, min_w, id, x, norm) AS (SELECT 0, part, min_w, src, 1.0::DOUBLE, 1.0::DOUBLE FROM (SELECT DISTINCT part, min_w, src FROM sym)
+        UNION ALL SELECT step + 1, part, min_w, dst, s / norm, norm FROM (SELECT step, sym.part, sym.min_w, dst, sum(x) AS s, sqrt(sum(sum(x) * sum(x)) OVER (PARTITION BY sym.part, sym.min_w)) AS norm
+            FROM p JOIN sym ON sym.part = p.part AND sym.min_w = p.min_w AND sym.src = p.id WHERE step < 60 GROUP BY step, sym.part, sym.min_w, dst)),
+    n AS (SELECT DISTINCT step, part, min_w, norm FROM p)""",
+    f"SELECT a.part, a.min_w, a.step AS rounds, round(abs(a.norm - b.norm), 6) AS error, round(0.95 * b.norm / a.norm, 6) AS scaled, abs(0.95 * b.norm / a.norm - 0.95) <= 0.0001 AS kept FROM n a JOIN n b ON b.part = a.part AND b.min_w = a.min_w AND b.step = 60 WHERE a.step IN {IMPACT_ROUNDS}").removeprefix("WITH "))
+def radius_impact(spark, sf_dir):
+    """What a few rounds of power iteration get wrong, for ten subgraphs together, and whether a scaling by them holds."""
+    e = edges(spark, sf_dir).withColumn("part", F.col("src") % 5).withColumn("min_w", F.explode(F.array(F.lit(3), F.lit(8)))).where("w >= min_w")
+    trace = graph.radius_trace(e, ["part", "min_w"])
+    found = graph.radius_impact(trace, ["part", "min_w"], IMPACT_ROUNDS, 0.95, 1e-4)
+    return found.withColumns({"error": F.round("error", 6), "scaled": F.round("scaled", 6)})
+
+
 HALF = "a AS (SELECT DISTINCT src, dst FROM raw WHERE flag = 'A'), b AS (SELECT DISTINCT src, dst FROM raw WHERE flag = 'R')"
 
 

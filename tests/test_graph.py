@@ -252,3 +252,21 @@ def test_a_selection_beside_random_ones_equals_brute_force(spark):
 def test_absolute_norm_keeps_rows_without_weight(spark):
     e = spark.createDataFrame([(1, 2, -3.0), (1, 3, 1.0), (2, 1, 0.0)], "src bigint, dst bigint, w double")
     assert {(r.src, r.dst): r.w for r in graph.absolute_norm(e, 2.0).collect()} == {(1, 2): -1.5, (1, 3): 0.5, (2, 1): 0.0}
+
+
+def test_impact_of_few_rounds(spark):
+    """A clique converges at once, a path slowly: only the clique's scaling holds after two rounds."""
+    rows = [("clique", i, j) for i in range(5) for j in range(5) if i < j] + [("path", i, i + 1) for i in range(9)]
+    trace = graph.radius_trace(spark.createDataFrame(rows, "k string, src int, dst int"), ["k"], 300).cache()
+    got = {(r.k, r.rounds): r for r in graph.radius_impact(trace, ["k"], [1, 2, 250]).collect()}
+    path = 2 * np.cos(np.pi / 11)
+    x = np.ones(10)
+    a = np.eye(10, k=1) + np.eye(10, k=-1)
+    norms = [np.sqrt(10)]
+    for k in (1, 2):
+        y = a @ (x if k == 1 else x / norms[-1])
+        norms.append(np.linalg.norm(y))
+        x = y
+    assert got["clique", 1].kept is False and got["clique", 2].kept and got["clique", 250].error == 0
+    assert abs(got["path", 2].error - abs(norms[2] - path)) < 1e-6 and not got["path", 2].kept
+    assert abs(got["path", 2].scaled - 0.95 * path / norms[2]) < 1e-6 and got["path", 250].kept
