@@ -307,14 +307,14 @@ def clusters_needed(spark, sf_dir):
 RHO_DRAWS = 120
 
 
-@query(sql_cte(OBS, """r AS (SELECT dataset, model, round(metric, 3) AS x, round(mae, 9) AS y, row_number() OVER (PARTITION BY dataset, model ORDER BY seed, fold_id, specimen) - 1 AS pos, count(*) OVER (PARTITION BY dataset, model) AS n FROM obs)""",
+@query(sql_cte(OBS, """r AS (SELECT dataset, model, floor(round(metric, 9) * 1000 + 0.314159) AS x, round(mae, 9) AS y, row_number() OVER (PARTITION BY dataset, model ORDER BY seed, fold_id, specimen) - 1 AS pos, count(*) OVER (PARTITION BY dataset, model) AS n FROM obs)""",
     f"""d AS (SELECT dataset, model, b, (('0x' || substr(md5('{SEED}|' || b || '|' || pos), 1, 8))::BIGINT % n) AS pos FROM r, (SELECT unnest(range({RHO_DRAWS})) AS b))""",
     """s AS (SELECT dataset, model, b, rank() OVER (PARTITION BY dataset, model, b ORDER BY x) + (count(*) OVER (PARTITION BY dataset, model, b, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY dataset, model, b ORDER BY y) + (count(*) OVER (PARTITION BY dataset, model, b, y) - 1) / 2 AS ry FROM d JOIN r USING (dataset, model, pos))""",
     "q AS (SELECT dataset, model, b, corr(rx, ry) AS rho FROM s GROUP BY ALL)", "i AS (SELECT dataset, model, quantile_cont(rho, 0.025) AS lo, quantile_cont(rho, 0.975) AS hi, count(*) AS n_draws FROM q WHERE NOT isnan(rho) GROUP BY ALL)",
     """w AS (SELECT dataset, model, rank() OVER (PARTITION BY dataset, model ORDER BY x) + (count(*) OVER (PARTITION BY dataset, model, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY dataset, model ORDER BY y) + (count(*) OVER (PARTITION BY dataset, model, y) - 1) / 2 AS ry FROM r)""",
     "SELECT dataset, model, round(rho, 7) AS rho, round(lo, 7) AS ci_low, round(hi, 7) AS ci_high, n, n_draws FROM i JOIN (SELECT dataset, model, corr(rx, ry) AS rho, count(*) AS n FROM w GROUP BY ALL) USING (dataset, model)"))
 def spearman_interval(spark, sf_dir):
-    """Ties in x (three decimals), 120 resamples a group."""
-    o = observations(spark, sf_dir).withColumns({"metric": F.round("metric", 3), "mae": F.round("mae", 9)})
+    """Ties in x (thousandths, cut where no average lies), 120 resamples a group."""
+    o = observations(spark, sf_dir).withColumns({"metric": F.floor(F.round("metric", 9) * 1000 + 0.314159), "mae": F.round("mae", 9)})
     found = stats.spearman_interval(o, ["dataset", "model"], ["seed", "fold_id", "specimen"], "metric", "mae", RHO_DRAWS)
     return found.withColumns({c: F.round(c, 7) for c in ("rho", "ci_low", "ci_high")})
