@@ -116,3 +116,51 @@ def test_five_arms_equal_five_separate_fits(spark, n_classes):
         else:
             want = -np.abs(out - [d[5] for d in v]).mean()
         assert r["score"] == pytest.approx(want, abs=1e-9) and r["n"] == len(v)
+
+
+def _states(spark, data, radius, size):
+    """split, fold_id, label and the state of each standardised window, by numpy."""
+    from lattica.operators import windows
+    from lattica.plans import sensor
+
+    f, d = sensor.frame(spark, data), sensor.folds(spark, data)
+    w = windows.sliding_windows(f, sensor.FEATURES, sensor.LENGTH, 4, order=sensor.ORDER).join(d, "specimen_id")
+    w = windows.scaled_windows(w, windows.fold_scalers(f, d, sensor.FEATURES), sensor.FEATURES, ["fold_id"]).select("fold_id", "split", "label", "x").toPandas()
+    r = reservoir.random_reservoir(3, 1, reservoir_size=size, **radius)
+    return w, np.column_stack([r.states(np.array([np.vstack(x) for x in w.x])), np.ones(len(w))])
+
+
+def _readout(h, label, train, penalty, n_classes=4):
+    return np.linalg.solve(h[train].T @ h[train] + penalty * np.eye(h.shape[1]), h[train].T @ np.eye(n_classes)[label[train]])
+
+
+def test_the_readout_query_equals_numpy(spark, data):
+    from lattica.plans import learning
+
+    w, h = _states(spark, data, {}, 50)
+    one, label = (w.fold_id == 0).to_numpy(), w.label.to_numpy()
+    weights = _readout(h, label, one & (w.split == "train").to_numpy(), 1e-3)
+    test = one & (w.split == "test").to_numpy()
+    hit = (h[test] @ weights).argmax(1) == label[test]
+    got = {r.label: (r.n, r.recall) for r in learning.ridge_readout(spark, data).collect()}
+    assert got.keys() == set(label[test].tolist())
+    for k, (n, recall) in got.items():
+        assert n == (label[test] == k).sum() and recall == pytest.approx(hit[label[test] == k].mean())
+
+
+def test_the_selection_query_equals_numpy(spark, data):
+    from lattica.plans import tuning
+
+    best = {}
+    for radius in (0.5, 0.9, 1.1):
+        w, h = _states(spark, data, {"spectral_radius": radius, "washout": 0}, 40)
+        label = w.label.to_numpy()
+        for penalty in (0.001, 0.1, 10.0):
+            for fold in range(5):
+                part = lambda s, fold=fold: ((w.fold_id == fold) & (w.split == s)).to_numpy()  # noqa: E731, B023
+                said, truth = (h[part("val")] @ _readout(h, label, part("train"), penalty)).argmax(1), label[part("val")]
+                f1 = np.mean([2 * ((said == c) & (truth == c)).sum() / max(1, (said == c).sum() + (truth == c).sum()) for c in range(4)])
+                if fold not in best or f1 > best[fold][0] + 1e-9:
+                    best[fold] = f1, radius, penalty
+    for r in tuning.reservoir_selection(spark, data).collect():
+        assert (r.spectral_scaling, r.ridge_lambda) == best[r.fold_id][1:] and r.score == pytest.approx(best[r.fold_id][0], abs=1e-6)
