@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators, their queries and the corpus pipeline's parts.
+"""Training-data operators: thirteen corpus operators, their queries and the corpus pipeline's parts.
 
 Nothing outside this subpackage imports it.  Functions that run on executors are
 pickled by value, so executors need not have this package installed.
