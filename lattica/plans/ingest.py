@@ -107,7 +107,7 @@ def flat_windows(spark, sf_dir):
     w = plain_windows(frame(spark, sf_dir), stride=LENGTH // 2)
     flat = F.flatten("x")
     weighted = F.aggregate(F.transform(flat, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
-    return w.select("specimen_id", "session_id", "window_no", F.size(flat).alias("n_values"), F.round(weighted, 4).alias("weighted"))
+    return w.select("specimen_id", "session_id", "window_no", F.size(flat).cast("bigint").alias("n_values"), F.round(weighted, 4).alias("weighted"))
 
 
 @query(sql_cte(FRAME, f"h AS (SELECT specimen_id, row_number() OVER (ORDER BY {DRAW.format(repr(f'perm|{SEED}|') + ' || specimen_id')}, specimen_id) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT specimen_id FROM frame))",
