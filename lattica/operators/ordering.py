@@ -28,3 +28,13 @@ def with_running_total(df: DataFrame, order: Sequence[str], value: str, name: st
 def with_position(df: DataFrame, order: Sequence[str], name: str = "pos") -> DataFrame:
     """df with the 0-based place of each row in the order (a unique one)."""
     return with_running_total(df.withColumn("_one", F.lit(1).cast("bigint")), order, "_one", name).drop("_one")
+
+
+def in_file_order(df: DataFrame, name: str = "_at") -> DataFrame:
+    """df, a scan of files, with a number that grows with the file's path and the row's place in the file.
+
+    Floating-point sums depend on their order; taken in this one, they don't depend on how files are split into tasks."""
+    keyed = df.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    files = df.select(F.col("_metadata.file_path").alias("_file")).distinct()
+    files = files.select("_file", F.row_number().over(Window.orderBy("_file")).cast("bigint").alias("_file_no"))
+    return keyed.join(F.broadcast(files), "_file").withColumn(name, F.col("_file_no") * (1 << 40) + F.col("_row")).drop("_file", "_file_no", "_row")
