@@ -292,21 +292,52 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return _spread(plain, roots.select(F.col("id").alias("node")).distinct(), [])
 
 
-def bfs_levels(edges: DataFrame, roots: DataFrame, max_level: int | None = None) -> DataFrame:
-    """root, node, dist over undirected edges up to a level, or until nothing new is reached: a frontier join and an anti
-    join in each round."""
-    e = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    e = materialise(e, "bfs-edges")
-    seen = frontier = materialise(roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("dist")), "bfs")
-    level = 0
+#: Roots that travel in one row: a bit each, in words of 64.
+WORDS = 4
+
+
+def _waves(edges: DataFrame, roots: DataFrame, max_level: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Breadth-first search from all roots together, over undirected edges, up to a level or until nothing new is reached:
+    (roots as root, batch, word, bit; what each level reaches first as batch, node, dist and b0 .. b3, the bits of the roots).
+
+    A round is one join with the edges and one sum of bits for up to 256 roots, so its rows are as many as the
+    edges, not as the edges times the roots."""
+    words = [f"b{i}" for i in range(WORDS)]
+    both = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")
+    e = materialise(edges.where("NOT src <=> dst").select(both).select("e.src", "e.dst").distinct(), "bfs-edges")
+    at = with_position(roots.select(F.col("id").alias("root")).distinct(), ["root"], "at")
+    at = materialise(at.select("root", F.expr(f"at div {64 * WORDS}").alias("batch"), F.expr(f"cast(at div 64 % {WORDS} as int)").alias("word"), F.expr("cast(at % 64 as int)").alias("bit")), "bfs-roots")
+    own = [F.when(F.col("word") == i, F.expr("shiftleft(1L, bit)")).otherwise(0).alias(w) for i, w in enumerate(words)]
+    frontier = materialise(at.select("batch", F.col("root").alias("node"), F.lit(0).alias("dist"), *own), "bfs")
+    found = frontier
+    seen, level = frontier.drop("dist"), 0
     while max_level is None or level < max_level:
         level += 1
-        step = frontier.select("root", F.col("node").alias("src")).join(e, "src").select("root", F.col("dst").alias("node")).distinct()
-        frontier = materialise(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("dist", F.lit(level)), "bfs")
+        step = frontier.drop("dist").withColumnRenamed("node", "src").join(e, "src").groupBy("batch", F.col("dst").alias("node")).agg(*[F.bit_or(w).alias(w) for w in words])
+        old = seen.select(F.col("batch").alias("_batch"), F.col("node").alias("_node"), *[F.col(w).alias(f"_{w}") for w in words])
+        fresh = [F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"_{w}", F.lit(0).cast("bigint")))).alias(w) for w in words]
+        step = step.join(old, (F.col("batch") == F.col("_batch")) & F.col("node").eqNullSafe(F.col("_node")), "left").select("batch", "node", F.lit(level).alias("dist"), *fresh)
+        frontier = materialise(step.where(" OR ".join(f"{w} <> 0" for w in words)), "bfs")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        found = found.unionByName(frontier)
+        seen = materialise(seen.unionByName(frontier.drop("dist")).groupBy("batch", "node").agg(*[F.bit_or(w).alias(w) for w in words]), "bfs-seen")
+    return at, found
+
+
+def bfs_levels(edges: DataFrame, roots: DataFrame, max_level: int | None = None) -> DataFrame:
+    """root, node, dist over undirected edges up to a level, or until nothing new is reached."""
+    at, found = _waves(edges, roots, max_level)
+    has = F.lit(False)
+    for i in range(WORDS):
+        has = has | ((F.col("word") == i) & (F.getbit(f"b{i}", F.col("bit")) == 1))
+    return found.join(at, "batch").where(has).select("root", "node", "dist")
+
+
+def distance_counts(edges: DataFrame, roots: DataFrame, max_level: int | None = None) -> DataFrame:
+    """dist, n: pairs of a root and a node by their distance over undirected edges; pairs are counted by their bits and not made."""
+    bits = sum((F.bit_count(f"b{i}") for i in range(WORDS)), F.lit(0)).cast("bigint")
+    return _waves(edges, roots, max_level)[1].groupBy("dist").agg(F.sum(bits).alias("n"))
 
 
 def closed_walks(edges: DataFrame, k: int) -> DataFrame:

@@ -1,10 +1,12 @@
 """Queries on small tables that have what larger ones have: several files and tasks, deeper trees, constant groups."""
 
 import random
+from collections import Counter
 
 import duckdb
 
 from lattica import catalog
+from lattica.operators import graph
 from lattica.plans import io
 
 
@@ -59,3 +61,24 @@ def test_spearman_interval_of_constant_groups(spark, tmp_path):
     got = catalog.QUERIES["spearman_interval"](spark, folder).select("dataset", "model", "n", "n_draws").collect()
     want = by_sql(folder, "spearman_interval")
     assert want and sorted(map(tuple, got)) == sorted((*r[:2], *r[-2:]) for r in want)
+
+
+def undirected_levels(pairs, root):
+    dist, todo = {root: 0}, [root]
+    for at in todo:
+        for a, b in [*pairs, *((b, a) for a, b in pairs)]:
+            if a == at and b not in dist:
+                dist[b] = dist[at] + 1
+                todo.append(b)
+    return dist
+
+
+def test_distances_from_more_roots_than_a_row_has_bits(spark):
+    """Levels and their counts against brute force; roots without edges, self-loops and a second batch of roots among them."""
+    rng = random.Random(5)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(70)] + [(3, 3)]
+    e, roots = spark.createDataFrame(pairs, "src bigint, dst bigint"), spark.range(280)
+    want = Counter((r, n, d) for r in range(280) for n, d in undirected_levels(pairs, r).items())
+    assert Counter(map(tuple, graph.bfs_levels(e, roots).collect())) == want
+    assert dict(map(tuple, graph.distance_counts(e, roots).collect())) == dict(Counter(d for _, _, d in want))
+    assert dict(map(tuple, graph.distance_counts(e, roots, 1).collect())) == dict(Counter(d for _, _, d in want if d < 2))
