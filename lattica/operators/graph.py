@@ -340,19 +340,41 @@ def distance_counts(edges: DataFrame, roots: DataFrame, max_level: int | None =
     return _waves(edges, roots, max_level)[1].groupBy("dist").agg(F.sum(bits).alias("n"))
 
 
+#: Rounds in which nodes without an edge in or out are trimmed, at most: a chain loses one node at each end a round.
+TRIM_ROUNDS = 8
+
+
 def closed_walks(edges: DataFrame, k: int) -> DataFrame:
     """Nodes on a closed walk of k steps (not only simple cycles).
 
-    Nodes without an edge in or out are on none and are trimmed first; each step is written.  Its pairs of a start and
-    a place are as many as the graph's walks of that length have ends, so it is meant for graphs whose cyclic part is small."""
-    plain = edges.select("src", "dst").distinct()
-    for _ in range(2):
-        plain = plain.join(plain.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        plain = materialise(plain.join(plain.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "walk-edges")
+    Nodes without an edge in or out are on none and are trimmed first.  One, two and three steps are looked up: a walk of
+    three is a pair of edges that meet at the node of its three with the fewest edges, and a third edge that closes it; the
+    pairs are at most the edges times the square root of their number.  Longer walks make all pairs of a start and a place,
+    each step written, so they are meant for graphs whose cyclic part is small."""
+    plain, n = materialise(edges.select("src", "dst").distinct(), "walk-edges"), None
+    for _ in range(TRIM_ROUNDS):
+        cut = plain.join(plain.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        plain = materialise(cut.join(cut.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "walk-edges")
+        before, n = n, plain.count()
+        if n == before:
+            break
+    if k == 1:
+        return plain.where("src = dst").select(F.col("src").alias("id")).distinct()
+    back = plain.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    if k == 2:
+        return plain.join(back, ["src", "dst"], "left_semi").select(F.col("src").alias("id")).distinct()
+    if k == 3:
+        size = plain.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("size"))
+        ranked = plain.join(size.select(F.col("id").alias("src"), F.struct("size", "id").alias("_from")), "src").join(size.select(F.col("id").alias("dst"), F.struct("size", "id").alias("_to")), "dst")
+        ranked = materialise(ranked, "walk-ranked")
+        into = ranked.where("_to <= _from").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        out = ranked.where("_from <= _to").select(F.col("src").alias("b"), F.col("dst").alias("c"))
+        closing = plain.select(F.col("src").alias("c"), F.col("dst").alias("a"))
+        return into.join(out, "b").join(closing, ["c", "a"], "left_semi").select(F.explode(F.array("a", "b", "c")).alias("id")).distinct()
     walk = plain.select(F.col("src").alias("start"), F.col("dst").alias("at"))
-    for _ in range(k - 1):
+    for _ in range(k - 2):
         walk = materialise(walk.join(plain.withColumnsRenamed({"src": "at", "dst": "to"}), "at").select("start", F.col("to").alias("at")).distinct(), "walk")
-    return walk.where("start = at").select(F.col("start").alias("id")).distinct()
+    return walk.join(plain.withColumnsRenamed({"src": "at", "dst": "start"}), ["at", "start"], "left_semi").select(F.col("start").alias("id")).distinct()
 
 
 def spectral_radius(edges: DataFrame, rounds: int = 60, symmetric: bool = True) -> float:

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 
 from lattica import catalog
 from lattica.operators import graph
@@ -82,3 +83,17 @@ def test_distances_from_more_roots_than_a_row_has_bits(spark):
     assert Counter(map(tuple, graph.bfs_levels(e, roots).collect())) == want
     assert dict(map(tuple, graph.distance_counts(e, roots).collect())) == dict(Counter(d for _, _, d in want))
     assert dict(map(tuple, graph.distance_counts(e, roots, 1).collect())) == dict(Counter(d for _, _, d in want if d < 2))
+
+
+def test_short_closed_walks_make_no_pairs_of_starts_and_places(spark, monkeypatch):
+    rng, written = random.Random(8), []
+    pairs = {(rng.randrange(25), rng.randrange(25)) for _ in range(70)} | {(30, 30), (30, 31), (31, 32)}
+    e = spark.createDataFrame(sorted(pairs), "src bigint, dst bigint")
+    a = np.zeros((33, 33), int)
+    for s, d in pairs:
+        a[s, d] = 1
+    keep = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: written.append(name) or keep(df, name))
+    for k in (1, 2, 3, 4):
+        assert sorted(r.id for r in graph.closed_walks(e, k).collect()) == np.flatnonzero(np.diag(np.linalg.matrix_power(a, k))).tolist()
+        assert ("walk" in written) == (k > 3)
