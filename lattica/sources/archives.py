@@ -1,4 +1,4 @@
-"""NPY arrays and ZIP archives as Spark data sources: partitions are ranges of an array's bytes, or members of an archive.
+"""NPY arrays and ZIP archives as Spark data sources: partitions are ranges of an array's bytes, or members of archives.
 
     spark.read.format("npy").load(path)          place, value
     spark.read.format("zip_members").load(path)  archive, member, chunk, content, status
@@ -215,21 +215,45 @@ def inflated(m: Member, chunk: int = CHUNK) -> Iterator[bytes]:
         raise ValueError("CRC-32 or size differ")
 
 
+#: Members up to which each has a task of its own; of more, as many share one as leave so many tasks, or as have so many
+#: bytes, packed and unpacked, together (a member is never cut).
+MEMBER_TASKS, TASK_PACKED, TASK_SIZE = 200, 8 << 20, 64 << 20
+
+
+@dataclass
+class Members(InputPartition):
+    members: list[Member]
+
+
+def packs(members: list[Member]) -> Iterator[Members]:
+    """Members in runs for a task each, so that many small ones don't cost a task each."""
+    run, packed, size, most = [], 0, 0, -(-len(members) // MEMBER_TASKS)
+    for m in members:
+        if run and (len(run) == most or packed + m.packed > TASK_PACKED or size + m.size > TASK_SIZE):
+            yield Members(run)
+            run, packed, size = [], 0, 0
+        run.append(m)
+        packed, size = packed + m.packed, size + m.size
+    if run:
+        yield Members(run)
+
+
 class MemberReader(DataSourceReader):
     def __init__(self, path: str, chunk: int):
         self.path, self.chunk = path, chunk
 
-    def partitions(self) -> list[Member]:
-        return [m for path in files_of(self.path, ".zip") for m in directory(path)]
-
-    def read(self, partition: Member) -> Iterator[tuple]:
-        archive, n = os.path.basename(partition.archive), 0
-        try:
-            for n, data in enumerate(inflated(partition, self.chunk), 1):  # noqa: B007
-                yield archive, partition.name, n - 1, data, "read"
-            yield archive, partition.name, n, b"", "whole"
-        except (ValueError, zlib.error) as e:
-            yield archive, partition.name, n, str(e).encode(), "corrupt"
+    def partitions(self) -> list[Members]:
+        return list(packs([m for path in files_of(self.path, ".zip") for m in directory(path)]))
+
+    def read(self, partition: Members) -> Iterator[tuple]:
+        for m in partition.members:
+            archive, n = os.path.basename(m.archive), 0
+            try:
+                for n, data in enumerate(inflated(m, self.chunk), 1):  # noqa: B007
+                    yield archive, m.name, n - 1, data, "read"
+                yield archive, m.name, n, b"", "whole"
+            except (ValueError, zlib.error) as e:
+                yield archive, m.name, n, str(e).encode(), "corrupt"
 
 
 class ZipSource(DataSource):

@@ -1,6 +1,7 @@
 """Queries on small tables that have what larger ones have: several files and tasks, deeper trees, constant groups."""
 
 import random
+import zipfile
 from collections import Counter
 
 import duckdb
@@ -9,6 +10,7 @@ import numpy as np
 from lattica import catalog
 from lattica.operators import graph
 from lattica.plans import io
+from lattica.sources import archives
 
 
 def lineitem(tmp_path, rows: str, groups: int = 122_880) -> str:
@@ -97,3 +99,13 @@ def test_short_closed_walks_make_no_pairs_of_starts_and_places(spark, monkeypatc
     for k in (1, 2, 3, 4):
         assert sorted(r.id for r in graph.closed_walks(e, k).collect()) == np.flatnonzero(np.diag(np.linalg.matrix_power(a, k))).tolist()
         assert ("walk" in written) == (k > 3)
+
+
+def test_many_members_share_tasks(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for i in range(450):
+            z.writestr(f"{i}.csv", f"{i}\n")
+    archives.register(spark)
+    found = spark.read.format("zip_members").load(str(tmp_path))
+    assert found.rdd.getNumPartitions() == 150
+    assert sorted(int(r.text) for r in archives.member_lines(found).collect()) == list(range(450))
