@@ -74,14 +74,15 @@ def run(frame: DataFrame, dataset: str, features: Sequence[str], names: Sequence
 def reservoir_grid(frame: DataFrame, folds: DataFrame, family: dict[str, reservoir.Reservoir], features: Sequence[str], length: int, stride: int, order: Sequence[str], n_classes: int = 4) -> DataFrame:
     """control, fold_id and the metrics of each reservoir in each fold, with readouts of the fold's training windows.
 
-    Windows are cut once, scaled by fold, and driven through all reservoirs in one pass; all readouts are fitted
-    together."""
-    w = windows.sliding_windows(frame, features, length, stride, order=order).join(folds, "specimen_id")
-    w = windows.scaled_windows(w, windows.fold_scalers(frame, folds, features), features, ["fold_id"])
-    states = materialise(reservoir.window_states_of(w, family, ["fold_id", "split", "label"]), "grid-states")
+    Windows are cut and written once and scaled by fold; all readouts are fitted together.  States, a long array for
+    each window, fold and reservoir, are never written: training and test windows are driven through all reservoirs in
+    the pass that uses them."""
+    cut = materialise(windows.sliding_windows(frame, features, length, stride, order=order).select("specimen_id", "label", "x"), "grid-windows")
+    w = windows.scaled_windows(cut.join(folds, "specimen_id"), windows.fold_scalers(frame, folds, features), features, ["fold_id"])
+    states = lambda split: reservoir.window_states_of(w.where(F.col("split") == split), family, ["fold_id", "label"])
     by = ["control", "fold_id"]
-    weights = reservoir.ridge_by(states.where("split = 'train'"), by, "state", "label", n_classes=n_classes)
-    done = reservoir.read_out_by(states.where("split = 'test'"), by, "state", weights)
+    weights = reservoir.ridge_by(states("train"), by, "state", "label", n_classes=n_classes)
+    done = reservoir.read_out_by(states("test"), by, "state", weights)
     return metrics.classification(done.select(*by, F.col("label").alias("truth"), F.col("predicted").cast("int").alias("predicted")), n_classes, by)
 
 

@@ -9,7 +9,7 @@ import numpy as np
 
 from lattica import catalog
 from lattica.operators import graph
-from lattica.plans import io
+from lattica.plans import benchmark, io
 from lattica.sources import archives
 
 
@@ -109,3 +109,14 @@ def test_many_members_share_tasks(spark, tmp_path):
     found = spark.read.format("zip_members").load(str(tmp_path))
     assert found.rdd.getNumPartitions() == 150
     assert sorted(int(r.text) for r in archives.member_lines(found).collect()) == list(range(450))
+
+
+def test_the_reservoir_benchmark_writes_no_states(spark, data, monkeypatch):
+    written, keep = [], benchmark.materialise
+
+    def note(df, name):
+        written.extend(df.columns)
+        return keep(df, name)
+
+    monkeypatch.setattr(benchmark, "materialise", note)
+    assert catalog.QUERIES["reservoir_benchmark"](spark, data).count() == 35 and "x" in written and "state" not in written
