@@ -33,8 +33,15 @@ def fold_scalers(frame: DataFrame, folds: DataFrame, features: Sequence[str], ep
     for c in features:
         n, gap = F.col(f"{c}_n"), F.col(f"{c}_a") - F.col(f"{c}_mean")
         spread.append((F.sqrt(F.sum(n * (F.col(f"{c}_v") + gap * gap)) / F.sum(n)) + eps).alias(f"{c}_std"))
-    stds = train.join(centre, "fold_id").groupBy("fold_id").agg(*spread)
-    return centre.join(stds, "fold_id").select("fold_id", "n_fit_rows", *[f"{c}_{s}" for c in features for s in ("mean", "std")])
+    stds = train.join(F.broadcast(centre), "fold_id").groupBy("fold_id").agg(*spread)
+    return centre.join(F.broadcast(stds), "fold_id").select("fold_id", "n_fit_rows", *[f"{c}_{s}" for c in features for s in ("mean", "std")])
+
+
+def _with_scaler(rows: DataFrame, scaler: DataFrame, by: Sequence[str]) -> DataFrame:
+    """rows with their scaler's columns.  A scaler has a row for each fold and is broadcast: joined by shuffles, all rows of a
+    fold would meet in one task."""
+    few = F.broadcast(scaler.drop("n_fit_rows"))
+    return rows.join(few, list(by)) if by else rows.crossJoin(few)
 
 
 def scaled_windows(windows: DataFrame, scaler: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -46,8 +53,8 @@ def scaled_windows(windows: DataFrame, scaler: DataFrame, features: Sequence[str
 
 
 def standardise(frame: DataFrame, scaler: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(x - mean) / std.  A scaler has a row for each fold, so it is small by nature and left to the planner."""
-    joined = frame.join(scaler.drop("n_fit_rows"), list(by)) if by else frame.crossJoin(F.broadcast(scaler.drop("n_fit_rows")))
+    """(x - mean) / std."""
+    joined = _with_scaler(frame, scaler, by)
     scaled = {c: (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std") for c in features}
     return joined.withColumns(scaled).drop(*[f"{c}_{s}" for c in features for s in ("mean", "std")])
 
