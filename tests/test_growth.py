@@ -26,3 +26,7 @@ def joined_by_fold(df) -> list[str]:
 @pytest.mark.parametrize("name", ["standardise", "scaler_fit"])
 def test_no_task_standardises_a_whole_fold(large, data, name):
     assert not joined_by_fold(catalog.QUERIES[name](large, data))
+
+
+def test_no_task_brings_a_whole_fold_back(large, data):
+    assert not joined_by_fold(catalog.QUERIES["inverse_standardise"](large, data))
