@@ -47,7 +47,7 @@ def _with_scaler(rows: DataFrame, scaler: DataFrame, by: Sequence[str]) -> DataF
 def scaled_windows(windows: DataFrame, scaler: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Windows standardised after they were cut: scaling a channel is the same before and after, and so windows are cut
     once for all folds."""
-    joined = windows.join(scaler.drop("n_fit_rows"), list(by)) if by else windows.crossJoin(F.broadcast(scaler.drop("n_fit_rows")))
+    joined = _with_scaler(windows, scaler, by)
     row = lambda r: F.array(*[(r[i] - F.col(f"{c}_mean")) / F.col(f"{c}_std") for i, c in enumerate(features)])
     return joined.withColumn("x", F.transform("x", row)).drop(*[f"{c}_{s}" for c in features for s in ("mean", "std")])
 

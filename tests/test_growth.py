@@ -30,3 +30,7 @@ def test_no_task_standardises_a_whole_fold(large, data, name):
 
 def test_no_task_brings_a_whole_fold_back(large, data):
     assert not joined_by_fold(catalog.QUERIES["inverse_standardise"](large, data))
+
+
+def test_no_task_scales_all_windows_of_a_fold(large, data):
+    assert not joined_by_fold(catalog.QUERIES["reservoir_states"](large, data))
