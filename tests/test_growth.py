@@ -1,8 +1,10 @@
 """Plans and tasks of queries whose work must spread over tasks as their tables grow."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lattica import catalog
+from lattica.plans import learning
 from lattica.plans.sensor import frame
 
 
@@ -34,3 +36,13 @@ def test_no_task_brings_a_whole_fold_back(large, data):
 
 def test_no_task_scales_all_windows_of_a_fold(large, data):
     assert not joined_by_fold(catalog.QUERIES["reservoir_states"](large, data))
+
+
+def test_a_fold_is_fitted_from_windows_of_several_tasks(large, data):
+    """One fold's windows are in as many partitions as their sessions are dealt to."""
+    large.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        w = learning.fold_windows(large, data)
+        assert w.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        large.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
