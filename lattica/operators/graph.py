@@ -583,10 +583,19 @@ def shuffled_weights(edges: DataFrame, seed: int = 0) -> DataFrame:
     return placed("edge", ["src", "dst"]).join(placed("weight", ["w"]), "place").select("src", "dst", "w")
 
 
+#: Stubs of an edge that one row stands for until they are spread over tasks, and stubs of a task.
+STUB_RUN, TASK_STUBS = 4096, 250_000
+
+
 def configuration_model(edges: DataFrame, seed: int = 0) -> DataFrame:
     """Stubs matched by hash order; stubs that meet again add up, so there may be fewer edges than before.  Edges of
-    weight 0 have no stubs."""
-    stubs = edges.where("w > 0").select("src", "dst", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))).alias("i"))
+    weight 0 have no stubs.
+
+    A graph of few edges may have many stubs: runs of them are dealt to tasks by their number before they become rows."""
+    edges = materialise(edges.where("w > 0").select("src", "dst", F.col("w").cast("int").alias("w")), "stub-edges")
+    tasks = 1 + (edges.agg(F.sum("w")).first()[0] or 0) // TASK_STUBS
+    runs = edges.select("*", F.explode(F.sequence(F.lit(1), F.col("w"), F.lit(STUB_RUN))).alias("first")).repartition(tasks, "src", "dst", "first")
+    stubs = runs.select("src", "dst", F.explode(F.sequence(F.col("first"), F.least("w", F.col("first") + (STUB_RUN - 1)))).alias("i"))
 
     def placed(name: str) -> DataFrame:
         keyed = stubs.withColumn("h", draw(name, seed, F.col("src"), F.col("dst"), F.col("i")))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica import catalog
+from lattica.operators import graph
 from lattica.plans import learning
 from lattica.plans.sensor import frame
 
@@ -46,3 +47,21 @@ def test_a_fold_is_fitted_from_windows_of_several_tasks(large, data):
         assert w.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     finally:
         large.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_stubs_of_few_edges_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_STUBS", 500)
+    monkeypatch.setattr(graph, "STUB_RUN", 7)
+    place, tasks = graph.with_position, []
+
+    def noted(df, order, name):
+        tasks.append(df.select(F.spark_partition_id()).distinct().count())
+        return place(df, order, name)
+
+    monkeypatch.setattr(graph, "with_position", noted)
+    pairs = [(1, 2, 1000), (1, 3, 999), (2, 3, 1), (3, 3, 7), (4, 4, 0)]
+    got = graph.configuration_model(spark.createDataFrame(pairs, "src bigint, dst bigint, w bigint").coalesce(1), 5).collect()
+    assert min(tasks) > 2
+    for end in ("src", "dst"):
+        at = 0 if end == "src" else 1
+        assert {k: sum(r.w for r in got if r[end] == k) for k in (1, 2, 3)} == {k: sum(p[2] for p in pairs if p[at] == k) for k in (1, 2, 3)}
