@@ -23,8 +23,8 @@ def digitize(value: Column | str, thresholds: Sequence[float]) -> Column:
 
 
 def is_finite(value: Column | str) -> Column:
-    v = col(value).cast("double")
-    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    """Names the value once, as a filter on a parsed value parses it each time that it is named; NaN is above infinity."""
+    return F.coalesce(F.abs(col(value).cast("double")) < float("inf"), F.lit(False))
 
 
 def draw(*parts: Column | str | int) -> Column:

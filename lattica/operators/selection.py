@@ -103,15 +103,16 @@ def select_penalty(rows: DataFrame, by: Sequence[str], features: str, target: st
     order = [("", float(p[knob])) for p in points if control is None or p[control] == points[0][control]]
     groups = [*by, *([control] if control else [])]
     train, val = rows.where("split = 'train'"), rows.where("split = 'val'")
-    idle = train.select(*by).distinct().join(val.select(*by).distinct(), list(by), "left_anti").limit(5).collect()
-    if idle:
-        raise ValueError(f"no validation rows in {[tuple(r) for r in idle]}")
     if control:
         used = [p[control] for p in points]
         train, val = train.where(F.col(control).isin(used)), val.where(F.col(control).isin(used))
-    solved = ridge_paths(train, groups, features, target, [p for _, p in order], n_classes)
-    done = candidate_outputs(val, groups, features, _stacked(solved, groups, order, n_classes or 1), n_classes, [*groups, target])
-    scores = _scores(done, groups, target, n_classes)
+    weights = _stacked(ridge_paths(train, groups, features, target, [p for _, p in order], n_classes), groups, order, n_classes or 1)
+    done = candidate_outputs(val, groups, features, weights, n_classes, [*groups, target])
+    scores = materialise(_scores(done, groups, target, n_classes), "selection-scores")
+    scored = {tuple(r) for r in scores.select(*by).distinct().collect()}
+    idle = sorted({key[: len(by)] for key in weights} - scored)[:5]
+    if idle:
+        raise ValueError(f"no validation rows in {idle}")
     named = F.element_at(F.array(*[F.lit(p) for _, p in order]), F.col("place") + 1)
     first = F.array_position(F.array(*[F.lit(c) for c in dict.fromkeys(p[control] for p in points)]), F.col(control)) if control else F.lit(1)
     ranked = scores.withColumn("_point", (first - 1) * len(order) + F.col("place")).withColumn(knob, named)

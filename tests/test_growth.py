@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica import catalog
-from lattica.operators import graph
+from lattica.operators import graph, selection
 from lattica.plans import learning
 from lattica.plans.sensor import frame
 
@@ -49,6 +49,25 @@ def test_a_fold_is_fitted_from_windows_of_several_tasks(large, data):
         large.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_a_filter_parses_a_value_once(spark, data):
+    """Once in the filter and once for the column."""
+    assert plan(frame(spark, data)).count("get_json_object") == 2
+
+
+def test_a_selection_reads_its_rows_once_a_split(spark):
+    n, seen = 120, spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.range(n).select((F.col("id") % 2).cast("int").alias("fold_id"), F.when(F.col("id") % 3 == 0, "val").otherwise("train").alias("split"), F.array(F.sin("id")).alias("f"), (F.col("id") % 2).cast("int").alias("y"))
+    grid = selection.DeclaredGrid({"ridge_lambda": (0.1, 1.0)})
+    found = selection.select_penalty(rows.mapInPandas(noted, rows.schema), ["fold_id"], "f", "y", grid, n_classes=2)
+    assert len(found.collect()) == 2 and seen.value == 2 * n
+
+
 def test_stubs_of_few_edges_spread_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(graph, "TASK_STUBS", 500)
     monkeypatch.setattr(graph, "STUB_RUN", 7)
