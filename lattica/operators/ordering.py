@@ -25,9 +25,20 @@ def with_running_total(df: DataFrame, order: Sequence[str], value: str, name: st
     return placed.withColumn(name, F.col("_range_before") + F.col("_inside")).drop("_range", "_inside", "_range_before")
 
 
+#: Bits of a row's number inside its task, in the ids that Spark gives.
+ROW_BITS = 33
+
+
 def with_position(df: DataFrame, order: Sequence[str], name: str = "pos") -> DataFrame:
-    """df with the 0-based place of each row in the order (a unique one)."""
-    return with_running_total(df.withColumn("_one", F.lit(1).cast("bigint")), order, "_one", name).drop("_one")
+    """df with the 0-based place of each row in the order (a unique one).
+
+    Ranges of the order are sorted and numbered in the task that writes them, so rows are shuffled once."""
+    numbered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = materialise(numbered, "ranged")
+    counts = ranged.groupBy(F.shiftright("_id", ROW_BITS).alias("_range")).agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    placed = ranged.withColumn("_range", F.shiftright("_id", ROW_BITS)).join(F.broadcast(before), "_range")
+    return placed.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << ROW_BITS) - 1)).drop("_range", "_id", "_before")
 
 
 def in_file_order(df: DataFrame, name: str = "_at") -> DataFrame:

@@ -1,10 +1,12 @@
 """Plans and tasks of queries whose work must spread over tasks as their tables grow."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lattica import catalog
-from lattica.operators import graph, selection
+from lattica.operators import graph, ordering, selection
 from lattica.plans import learning
 from lattica.plans.sensor import frame
 
@@ -84,3 +86,11 @@ def test_stubs_of_few_edges_spread_over_tasks(spark, monkeypatch):
     for end in ("src", "dst"):
         at = 0 if end == "src" else 1
         assert {k: sum(r.w for r in got if r[end] == k) for k in (1, 2, 3)} == {k: sum(p[2] for p in pairs if p[at] == k) for k in (1, 2, 3)}
+
+
+def test_positions_shuffle_rows_once(spark):
+    df = spark.range(5000).select(F.col("id"), F.hash("id").alias("h"))
+    placed = ordering.with_position(df.repartition(7), ["h", "id"])
+    assert not re.search(r"windowspecdefinition\(_range#\d+L?, ", plan(placed))
+    rows = sorted(placed.collect(), key=lambda r: (r.h, r.id))
+    assert [r.pos for r in rows] == list(range(5000)) and placed.columns == ["id", "h", "pos"]
