@@ -138,3 +138,24 @@ def test_densities_equal_the_multivariate_normal():
         d = x - own.mean(0)
         logs.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) - 0.5 * np.linalg.slogdet(2 * np.pi * cov)[1] + np.log((y == k).mean()))
     assert np.allclose(model.score(x), 1 / (1 + np.exp(-(logs[1] - logs[0]))), atol=1e-9)
+
+
+def test_every_labelled_row_is_grown_on_and_calibrated_with(spark, make_docs, monkeypatch):
+    """More labelled rows than the 10,000 that a fit once took: all are scored, and all may be in trees."""
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words here and "), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 40 > 0).cast("int").alias("quality"))
+    seen, keep = [], quality_rules._threshold
+    monkeypatch.setattr(quality_rules, "_threshold", lambda scored: seen.append(scored.count()) or keep(scored))
+    quality_rules.fit(docs, labels)
+    assert seen == [12_000]
+
+
+def test_the_threshold_equals_that_of_all_scores_together(spark):
+    rng = np.random.default_rng(4)
+    good = rng.random(3000) < 0.9
+    score = np.round(np.where(good, rng.normal(0.4, 0.05, 3000), rng.normal(0.6, 0.08, 3000)), 3)
+    forest = quality_rules.IsolationForest(np.zeros(0), np.zeros(0), np.zeros(0), 1.0)
+    forest.calibrate(score, good)
+    df = spark.createDataFrame(list(zip(score.tolist(), good.tolist(), strict=True)), "score double, good boolean")
+    assert abs(quality_rules._threshold(df) - forest.threshold) < 1e-12 and forest.threshold < 1
+    assert quality_rules._threshold(df.where("good")) is None
