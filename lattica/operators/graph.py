@@ -155,21 +155,26 @@ def in_strength_error(reference: DataFrame, other: DataFrame) -> DataFrame:
     return e.agg(F.percentile("e", F.lit(0.5)).alias("median"), F.percentile("e", F.lit(0.9)).alias("p90"), F.max("e").alias("max"), F.count("*").alias("n"))
 
 
-def weak_components(edges: DataFrame) -> DataFrame:
+def weak_components(edges: DataFrame, written: bool = False) -> DataFrame:
     """node, label (smallest reachable id, directions ignored) of each node with an edge to another.
 
-    Rounds of large and small stars: their number grows with the logarithm of a component's size, and
-    a hub's edges are joined like any skewed key, so no task holds a component.  It ends when no node is both a
-    centre and a ray; each round is written once."""
-    e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    e = materialise(e, "wcc")
-    while not e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+    Rounds of small and large stars: their number grows with the logarithm of a component's size, and
+    a hub's edges are joined like any skewed key, so no task holds a component.  The small star comes first: it leaves
+    little more than an edge for each node, so that only one join meets all edges.  It ends when each ray has one centre and
+    no centre is a ray; each round is written once.  written: edges are a table that is read cheaply; repeated rows do no harm."""
+    e = edges if written else materialise(edges.select("src", "dst").distinct(), "wcc")
+    e = e.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+    while True:
+        least = materialise(e.groupBy("u").agg(F.min("v").alias("m")), "wcc-least")
+        small = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "wcc")
+        ends = F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("ray"), F.lit(0).alias("centre")), F.struct(F.col("v").alias("id"), F.lit(0).alias("ray"), F.lit(1).alias("centre")))).alias("e")
+        roles = e.select(ends).groupBy("e.id").agg(F.sum("e.ray").alias("rays"), F.max("e.centre").alias("centre"))
+        if roles.where("rays > 1 OR rays = 1 AND centre = 1").isEmpty():
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = materialise(small.where("u <> v").distinct(), "wcc")
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "wcc-least")
+        e = materialise(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "wcc")
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
@@ -243,26 +248,37 @@ def _strong_locally(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return sorted(label.items())
 
 
-def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def _trimmed(left: DataFrame) -> DataFrame:
+    """Edges without those whose end has no edge out, then those whose start has no edge in.
+
+    The nodes that are kept are written first: where they are few, the planner knows it and sends them to the edges,
+    which are then neither shuffled nor sorted."""
+    heads = materialise(left.select(F.col("src").alias("dst")).distinct(), "scc-heads")
+    cut = materialise(left.join(heads, "dst", "left_semi").select("src", "dst"), "scc-trim")
+    tails = materialise(cut.select(F.col("dst").alias("src")).distinct(), "scc-tails")
+    return materialise(cut.join(tails, "src", "left_semi").select("src", "dst"), "scc-trim")
+
+
+def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES, written: bool = False) -> DataFrame:
     """node, label (smallest id in its strong component) of each endpoint.
 
     A graph of at most `local_edges` edges is searched on the driver; larger ones are never collected.
     Colouring: each node takes the smallest id that reaches it; what reaches that node back inside the colour is a
-    component.  Nodes without edges in or out are trimmed first, and settled nodes leave the graph."""
-    few = edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).distinct().limit(local_edges + 1).collect()
-    if len(few) <= local_edges:
+    component.  Nodes without edges in or out are trimmed first, and settled nodes leave the graph.
+    written: edges are a table that is read cheaply; repeated rows do no harm."""
+    plain = edges if written else materialise(edges.select("src", "dst").distinct(), "scc")
+    if plain.count() <= local_edges:
+        few = plain.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).collect()
         return edges.sparkSession.createDataFrame(_strong_locally([tuple(r) for r in few]), "node bigint, label bigint")
-    left = materialise(edges.where("src <> dst").select("src", "dst").distinct(), "scc")
-    done = endpoints(edges).select(F.col("id").alias("node"), F.col("id").alias("label"))
+    left = plain.where("src <> dst").select("src", "dst")
+    done = endpoints(plain).select(F.col("id").alias("node"), F.col("id").alias("label"))
     found = None
     while True:
+        n = left.count()
         while True:
+            left, before = _trimmed(left), n
             n = left.count()
-            cut = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-            cut = cut.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-            cut = materialise(cut, "scc-trim")
-            left = cut
-            if cut.count() == n:
+            if n == before:
                 break
         if left.isEmpty():
             break

@@ -97,12 +97,17 @@ def leakage_inflation(rows: DataFrame, value: str, n_classes: int, grouped: str,
 
 def structure(edges: DataFrame) -> DataFrame:
     """Parts of nodes in the largest weak and strong component, and of edges inside strong components of two or more."""
+    edges = materialise(edges.select("src", "dst"), "structure")
     n = graph.endpoints(edges).count()
-    strong = graph.strong_components(edges)
-    weak = graph.weak_components(edges)
+    strong = materialise(graph.strong_components(edges, written=True), "structure-strong")
+    weak = graph.weak_components(edges, written=True)
     top = lambda c: c.groupBy("label").agg(F.count("*").alias("k")).agg(F.coalesce(F.max("k"), F.lit(1)).alias("k"))
-    a, b = strong.withColumnsRenamed({"node": "src", "label": "la"}), strong.withColumnsRenamed({"node": "dst", "label": "lb"})
-    cyc = edges.join(a, "src").join(b, "dst").agg(F.avg(((F.col("la") == F.col("lb")) & (F.col("src") != F.col("dst"))).cast("double")).alias("cycle_edges"))
+    # only components of two or more have edges inside; their nodes are written, so that few of them are sent to the edges
+    several = strong.groupBy("label").agg(F.count("*").alias("k")).where("k > 1").select("label")
+    cyclic = materialise(strong.join(several, "label"), "structure-cyclic")
+    a, b = cyclic.select(F.col("node").alias("src"), F.col("label").alias("la")), cyclic.select(F.col("node").alias("dst"), F.col("label").alias("lb"))
+    hits = edges.where("src <> dst").join(a, "src").join(b, "dst").where("la = lb").agg(F.count("*").alias("hits"))
+    cyc = hits.crossJoin(edges.agg(F.count_if(F.col("src").isNotNull() & F.col("dst").isNotNull()).alias("m"))).select(F.try_divide("hits", "m").alias("cycle_edges"))
     s, w = top(strong).withColumnRenamed("k", "s"), top(weak).withColumnRenamed("k", "w")
     return s.crossJoin(w).crossJoin(cyc).select(F.lit(n).cast("bigint").alias("n"), (F.col("w") / n).alias("weak_fraction"), (F.col("s") / n).alias("strong_fraction"), "cycle_edges")
 

@@ -48,6 +48,14 @@ def test_long_chain(spark):
     assert {x.label for x in graph.weak_components(e).collect()} == {0}
 
 
+@pytest.mark.parametrize("pairs", [[(4, 3), (5, 4), (3, 1), (5, 2)], [(i * 7 % 61, (i + 1) * 7 % 61) for i in range(60)], [(1, 1)], []])
+def test_a_node_has_one_weak_component(spark, pairs):
+    """Chains whose ids aren't in order; a node with two centres, none of which is a ray, isn't done."""
+    und = closure(pairs + [(b, a) for a, b in pairs])
+    want = sorted((i, min(r)) for i, r in und.items() if r != {i})
+    assert sorted(map(tuple, graph.weak_components(frame(spark, pairs)).collect())) == want
+
+
 def test_cycle_radius_and_walks(spark):
     e = frame(spark, [(0, 1), (1, 2), (2, 3), (3, 0)])
     a = np.zeros((4, 4))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica import catalog
-from lattica.operators import graph, ordering, selection
+from lattica.operators import graph, ordering, selection, studies
 from lattica.plans import learning
 from lattica.plans.sensor import frame
 
@@ -94,3 +94,26 @@ def test_positions_shuffle_rows_once(spark):
     assert not re.search(r"windowspecdefinition\(_range#\d+L?, ", plan(placed))
     rows = sorted(placed.collect(), key=lambda r: (r.h, r.id))
     assert [r.pos for r in rows] == list(range(5000)) and placed.columns == ["id", "h", "pos"]
+
+
+def test_few_kept_nodes_are_sent_to_the_edges(spark, monkeypatch):
+    """Trimming and the search for edges inside components don't shuffle the edges by their ends."""
+    plans, keep = {}, graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: plans.setdefault(name, []).append(plan(df)) or keep(df, name))
+    e = spark.range(3000).select((F.col("id") % 30).alias("src"), (F.col("id") * 7 % 1000).alias("dst"))
+    assert graph.strong_components(e, 0).count() == 1000
+    assert plans["scc-trim"] and all("BroadcastHashJoin" in p and "Exchange hashpartitioning" not in p for p in plans["scc-trim"])
+
+
+def test_the_structure_reads_its_edges_once(spark):
+    """However many steps use them, an expensive source of edges is run once."""
+    seen, pairs = spark.sparkContext.accumulator(0), [(1, 2), (2, 1), (2, 3), (3, 3), (4, 5)]
+
+    def noted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    e = spark.createDataFrame(pairs, "src bigint, dst bigint")
+    row = studies.structure(e.mapInPandas(noted, e.schema)).collect()
+    assert [tuple(r) for r in row] == [(5, 3 / 5, 2 / 5, 2 / 5)] and seen.value == len(pairs)
