@@ -119,7 +119,8 @@ def window_states_of(windows: DataFrame, reservoirs: dict[str, Reservoir], keep:
             if b.num_rows:
                 x = _windows_of(b.column(len(keep)))
                 for name, r in sent.value.items():
-                    states = pa.array(list(r.states(x)), pa.list_(pa.float64()))
+                    h = r.states(x)
+                    states = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * h.shape[1]), pa.array(h.ravel()))
                     yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([name] * b.num_rows), states], [*keep, "control", "state"])
 
     return windows.select(*keep, "x").mapInArrow(run, f"{fields}, control string, state array<double>")

@@ -42,31 +42,46 @@ def evaluate(model: models.Model, w: DataFrame, n_classes: int) -> dict[str, flo
     return {k: row[k] for k in ("mae", "rmse", "r2")}
 
 
+def dealt_windows(frame: DataFrame, folds: DataFrame, features: Sequence[str], length: int, stride: int, order: Sequence[str]) -> DataFrame:
+    """All windows with `splits`, their specimen's split in each fold: written once, a fold is then a filter and no join."""
+    splits_of = folds.groupBy("specimen_id").agg(F.map_from_entries(F.collect_list(F.struct("fold_id", "split"))).alias("splits"))
+    return materialise(windows.sliding_windows(frame, features, length, stride, order=order).join(splits_of, "specimen_id"), "grid-windows")
+
+
 def run(frame: DataFrame, dataset: str, features: Sequence[str], names: Sequence[str], tasks: Sequence[str] = (models.CLASSIFICATION,), lengths: Sequence[int] = (16,), seeds: Sequence[int] = (0,), strategy: str = "group_kfold", max_folds: int = 5, stride: int = 1, order: Sequence[str] = ("time_index",), n_classes: int = 4, experiment: str = "E1", done: DataFrame | None = None, options: dict | None = None) -> DataFrame:
     """Run records of all cells.  Cells that `done` has are skipped; a failed fit is a record with its reason and never
-    ends the run, and so is a model that isn't available.  Windows of a fold are made once for all models and tasks."""
+    ends the run, and so is a model that isn't available.  Windows are cut and written once for all folds, models and tasks."""
     spark, rows = frame.sparkSession, []
     keys = ["dataset", "model", "task", "seed", "fold_id", "window_length"]
     seen = {tuple(r) for r in done.where("status = 'ok'").select(*keys).distinct().collect()} if done is not None else set()
     for seed in seeds:
-        folds = splits.make_folds(strategy, frame, seed=seed).where(F.col("fold_id") < max_folds).persist()
+        folds = materialise(splits.make_folds(strategy, frame, seed=seed).where(F.col("fold_id") < max_folds), "grid-folds")
+        scalers: list[DataFrame] = []
+        cut: dict[int, DataFrame] = {}
+
+        def fold_rows(fold: int, length: int, folds=folds, scalers=scalers, cut=cut) -> DataFrame:
+            try:
+                if not scalers:
+                    scalers.append(materialise(windows.fold_scalers(frame, folds, features), "grid-scalers"))
+                if length not in cut:
+                    cut[length] = dealt_windows(frame, folds, features, length, stride, order)
+            except FIT_ERRORS as e:
+                raise FitError(f"{type(e).__name__}: {e}") from e
+            w = cut[length].withColumns({"fold_id": F.lit(fold), "split": F.col("splits")[fold]}).where("split IS NOT NULL").drop("splits")
+            return windows.scaled_windows(w, scalers[0], features, ["fold_id"])
+
         for fold in sorted(r.fold_id for r in folds.select("fold_id").distinct().collect()):
             for length in lengths:
-                cells = [(m, t) for m in names for t in tasks if (dataset, m, t, seed, fold, length) not in seen]
-                if not cells:
-                    continue
-                w = fold_windows(frame, folds, fold, features, length, stride, order).persist()
-                for name, task in cells:
+                for name, task in [(m, t) for m in names for t in tasks if (dataset, m, t, seed, fold, length) not in seen]:
                     began, status, reason, found = time.perf_counter(), "ok", None, {}
                     try:
                         extra = {"n_classes": n_classes} if name in ("svm_rbf", "pca_svm", "esn") else {}
-                        found = evaluate(models.build_model(name, task, **extra, **(options or {}).get(name, {})), w, n_classes)
+                        model = models.build_model(name, task, **extra, **(options or {}).get(name, {}))
+                        found = evaluate(model, fold_rows(fold, length), n_classes)
                     except (FitError, NotImplementedError) as e:  # a failed cell is a result
                         status, reason = "failed", f"{type(e).__name__}: {e}"[:300]
                     rid = f"{dataset}|{name}|{task}|seed{seed:02d}|fold{fold:02d}|w{length}"
                     rows.append((rid, experiment, dataset, name, task, status, reason, seed, fold, length, time.perf_counter() - began, {k: v for k, v in found.items() if v is not None}))
-                w.unpersist()
-        folds.unpersist()
     schema = "run_id string, experiment string, dataset string, model string, task string, status string, failure_reason string, seed int, fold_id int, window_length int, duration_s double, metrics map<string,double>"
     return spark.createDataFrame(rows, schema)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica import catalog
 from lattica.operators import graph, ordering, selection, studies
-from lattica.plans import learning
+from lattica.plans import benchmark, learning
 from lattica.plans.sensor import frame
 
 
@@ -117,3 +117,13 @@ def test_the_structure_reads_its_edges_once(spark):
     e = spark.createDataFrame(pairs, "src bigint, dst bigint")
     row = studies.structure(e.mapInPandas(noted, e.schema)).collect()
     assert [tuple(r) for r in row] == [(5, 3 / 5, 2 / 5, 2 / 5)] and seen.value == len(pairs)
+
+
+def test_the_grid_cuts_windows_once_and_joins_no_fold(large, data, monkeypatch):
+    """A fold's rows are a filter of written windows: nothing is shuffled, cached or cut again for it."""
+    cuts, plans, keep = [], [], benchmark.windows.sliding_windows
+    monkeypatch.setattr(benchmark.windows, "sliding_windows", lambda *a, **k: cuts.append(1) or keep(*a, **k))
+    monkeypatch.setattr(benchmark, "evaluate", lambda model, w, n: plans.append(plan(w)) or {})
+    catalog.QUERIES["benchmark_grid"](large, data).collect()
+    assert len(cuts) == 1 and len(plans) == 10
+    assert not any("hashpartitioning" in p or "InMemoryTableScan" in p for p in plans)
