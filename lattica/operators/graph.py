@@ -264,19 +264,23 @@ def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES, written:
 
     A graph of at most `local_edges` edges is searched on the driver; larger ones are never collected.
     Colouring: each node takes the smallest id that reaches it; what reaches that node back inside the colour is a
-    component.  Nodes without edges in or out are trimmed first, and settled nodes leave the graph.
-    written: edges are a table that is read cheaply; repeated rows do no harm."""
-    plain = edges if written else materialise(edges.select("src", "dst").distinct(), "scc")
+    component.  Nodes without edges in or out are trimmed first, and settled nodes leave the graph.  Repeated rows do no
+    harm (they count as edges against `local_edges`): rows are made distinct when they have been trimmed, so no task holds
+    the pairs of all its rows.
+    written: edges are a table that is read cheaply."""
+    plain = edges if written else materialise(edges.select("src", "dst"), "scc")
     if plain.count() <= local_edges:
-        few = plain.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).collect()
+        few = plain.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).distinct().collect()
         return edges.sparkSession.createDataFrame(_strong_locally([tuple(r) for r in few]), "node bigint, label bigint")
     left = plain.where("src <> dst").select("src", "dst")
     done = endpoints(plain).select(F.col("id").alias("node"), F.col("id").alias("label"))
-    found = None
+    found, repeated = None, not written
     while True:
         n = left.count()
         while True:
             left, before = _trimmed(left), n
+            if repeated:
+                left, repeated = materialise(left.distinct(), "scc"), False
             n = left.count()
             if n == before:
                 break

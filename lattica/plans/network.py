@@ -54,9 +54,14 @@ def classed(spark, sf_dir) -> DataFrame:
     return graph.classed(edges(spark, sf_dir), classes(spark))
 
 
+def supplies(spark, sf_dir) -> DataFrame:
+    """Supplier keys to part keys of all rows, as nodes of one id space: it grows with the tables."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+
+
 def supply(spark, sf_dir) -> DataFrame:
-    """Supplier keys to part keys over all rows, as nodes of one id space: it grows with the tables."""
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    """The same, each pair once."""
+    return supplies(spark, sf_dir).distinct()
 
 
 @query(sql_cte(RAW, "SELECT src, dst, w, (SELECT count(*) FROM nodes WHERE id < src) AS src_idx, (SELECT count(*) FROM nodes WHERE id < dst) AS dst_idx, src = dst AS is_loop FROM edges"))
@@ -218,7 +223,7 @@ def weak_components(spark, sf_dir):
     ends AS (SELECT src AS node FROM supply UNION SELECT dst FROM supply)
     SELECT node, least(node, coalesce((SELECT min(a.reached) FROM r a JOIN r b ON b.node = a.reached AND b.reached = a.node WHERE a.node = ends.node), node)) AS label FROM ends""")
 def strong_components(spark, sf_dir):
-    return graph.strong_components(supply(spark, sf_dir))
+    return graph.strong_components(supplies(spark, sf_dir))
 
 
 @query("WITH RECURSIVE " + SUPPLY + """, r(node) AS (SELECT range FROM range(3) UNION SELECT supply.dst FROM r JOIN supply ON supply.src = r.node) SELECT node FROM r""")

@@ -105,6 +105,26 @@ def test_few_kept_nodes_are_sent_to_the_edges(spark, monkeypatch):
     assert plans["scc-trim"] and all("BroadcastHashJoin" in p and "Exchange hashpartitioning" not in p for p in plans["scc-trim"])
 
 
+def test_no_task_holds_the_pairs_of_all_its_rows(spark, tmp_path, monkeypatch):
+    """Rows are trimmed before they are made distinct: no aggregate by both ends runs over the rows of `lineitem`."""
+    plans, sizes, keep = [], [], graph.materialise
+
+    def noted(df, name):
+        done = keep(df, name)
+        if re.search(r"HashAggregate\(keys=\[(src|l_suppkey)#\d+L?, (dst|l_partkey)#", plan(df)):
+            plans.append(name)
+            sizes.append(done.count())
+        return done
+
+    monkeypatch.setattr(graph, "materialise", noted)
+    monkeypatch.setattr(graph.strong_components, "__defaults__", (0, False))
+    rows = [(i, i + 1) for i in range(20)] + [(20, 0), (5, 5)] + [(i % 20, 100 + i) for i in range(400)]
+    spark.createDataFrame(rows * 3, "l_suppkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.QUERIES["strong_components"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((x, 0 if x <= 20 else x) for x in {x for r in rows for x in r})
+    assert plans == ["scc"] and sizes == [21]
+
+
 def test_the_structure_reads_its_edges_once(spark):
     """However many steps use them, an expensive source of edges is run once."""
     seen, pairs = spark.sparkContext.accumulator(0), [(1, 2), (2, 1), (2, 3), (3, 3), (4, 5)]
