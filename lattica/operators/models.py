@@ -205,12 +205,15 @@ def grid_frame(spark: SparkSession, options: dict[str, Sequence[Any]]) -> DataFr
     return out
 
 
-def first_best(scores: DataFrame, by: Sequence[str], score: str, order: str, higher_is_better: bool = True) -> DataFrame:
-    """The best score of each group; NaN and null never win, and the first in order wins ties."""
+def first_best(scores: DataFrame, by: Sequence[str], score: str, order: str, higher_is_better: bool = True, all_groups: bool = False) -> DataFrame:
+    """The best score of each group; NaN and null never win, and the first in order (nulls last) wins ties.
+
+    A group without a score has no row; with all_groups it has its first NaN, or else its first null."""
     bad = F.col(score).isNull() | F.isnan(score)
     direction = F.desc_nulls_last(score) if higher_is_better else F.asc_nulls_last(score)
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(bad, direction, order))
-    return scores.withColumn("_rank", rank).where((F.col("_rank") == 1) & ~bad).drop("_rank")
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(bad, direction, F.asc_nulls_last(order)))
+    won = F.col("_rank") == 1
+    return scores.withColumn("_rank", rank).where(won if all_groups else won & ~bad).drop("_rank")
 
 
 def select_hyperparameters(build: Callable[..., Model], options: dict[str, Sequence[Any]], train: DataFrame, validation: DataFrame, task: str = CLASSIFICATION) -> tuple[dict[str, Any], list[float]]:

@@ -1,5 +1,6 @@
 """Queries on small tables that have what larger ones have: several files and tasks, deeper trees, constant groups."""
 
+import math
 import random
 import zipfile
 from collections import Counter
@@ -43,6 +44,25 @@ def test_first_best_of_averages_at_halves_of_a_thousandth(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted((s, score) for s, _, score in by_sql(folder, "first_best"))
 
 
+def test_first_best_rounds_as_its_sql(spark, tmp_path):
+    """Averages at halves of a thousandth and a unit in the last place from them, either side of zero."""
+    halves = [(2 * k + 1) / 2000 for k in range(-150, 150)]
+    values = [x for h in halves for x in (math.nextafter(h, -1), h, math.nextafter(h, 1))]
+    folder = lineitem(tmp_path, f"SELECT i AS l_suppkey, 1 AS l_linenumber, d AS l_discount FROM (SELECT unnest(range({len(values)})) AS i, unnest({values}::DOUBLE[]) AS d)")
+    got = catalog.QUERIES["first_best"](spark, folder).select("l_suppkey", "l_linenumber", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(by_sql(folder, "first_best"))
+
+
+def test_first_best_keeps_suppliers_without_a_score(spark, tmp_path):
+    """Only NaN, only nulls, both, or no key: the SQL has a row for each supplier."""
+    nan = "'NaN'::DOUBLE"
+    rows = [(1, 2, 0.05), (2, 2, 0.01), (2, 1, "NULL"), (3, 3, "NULL"), (3, 1, "NULL"), (4, 2, "NULL"), (5, 1, nan), (5, 3, 0.02), (6, 1, nan), (7, "NULL", 0.07), (7, 1, 0.07), ("NULL", "NULL", 0.03), ("NULL", 1, 0.03), (8, 1, 0.04), (8, 1, "NULL")]
+    values = ", ".join(f"({s}::BIGINT, {n}::INT, {d}::DOUBLE)" for s, n, d in rows)
+    folder = lineitem(tmp_path, f"SELECT * FROM (VALUES {values}) t(l_suppkey, l_linenumber, l_discount)")
+    got = catalog.QUERIES["first_best"](spark, folder).select("l_suppkey", "l_linenumber", "score").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, by_sql(folder, "first_best")))
+
+
 def test_a_block_with_more_than_two_levels(spark, data, monkeypatch):
     """The query shows the two levels that its SQL has; the tree that is verified goes up to its root."""
     write, verify, levels = io.blocks.write_block, io.blocks.verify_block, set()
