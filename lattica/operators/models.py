@@ -1,7 +1,7 @@
 """Models with one interface: fit on window rows, predict as a column; and selection over a grid.
 
 Trees are pyspark.ml.  An RBF machine isn't part of it: `svm_rbf`, and `pca_svm` over principal components, are
-least-squares kernel machines on a bounded sample, declared as substitutes.  Recurrent and convolutional networks need
+least-squares kernel machines over random features, declared as substitutes.  Recurrent and convolutional networks need
 a deep-learning library that isn't installed; the registry says so instead of leaving them out."""
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import draw
-from .reservoir import Reservoir, random_reservoir, read_out, ridge, window_states
+from .reservoir import Reservoir, gram_blocks, random_reservoir, read_out, ridge, window_states
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
-#: Rows that the kernel machine is fitted on, at most.
-KERNEL_ROWS = 2000
+#: Random features that stand for the kernel.
+KERNEL_FEATURES = 1024
 
 
 class Model(Protocol):
@@ -104,57 +104,73 @@ class ReservoirModel:
 
 @dataclass
 class KernelMachine:
-    """Least squares in a radial-basis kernel on a bounded sample of the rows.
+    """Least squares in a radial-basis kernel, with a constant, on all rows.
 
-    n_components: over the sample's principal components, so many of them, or the fewest that explain that share of the
+    The kernel of all pairs of rows would be a matrix of their number squared.  Random Fourier features (Rahimi and Recht)
+    stand for it: cosines and sines at n_features / 2 frequencies, drawn without a look at the rows, whose products
+    approach the kernel as 1 / sqrt(n_features).  Every row counts in their Gram matrix, which is summed in the tasks.
+
+    n_components: over the rows' principal components, so many of them, or the fewest that explain that share of the
     variance; None: over the window itself."""
 
     name: str
     task: str
     penalty: float = 1e-2
     n_classes: int = 4
-    rows_kept: int = KERNEL_ROWS
+    n_features: int = KERNEL_FEATURES
     gamma: float | str = "scale"
     n_components: float | int | None = None
+    seed: int = 0
     mean: np.ndarray | None = None
     components: np.ndarray | None = None
-    x: np.ndarray | None = None
-    alpha: np.ndarray | None = None
+    frequencies: np.ndarray | None = None
+    weights: np.ndarray | None = None
     width: float = 1.0
 
     def fit(self, rows: DataFrame) -> KernelMachine:
-        y_col = "label" if self.task == CLASSIFICATION else "target"
-        some = rows.select(F.flatten("x").alias("f"), y_col, F.xxhash64("x").alias("h")).orderBy("h").limit(self.rows_kept).toPandas()
-        self.x, y = np.vstack(some.f.to_numpy()), some[y_col].to_numpy(float)
+        y = "label" if self.task == CLASSIFICATION else "target"
+        flat = rows.select(F.flatten("x").alias("f"), y)
+        self.mean, covariance = _moments(flat, y)
+        spread, self.components = np.diag(covariance).mean() + self.mean.var(), None
         if self.n_components is not None:
-            self.mean = self.x.mean(0)
-            _, size, axes = np.linalg.svd(self.x - self.mean, full_matrices=False)
-            share = np.cumsum(size**2) / max((size**2).sum(), 1e-300)
+            size, axes = np.linalg.eigh(covariance)
+            size, axes = np.maximum(size[::-1], 0), axes[:, ::-1]
+            share = np.cumsum(size) / max(size.sum(), 1e-300)
             k = 1 + int(np.searchsorted(share, self.n_components - 1e-12)) if self.n_components < 1 else int(self.n_components)
-            self.components = axes[: max(1, min(k, len(axes)))].T
-            self.x = self._projected(self.x)
-        y = np.eye(self.n_classes)[y.astype(int)] if self.task == CLASSIFICATION else y[:, None]
-        self.width = 1.0 / max(self.x.shape[1] * self.x.var(), 1e-12) if self.gamma == "scale" else float(self.gamma)
-        self.alpha = np.linalg.solve(self._kernel(self.x) + self.penalty * np.eye(len(self.x)), y)
+            k = max(1, min(k, len(size)))
+            spread, self.components = size[:k].mean(), axes[:, :k]
+        d = len(self.mean) if self.components is None else self.components.shape[1]
+        self.width = 1.0 / max(d * spread, 1e-12) if self.gamma == "scale" else float(self.gamma)
+        self.frequencies = np.random.default_rng(self.seed).normal(0, np.sqrt(2 * self.width), (d, self.n_features // 2))
+        self.weights = ridge(flat, "f", y, self.penalty, self.n_classes if self.task == CLASSIFICATION else None, self._map())
         return self
 
-    def _projected(self, z: np.ndarray) -> np.ndarray:
-        return z if self.components is None else (z - self.mean) @ self.components
+    def _map(self) -> Callable[[np.ndarray], np.ndarray]:
+        mean, components, frequencies = self.mean, self.components, self.frequencies
 
-    def _kernel(self, z: np.ndarray) -> np.ndarray:
-        d = (z**2).sum(1)[:, None] + (self.x**2).sum(1)[None] - 2 * z @ self.x.T
-        return np.exp(-self.width * np.maximum(d, 0))
+        def features(x: np.ndarray) -> np.ndarray:
+            turned = (x - mean if components is None else (x - mean) @ components) @ frequencies
+            return np.hstack([np.cos(turned), np.sin(turned)]) / np.sqrt(frequencies.shape[1])
 
-    def predict(self, rows: DataFrame) -> DataFrame:
-        @F.pandas_udf("double")
-        def out(f: pd.Series) -> pd.Series:
-            y = self._kernel(self._projected(np.vstack(f.to_numpy()))) @ self.alpha
-            return pd.Series(y.argmax(1).astype(float) if self.task == CLASSIFICATION else y[:, 0])
+        return features
 
-        return rows.withColumn("predicted", out(F.flatten("x"))).drop("x")
+    def predict(self, rows: DataFrame) -> DataFrame:
+        return read_out(rows.withColumn("_f", F.flatten("x")), "_f", self.weights, mapped=self._map()).drop("_f", "x")
 
     def describe(self) -> dict[str, Any]:
-        return {"model": self.name, "task": self.task, "substitute_for": "support vector machine", "rows": self.rows_kept}
+        return {"model": self.name, "task": self.task, "substitute_for": "support vector machine", "features": self.n_features}
+
+
+def _moments(rows: DataFrame, y: str) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the column f over all rows, from sums about one of them."""
+    one = rows.first()
+    if one is None:
+        raise ValueError("no rows to fit on")
+    about = np.array(one["f"])
+    blocks = gram_blocks(rows, [], "f", y, mapped=lambda x: x - about).collect()
+    sums = np.concatenate([r["cells"] for r in sorted(blocks, key=lambda r: r["block"])]).reshape(len(about) + 1, -1)[:, :-1]
+    mean = sums[-1, :-1] / sums[-1, -1]
+    return about + mean, sums[:-1, :-1] / sums[-1, -1] - np.outer(mean, mean)
 
 
 def random_forest(task: str, n_estimators: int = 300, max_depth: int | None = None, min_samples_leaf: int = 1, seed: int = 0) -> Model:

@@ -6,7 +6,7 @@ with the windows (Gram matrices, metrics) is summed in partitions first."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -133,23 +133,29 @@ def window_states(windows: DataFrame, reservoir: Reservoir, keep: list[str]) ->
 
 #: Rows of a Gram matrix that travel together, and groups of partitions whose sums are added first.
 GRAM_ROWS, GRAM_GROUPS = 64, 32
+#: Rows that are mapped to features at once.
+MAPPED_ROWS = 2000
+Map = Callable[[np.ndarray], np.ndarray]
 
 
-def gram_blocks(rows: DataFrame, by: list[str], features: str, target: str, n_classes: int | None = None) -> DataFrame:
+def gram_blocks(rows: DataFrame, by: list[str], features: str, target: str, n_classes: int | None = None, mapped: Map | None = None) -> DataFrame:
     """by, block, cells: H'H and H'Y, with a bias column, of each group of `by`, in blocks of GRAM_ROWS rows.
 
     Each partition's sums are cut into blocks, which the executors add up in two steps.  A task holds a matrix for each
-    group that it meets."""
+    group that it meets.  mapped: what turns rows of features into those that count, in the task and never written."""
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple, np.ndarray] = {}
         for b in batches:
             for key, part in b.groupby(by) if by else [((), b)] if len(b) else []:
-                h = np.column_stack([np.vstack(part[features].to_numpy()), np.ones(len(part))])
-                y = part[target].to_numpy(np.float64)
-                y = np.eye(n_classes)[y.astype(int)] if n_classes else y[:, None]
-                here = np.hstack([h.T @ h, h.T @ y])
-                total[key] = total[key] + here if key in total else here
+                size = MAPPED_ROWS if mapped else len(part)
+                for some in (part.iloc[at : at + size] for at in range(0, len(part), size)):
+                    h = np.vstack(some[features].to_numpy())
+                    h = np.column_stack([mapped(h) if mapped else h, np.ones(len(h))])
+                    y = some[target].to_numpy(np.float64)
+                    y = np.eye(n_classes)[y.astype(int)] if n_classes else y[:, None]
+                    here = np.hstack([h.T @ h, h.T @ y])
+                    total[key] = total[key] + here if key in total else here
         group = TaskContext.get().partitionId() % GRAM_GROUPS
         for key, whole in total.items():
             for at in range(0, len(whole), GRAM_ROWS):
@@ -168,7 +174,7 @@ def gram_blocks(rows: DataFrame, by: list[str], features: str, target: str, n_cl
     return parts.drop("grp")
 
 
-def ridge_paths(rows: DataFrame, by: list[str], features: str, target: str, penalties: Sequence[float], n_classes: int | None = None, arms: dict[str, list[int]] | None = None) -> DataFrame:
+def ridge_paths(rows: DataFrame, by: list[str], features: str, target: str, penalties: Sequence[float], n_classes: int | None = None, arms: dict[str, list[int]] | None = None, mapped: Map | None = None) -> DataFrame:
     """by, arm, penalty, weights: solutions of (H'H + penalty I) W = H'Y for each group, penalty and arm, solved on the executors.
 
     One Gram matrix serves all: an arm is the block of its features' rows and columns (and the bias), and one
@@ -198,20 +204,20 @@ def ridge_paths(rows: DataFrame, by: list[str], features: str, target: str, pena
         keys = {c: [parts[c].iloc[0]] * len(out) for c in by}
         return pd.DataFrame({**keys, "arm": [o[0] for o in out], "penalty": [o[1] for o in out], "weights": [o[2] for o in out]})
 
-    blocks = gram_blocks(rows, by, features, target, n_classes)
+    blocks = gram_blocks(rows, by, features, target, n_classes, mapped)
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema), "arm string, penalty double, weights array<double>"])
     return blocks.groupBy(*by).applyInPandas(solve, schema) if by else blocks.groupBy(F.lit(0).alias("all")).applyInPandas(solve, schema)
 
 
-def ridge_by(rows: DataFrame, by: list[str], features: str, target: str, penalty: float = DEFAULTS["ridge_lambda"], n_classes: int | None = None) -> dict[tuple, np.ndarray]:
+def ridge_by(rows: DataFrame, by: list[str], features: str, target: str, penalty: float = DEFAULTS["ridge_lambda"], n_classes: int | None = None, mapped: Map | None = None) -> dict[tuple, np.ndarray]:
     """The weights of each group at one penalty; only these come to the driver."""
-    found = ridge_paths(rows, by, features, target, [penalty], n_classes).collect()
+    found = ridge_paths(rows, by, features, target, [penalty], n_classes, mapped=mapped).collect()
     return {tuple(r[c] for c in by): np.array(r["weights"]).reshape(-1, n_classes or 1) for r in found}
 
 
-def ridge(rows: DataFrame, features: str, target: str, penalty: float = DEFAULTS["ridge_lambda"], n_classes: int | None = None) -> np.ndarray:
+def ridge(rows: DataFrame, features: str, target: str, penalty: float = DEFAULTS["ridge_lambda"], n_classes: int | None = None, mapped: Map | None = None) -> np.ndarray:
     """The same for all rows together."""
-    return ridge_by(rows, [], features, target, penalty, n_classes)[()]
+    return ridge_by(rows, [], features, target, penalty, n_classes, mapped)[()]
 
 
 def read_out_by(rows: DataFrame, by: list[str], features: str, weights: dict[tuple, np.ndarray], name: str = "predicted") -> DataFrame:
@@ -229,12 +235,14 @@ def read_out_by(rows: DataFrame, by: list[str], features: str, weights: dict[tup
     return rows.withColumn(name, F.nullif(out(features, *by), F.lit(float("nan"))))
 
 
-def read_out(rows: DataFrame, features: str, weights: np.ndarray, name: str = "predicted") -> DataFrame:
+def read_out(rows: DataFrame, features: str, weights: np.ndarray, name: str = "predicted", mapped: Map | None = None) -> DataFrame:
     """The estimate (one output) or the class of the greatest output."""
 
     @F.pandas_udf("double")
     def out(h: pd.Series) -> pd.Series:
-        y = np.column_stack([np.vstack(h.to_numpy()), np.ones(len(h))]) @ weights
+        size = MAPPED_ROWS if mapped else max(1, len(h))
+        parts = [np.vstack(h.to_numpy()[at : at + size]) for at in range(0, len(h), size)]
+        y = np.vstack([np.column_stack([mapped(p) if mapped else p, np.ones(len(p))]) @ weights for p in parts])
         return pd.Series(y[:, 0] if y.shape[1] == 1 else y.argmax(1).astype(float))
 
     return rows.withColumn(name, out(features))

@@ -49,7 +49,7 @@ def forest_predictions(spark, sf_dir):
 
 @query()
 def kernel_regression(spark, sf_dir):
-    return _scored(models.build_model("svm_rbf", models.REGRESSION, rows_kept=800), fold_windows(spark, sf_dir))
+    return _scored(models.build_model("svm_rbf", models.REGRESSION), materialise(fold_windows(spark, sf_dir), "windows"))
 
 
 @query()

@@ -145,7 +145,7 @@ def drive_gate(spark, sf_dir):
 def benchmark_grid(spark, sf_dir):
     """Two models and an unavailable one over all folds, resumed once: nothing is scored twice, failures are records."""
     f = frame(spark, sf_dir)
-    again = dict(dataset="events", features=FEATURES, names=["esn", "svm_rbf", "gru"], lengths=[8], stride=4, order=ORDER, options={"svm_rbf": {"rows_kept": 300}})
+    again = dict(dataset="events", features=FEATURES, names=["esn", "svm_rbf", "gru"], lengths=[8], stride=4, order=ORDER)
     first = benchmark.run(f, **again)
     second = benchmark.run(f, **again, done=first)
     return first.select("run_id", "status").unionByName(second.select("run_id", F.concat(F.lit("again_"), "status").alias("status")))

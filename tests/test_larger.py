@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 
 from lattica import catalog
-from lattica.operators import graph
+from lattica.operators import graph, models
 from lattica.plans import benchmark, io
 from lattica.sources import archives
 
@@ -131,6 +131,30 @@ def test_many_members_share_tasks(spark, tmp_path):
     assert sorted(int(r.text) for r in archives.member_lines(found).collect()) == list(range(450))
 
 
+def test_a_kernel_machine_is_fitted_on_all_rows(spark):
+    """Against the kernel of all pairs: with a penalty of 100, an estimate shows how many rows lie near it."""
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(0, 0.1, (4200, 4)), np.zeros(4200)
+    x[4000:] += 3
+    y[4000:] = 1
+    rows = spark.createDataFrame([(i, a.reshape(2, 2).tolist(), b) for i, (a, b) in enumerate(zip(x, y.tolist(), strict=True))], "id int, x array<array<double>>, target double").repartition(4)
+    fitted = models.build_model("svm_rbf", models.REGRESSION, penalty=100.0, gamma=0.5).fit(rows)
+    kernel = np.exp(-0.5 * ((x[:, None] - x[None]) ** 2).sum(2))
+    near = fitted._map()(x[::100])
+    assert np.abs(near @ near.T - kernel[::100, ::100]).max() < 0.2
+    want = (kernel + 1) @ np.linalg.solve(kernel + 1 + 100 * np.eye(len(x)), y)
+    got = [r.predicted for r in fitted.predict(rows).orderBy("id").collect()]
+    assert np.abs(got - want).max() < 0.03 and want.max() > 0.6
+
+
+def test_the_grid_fits_all_training_windows(spark, data, monkeypatch):
+    fitted, given, keep, run = [], [], models.ridge, benchmark.evaluate
+    monkeypatch.setattr(models, "ridge", lambda rows, *a, **k: fitted.append(rows.count()) or keep(rows, *a, **k))
+    monkeypatch.setattr(benchmark, "evaluate", lambda model, w, n: given.append(w.where("split = 'train'").count()) or run(model, w, n))
+    assert catalog.QUERIES["benchmark_grid"](spark, data).where("status = 'ok'").count() == 10
+    assert len(given) == 10 and fitted == given
+
+
 def test_the_reservoir_benchmark_writes_no_states(spark, data, monkeypatch):
     written, keep = [], benchmark.materialise
 
